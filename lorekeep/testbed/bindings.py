@@ -7,6 +7,8 @@ holding a third of all knowledge are put in on purpose.  Every view covers its w
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = [
@@ -87,26 +89,19 @@ VIEWS: dict[str, str] = {
         from benchmark b join embeddings e on e.vec_id=b.item_id""",
 }
 
-# Which views each view reads, itself last.
-NEEDS: dict[str, list[str]] = {
-    "b_t1": ["b_t1"],
-    "b_topics": ["b_t1", "b_topics"],
-    "b_sources": ["b_sources"],
-    "b_k1": ["b_k1"],
-    "b_knowledge": ["b_k1", "b_knowledge"],
-    "b_reviews": ["b_reviews"],
-    "b_events": ["b_events"],
-    "b_embeddings": ["b_k1", "b_embeddings"],
-    "b_questions": ["b_questions"],
-}
-
 
-def with_clause(*views: str) -> str:
-    """``with ... as (...)`` holding the named views and what they read."""
+def with_clause(text: str, views: dict[str, str] = VIEWS) -> str:
+    """``with ... as (...)`` holding every view that ``text`` reads, directly or through others."""
     order: list[str] = []
-    for view in views:
-        order += [v for v in NEEDS[view] if v not in order]
-    return "with " + ", ".join(f"{v} as ({VIEWS[v]})" for v in order)
+
+    def add(sql: str) -> None:
+        for name in re.findall(r"\b[a-z]+_[a-z0-9_]+\b", sql):
+            if name in views and name not in order:
+                add(views[name])
+                order.append(name)
+
+    add(text)
+    return "with " + ", ".join(f"{v} as ({views[v]})" for v in order) + " "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
