@@ -1,33 +1,33 @@
 """Strict reading of message bytes as one JSON object."""
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@dataclass(frozen=True)
-class Payload:
-    text: Column        # the message as text, bad UTF-8 replaced
-    fields: Column      # struct of string fields, null unless the message is one JSON object
-    readable: Column    # bool: valid UTF-8 holding exactly one JSON value
-    is_object: Column   # bool: that value is an object
+def parse_objects(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    """``value: binary`` -> ``text`` (bad UTF-8 replaced), ``readable`` (valid UTF-8 holding exactly
+    one JSON value), ``is_object`` and ``fields`` (a struct of ``schema``, null unless an object).
 
+    Wrapping the text in ``[...]`` makes trailing text, a bare array or a second object show up as a
+    parse failure or a wrong element count; a repeated key takes its last value.
 
-def read_payload(raw: Column, schema: T.StructType) -> Payload:
-    """Wrapping the text in ``[...]`` makes trailing text, a bare array or a second object show up
-    as a parse failure or a wrong element count; a repeated key takes its last value."""
-    as_text = raw.cast("string")
-    text = F.make_valid_utf8(as_text)
+    The one-element ``explode`` pins the parsing to one place: without it Catalyst copies
+    ``from_json`` into every expression and filter above and parses each message many times.
+    """
+    text = F.make_valid_utf8(F.col("value").cast("string"))
     boxed = F.concat(F.lit("["), text, F.lit("]"))
-    items = F.from_json(boxed, T.ArrayType(schema), {"mode": "PERMISSIVE"})
-    one = F.size(items) == 1
-    # Any JSON value, objects with repeated keys included, must pass as "readable".
-    values = F.from_json(boxed, T.ArrayType(T.StringType()))
-    return Payload(
-        text=text,
-        fields=F.when(F.coalesce(one, F.lit(False)), items[0]),
-        readable=F.is_valid_utf8(as_text) & F.coalesce(F.size(values) == 1, F.lit(False)),
-        is_object=F.coalesce(one & items[0].isNotNull(), F.lit(False)),
+    parsed = F.struct(
+        text.alias("text"),
+        F.is_valid_utf8(F.col("value").cast("string")).alias("valid"),
+        F.from_json(boxed, T.ArrayType(schema)).alias("objects"),
+        F.from_json(boxed, T.ArrayType(T.StringType())).alias("values"),  # any JSON value passes
+    )
+    rows = messages.select(F.explode(F.array(parsed)).alias("p")).select("p.*")
+    one = F.coalesce(F.size("objects") == 1, F.lit(False))
+    return rows.select(
+        "text",
+        (F.col("valid") & F.coalesce(F.size("values") == 1, F.lit(False))).alias("readable"),
+        (one & F.get("objects", F.lit(0)).isNotNull()).alias("is_object"),
+        F.when(one, F.get("objects", F.lit(0))).alias("fields"),
     )

@@ -93,12 +93,12 @@ def related_lists(dim: DataFrame, topic_ids: DataFrame, limit: int) -> DataFrame
     listed = sized_join(
         sized_join(asked, own, "for_topic_id", "left", ["for_topic_id"]),
         siblings, "parent_category", "left", ["for_topic_id"],
-    )
+    ).withColumn("any", anywhere.scalar())
     same = F.coalesce(_others(F.col("first"), F.col("for_topic_id"), limit), F.array())
     return listed.select(
         "for_topic_id",
         F.when(F.size(same) > 0, same)
-        .otherwise(_others(anywhere.scalar(), F.col("for_topic_id"), limit)).alias("related"),
+        .otherwise(_others(F.col("any"), F.col("for_topic_id"), limit)).alias("related"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lorekeep import schemas as S
 from lorekeep.functions.iso import integer, iso_timestamp, number
-from lorekeep.functions.payload import read_payload
+from lorekeep.functions.payload import parse_objects
 from lorekeep.operators.quality import event_rules, first_reason
 from lorekeep.sources.files import write_events
 
@@ -20,14 +20,12 @@ from lorekeep.sources.files import write_events
 def annotate_events(messages: DataFrame) -> DataFrame:
     """``value: binary`` -> the ten wire fields as text, ``raw_payload`` and ``reason``.  Other
     fields of a message are dropped here, so free text never reaches a table of events."""
-    payload = read_payload(F.col("value"), S.EVENT_WIRE)
-    read = messages.select(
-        payload.text.alias("raw_payload"), payload.readable.alias("_readable"),
-        payload.is_object.alias("_object"), payload.fields.alias("_event"),
-    ).select("raw_payload", "_readable", "_object", *[F.col("_event")[c].alias(c) for c in S.EVENT_COLUMNS])
+    read = parse_objects(messages, S.EVENT_WIRE).select(
+        F.col("text").alias("raw_payload"), "readable", "is_object", "fields.*"
+    )
     reason = F.coalesce(
-        F.when(~F.col("_readable"), F.lit("unparseable JSON: not one JSON value in UTF-8")),
-        F.when(~F.col("_object"), F.lit("event is not a JSON object")),
+        F.when(~F.col("readable"), F.lit("unparseable JSON: not one JSON value in UTF-8")),
+        F.when(~F.col("is_object"), F.lit("event is not a JSON object")),
         first_reason(event_rules()),
     )
     return read.select(*S.EVENT_COLUMNS, "raw_payload", reason.alias("reason"))
@@ -74,3 +72,21 @@ def run_for(query: StreamingQuery, seconds: float) -> None:
     """Let an unbounded query run for a while, then stop it cleanly."""
     query.awaitTermination(seconds)
     query.stop()
+
+
+def envelope(submitted: DataFrame) -> DataFrame:
+    """The ten-field event for accepted submissions: a fresh id and the time of receipt; fields a
+    submission lacks are null."""
+    made = {"event_id": F.expr("uuid()"), "occurred_at": F.current_timestamp()}
+    return submitted.select(*[
+        (made[f.name] if f.name in made else F.col(f.name) if f.name in submitted.columns else F.lit(None))
+        .cast(f.dataType).alias(f.name)
+        for f in S.FACT_EVENT
+    ])
+
+
+def to_messages(events: DataFrame) -> DataFrame:
+    """Events as message bytes, every field present, times in ISO form with their offset."""
+    iso = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("occurred_at")
+    body = F.struct(*[iso if c == "occurred_at" else F.col(c) for c in S.EVENT_COLUMNS])
+    return events.select(F.to_json(body, {"ignoreNullFields": "false"}).cast("binary").alias("value"))

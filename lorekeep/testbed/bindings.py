@@ -101,7 +101,7 @@ def with_clause(text: str, views: dict[str, str] = VIEWS) -> str:
                 order.append(name)
 
     add(text)
-    return "with " + ", ".join(f"{v} as ({views[v]})" for v in order) + " "
+    return "with " + ", ".join(f"{v} as ({views[v]})" for v in order) + " " if order else ""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

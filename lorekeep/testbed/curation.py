@@ -298,15 +298,9 @@ def knowledge_by_topic(c: Context) -> DataFrame:
     return reports.knowledge_by_topic(c.refresh.catalog, "42")
 
 
-@query("sort_report_rows", """
-    select *, row_number() over (order by topic_name, topic_id) position from v_summary""")
+@query("sort_report_rows", "select * from v_summary order by topic_name, topic_id")
 def sort_report_rows(c: Context) -> DataFrame:
-    """The report's order made visible: positions come from the sorted rows themselves."""
-    ordered = reports.quality(c.refresh.catalog, c.refresh.summary)["by_topic"]
-    schema = ordered.schema.add("position", "long")
-    return c.spark.createDataFrame(
-        ordered.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1] + 1)), schema
-    )
+    return reports.quality(c.refresh.catalog, c.refresh.summary)["by_topic"]
 
 
 # ---- quality rules -----------------------------------------------------------------------------
@@ -367,11 +361,14 @@ def dq_seed_uniqueness(c: Context) -> DataFrame:
     return seed_gate.uniqueness_errors(*_raw(c))
 
 
+SQL_VIEWS["g_preview"] = """
+    select count(*) n, count(*) filter (review_status='APPROVED' and content_status='CURRENT'
+      and s.source_status='ACTIVE') e from b_knowledge k left join b_sources s on k.source_id=s.source_id"""
+
+
 @query("dq_seed_warnings", """
-    with p as (select count(*) n, count(*) filter (review_status='APPROVED' and content_status='CURRENT'
-        and s.source_status='ACTIVE') e from b_knowledge k left join b_sources s on k.source_id=s.source_id)
-    select 'knowledge has '||n||' records, expected 30-50' warning from p where n not between 30 and 50
-    union all select 'ai_eligible preview: '||e||'/'||n||' records' from p""")
+    select 'knowledge has '||n||' records, expected 30-50' warning from g_preview where n not between 30 and 50
+    union all select 'ai_eligible preview: '||e||'/'||n||' records' from g_preview""")
 def dq_seed_warnings(c: Context) -> DataFrame:
     return seed_gate.warnings(c.bind("b_knowledge"), c.bind("b_sources"))
 
@@ -518,9 +515,9 @@ def report_dq_dimensions(c: Context) -> DataFrame:
 
 
 @query("report_freshness", """
-    select 'events' "table", max(ts) newest, date_diff('second', max(ts), timestamp '2025-01-01') age_seconds from events
+    select 'events' "table", max(ts) newest, date_sub('second', max(ts), timestamp '2025-01-01') age_seconds from events
     union all select 'catalog', cast(max(last_reviewed_date) as timestamp),
-      date_diff('second', cast(max(last_reviewed_date) as timestamp), timestamp '2025-01-01') from v_catalog""")
+      date_sub('second', cast(max(last_reviewed_date) as timestamp), timestamp '2025-01-01') from v_catalog""")
 def report_freshness(c: Context) -> DataFrame:
     tables = {"events": (c.table("events"), "ts"), "catalog": (c.refresh.catalog, "last_reviewed_date")}
     out = reports.freshness(tables, F.lit("2025-01-01 00:00:00").cast("timestamp"))
