@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from lorekeep.testbed import curation, usage  # noqa: F401
+    from lorekeep.testbed import curation, retrieval, usage  # noqa: F401
