@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.session import staged
+
 HOT_KEYS = 256
 SALTS = 64
 
@@ -90,3 +92,16 @@ def keep_matching(big: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     if fits_broadcast(wanted.select(key)):
         return big.join(F.broadcast(ids), key, "left_semi")
     return salted_join(big, ids, key, "inner", [c for c in big.columns if c != key] or [key])
+
+
+def attach(few: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str | Column]) -> DataFrame:
+    """Inner join of a short list to a big table that holds each key once.
+
+    The list is staged, so its size is known: when it fits it is broadcast and the table is only
+    scanned; else the table is cut down to the wanted keys first, and a key the list repeats
+    endlessly is salted.
+    """
+    few = staged(few, "few")
+    if fits_broadcast(few):
+        return table.join(F.broadcast(few), key)
+    return salted_join(few, keep_matching(table, few, key), key, "inner", spread_by)

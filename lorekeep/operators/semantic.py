@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators.joins import fits_broadcast, keep_matching, salted_join
+from lorekeep.operators.joins import attach
 from lorekeep.operators.questions import bounded_batches
 from lorekeep.operators.topk import SCORED, BestRows, best_per_question
-from lorekeep.session import staged
 
 QUESTION_BLOCK = 512
 ROW_BLOCK = 4096
@@ -74,20 +73,9 @@ def cosine_top(questions: DataFrame, corpus: DataFrame, fetch_n: int = 10) -> Da
 
 
 def with_details(found: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Adds topic, title and summary to the ranked rows.
-
-    The ranked rows are staged, so their size is known: few enough, they are broadcast and the
-    corpus is only scanned; else the corpus is first cut down to the wanted ids, and a row that is
-    a candidate of many questions is salted.
-    """
-    found = staged(found, "found")
+    """Adds topic, title and summary to the ranked rows."""
     details = corpus.select("knowledge_id", "topic_id", "title", "summary")
-    if fits_broadcast(found):
-        joined = details.join(F.broadcast(found), "knowledge_id")
-    else:
-        wanted = keep_matching(details, found, "knowledge_id")
-        joined = salted_join(found, wanted, "knowledge_id", "inner", ["query_id"])
-    return joined.select(
+    return attach(found, details, "knowledge_id", ["query_id"]).select(
         "query_id", "rank", "knowledge_id", "topic_id", "title", "summary", "score"
     )
 

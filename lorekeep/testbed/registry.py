@@ -23,6 +23,7 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.made: dict[str, str] = {}  # paths of inputs written once
 
     def bind(self, view: str) -> DataFrame:
         return bindings.bind(self.spark, self.sf_dir, view)

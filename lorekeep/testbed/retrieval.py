@@ -9,8 +9,7 @@ from lorekeep import schemas as S
 from lorekeep.functions.governance import cosine
 from lorekeep.functions.text import tokens
 from lorekeep.operators import embedding, evaluation, hybrid, lexical, semantic
-from lorekeep.operators.joins import keep_matching, sized_join
-from lorekeep.operators.topk import DECIMALS, best_per_question
+from lorekeep.operators.joins import attach, sized_join
 from lorekeep.session import staged
 from lorekeep.sources import files
 from lorekeep.testbed.registry import SQL_VIEWS, Context, query, six
@@ -265,36 +264,37 @@ def _within(c: Context) -> DataFrame:
     Five words from inside the text must stand in the document, so those are joined on and only
     such pairs are compared in full.  The first and last word may be parts of longer ones there.
     """
-    def grams(words, first, count):
-        # An empty range has to stay empty: sequence(0, -1) would count downwards.
-        starts = F.when(count > 0, F.sequence(first, first + count - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, ANCHOR), " "))
-
-    asked = c.questions.select("query_id", F.lower("question").alias("needle"))
-    words = tokens(F.col("needle"))
-    asked = asked.select("query_id", "needle", F.array_join(F.slice(words, 2, ANCHOR), " ").alias("anchor"))
-    docs = c.table("documents").select(
-        F.concat(F.lit("know_"), F.col("doc_id")).alias("knowledge_id"), F.lower("text").alias("hay"))
-    words = tokens(F.col("hay"))
-    anchors = docs.select(
-        "knowledge_id",
-        F.explode(F.array_distinct(grams(words, F.lit(1), F.size(words) - ANCHOR + 1))).alias("anchor"))
-    pairs = staged(
-        sized_join(anchors, staged(asked, "asked").select("query_id", "anchor"), "anchor", "inner", ["knowledge_id"])
-        .select("query_id", "knowledge_id"), "anchored")
-    full = sized_join(sized_join(pairs, staged(docs, "hay"), "knowledge_id", "inner", ["query_id"]),
-                      asked.select("query_id", "needle"), "query_id", "inner", ["knowledge_id"])
-    return full.where(F.contains("hay", "needle")).select("query_id", "knowledge_id").distinct()
+    needle = F.lower("question")
+    asked = staged(c.questions.select(
+        "query_id", needle.alias("needle"), F.array_join(F.slice(tokens(needle), 2, ANCHOR), " ").alias("anchor")), "asked")
+    docs = c.table("documents").select(F.concat(F.lit("know_"), F.col("doc_id")).alias("knowledge_id"), "text")
+    # Staged: inside ``transform`` an unstaged word list would be split anew for every position.
+    words = staged(docs.select("knowledge_id", tokens(F.col("text")).alias("words")), "words")
+    last = F.size("words") - ANCHOR + 1
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    anchors = words.select("knowledge_id", F.explode(F.array_distinct(
+        F.transform(starts, lambda i: F.array_join(F.slice("words", i, ANCHOR), " ")))).alias("anchor"))
+    pairs = sized_join(anchors, asked, "anchor", "inner", ["knowledge_id"]).select("knowledge_id", "query_id", "needle")
+    full = attach(pairs, docs, "knowledge_id", ["query_id"])
+    return full.where(F.contains(F.lower("text"), F.col("needle"))).select("query_id", "knowledge_id").distinct()
 
 
 def _cases(c: Context) -> DataFrame:
-    """The labelled benchmark, written as the JSON cases the evaluation reads."""
+    """The labelled benchmark as the evaluation reads it: JSON cases, written once per session."""
+    if "cases" not in c.made:
+        path = c.scratch("benchmark")
+        _label(c).write.json(path)
+        c.made["cases"] = path
+    return files.read_benchmark(c.spark, c.made["cases"], multi_line=False)
+
+
+def _label(c: Context) -> DataFrame:
     own = F.regexp_replace("query_id", "^q_", "know_")
     labels = staged(c.bind("b_k1").select("knowledge_id", "review_status"), "labels")
     found = _within(c).groupBy("query_id").agg(F.array_sort(F.collect_set("knowledge_id")).alias("within"))
     asked = sized_join(c.questions.withColumn("knowledge_id", own), labels, "knowledge_id", "inner", ["query_id"])
     rejected = F.col("review_status") != "APPROVED"
-    cases = asked.join(found, "query_id", "left").select(
+    return asked.join(found, "query_id", "left").select(
         F.col("query_id").alias("id"), "question",
         F.when(F.col("within").isNotNull(), "lexical").otherwise("semantic").alias("style"),
         F.when(rejected, "governance_reject").otherwise("grounded").alias("type"),
@@ -303,9 +303,6 @@ def _cases(c: Context) -> DataFrame:
         F.when(rejected, F.col("knowledge_id")).alias("excluded_knowledge_id"),
         F.when(rejected, F.concat(F.lit("review status "), F.col("review_status"))).alias("excluded_reason"),
     )
-    path = c.scratch("benchmark")
-    cases.write.json(path)
-    return files.read_benchmark(c.spark, path, multi_line=False)
 
 
 def _results(c: Context) -> DataFrame:
@@ -317,11 +314,13 @@ def _results(c: Context) -> DataFrame:
     select c.id, c.question, c.style, c.type, string_agg(x.knowledge_id, ',' order by x.knowledge_id) expected,
       c.excluded_knowledge_id from e_cases c join e_expected x on x.query_id = c.id group by all""")
 def scan_benchmark_json(c: Context) -> DataFrame:
-    """The cases as one JSON array document, read back."""
-    path = c.scratch("benchmark_array")
+    """The cases as JSON array documents of at most 500 cases each, read back."""
+    path = c.scratch("benchmark_arrays")
     body = F.to_json(F.struct(*S.BENCHMARK_CASE.names))
-    _cases(c).select(body.alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")) \
-        .write.text(path)
+    document = F.floor(F.regexp_extract("id", r"(\d+)$", 1).cast("long") / 500)
+    array = F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]"))
+    arrays = _cases(c).select(document.alias("part"), body.alias("j")).groupBy("part").agg(array.alias("value"))
+    arrays.write.partitionBy("part").text(path)  # one folder, so one file, per document
     return files.read_benchmark(c.spark, path).select(
         "id", "question", "style", "type",
         F.array_join(F.array_sort("expected_knowledge_ids"), ",").alias("expected"), "excluded_knowledge_id",

@@ -1,6 +1,9 @@
 """Runs registered queries next to their SQL in DuckDB and compares the rows.
 
-    python tests/oracle.py /root/testdata/sf0.01 [name ...]
+    python tests/oracle.py /root/testdata/sf0.01 [key=value ...] [name ...]
+
+``key=value`` is a session setting; ``spark.sql.autoBroadcastJoinThreshold=-1`` drives every
+size-checked join down its shuffled, salted path.
 """
 
 from __future__ import annotations
@@ -62,8 +65,10 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
 def main() -> int:
     from lorekeep.session import build_session
 
-    sf_dir, names = sys.argv[1], sys.argv[2:] or list(contract.queries())
-    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+    sf_dir = sys.argv[1]
+    conf = dict(arg.split("=", 1) for arg in sys.argv[2:] if "=" in arg)
+    names = [arg for arg in sys.argv[2:] if "=" not in arg] or list(contract.queries())
+    spark = build_session("oracle", "local[8]", **{**conf, "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
                                                     "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf_dir), 0
