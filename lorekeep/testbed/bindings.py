@@ -108,10 +108,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def run_sql(spark: SparkSession, text: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """``text`` over ``frames``, registered under names of their own so no view of the caller's is
+    replaced."""
+    def rename(match: re.Match) -> str:
+        if match[2] not in frames:
+            return match[0]
+        frames[match[2]].createOrReplaceTempView(f"lorekeep_{match[2]}")
+        return f"{match[1]} lorekeep_{match[2]}"
+
+    return spark.sql(re.sub(r"\b(from|join)\s+([a-z]+)\b", rename, text))
+
+
 def bind(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """The view as a DataFrame over the tables of ``sf_dir``."""
-    text = f"{with_clause(view)} select * from {view}"
-    names = [t for t in TABLES if t in text]
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+    text = f"{with_clause(view)}select * from {view}"
+    frames = {name: table(spark, sf_dir, name) for name in TABLES if re.search(rf"\b{name}\b", text)}
+    return run_sql(spark, text, frames)

@@ -171,8 +171,7 @@ def _stream(c: Context) -> DataFrame:
     """The event table as a stream of messages (a file stream stands in for the queue)."""
     schema = c.table("events").schema
     rows = c.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(c.sf_dir)
-    rows.createOrReplaceTempView("events")
-    return _payloads(c.spark.sql(f"{bindings.with_clause('b_events')} select * from b_events"))
+    return _payloads(bindings.run_sql(c.spark, bindings.VIEWS["b_events"], {"events": rows}))
 
 
 def _drain(c: Context) -> tuple[str, str]:
@@ -348,8 +347,7 @@ def agg_log_metrics(c: Context) -> DataFrame:
 
 def _traces(c: Context) -> DataFrame:
     """Two tool calls per trace; the second is not always a search."""
-    c.table("events").createOrReplaceTempView("events")
-    flat = c.spark.sql(SQL_VIEWS["v_trace_rows"])
+    flat = bindings.run_sql(c.spark, SQL_VIEWS["v_trace_rows"], {"events": c.table("events")})
 
     def call(tool, latency, *ids):
         found = F.array(*ids)
@@ -428,8 +426,7 @@ def topk_recent_traces(c: Context) -> DataFrame:
       case when event_type='error' and not even then 'plain '||event_id end value
     from v_results""")
 def trace_summary(c: Context) -> DataFrame:
-    c.table("events").createOrReplaceTempView("events")
-    rows = c.spark.sql(SQL_VIEWS["v_results"])
+    rows = bindings.run_sql(c.spark, SQL_VIEWS["v_results"], {"events": c.table("events")})
     return rows.select("event_id", traces.summarize_result(F.col("result")).alias("s")).select(
         "event_id", "s.candidate_count", F.array_join("s.candidate_knowledge_ids", ",", "-").alias("candidate_ids"),
         "s.topic_count", "s.related_count", "s.error", F.array_join("s.keys", ",").alias("keys"), "s.value",
