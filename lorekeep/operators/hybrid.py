@@ -53,7 +53,7 @@ def recheck(found: DataFrame, eligible: DataFrame) -> DataFrame:
     Candidates are few and the eligible table is not, so that table is first cut down to the
     candidates' ids - by broadcast when their size allows - before it meets them.
     """
-    live = keep_matching(eligible.select("knowledge_id"), found, "knowledge_id").distinct()
+    live = keep_matching(eligible.select("knowledge_id"), found, "knowledge_id", unique=True).distinct()
     return found.join(live, "knowledge_id", "left_semi")
 
 

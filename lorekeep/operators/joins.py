@@ -51,15 +51,16 @@ def heaviest_keys(df: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
 
 def salted_join(
     big: DataFrame, parent: DataFrame, key: str, how: str, spread_by: Sequence[str | Column],
-    keys_of: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join on ``key`` with the big side's hot keys spread over ``SALTS`` partitions.
 
     ``spread_by`` names columns that tell rows of one key apart; hashing them (not ``rand``) keeps
-    a recomputed task identical to the first run.  ``keys_of`` may name a cheaper frame with the
-    same key column to count on.  Rows without a key match nothing and are spread as well.
+    a recomputed task identical to the first run.  ``hot`` may give the heaviest keys where they
+    are known already.  Rows without a key match nothing and are spread as well.
     """
-    hot = heaviest_keys(keys_of if keys_of is not None else big, key).select(key, F.lit(True).alias("_hot"))
+    hot = hot if hot is not None else heaviest_keys(big, key)
+    hot = hot.limit(HOT_KEYS).select(key, F.lit(True).alias("_hot"))  # bounded, so safe to broadcast
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
     left = (
         big.join(F.broadcast(hot), key, "left")
@@ -77,20 +78,22 @@ def salted_join(
 
 def sized_join(
     big: DataFrame, parent: DataFrame, key: str, how: str = "left",
-    spread_by: Sequence[str | Column] | None = None, keys_of: DataFrame | None = None,
+    spread_by: Sequence[str | Column] | None = None, hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``parent`` (one row per key, or few) on ``key``; see the module notes."""
     if fits_broadcast(parent):
         return big.join(F.broadcast(parent), key, how)
-    return salted_join(big, parent, key, how, spread_by or big.columns, keys_of)
+    return salted_join(big, parent, key, how, spread_by or big.columns, hot)
 
 
-def keep_matching(big: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def keep_matching(big: DataFrame, wanted: DataFrame, key: str, unique: bool = False) -> DataFrame:
     """Rows of ``big`` whose key is in ``wanted`` (left semi): a broadcast when the wanted ids are
-    few, else a salted shuffle on ids only."""
+    few, else a shuffle, salted unless ``big`` is ``unique`` by key and so cannot be skewed."""
     ids = wanted.select(key).distinct()
     if fits_broadcast(wanted.select(key)):
         return big.join(F.broadcast(ids), key, "left_semi")
+    if unique:
+        return big.join(ids, key, "left_semi")
     return salted_join(big, ids, key, "inner", [c for c in big.columns if c != key] or [key])
 
 
@@ -104,4 +107,4 @@ def attach(few: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str |
     few = staged(few, "few")
     if fits_broadcast(few):
         return table.join(F.broadcast(few), key)
-    return salted_join(few, keep_matching(table, few, key), key, "inner", spread_by)
+    return salted_join(few, keep_matching(table, few, key, unique=True), key, "inner", spread_by)

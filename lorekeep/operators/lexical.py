@@ -1,7 +1,7 @@
 """BM25 (Okapi) top-k of a corpus for a batch of questions.
 
 Two passes over the corpus: one gathers the statistics (document frequency per term, document
-count, mean length), one scores.  The first is an ordinary aggregate whose counts combine on the
+count, mean length), the other scores.  The first is an ordinary aggregate whose counts combine on the
 map side, so a word present in every document costs one row per task.  Joining postings on the term
 would emit every (question, document) pair sharing a common word; instead the scoring pass holds
 the question terms - bounded, see ``operators.questions`` - and keeps a per-task best list.
@@ -57,12 +57,21 @@ def plain_idf(documents: int):
 
 
 def term_statistics(corpus: DataFrame) -> TermStatistics:
-    docs = tokenized(corpus)
-    documents, mean_length = docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term")
-    terms = staged(df.agg(F.count(F.lit(1)).alias("df")), "term_df")
+    """One pass: each document puts its length on the first of its distinct words, so the word
+    counts also add up to the document count and total length."""
+    docs = tokenized(corpus).select(
+        F.size("tokens").alias("length"), F.posexplode_outer(F.array_distinct("tokens")).alias("pos", "term")
+    )
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0  # a document without words has one null row
+    counts = staged(docs.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"),
+        F.count_if(first).alias("documents"),
+        F.sum(F.when(first, F.col("length")).otherwise(0)).alias("length"),
+    ), "term_df")
+    documents, length = counts.agg(F.sum("documents"), F.sum("length")).first()
+    terms = counts.where(F.col("term").isNotNull()).select("term", "df")
     mean_idf = terms.agg(F.avg(plain_idf(documents))).first()[0] if documents else None
-    return TermStatistics(documents, mean_length or 0.0, terms, mean_idf or 0.0)
+    return TermStatistics(documents or 0, (length or 0) / (documents or 1), terms, mean_idf or 0.0)
 
 
 def question_terms(questions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators.joins import fits_broadcast, keep_matching, sized_join
+from lorekeep.operators.joins import keep_matching, sized_join
 from lorekeep.operators.topk import ranked
 
 
@@ -15,14 +15,14 @@ def lookup(table: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def lookup_many(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of ``table`` for a whole list of ids; unknown ids give none."""
-    return keep_matching(table, ids, key)
+    """The rows of ``table`` (one per id) for a whole list of ids; unknown ids give none."""
+    return keep_matching(table, ids, key, unique=True)
 
 
 def eligibility(ids: DataFrame, catalog: DataFrame) -> DataFrame:
     """``(knowledge_id, ai_eligible)``: true, false, or null when the id does not exist."""
     flags = catalog.select("knowledge_id", "ai_eligible")
-    return sized_join(ids.select("knowledge_id").distinct(), flags, "knowledge_id", "left", ["knowledge_id"])
+    return ids.select("knowledge_id").distinct().join(flags, "knowledge_id", "left")
 
 
 def topics(dim: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def related_lists(dim: DataFrame, topic_ids: DataFrame, limit: int) -> DataFrame
     asked = topic_ids.select(F.col("topic_id").alias("for_topic_id")).distinct()
     own = dim.select(F.col("topic_id").alias("for_topic_id"), "parent_category")
     listed = sized_join(
-        sized_join(asked, own, "for_topic_id", "left", ["for_topic_id"]),
+        asked.join(own, "for_topic_id", "left"),
         siblings, "parent_category", "left", ["for_topic_id"],
     ).withColumn("any", anywhere.scalar())
     same = F.coalesce(_others(F.col("first"), F.col("for_topic_id"), limit), F.array())

@@ -14,7 +14,7 @@ from lorekeep import schemas as S
 from lorekeep.functions.governance import ai_eligible
 from lorekeep.functions.iso import iso_date
 from lorekeep.functions.text import is_blank, quoted
-from lorekeep.operators.joins import sized_join
+from lorekeep.operators.joins import heaviest_keys, sized_join
 from lorekeep.operators.quality import repeated_keys
 from lorekeep.session import staged
 
@@ -60,7 +60,7 @@ def _text(column: str) -> Column:
 
 def _with_known(df: DataFrame, parents: DataFrame, key: str, flag: str, spread_by: list[str]) -> DataFrame:
     ids = staged(parents.select(key).distinct().withColumn(flag, F.lit(True)), f"ids_{key}")
-    return sized_join(df, ids, key, "left", spread_by, keys_of=df)
+    return sized_join(df, ids, key, "left", spread_by, heaviest_keys(df, key))
 
 
 def source_errors(sources: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def preview(knowledge: DataFrame, sources: DataFrame) -> DataFrame:
     """``(records, eligible)`` as the delivery stands.  Should a source id repeat, the copy with the
     smallest status text speaks for it (the gate rejects such a delivery anyway)."""
     status = staged(sources.groupBy("source_id").agg(F.min("source_status").alias("source_status")), "source_status")
-    joined = sized_join(knowledge, status, "source_id", "left", ["knowledge_id"], keys_of=knowledge)
+    joined = sized_join(knowledge, status, "source_id", "left", ["knowledge_id"])
     flag = ai_eligible(F.col("review_status"), F.col("source_status"), F.col("content_status"))
     return joined.agg(F.count(F.lit(1)).alias("records"), F.count_if(flag).alias("eligible"))
 

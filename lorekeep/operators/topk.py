@@ -24,24 +24,23 @@ class BestRows:
         self.k = k
         self.ids = [np.empty(0, dtype=object) for _ in range(questions)]
         self.scores = [np.empty(0) for _ in range(questions)]
+        self.floors = np.full(questions, -np.inf)  # a lower score cannot enter any more
 
     def push(self, first: int, ids: np.ndarray, scores: np.ndarray) -> None:
         """``scores[i, j]``: question ``first + i`` against row ``ids[j]``."""
         scores = np.round(scores, DECIMALS) + 0.0  # + 0.0 turns -0.0 into 0.0
-        for i, row in enumerate(scores):
-            q = first + i
-            floor = -np.inf
-            if row.size > self.k:
-                floor = np.partition(row, row.size - self.k)[row.size - self.k]
-            if self.scores[q].size == self.k:
-                floor = max(floor, self.scores[q][-1])
-            keep = np.flatnonzero(row >= floor)  # ties at the floor stay in until ids decide
-            if not keep.size:
-                continue
+        fits = scores >= self.floors[first:first + len(scores), None]  # ties stay until ids decide
+        for i in np.flatnonzero(fits.any(axis=1)):
+            q, keep = first + i, np.flatnonzero(fits[i])
+            if keep.size > self.k:
+                among = scores[i, keep]
+                keep = keep[among >= np.partition(among, keep.size - self.k)[keep.size - self.k]]
             pool_ids = np.concatenate([self.ids[q], ids[keep]])
-            pool = np.concatenate([self.scores[q], row[keep]])
+            pool = np.concatenate([self.scores[q], scores[i, keep]])
             order = np.lexsort((pool_ids, -pool))[: self.k]
             self.ids[q], self.scores[q] = pool_ids[order], pool[order]
+            if order.size == self.k:
+                self.floors[q] = pool[order[-1]]
 
     def to_batch(self, query_ids: list[str]) -> pa.RecordBatch:
         sizes = [s.size for s in self.scores]

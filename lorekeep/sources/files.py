@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,6 +116,8 @@ def write_events(df: DataFrame, base: str, batch_id: int) -> None:
 
 
 def publish(tables: dict[str, DataFrame], base: str) -> None:
-    """Replace all output tables, once every one of them is computed (see ``plans.refresh``)."""
-    for name, df in tables.items():
-        overwrite_table(df, base, name)
+    """Replace all output tables, once every one of them is computed (see ``plans.refresh``).  The
+    writes do not depend on each other, so they share the cluster instead of queueing."""
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        for done in [pool.submit(overwrite_table, df, base, name) for name, df in tables.items()]:
+            done.result()

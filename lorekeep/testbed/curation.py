@@ -136,7 +136,7 @@ _CATALOG = "select * from v_catalog"
       last_reviewed_date, content_version from b_knowledge""")
 def scan_csv(c: Context) -> DataFrame:
     path = c.scratch("knowledge_csv")
-    files.write_csv(c.bind("b_knowledge"), path)
+    files.write_csv(c.raw("b_knowledge"), path)
     return files.read_csv(c.spark, path, S.RAW_KNOWLEDGE)
 
 
@@ -155,7 +155,7 @@ def scan_raw_table(c: Context) -> DataFrame:
 def scan_param_query(c: Context) -> DataFrame:
     return files.param_query(
         c.spark, "select * from {sources} where source_status = :status and source_id <> :id",
-        {"status": "ACTIVE", "id": "1"}, sources=c.bind("b_sources"),
+        {"status": "ACTIVE", "id": "1"}, sources=c.raw("b_sources"),
     )
 
 
@@ -205,7 +205,7 @@ def sink_full_refresh(c: Context) -> DataFrame:
 def sink_load_truncate(c: Context) -> DataFrame:
     base = c.scratch("raw")
     for _ in range(2):  # the second load replaces the first
-        files.overwrite_table(c.bind("b_reviews"), base, "raw_reviews")
+        files.overwrite_table(c.raw("b_reviews"), base, "raw_reviews")
     return files.read_table(c.spark, base, "raw_reviews", S.RAW_REVIEWS)
 
 
@@ -263,21 +263,21 @@ def filter_ineligible(c: Context) -> DataFrame:
 
 @query("lookup_knowledge", "select * from v_catalog where knowledge_id in (select knowledge_id from b_reviews)")
 def lookup_knowledge(c: Context) -> DataFrame:
-    return reports.lookup_many(c.refresh.catalog, c.bind("b_reviews"), "knowledge_id")
+    return reports.lookup_many(c.refresh.catalog, c.raw("b_reviews"), "knowledge_id")
 
 
 @query("lookup_source", """
     select source_id, source_name, source_type, url, source_status from v_sources
     where source_id in (select source_id from b_knowledge)""")
 def lookup_source(c: Context) -> DataFrame:
-    return reports.lookup_many(c.refresh.sources, c.bind("b_knowledge"), "source_id")
+    return reports.lookup_many(c.refresh.sources, c.raw("b_knowledge"), "source_id")
 
 
 @query("check_eligibility", """
     select i.knowledge_id, k.ai_eligible from (select distinct knowledge_id from b_reviews) i
     left join v_catalog k on i.knowledge_id = k.knowledge_id""")
 def check_eligibility(c: Context) -> DataFrame:
-    return reports.eligibility(c.bind("b_reviews"), c.refresh.catalog)
+    return reports.eligibility(c.raw("b_reviews"), c.refresh.catalog)
 
 
 _TOPICS = "select topic_id, topic_name, parent_category, description from v_topics order by topic_name, topic_id"
@@ -311,12 +311,12 @@ def sort_report_rows(c: Context) -> DataFrame:
 def dq_required_fields(c: Context) -> DataFrame:
     failing, message = quality.missing_fields(S.KNOWLEDGE_REQUIRED)
     miss = F.regexp_extract(message, r"\[(.*)\]", 1)
-    return c.bind("b_knowledge").where(failing).select("knowledge_id", miss.alias("miss"))
+    return c.raw("b_knowledge").where(failing).select("knowledge_id", miss.alias("miss"))
 
 
 @query("dq_parse_date", "select knowledge_id, try_cast(published_date as date) published from b_knowledge")
 def dq_parse_date(c: Context) -> DataFrame:
-    return c.bind("b_knowledge").select("knowledge_id", iso_date(F.col("published_date")).alias("published"))
+    return c.raw("b_knowledge").select("knowledge_id", iso_date(F.col("published_date")).alias("published"))
 
 
 @query("dq_parse_timestamp", """
@@ -328,27 +328,27 @@ def dq_parse_timestamp(c: Context) -> DataFrame:
 
 @query("dq_topic", "select topic_id, description, reason from c_topics")
 def dq_topic(c: Context) -> DataFrame:
-    return curate.check_topics(c.bind("b_topics")).select("topic_id", "description", "reason")
+    return curate.check_topics(c.raw("b_topics")).select("topic_id", "description", "reason")
 
 
 @query("dq_source", "select source_id, reason from c_sources")
 def dq_source(c: Context) -> DataFrame:
-    return curate.check_sources(c.bind("b_sources")).select("source_id", "reason")
+    return curate.check_sources(c.raw("b_sources")).select("source_id", "reason")
 
 
 @query("dq_knowledge", "select knowledge_id, content_version, reason from c_knowledge")
 def dq_knowledge(c: Context) -> DataFrame:
-    checked = curate.check_knowledge(c.bind("b_knowledge"), c.refresh.topics, c.refresh.sources)
+    checked = curate.check_knowledge(c.raw("b_knowledge"), c.refresh.topics, c.refresh.sources)
     return checked.select("knowledge_id", "content_version", "reason")
 
 
 @query("dq_review", "select review_id, reason from c_reviews")
 def dq_review(c: Context) -> DataFrame:
-    return curate.check_reviews(c.bind("b_reviews"), c.refresh.catalog).select("review_id", "reason")
+    return curate.check_reviews(c.raw("b_reviews"), c.refresh.catalog).select("review_id", "reason")
 
 
 def _raw(c: Context) -> list[DataFrame]:
-    return [c.bind(v) for v in ("b_topics", "b_sources", "b_knowledge", "b_reviews")]
+    return [c.raw(v) for v in ("b_topics", "b_sources", "b_knowledge", "b_reviews")]
 
 
 @query("dq_seed_gate", "select * from g_errors")
@@ -370,7 +370,7 @@ SQL_VIEWS["g_preview"] = """
     select 'knowledge has '||n||' records, expected 30-50' warning from g_preview where n not between 30 and 50
     union all select 'ai_eligible preview: '||e||'/'||n||' records' from g_preview""")
 def dq_seed_warnings(c: Context) -> DataFrame:
-    return seed_gate.warnings(c.bind("b_knowledge"), c.bind("b_sources"))
+    return seed_gate.warnings(c.raw("b_knowledge"), c.raw("b_sources"))
 
 
 @query("dq_gate_abort", """select count(*) > 0 rejected, count(*) errors from g_errors""")
@@ -388,20 +388,20 @@ def dq_gate_abort(c: Context) -> DataFrame:
 
 @query("join_fk_topic", "select knowledge_id, content_version, topic_id from b_knowledge where topic_id not in (select topic_id from v_topics)")
 def join_fk_topic(c: Context) -> DataFrame:
-    knowledge = c.bind("b_knowledge").select("knowledge_id", "content_version", "topic_id")
+    knowledge = c.raw("b_knowledge").select("knowledge_id", "content_version", "topic_id")
     found = c.refresh.topics.select("topic_id", F.lit(True).alias("found"))
     return sized_join(knowledge, found, "topic_id", "left", ["knowledge_id"]).where("found is null").drop("found")
 
 
 @query("join_fk_source", "select knowledge_id, content_version, source_id from b_knowledge where source_id in (select source_id from v_sources)")
 def join_fk_source(c: Context) -> DataFrame:
-    knowledge = c.bind("b_knowledge").select("knowledge_id", "content_version", "source_id")
+    knowledge = c.raw("b_knowledge").select("knowledge_id", "content_version", "source_id")
     return keep_matching(knowledge, c.refresh.sources, "source_id")
 
 
 @query("join_fk_knowledge", "select review_id, knowledge_id from b_reviews where knowledge_id in (select knowledge_id from v_catalog)")
 def join_fk_knowledge(c: Context) -> DataFrame:
-    return keep_matching(c.bind("b_reviews").select("review_id", "knowledge_id"), c.refresh.catalog, "knowledge_id")
+    return keep_matching(c.raw("b_reviews").select("review_id", "knowledge_id"), c.refresh.catalog, "knowledge_id")
 
 
 @query("join_enrich", "select knowledge_id, topic_name, source_name, content_version, ai_eligible from v_catalog")
@@ -415,8 +415,8 @@ def join_enrich(c: Context) -> DataFrame:
       bool_and(review_status='APPROVED' and source_status='ACTIVE' and content_status='CURRENT') ai_eligible
     from b_knowledge k join b_sources s on k.source_id=s.source_id group by 1,2,3""")
 def governance_flag(c: Context) -> DataFrame:
-    joined = sized_join(c.bind("b_knowledge").select("knowledge_id", "source_id", "review_status", "content_status"),
-                        c.bind("b_sources").select("source_id", "source_status"), "source_id", "inner", ["knowledge_id"])
+    joined = sized_join(c.raw("b_knowledge").select("knowledge_id", "source_id", "review_status", "content_status"),
+                        c.raw("b_sources").select("source_id", "source_status"), "source_id", "inner", ["knowledge_id"])
     flag = ai_eligible(F.col("review_status"), F.col("source_status"), F.col("content_status"))
     return joined.groupBy("review_status", "content_status", "source_status").agg(
         F.count(F.lit(1)).alias("n"), F.bool_and(flag).alias("ai_eligible")
@@ -436,7 +436,7 @@ SQL_VIEWS["r_asked"] = "select distinct topic_id from b_knowledge"
 
 @query("topk_related_topics", _REL3)
 def topk_related_topics(c: Context) -> DataFrame:
-    return reports.related_topics(c.refresh.topics, c.bind("b_knowledge"), limit=3)
+    return reports.related_topics(c.refresh.topics, c.raw("b_knowledge"), limit=3)
 
 
 @query("join_related_category", """
@@ -464,7 +464,7 @@ def join_scalar_subquery(c: Context) -> DataFrame:
 
 @query("agg_dedup_quarantine_all", """select knowledge_id, reason from c_knowledge where starts_with(reason, 'duplicate')""")
 def agg_dedup_quarantine_all(c: Context) -> DataFrame:
-    marked = quality.annotate_duplicates(c.bind("b_knowledge"), "knowledge_id")
+    marked = quality.annotate_duplicates(c.raw("b_knowledge"), "knowledge_id")
     return marked.where("duplicate_reason is not null").select("knowledge_id", F.col("duplicate_reason").alias("reason"))
 
 

@@ -18,12 +18,13 @@ _contexts: dict[tuple[str, str], "Context"] = {}
 
 
 class Context:
-    """Inputs over one data folder.  The curated layer is built once per session, as a refresh
-    would, and the reports read it."""
+    """Inputs over one data folder.  Raw tables are landed and the curated layer is built once per
+    session, as a refresh would, and the reports read it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.made: dict[str, str] = {}  # paths of inputs written once
+        self._landed: dict[str, DataFrame] = {}
 
     def bind(self, view: str) -> DataFrame:
         return bindings.bind(self.spark, self.sf_dir, view)
@@ -34,8 +35,15 @@ class Context:
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
 
+    def raw(self, view: str) -> DataFrame:
+        """The view landed as a raw table, in as many files as there are cores to read them."""
+        if view not in self._landed:
+            cores = self.spark.sparkContext.defaultParallelism
+            self._landed[view] = staged(self.bind(view).repartition(cores), view)
+        return self._landed[view]
+
     def new_refresh(self) -> Refresh:
-        return Refresh(*[self.bind(v) for v in ("b_topics", "b_sources", "b_knowledge", "b_reviews")])
+        return Refresh(*[self.raw(v) for v in ("b_topics", "b_sources", "b_knowledge", "b_reviews")])
 
     @cached_property
     def refresh(self) -> Refresh:
@@ -43,15 +51,15 @@ class Context:
 
     @cached_property
     def embeddings(self) -> DataFrame:
-        return staged(self.bind("b_embeddings"), "embeddings")
+        return self.raw("b_embeddings")
 
     @cached_property
     def questions(self) -> DataFrame:
-        return staged(self.bind("b_questions"), "questions")
+        return self.raw("b_questions")
 
     @cached_property
     def checked_events(self) -> DataFrame:
-        return annotate(self.bind("b_events"), event_rules())
+        return annotate(self.raw("b_events"), event_rules())
 
     @cached_property
     def fact(self) -> DataFrame:

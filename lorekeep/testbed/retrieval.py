@@ -267,7 +267,7 @@ def _within(c: Context) -> DataFrame:
     needle = F.lower("question")
     asked = staged(c.questions.select(
         "query_id", needle.alias("needle"), F.array_join(F.slice(tokens(needle), 2, ANCHOR), " ").alias("anchor")), "asked")
-    docs = c.table("documents").select(F.concat(F.lit("know_"), F.col("doc_id")).alias("knowledge_id"), "text")
+    docs = c.raw("b_k1").select("knowledge_id", F.col("summary").alias("text"))
     # Staged: inside ``transform`` an unstaged word list would be split anew for every position.
     words = staged(docs.select("knowledge_id", tokens(F.col("text")).alias("words")), "words")
     last = F.size("words") - ANCHOR + 1
@@ -290,7 +290,7 @@ def _cases(c: Context) -> DataFrame:
 
 def _label(c: Context) -> DataFrame:
     own = F.regexp_replace("query_id", "^q_", "know_")
-    labels = staged(c.bind("b_k1").select("knowledge_id", "review_status"), "labels")
+    labels = c.raw("b_k1").select("knowledge_id", "review_status")
     found = _within(c).groupBy("query_id").agg(F.array_sort(F.collect_set("knowledge_id")).alias("within"))
     asked = sized_join(c.questions.withColumn("knowledge_id", own), labels, "knowledge_id", "inner", ["query_id"])
     rejected = F.col("review_status") != "APPROVED"

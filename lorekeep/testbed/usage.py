@@ -128,7 +128,7 @@ def dq_event(c: Context) -> DataFrame:
       when rating not in ('up','down') then 'invalid rating '''||rating||'''' end reason
     from b_events""")
 def filter_client_events(c: Context) -> DataFrame:
-    return annotate(c.bind("b_events"), client_event_rules()).select("event_id", "event_type", "reason")
+    return annotate(c.raw("b_events"), client_event_rules()).select("event_id", "event_type", "reason")
 
 
 def _payloads(event_rows: DataFrame) -> DataFrame:
@@ -153,14 +153,14 @@ def _payloads(event_rows: DataFrame) -> DataFrame:
 
 @query("project_event_allowlist", "select * from m_fact")
 def project_event_allowlist(c: Context) -> DataFrame:
-    out = events.normalize_events(events.annotate_events(_payloads(c.bind("b_events"))))
+    out = events.normalize_events(events.annotate_events(_payloads(c.raw("b_events"))))
     return out.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
 
 
 @query("event_envelope")
 def event_envelope(c: Context) -> DataFrame:
     """Accepted client submissions, enveloped, sent and read back as valid events."""
-    accepted = annotate(c.bind("b_events"), client_event_rules()).where("reason is null and session_id <> ''")
+    accepted = annotate(c.raw("b_events"), client_event_rules()).where("reason is null and session_id <> ''")
     sent = events.envelope(accepted.select("event_type", "session_id", "trace_id", "topic_id", "knowledge_id", "rating"))
     return events.normalize_events(events.annotate_events(events.to_messages(sent)))
 
@@ -171,6 +171,7 @@ def _stream(c: Context) -> DataFrame:
     """The event table as a stream of messages (a file stream stands in for the queue)."""
     schema = c.table("events").schema
     rows = c.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(c.sf_dir)
+    rows = rows.repartition(c.spark.sparkContext.defaultParallelism)  # one file, but many parsers
     return _payloads(bindings.run_sql(c.spark, bindings.VIEWS["b_events"], {"events": rows}))
 
 
