@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import tokens
 from lorekeep.operators.questions import bounded_batches
 from lorekeep.operators.semantic import with_details
-from lorekeep.operators.topk import SCORED, BestRows, best_per_question
+from lorekeep.operators.topk import SCORED, BestRows, best_per_question, scan_for_best
 from lorekeep.session import staged
 
 # The Okapi constants.
@@ -154,7 +154,7 @@ def bm25_top(
     stats = stats or term_statistics(corpus)
     docs = tokenized(corpus)
     parts = [
-        docs.mapInArrow(_scorer(batch, _weights(batch, stats), stats.mean_length, fetch_n), SCORED)
+        scan_for_best(docs, _scorer(batch, _weights(batch, stats), stats.mean_length, fetch_n))
         for batch in bounded_batches(
             question_terms(questions), "tokens", F.octet_length(F.array_join("tokens", "    "))
         )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.joins import attach
 from lorekeep.operators.questions import bounded_batches
-from lorekeep.operators.topk import SCORED, BestRows, best_per_question
+from lorekeep.operators.topk import SCORED, BestRows, best_per_question, scan_for_best
 
 QUESTION_BLOCK = 512
 ROW_BLOCK = 4096
@@ -58,13 +58,13 @@ def cosine_top(questions: DataFrame, corpus: DataFrame, fetch_n: int = 10) -> Da
     """``(query_id, knowledge_id, score, rank)``: the ``fetch_n`` nearest rows per question.
 
     One pass over ``(knowledge_id, embedding)`` per question batch; what crosses the network is
-    ``tasks * questions * fetch_n`` short rows.
+    ``tasks * questions * fetch_n`` short rows, with a bounded number of tasks.
     """
     spark = corpus.sparkSession
     vectors = corpus.select("knowledge_id", F.col("embedding").cast("array<double>").alias("embedding"))
     asked = questions.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     parts = [
-        vectors.mapInArrow(_scorer(batch, fetch_n), SCORED)
+        scan_for_best(vectors, _scorer(batch, fetch_n))
         for batch in bounded_batches(asked, "embedding", F.size("embedding") * 8)
     ]
     if not parts:

@@ -8,12 +8,17 @@ are rounded to 9 decimals and ties go to the smaller id, so a result never depen
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DECIMALS = 9
+# Each task hands over its own best list, so a corpus of very many splits is scanned by at most
+# this many tasks, or a few per core on a larger cluster.
+SCAN_TASKS, TASKS_PER_CORE = 10_000, 4
 SCORED = "query_id string, knowledge_id string, score double"
 
 
@@ -54,6 +59,13 @@ class BestRows:
         )
 
 
+def scan_for_best(rows: DataFrame, scorer: Callable) -> DataFrame:
+    """Runs a per-task scorer over the corpus.  ``coalesce`` joins splits without a shuffle and
+    leaves a corpus of fewer splits as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(SCAN_TASKS, TASKS_PER_CORE * cores)).mapInArrow(scorer, SCORED)
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
     """``rank`` 1.. within ``by``.  With ``k`` Spark plans WindowGroupLimit: each task passes on at
     most ``k`` rows per group, so a hot group never lands whole in one task."""

@@ -32,7 +32,8 @@ def notifications(messages: DataFrame) -> DataFrame:
 
 def arriving_files(spark: SparkSession, path: str) -> DataFrame:
     """The same notification columns from a watched folder; file contents are not read."""
-    found = spark.readStream.format("binaryFile").load(path)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).load(path)
     return found.select(
         F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("bucket"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
