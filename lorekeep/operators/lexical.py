@@ -160,7 +160,7 @@ def bm25_top(
         )
     ]
     if not parts:
-        return corpus.sparkSession.createDataFrame([], SCORED + ", rank int")
+        return corpus.sparkSession.createDataFrame([], SCORED + ", rank long")
     return best_per_question(reduce(DataFrame.unionByName, parts), fetch_n)
 
 

@@ -106,7 +106,7 @@ def related_topics(dim: DataFrame, topic_ids: DataFrame, limit: int = 3) -> Data
     """``(for_topic_id, rank, topic_id, topic_name, parent_category)``."""
     return related_lists(dim, topic_ids, limit).select(
         "for_topic_id", F.posexplode("related").alias("pos", "t")
-    ).select("for_topic_id", (F.col("pos") + 1).alias("rank"), "t.topic_id", "t.topic_name", "t.parent_category")
+    ).select("for_topic_id", (F.col("pos") + 1).cast("long").alias("rank"), "t.topic_id", "t.topic_name", "t.parent_category")
 
 
 def quality_dimensions(rejects: DataFrame) -> DataFrame:

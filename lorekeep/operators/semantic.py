@@ -68,7 +68,7 @@ def cosine_top(questions: DataFrame, corpus: DataFrame, fetch_n: int = 10) -> Da
         for batch in bounded_batches(asked, "embedding", F.size("embedding") * 8)
     ]
     if not parts:
-        return spark.createDataFrame([], SCORED + ", rank int")
+        return spark.createDataFrame([], SCORED + ", rank long")
     return best_per_question(reduce(DataFrame.unionByName, parts), fetch_n)
 
 

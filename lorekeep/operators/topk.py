@@ -70,7 +70,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
     """``rank`` 1.. within ``by``.  With ``k`` Spark plans WindowGroupLimit: each task passes on at
     most ``k`` rows per group, so a hot group never lands whole in one task."""
     out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return out if k is None else out.where(F.col("rank") <= k)
+    out = out if k is None else out.where(F.col("rank") <= k)
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def best_per_question(scored: DataFrame, k: int, score: str = "score") -> DataFrame:

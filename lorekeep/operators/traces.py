@@ -41,7 +41,7 @@ def source_cards(ids: DataFrame, catalog: DataFrame, sources: DataFrame, limit:
     urls = sources.select("source_id", "url")
     cards = sized_join(_shown(ids, records, limit), urls, "source_id", "left", ["trace_id", "pos"])
     return cards.select(
-        "trace_id", "pos", "knowledge_id", "title",
+        "trace_id", F.col("pos").cast("long").alias("pos"), "knowledge_id", "title",
         F.coalesce("source_name", F.lit("")).alias("source_name"),
         F.coalesce("url", F.lit("")).alias("source_url"),
         F.col("last_reviewed_date").cast("string").alias("last_reviewed_date"),
@@ -86,7 +86,7 @@ def related_for_answers(
         F.array_sort(F.collect_list(F.struct("pos", "topic_id", "related"))).alias("steps")
     )
     return per_trace.select("trace_id", F.posexplode(_fold(F.col("steps"))).alias("pos", "t")).select(
-        "trace_id", "pos", "t.topic_id", "t.topic_name"
+        "trace_id", F.col("pos").cast("long").alias("pos"), "t.topic_id", "t.topic_name"
     )
 
 

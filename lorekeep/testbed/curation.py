@@ -12,7 +12,7 @@ from lorekeep.operators import curate, quality, reports, seed_gate
 from lorekeep.operators.joins import keep_matching, sized_join
 from lorekeep.plans.refresh import Refresh
 from lorekeep.sources import files
-from lorekeep.testbed.registry import SQL_VIEWS, Context, query, six
+from lorekeep.testbed.registry import SQL_VIEWS, Context, dates_as_text, query, six
 
 
 def _blank(column: str) -> str:
@@ -126,7 +126,9 @@ SQL_VIEWS.update({
           where review_status not in ('APPROVED','NEEDS_REVIEW','EXPIRED')""",
 })
 
-_CATALOG = "select * from v_catalog"
+_CATALOG = """
+    select * replace (cast(published_date as varchar) as published_date,
+      cast(last_reviewed_date as varchar) as last_reviewed_date) from v_catalog"""
 
 
 # ---- scans -------------------------------------------------------------------------------------
@@ -198,7 +200,7 @@ def sink_full_refresh(c: Context) -> DataFrame:
     """A whole run: checks, quarantine and all eight tables; the catalog is read back."""
     warehouse = c.scratch("warehouse")
     c.new_refresh().run(warehouse, c.scratch("quarantine"))
-    return files.read_table(c.spark, warehouse, "semantic/knowledge_catalog", S.CATALOG)
+    return dates_as_text(files.read_table(c.spark, warehouse, "semantic/knowledge_catalog", S.CATALOG))
 
 
 @query("sink_load_truncate", "select * from b_reviews")
@@ -233,20 +235,21 @@ def sink_run_id(c: Context) -> DataFrame:
 # ---- projections, filters, lookups -------------------------------------------------------------
 
 @query("project_dim_knowledge", """
-    select knowledge_id, topic_id, source_id, title, summary, review_status, content_status, published_date,
-      last_reviewed_date, content_version, ai_eligible from v_catalog""")
+    select knowledge_id, topic_id, source_id, title, summary, review_status, content_status,
+      cast(published_date as varchar) published_date, cast(last_reviewed_date as varchar) last_reviewed_date,
+      content_version, ai_eligible from v_catalog""")
 def project_dim_knowledge(c: Context) -> DataFrame:
-    return curate.dim_knowledge(c.refresh.checked_knowledge)
+    return dates_as_text(curate.dim_knowledge(c.refresh.checked_knowledge))
 
 
 @query("project_catalog", _CATALOG)
 def project_catalog(c: Context) -> DataFrame:
-    return c.refresh.catalog
+    return dates_as_text(c.refresh.catalog)
 
 
-@query("filter_approved", "select * from v_catalog where review_status = 'APPROVED'")
+@query("filter_approved", _CATALOG + " where review_status = 'APPROVED'")
 def filter_approved(c: Context) -> DataFrame:
-    return curate.approved(c.refresh.catalog)
+    return dates_as_text(curate.approved(c.refresh.catalog))
 
 
 @query("filter_eligible_project", "select * from v_eligible")
@@ -261,9 +264,9 @@ def filter_ineligible(c: Context) -> DataFrame:
     return reports.ineligible(c.refresh.catalog)
 
 
-@query("lookup_knowledge", "select * from v_catalog where knowledge_id in (select knowledge_id from b_reviews)")
+@query("lookup_knowledge", _CATALOG + " where knowledge_id in (select knowledge_id from b_reviews)")
 def lookup_knowledge(c: Context) -> DataFrame:
-    return reports.lookup_many(c.refresh.catalog, c.raw("b_reviews"), "knowledge_id")
+    return dates_as_text(reports.lookup_many(c.refresh.catalog, c.raw("b_reviews"), "knowledge_id"))
 
 
 @query("lookup_source", """
@@ -314,9 +317,10 @@ def dq_required_fields(c: Context) -> DataFrame:
     return c.raw("b_knowledge").where(failing).select("knowledge_id", miss.alias("miss"))
 
 
-@query("dq_parse_date", "select knowledge_id, try_cast(published_date as date) published from b_knowledge")
+@query("dq_parse_date", """
+    select knowledge_id, cast(try_cast(published_date as date) as varchar) published from b_knowledge""")
 def dq_parse_date(c: Context) -> DataFrame:
-    return c.raw("b_knowledge").select("knowledge_id", iso_date(F.col("published_date")).alias("published"))
+    return c.raw("b_knowledge").select("knowledge_id", iso_date(F.col("published_date")).cast("string").alias("published"))
 
 
 @query("dq_parse_timestamp", """

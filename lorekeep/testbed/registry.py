@@ -103,3 +103,9 @@ def all_oracles() -> dict[str, str]:
 
 def six(column: str):
     return F.round(column, 6).alias(column)
+
+
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """Dates print alike in every client as text."""
+    days = [f.name for f in df.schema if f.dataType.typeName() == "date"]
+    return df.withColumns({c: F.col(c).cast("string") for c in days})
