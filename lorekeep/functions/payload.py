@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# JSON as the standard has it, without Spark's leniency.
+STRICT = {"allowSingleQuotes": "false"}
+
 
 def parse_objects(messages: DataFrame, schema: T.StructType) -> DataFrame:
     """``value: binary`` -> ``text`` (bad UTF-8 replaced), ``readable`` (valid UTF-8 holding exactly
@@ -13,21 +16,21 @@ def parse_objects(messages: DataFrame, schema: T.StructType) -> DataFrame:
     parse failure or a wrong element count; a repeated key takes its last value.
 
     The one-element ``explode`` pins the parsing to one place: without it Catalyst copies
-    ``from_json`` into every expression and filter above and parses each message many times.
+    ``from_json`` into every expression and filter above and parses each message many times.  Only
+    a message that is no object is looked at again, to tell another JSON value from no JSON.
     """
-    text = F.make_valid_utf8(F.col("value").cast("string"))
-    boxed = F.concat(F.lit("["), text, F.lit("]"))
-    parsed = F.struct(
-        text.alias("text"),
+    boxed = F.concat(F.lit("["), F.col("text"), F.lit("]"))
+    as_text = messages.select(
+        F.make_valid_utf8(F.col("value").cast("string")).alias("text"),
         F.is_valid_utf8(F.col("value").cast("string")).alias("valid"),
-        F.from_json(boxed, T.ArrayType(schema)).alias("objects"),
-        F.from_json(boxed, T.ArrayType(T.StringType())).alias("values"),  # any JSON value passes
     )
-    rows = messages.select(F.explode(F.array(parsed)).alias("p")).select("p.*")
-    one = F.coalesce(F.size("objects") == 1, F.lit(False))
+    parsed = F.struct("text", "valid", F.from_json(boxed, T.ArrayType(schema), STRICT).alias("objects"))
+    rows = as_text.select(F.explode(F.array(parsed)).alias("p")).select("p.*")
+    is_object = F.coalesce((F.size("objects") == 1) & F.get("objects", F.lit(0)).isNotNull(), F.lit(False))
+    any_value = F.coalesce(F.size(F.from_json(boxed, T.ArrayType(T.StringType()), STRICT)) == 1, F.lit(False))
     return rows.select(
         "text",
-        (F.col("valid") & F.coalesce(F.size("values") == 1, F.lit(False))).alias("readable"),
-        (one & F.get("objects", F.lit(0)).isNotNull()).alias("is_object"),
-        F.when(one, F.get("objects", F.lit(0))).alias("fields"),
+        F.when(is_object, F.col("valid")).otherwise(F.col("valid") & any_value).alias("readable"),
+        is_object.alias("is_object"),
+        F.when(is_object, F.get("objects", F.lit(0))).alias("fields"),
     )

@@ -9,7 +9,7 @@ SPACE = r"[\s\x1c-\x1f]"
 
 def is_blank(col: Column) -> Column:
     """Absent, empty or white space only."""
-    return col.isNull() | col.rlike(f"(?U)^{SPACE}*$")
+    return col.isNull() | col.cast("string").rlike(f"(?U)^{SPACE}*$")
 
 
 def tokens(col: Column) -> Column:

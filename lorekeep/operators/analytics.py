@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.session import staged
+
 # Metric names, in report order.
 GLOBAL_METRICS = [
     "total_questions_asked",
@@ -22,18 +24,25 @@ def _is(event_type: str) -> Column:
     return F.col("event_type") == event_type
 
 
-def events_global(fact: DataFrame) -> DataFrame:
-    """One row over all events.  The mean ignores responses without a latency."""
+def _counts() -> list[Column]:
     feedback = _is("FEEDBACK_SUBMITTED")
-    return fact.agg(
+    return [
         F.count_if(_is("QUESTION_ASKED")).alias("total_questions_asked"),
         F.count_if(_is("RESPONSE_GENERATED")).alias("total_responses_generated"),
-        F.avg(F.when(_is("RESPONSE_GENERATED"), F.col("latency_ms"))).alias("avg_response_latency_ms"),
         F.count_if(_is("SOURCE_OPENED")).alias("total_source_opens"),
         F.count_if(_is("RELATED_TOPIC_OPENED")).alias("total_related_topic_opens"),
         F.count_if(feedback & (F.col("rating") == "up")).alias("feedback_up_count"),
         F.count_if(feedback & (F.col("rating") == "down")).alias("feedback_down_count"),
-    )
+    ]
+
+
+def _latency() -> Column:
+    return F.when(_is("RESPONSE_GENERATED"), F.col("latency_ms"))
+
+
+def events_global(fact: DataFrame) -> DataFrame:
+    """One row over all events.  The mean ignores responses without a latency."""
+    return fact.agg(*_counts(), F.avg(_latency()).alias("avg_response_latency_ms")).select(*GLOBAL_METRICS)
 
 
 def events_by_topic(fact: DataFrame) -> DataFrame:
@@ -61,7 +70,19 @@ def metrics_long(overall: DataFrame, by_topic: DataFrame, computed_at: Column) -
 
 
 def question_analytics(fact: DataFrame, computed_at: Column) -> DataFrame:
-    return metrics_long(events_global(fact), events_by_topic(fact), computed_at)
+    """The whole metric table from one scan of the fact: everything is counted per topic (events
+    without one included), and the global row adds those up."""
+    per_topic = staged(fact.groupBy("topic_id").agg(
+        *_counts(), F.sum(_latency()).alias("latency"), F.count(_latency()).alias("responses")
+    ), "topic_metrics")
+    totals = [F.sum(m).alias(m) for m in GLOBAL_METRICS if m != "avg_response_latency_ms"]
+    mean = F.try_divide(F.sum("latency"), F.sum("responses")).alias("avg_response_latency_ms")
+    by_topic = per_topic.where(F.col("topic_id").isNotNull()).select(
+        "topic_id",
+        F.col("total_source_opens").alias("source_open_count"),
+        F.col("total_related_topic_opens").alias("related_topic_open_count"),
+    )
+    return metrics_long(per_topic.agg(*totals, mean), by_topic, computed_at)
 
 
 def metrics_wide(long: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.joins import sized_join
 from lorekeep.operators.reports import related_lists
+from lorekeep.session import staged
 
 SEARCH_TOOL = "search_knowledge"
 # How many cards an answer shows and related topics each source topic adds.
@@ -27,6 +28,13 @@ def with_candidates(traces: DataFrame) -> DataFrame:
     return traces.select("trace_id", candidate_ids(F.col("tool_calls")).alias("ids"))
 
 
+def latest_candidates(traces: DataFrame) -> DataFrame:
+    """``(trace_id, ids)`` of each trace's latest record; reduced to ids before anything shuffles,
+    and staged, as cards and related topics both start from it."""
+    narrow = traces.select("trace_id", "recorded_at", candidate_ids(F.col("tool_calls")).alias("ids"))
+    return staged(latest_traces(narrow).select("trace_id", "ids"), "candidate_ids")
+
+
 def _shown(ids: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` candidates of each trace that exist; the cut comes before unknown ids
     are dropped.  ``pos`` keeps their order."""
@@ -74,12 +82,13 @@ def related_for_answers(
 ) -> DataFrame:
     """One row per suggestion: ``(trace_id, pos, topic_id, topic_name)``."""
     known = catalog.select("knowledge_id", "topic_id")
-    shown = _shown(ids, known, limit)
-    lists = related_lists(dim, known, per_topic).select(
+    shown = staged(_shown(ids, known, limit).select("trace_id", "pos", "topic_id"), "shown")
+    # Only the topics shown need a list, and staging the lists tells whether they can be broadcast.
+    lists = staged(related_lists(dim, shown, per_topic).select(
         F.col("for_topic_id").alias("topic_id"),
         F.transform("related", lambda t: F.struct(
             t["topic_id"].alias("topic_id"), t["topic_name"].alias("topic_name"))).alias("related"),
-    )
+    ), "related_lists")
     steps = sized_join(shown, lists, "topic_id", "inner", ["trace_id", "pos"])
     # At most ``limit`` steps per trace, so the collected arrays are bounded.
     per_trace = steps.groupBy("trace_id").agg(

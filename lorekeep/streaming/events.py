@@ -18,8 +18,8 @@ from lorekeep.sources.files import write_events
 
 
 def annotate_events(messages: DataFrame) -> DataFrame:
-    """``value: binary`` -> the ten wire fields as text, ``raw_payload`` and ``reason``.  Other
-    fields of a message are dropped here, so free text never reaches a table of events."""
+    """``value: binary`` -> the ten wire fields as text, ``reason``, and for rejects the message as
+    it came.  Other fields of a message are dropped here, so free text never reaches the fact."""
     read = parse_objects(messages, S.EVENT_WIRE).select(
         F.col("text").alias("raw_payload"), "readable", "is_object", "fields.*"
     )
@@ -28,7 +28,8 @@ def annotate_events(messages: DataFrame) -> DataFrame:
         F.when(~F.col("is_object"), F.lit("event is not a JSON object")),
         first_reason(event_rules()),
     )
-    return read.select(*S.EVENT_COLUMNS, "raw_payload", reason.alias("reason"))
+    judged = read.select(*S.EVENT_COLUMNS, "raw_payload", reason.alias("reason"))
+    return judged.withColumn("raw_payload", F.when(F.col("reason").isNotNull(), F.col("raw_payload")))
 
 
 def normalize_events(annotated: DataFrame) -> DataFrame:

@@ -367,7 +367,7 @@ def _traces(c: Context) -> DataFrame:
 
 
 def _latest_ids(c: Context) -> DataFrame:
-    return traces.with_candidates(traces.latest_traces(_traces(c)))
+    return traces.latest_candidates(_traces(c))
 
 
 @query("distinct_candidate_ids", "select trace_id, string_agg(id, ',' order by pos) ids from v_ids group by trace_id")
