@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import tokens
-from lorekeep.operators.questions import bounded_batches
+from lorekeep.operators import questions as questions_
 from lorekeep.operators.semantic import with_details
 from lorekeep.operators.topk import SCORED, BestRows, best_per_question, scan_for_best
 from lorekeep.session import staged
@@ -104,15 +104,13 @@ def _scorer(
     query_ids, asked = batch["query_id"].to_pylist(), batch["tokens"].to_pylist()
     vocabulary = sorted(idf)
     place = {term: i for i, term in enumerate(vocabulary)}
-    blocks = []
+    blocks = []  # kept sparse, as they travel to every task: (questions, terms, cells of the matrix)
     for first, last in _blocks(asked):
         known = [[place[w] for w in words if w in place] for words in asked[first:last]]
-        used = np.unique(np.array([t for words in known for t in words], dtype=int))
-        matrix = np.zeros((used.size, last - first))
-        for column, words in enumerate(known):
-            np.add.at(matrix[:, column], np.searchsorted(used, np.array(words, dtype=int)), 1.0)
-        matrix *= np.array([idf[vocabulary[t]] for t in used])[:, None]
-        blocks.append((first, last, used, matrix))
+        column = np.repeat(np.arange(last - first), [len(words) for words in known])
+        used, row = np.unique(np.array([t for words in known for t in words], dtype=int), return_inverse=True)
+        worth = np.array([idf[vocabulary[t]] for t in used])[row]
+        blocks.append((first, last, used, row, column, worth))
     width = max(len(vocabulary), 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,15 +127,17 @@ def _scorer(
             doc, term = cells // width, cells % width
             relative = lengths[doc] / mean_length if mean_length else np.zeros(doc.size)
             weight = freq * (K1 + 1) / (freq + K1 * (1 - B + B * relative))
-            for first, last, used, matrix in blocks:
-                column = np.full(width, -1)
-                column[used] = np.arange(used.size)
+            for first, last, used, row, column, worth in blocks:
+                matrix = np.zeros((used.size, last - first))
+                np.add.at(matrix, (row, column), worth)  # a repeated word counts each time
+                local = np.full(width, -1)
+                local[used] = np.arange(used.size)
                 step = max(1, BLOCK_CELLS // max(used.size, last - first, 1))
                 for start in range(0, len(ids), step):
                     stop = min(start + step, len(ids))
                     lo, hi = np.searchsorted(doc, [start, stop])
                     dense = np.zeros((stop - start, used.size))
-                    own = column[term[lo:hi]]
+                    own = local[term[lo:hi]]
                     wanted = own >= 0
                     dense[doc[lo:hi][wanted] - start, own[wanted]] = weight[lo:hi][wanted]
                     best.push(first, ids[start:stop], (dense @ matrix).T)
@@ -155,8 +155,8 @@ def bm25_top(
     docs = tokenized(corpus)
     parts = [
         scan_for_best(docs, _scorer(batch, _weights(batch, stats), stats.mean_length, fetch_n))
-        for batch in bounded_batches(
-            question_terms(questions), "tokens", F.octet_length(F.array_join("tokens", "    "))
+        for batch in questions_.bounded_batches(
+            question_terms(questions), "tokens", F.octet_length(F.array_join("tokens", "    ")), questions_.TEXT_BYTES
         )
     ]
     if not parts:

@@ -1,8 +1,8 @@
 """Cutting a question table into batches of bounded size.
 
 A search pass ships its questions to every task that scans the corpus, so their bytes are measured
-first.  Up to ``PASS_BYTES`` go in one pass; a larger table is cut by a hash of the question id and
-each part gets a pass of its own over the corpus.
+first.  Up to ``VECTOR_BYTES`` or ``TEXT_BYTES`` go in one pass; a larger table is cut by a hash of
+the question id and each part gets a pass of its own over the corpus.
 """
 
 from __future__ import annotations
@@ -13,17 +13,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PASS_BYTES = 64 << 20
+VECTOR_BYTES, TEXT_BYTES = 64 << 20, 16 << 20
 
 
-def bounded_batches(questions: DataFrame, payload: str, payload_bytes: Column) -> Iterator[pa.Table]:
-    """Arrow tables ``(query_id, payload)``, each about ``PASS_BYTES`` or less.
+def bounded_batches(
+    questions: DataFrame, payload: str, payload_bytes: Column, limit: int
+) -> Iterator[pa.Table]:
+    """Arrow tables ``(query_id, payload)``, each of about ``limit`` bytes or less.
 
     Repeated question ids are one question, as in a keyed request; ``first`` by payload order keeps
     the choice stable.
     """
     total = questions.agg(F.sum(payload_bytes + F.octet_length("query_id"))).first()[0] or 0
-    passes = int(total // PASS_BYTES) + 1
+    passes = int(total // limit) + 1
     for number in range(passes):
         part = questions.select("query_id", payload)
         if passes > 1:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.joins import keep_matching, sized_join
 from lorekeep.operators.topk import ranked
+from lorekeep.session import staged
 
 
 def lookup(table: DataFrame, key: str, value: str) -> DataFrame:
@@ -20,9 +21,11 @@ def lookup_many(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def eligibility(ids: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``(knowledge_id, ai_eligible)``: true, false, or null when the id does not exist."""
-    flags = catalog.select("knowledge_id", "ai_eligible")
-    return ids.select("knowledge_id").distinct().join(flags, "knowledge_id", "left")
+    """``(knowledge_id, ai_eligible)``: true, false, or null when the id does not exist.  The
+    catalog is cut to the ids first, so a short list does not make it move."""
+    wanted = staged(ids.select("knowledge_id").distinct(), "ids")
+    flags = keep_matching(catalog.select("knowledge_id", "ai_eligible"), wanted, "knowledge_id", unique=True)
+    return wanted.join(flags, "knowledge_id", "left")
 
 
 def topics(dim: DataFrame) -> DataFrame:

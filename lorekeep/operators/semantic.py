@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators import questions as questions_
 from lorekeep.operators.joins import attach
-from lorekeep.operators.questions import bounded_batches
 from lorekeep.operators.topk import SCORED, BestRows, best_per_question, scan_for_best
 
 QUESTION_BLOCK = 512
@@ -65,7 +65,7 @@ def cosine_top(questions: DataFrame, corpus: DataFrame, fetch_n: int = 10) -> Da
     asked = questions.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     parts = [
         scan_for_best(vectors, _scorer(batch, fetch_n))
-        for batch in bounded_batches(asked, "embedding", F.size("embedding") * 8)
+        for batch in questions_.bounded_batches(asked, "embedding", F.size("embedding") * 8, questions_.VECTOR_BYTES)
     ]
     if not parts:
         return spark.createDataFrame([], SCORED + ", rank long")

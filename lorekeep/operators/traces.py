@@ -108,9 +108,17 @@ def latest_traces(traces: DataFrame) -> DataFrame:
 
 
 def recent_traces(traces: DataFrame, limit: int = SHOWN_TRACES, keep: int = KEPT_TRACES) -> DataFrame:
-    """Latest first; never more than the ``keep`` newest."""
-    newest = latest_traces(traces).orderBy(F.desc("recorded_at"), F.asc("trace_id"))
-    return newest.limit(min(limit, keep))
+    """Latest first; never more than the ``keep`` newest.
+
+    Times alone decide which traces are shown; only those few rows are then fetched in full.
+    """
+    shown = min(limit, keep)
+    newest = (
+        traces.groupBy("trace_id").agg(F.max("recorded_at").alias("recorded_at"))
+        .orderBy(F.desc("recorded_at"), F.asc("trace_id")).limit(shown)
+    )
+    rows = traces.join(F.broadcast(newest), ["trace_id", "recorded_at"])  # at most ``shown`` rows
+    return latest_traces(rows).orderBy(F.desc("recorded_at"), F.asc("trace_id")).limit(shown)
 
 
 def trace_by_id(traces: DataFrame, trace_id: str) -> DataFrame:

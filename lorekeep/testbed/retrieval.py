@@ -81,10 +81,10 @@ SQL_VIEWS.update({
     "h_search": """
         select * from (select * replace (row_number() over (partition by query_id order by rank) as rank) from h_live)
         where rank <= 5""",
-    # Labelled cases: a question expects its own document and those that contain it whole.
+    # Labelled cases: a question expects its own document and the first that contains it whole.
     "e_within": """
-        select 'q_'||cast(b.item_id as varchar) query_id, 'know_'||cast(d.doc_id as varchar) knowledge_id
-        from benchmark b join documents d on contains(lower(d.text), lower(b.text))""",
+        select 'q_'||cast(b.item_id as varchar) query_id, min('know_'||cast(d.doc_id as varchar)) knowledge_id
+        from benchmark b join documents d on contains(lower(d.text), lower(b.text)) group by 1""",
     "e_expected": """
         select query_id, knowledge_id from e_within
         union select query_id, replace(query_id, 'q_', 'know_') from b_questions""",
@@ -259,7 +259,7 @@ ANCHOR = 5
 
 
 def _within(c: Context) -> DataFrame:
-    """(query_id, knowledge_id) of documents containing a question's text whole.
+    """(query_id, within): the first document, by id, that contains a question's text whole.
 
     Five words from inside the text must stand in the document, so those are joined on and only
     such pairs are compared in full.  The first and last word may be parts of longer ones there.
@@ -276,7 +276,8 @@ def _within(c: Context) -> DataFrame:
         F.transform(starts, lambda i: F.array_join(F.slice("words", i, ANCHOR), " ")))).alias("anchor"))
     pairs = sized_join(anchors, asked, "anchor", "inner", ["knowledge_id"]).select("knowledge_id", "query_id", "needle")
     full = attach(pairs, docs, "knowledge_id", ["query_id"])
-    return full.where(F.contains(F.lower("text"), F.col("needle"))).select("query_id", "knowledge_id").distinct()
+    holds = full.where(F.contains(F.lower("text"), F.col("needle")))
+    return holds.groupBy("query_id").agg(F.min("knowledge_id").alias("within"))
 
 
 def _cases(c: Context) -> DataFrame:
@@ -291,15 +292,13 @@ def _cases(c: Context) -> DataFrame:
 def _label(c: Context) -> DataFrame:
     own = F.regexp_replace("query_id", "^q_", "know_")
     labels = c.raw("b_k1").select("knowledge_id", "review_status")
-    found = _within(c).groupBy("query_id").agg(F.array_sort(F.collect_set("knowledge_id")).alias("within"))
     asked = sized_join(c.questions.withColumn("knowledge_id", own), labels, "knowledge_id", "inner", ["query_id"])
     rejected = F.col("review_status") != "APPROVED"
-    return asked.join(found, "query_id", "left").select(
+    return asked.join(_within(c), "query_id", "left").select(
         F.col("query_id").alias("id"), "question",
         F.when(F.col("within").isNotNull(), "lexical").otherwise("semantic").alias("style"),
         F.when(rejected, "governance_reject").otherwise("grounded").alias("type"),
-        F.array_distinct(F.concat(F.coalesce("within", F.array().cast("array<string>")), F.array("knowledge_id")))
-        .alias("expected_knowledge_ids"),
+        F.array_distinct(F.array_compact(F.array("knowledge_id", "within"))).alias("expected_knowledge_ids"),
         F.when(rejected, F.col("knowledge_id")).alias("excluded_knowledge_id"),
         F.when(rejected, F.concat(F.lit("review status "), F.col("review_status"))).alias("excluded_reason"),
     )

@@ -57,7 +57,7 @@ SQL_VIEWS.update({
           case when event_id%3=0 then 'know_6' else 'know_'||cast(event_id*7%1100 as string) end a1,
           'know_'||cast(user_id*13%1100 as string) a2,
           case when event_id%4=0 then '' else 'know_nowhere' end a3,
-          case when event_id%5=0 then 'query_health_topics' else 'search_knowledge' end tool2,
+          case when event_id%5=0 then 'list_topics' else 'search_knowledge' end tool2,
           'know_'||cast(event_id*3%1100 as string) b1, 'know_'||cast(event_id*7%1100 as string) b2
         from events""",
     "v_traces": """

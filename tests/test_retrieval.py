@@ -91,7 +91,7 @@ def test_bm25_matches_brute_force(docs, corpus, asked, questions_df):
 
 
 def test_bm25_in_small_blocks_and_several_passes(docs, corpus, asked, questions_df, monkeypatch):
-    monkeypatch.setattr(questions, "PASS_BYTES", 200)
+    monkeypatch.setattr(questions, "TEXT_BYTES", 200)
     monkeypatch.setattr(lexical, "BLOCK_QUESTIONS", 3)
     monkeypatch.setattr(lexical, "BLOCK_CELLS", 64)
     same(lists(lexical.bm25_top(questions_df, corpus, 7)), brute_bm25(docs, asked, 7))
@@ -152,7 +152,7 @@ def asked_vectors(vectors):
 @pytest.mark.parametrize("small", [False, True])
 def test_cosine_matches_brute_force(spark, vectors, asked_vectors, monkeypatch, small):
     if small:
-        monkeypatch.setattr(questions, "PASS_BYTES", 500)
+        monkeypatch.setattr(questions, "VECTOR_BYTES", 500)
         monkeypatch.setattr(semantic, "QUESTION_BLOCK", 2)
         monkeypatch.setattr(semantic, "ROW_BLOCK", 7)
     corpus = spark.createDataFrame(vectors, "knowledge_id string, embedding array<double>").repartition(4)
