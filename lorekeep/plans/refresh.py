@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -95,6 +96,8 @@ class Refresh:
         tables as they were.
         """
         run_id = run_id or files.new_run_id()
+        with ThreadPoolExecutor(2) as pool:  # the two parents do not wait for each other
+            list(pool.map(lambda name: getattr(self, name), ["checked_topics", "checked_sources"]))
         tables = self.tables()  # building the selections computes every stage
         files.write_quarantine(self.rejects(), quarantine_dir, run_id)
         files.publish(tables, warehouse)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep import schemas as S
+from lorekeep.functions.iso import integer
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
@@ -36,8 +37,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def cast_on_load(df: DataFrame, long_columns: list[str]) -> DataFrame:
-    """Text to long; a value that is no integer fails the load (ANSI cast)."""
-    return df.withColumns({c: F.col(c).cast("long") for c in long_columns})
+    """Text to long; a value that is no integer fails the load, whatever the session's ANSI mode."""
+    def strict(name: str) -> Column:
+        text = F.col(name).cast("string")
+        refuse = F.raise_error(F.concat(F.lit(f"{name} is not an integer: '"), text, F.lit("'"))).cast("long")
+        return F.when(text.isNotNull() & integer(text).isNull(), refuse).otherwise(integer(text))
+
+    return df.withColumns({c: strict(c) for c in long_columns})
 
 
 def read_table(spark: SparkSession, base: str, name: str, schema: T.StructType | None = None) -> DataFrame:
