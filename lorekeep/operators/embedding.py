@@ -29,13 +29,14 @@ def hashed_words(texts: list[str], width: int = HASHED_WIDTH) -> list[list[float
 
 
 def embed(df: DataFrame, text_col: str, embedder: Embedder = hashed_words) -> DataFrame:
-    """Adds ``embedding`` from ``text_col``; the embedder gets whole Arrow batches of texts."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(embedding=embedder(batch[text_col].fillna("").tolist()))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{fields}, embedding array<double>")
+    """Adds ``embedding`` from ``text_col``; the embedder gets whole Arrow batches of texts, and no
+    other column leaves the JVM."""
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(embedder(texts.fillna("").tolist()))
+
+    return df.withColumn("embedding", vectors(text_col))
 
 
 def build_index(

@@ -61,7 +61,7 @@ def cosine_top(questions: DataFrame, corpus: DataFrame, fetch_n: int = 10) -> Da
     ``tasks * questions * fetch_n`` short rows, with a bounded number of tasks.
     """
     spark = corpus.sparkSession
-    vectors = corpus.select("knowledge_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = corpus.select("knowledge_id", "embedding")  # float or double, widened in the task
     asked = questions.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     parts = [
         scan_for_best(vectors, _scorer(batch, fetch_n))
