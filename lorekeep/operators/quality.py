@@ -1,7 +1,8 @@
 """Data-quality rules: one nullable ``reason`` column, the first failing rule wins.
 
 A rule is ``(failing: Column, message: Column)``.  A row is valid when its reason is null, so a
-table is annotated once and split by a filter - no second pass, no row-level Python.
+table is annotated once and split by a filter - no second pass, no row-level Python.  The wording
+of reasons is a fixed value: reports and readers match on it.
 """
 
 from __future__ import annotations
