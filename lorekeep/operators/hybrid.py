@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.joins import keep_matching
-from lorekeep.operators.lexical import lexical_search
-from lorekeep.operators.semantic import semantic_search
+from lorekeep.operators.lexical import bm25_top, lexical_search
+from lorekeep.operators.semantic import cosine_top, semantic_search
 from lorekeep.operators.topk import DECIMALS, best_per_question, ranked
 from lorekeep.session import staged
 
@@ -47,6 +50,22 @@ def merge(
     return best_per_question(scored, top_n, "hybrid_score")
 
 
+def side_by_side(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Independent frames whose building runs jobs: their jobs share the cluster."""
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return [done.result() for done in [pool.submit(build) for build in builds]]
+
+
+def candidate_lists(
+    questions: DataFrame, embeddings: DataFrame, corpus: DataFrame, fetch_n: int = 10
+) -> list[DataFrame]:
+    """The semantic and the lexical list, ids and scores only, staged."""
+    return side_by_side(
+        lambda: staged(cosine_top(questions, embeddings, fetch_n), "semantic"),
+        lambda: staged(bm25_top(questions, corpus, fetch_n), "lexical"),
+    )
+
+
 def recheck(found: DataFrame, eligible: DataFrame) -> DataFrame:
     """Candidates eligible *now*, in their old order (``rank`` keeps its gaps).
 
@@ -71,8 +90,9 @@ def search(
     ``2 * top_n`` merged candidates are kept before the re-check, so a few rows that became
     ineligible since indexing do not starve the answer.
     """
-    sem = semantic_search(questions, embeddings, fetch_n)
-    lex = lexical_search(questions, corpus, fetch_n)
+    sem, lex = side_by_side(
+        lambda: semantic_search(questions, embeddings, fetch_n), lambda: lexical_search(questions, corpus, fetch_n)
+    )
     merged = staged(merge(sem, lex, semantic_weight, lexical_weight, 2 * top_n), "merged")
     return rerank(recheck(merged, eligible), top_n)
 

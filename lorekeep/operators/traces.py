@@ -14,6 +14,7 @@ SEARCH_TOOL = "search_knowledge"
 MAX_SOURCES, RELATED_PER_SOURCE = 3, 2
 # Traces kept, and shown by default.
 KEPT_TRACES, SHOWN_TRACES = 200, 20
+BROADCAST_ROWS = 10_000  # (trace id, time) pairs
 
 
 def candidate_ids(tool_calls: Column) -> Column:
@@ -117,7 +118,8 @@ def recent_traces(traces: DataFrame, limit: int = SHOWN_TRACES, keep: int = KEPT
         traces.groupBy("trace_id").agg(F.max("recorded_at").alias("recorded_at"))
         .orderBy(F.desc("recorded_at"), F.asc("trace_id")).limit(shown)
     )
-    rows = traces.join(F.broadcast(newest), ["trace_id", "recorded_at"])  # at most ``shown`` rows
+    few = F.broadcast(newest) if shown <= BROADCAST_ROWS else newest
+    rows = traces.join(few, ["trace_id", "recorded_at"])
     return latest_traces(rows).orderBy(F.desc("recorded_at"), F.asc("trace_id")).limit(shown)
 
 

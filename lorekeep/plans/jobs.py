@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep import schemas as S
-from lorekeep.operators import analytics, embedding, evaluation, hybrid, lexical, seed_gate, semantic
+from lorekeep.operators import analytics, embedding, evaluation, hybrid, seed_gate
 from lorekeep.operators.embedding import HASHED_MODEL, Embedder, hashed_words
 from lorekeep.plans.refresh import Refresh
 from lorekeep.session import staged
@@ -48,7 +48,8 @@ def eligible(spark: SparkSession, warehouse: str) -> DataFrame:
 def index(spark: SparkSession, warehouse: str, embedder: Embedder = hashed_words, model: str = HASHED_MODEL) -> None:
     """Re-embeds everything eligible."""
     built = embedding.build_index(eligible(spark, warehouse), F.current_timestamp(), embedder, model)
-    files.overwrite_table(built, warehouse, "semantic/knowledge_embeddings")
+    # Sorted inside each file, so a search within one topic skips most row groups.
+    files.overwrite_table(built.sortWithinPartitions("topic_id"), warehouse, "semantic/knowledge_embeddings")
 
 
 def stream(messages: DataFrame, warehouse: str, available_now: bool = False):
@@ -95,10 +96,7 @@ def evaluate(
     current = eligible(spark, warehouse)
     asked = cases.select(F.col("id").alias("query_id"), "question")
     asked = staged(embedding.embed_queries(asked, embedder), "asked")
-    lists = evaluation.candidates(
-        staged(semantic.cosine_top(asked, _embeddings(spark, warehouse)), "semantic"),
-        staged(lexical.bm25_top(asked, current), "lexical"), current,
-    )
+    lists = evaluation.candidates(*hybrid.candidate_lists(asked, _embeddings(spark, warehouse), current), current)
     results = staged(evaluation.eval_cases(cases, lists), "results")
     return {
         "cases": results,

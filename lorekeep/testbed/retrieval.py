@@ -189,12 +189,8 @@ def agg_bm25_stats(c: Context) -> DataFrame:
 
 # ---- merge, re-check, search -------------------------------------------------------------------
 
-def _lists(c: Context) -> tuple[DataFrame, DataFrame]:
-    """Both candidate lists, ids and scores only."""
-    return (
-        staged(semantic.cosine_top(c.questions, c.embeddings), "semantic"),
-        staged(lexical.bm25_top(c.questions, c.refresh.eligible), "lexical"),
-    )
+def _lists(c: Context) -> list[DataFrame]:
+    return hybrid.candidate_lists(c.questions, c.embeddings, c.refresh.eligible)
 
 
 _MERGED = "select query_id, knowledge_id, round(semantic_score, 6) semantic_score, round(lexical_score, 6) lexical_score, round(hybrid_score, 6) hybrid_score, rank from h_ranked"
