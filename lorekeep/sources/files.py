@@ -112,12 +112,17 @@ def write_quarantine(rejects: DataFrame, base: str, run_id: str) -> str:
     return path
 
 
-def write_events(df: DataFrame, base: str, batch_id: int) -> None:
+def batch_path(base: str, feed: str, batch_id: int) -> str:
+    """The folder one micro-batch of one feed owns."""
+    return f"{base}/feed={feed}/batch_id={batch_id}"
+
+
+def write_events(df: DataFrame, base: str, feed: str, batch_id: int) -> None:
     """One micro-batch of the event fact, partitioned by day so metrics over a span read only its
     days.  The batch owns its folder: a replay replaces it instead of appending twice."""
     (
         df.withColumn("event_date", F.to_date("occurred_at"))
-        .write.mode("overwrite").partitionBy("event_date").parquet(f"{base}/batch_id={batch_id}")
+        .write.mode("overwrite").partitionBy("event_date").parquet(batch_path(base, feed, batch_id))
     )
 
 

@@ -6,6 +6,8 @@ deduplicated and nothing is windowed: metrics are recomputed from the fact (``op
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +16,7 @@ from lorekeep import schemas as S
 from lorekeep.functions.iso import integer, iso_timestamp, number
 from lorekeep.functions.payload import parse_objects
 from lorekeep.operators.quality import event_rules, first_reason
-from lorekeep.sources.files import write_events
+from lorekeep.sources.files import batch_path, write_events
 
 
 def annotate_events(messages: DataFrame) -> DataFrame:
@@ -53,12 +55,16 @@ def start(
     messages: DataFrame, fact_dir: str, quarantine_dir: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
     """Append valid events and rejects.  Each micro-batch is annotated once and written under its
-    own ``batch_id``, so a replay after a failure replaces its files instead of doubling them."""
+    own ``batch_id``, so a replay after a failure replaces its files instead of doubling them.
+    Batch numbers belong to a checkpoint; its name keeps two feeds into one table apart."""
+    feed = f"f{zlib.crc32(checkpoint.encode()):08x}"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            write_events(normalize_events(batch), fact_dir, batch_id)
-            quarantined_events(batch).write.mode("overwrite").parquet(f"{quarantine_dir}/batch_id={batch_id}")
+            write_events(normalize_events(batch), fact_dir, feed, batch_id)
+            quarantined_events(batch).write.mode("overwrite").parquet(
+                batch_path(quarantine_dir, feed, batch_id))
         finally:
             batch.unpersist()
 

@@ -94,8 +94,11 @@ def test_stream_splits_and_a_replay_does_not_double(spark, tmp_path):
     drain("cp")
     assert counts() == (11, 2)
     replayed = events.normalize_events(events.annotate_events(messages(spark, EVENT)))
-    write_events(replayed, f"{tmp_path}/fact", 1)  # batch 1 once more: replaced, not appended
+    (feed,) = [p.name.removeprefix("feed=") for p in (tmp_path / "fact").glob("feed=*")]
+    write_events(replayed, f"{tmp_path}/fact", feed, 1)  # batch 1 once more: replaced, not appended
     assert counts() == (11, 2)
+    drain("cp-other")  # another feed into the same tables must not touch the first one's batches
+    assert counts() == (22, 4)
     rejected = spark.read.schema(S.QUARANTINED_EVENT).parquet(f"{tmp_path}/bad").collect()
     assert {r["raw_payload"] for r in rejected} >= {"broken"} and all(r["quarantined_at"] for r in rejected)
 
@@ -111,7 +114,7 @@ def test_bounded_run_stops(spark, tmp_path):
 def test_fact_is_partitioned_by_day(spark, tmp_path):
     write_lines(tmp_path / "in" / "a.txt", json.dumps(EVENT).encode())
     events.start(streams.text_messages(spark, f"{tmp_path}/in"), f"{tmp_path}/f", f"{tmp_path}/q", f"{tmp_path}/c", True).awaitTermination()
-    assert (tmp_path / "f" / "batch_id=0" / "event_date=2026-01-02").is_dir()
+    assert list((tmp_path / "f").glob("feed=*/batch_id=0/event_date=2026-01-02"))
 
 
 def test_envelope_round_trip(spark):
