@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import tokens
 from lorekeep.operators import questions as questions_
 from lorekeep.operators.semantic import with_details
-from lorekeep.operators.topk import SCORED, BestRows, best_per_question, scan_for_best
+from lorekeep.operators.topk import SCORED, BestRows, best_per_question, by_id, scan_for_best
 from lorekeep.session import staged
 
 # The Okapi constants.
@@ -117,13 +117,15 @@ def _scorer(
         best = BestRows(len(query_ids), k)
         lookup = pa.array(vocabulary, pa.string())
         for rows in batches:
-            ids = np.array(rows.column("knowledge_id").to_pylist(), dtype=object)
+            ids, order = by_id(rows.column("knowledge_id"))
+            place_of = np.empty(len(ids), dtype=np.int64)
+            place_of[order] = np.arange(len(ids))
             lists = rows.column("tokens")
             lengths = np.asarray(lists.value_lengths().fill_null(0))
-            owner = np.repeat(np.arange(len(ids)), lengths)
+            owner, lengths = np.repeat(place_of, lengths), lengths[order]
             found = pc.index_in(lists.flatten(), value_set=lookup).fill_null(-1).to_numpy(zero_copy_only=False)
             hit = found >= 0
-            cells, freq = np.unique(owner[hit].astype(np.int64) * width + found[hit], return_counts=True)
+            cells, freq = np.unique(owner[hit] * width + found[hit], return_counts=True)
             doc, term = cells // width, cells % width
             relative = lengths[doc] / mean_length if mean_length else np.zeros(doc.size)
             weight = freq * (K1 + 1) / (freq + K1 * (1 - B + B * relative))

@@ -31,13 +31,15 @@ def repeats(df: DataFrame, table: str, key: str) -> DataFrame:
     """One error per repeat after the first.
 
     Keys are counted, not sorted into windows.  A key repeated without end would explode from one
-    row, so its repeats are cut into chunks that are spread before they unfold.
+    row, so its repeats are cut into chunks that are spread before they unfold.  The partition
+    count is given: AQE would merge so few bytes into one task, not knowing what they unfold to.
     """
+    lots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = repeated_keys(df, key).select(key, (F.col("_copies") - 1).alias("_extra"))
     chunk = F.lit(REPEAT_CHUNK)
     starts = extra.select(
         key, "_extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_extra") - 1, chunk.cast("long"))).alias("_from")
-    ).repartition(key, "_from")
+    ).repartition(lots, key, "_from")
     here = F.least(chunk, F.col("_extra") - F.col("_from")).cast("int")
     return starts.select(F.col(key), F.explode(F.array_repeat(F.lit(1), here))).select(
         F.lit(table).alias("table"), F.col(key).alias("id"),

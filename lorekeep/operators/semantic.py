@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import questions as questions_
 from lorekeep.operators.joins import attach
-from lorekeep.operators.topk import SCORED, BestRows, best_per_question, scan_for_best
+from lorekeep.operators.topk import SCORED, BestRows, best_per_question, by_id, scan_for_best
 
 QUESTION_BLOCK = 512
 ROW_BLOCK = 4096
@@ -41,8 +41,8 @@ def _scorer(questions: pa.Table, k: int) -> Callable[[Iterator[pa.RecordBatch]],
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestRows(len(query_ids), k)
         for batch in batches:
-            ids = np.array(batch.column("knowledge_id").to_pylist(), dtype=object)
-            rows, norms = _matrix(batch.column("embedding"), width)
+            ids, order = by_id(batch.column("knowledge_id"))
+            rows, norms = (part[order] for part in _matrix(batch.column("embedding"), width))
             for r in range(0, len(ids), ROW_BLOCK):
                 for q in range(0, len(query_ids), QUESTION_BLOCK):
                     dots = q_matrix[q:q + QUESTION_BLOCK] @ rows[r:r + ROW_BLOCK].T

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,12 @@ SCAN_TASKS, TASKS_PER_CORE = 10_000, 4
 SCORED = "query_id string, knowledge_id string, score double"
 
 
+def by_id(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in ascending order, and the positions they came from."""
+    order = pc.sort_indices(ids)
+    return np.array(ids.take(order).to_pylist(), dtype=object), order.to_numpy()
+
+
 class BestRows:
     """The best ``k`` (id, score) per question seen so far in one task."""
 
@@ -32,14 +39,17 @@ class BestRows:
         self.floors = np.full(questions, -np.inf)  # a lower score cannot enter any more
 
     def push(self, first: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores[i, j]``: question ``first + i`` against row ``ids[j]``."""
+        """``scores[i, j]``: question ``first + i`` against row ``ids[j]``; ``ids`` ascend, so of any
+        number of tied rows the first ones are the ones to keep."""
         scores = np.round(scores, DECIMALS) + 0.0  # + 0.0 turns -0.0 into 0.0
-        fits = scores >= self.floors[first:first + len(scores), None]  # ties stay until ids decide
+        fits = scores >= self.floors[first:first + len(scores), None]
         for i in np.flatnonzero(fits.any(axis=1)):
             q, keep = first + i, np.flatnonzero(fits[i])
             if keep.size > self.k:
                 among = scores[i, keep]
-                keep = keep[among >= np.partition(among, keep.size - self.k)[keep.size - self.k]]
+                floor = np.partition(among, keep.size - self.k)[keep.size - self.k]
+                above = keep[among > floor]
+                keep = np.concatenate([above, keep[among == floor][: self.k - above.size]])
             pool_ids = np.concatenate([self.ids[q], ids[keep]])
             pool = np.concatenate([self.scores[q], scores[i, keep]])
             order = np.lexsort((pool_ids, -pool))[: self.k]

@@ -24,7 +24,7 @@ def test_best_rows_equals_a_full_sort(data):
         size = data.draw(st.integers(1, 9))
         scores = np.array(data.draw(st.lists(st.lists(st.sampled_from([-1.0, -0.0, 0.0, 0.5, 1.0]), min_size=size, max_size=size),
                                              min_size=questions, max_size=questions)))
-        ids = np.array([f"k{(number + i) * 7 % 97:02d}-{number + i}" for i in range(size)], dtype=object)
+        ids = np.array(sorted(f"k{(number + i) * 7 % 97:02d}-{number + i}" for i in range(size)), dtype=object)
         number += size
         best.push(0, ids, scores)
         for q in range(questions):

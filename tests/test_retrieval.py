@@ -111,6 +111,12 @@ def test_bm25_negative_scores_rank_below_no_match(spark):
     same(got, brute_bm25(rows, asked, 10))
 
 
+def test_bm25_with_a_third_of_the_corpus_being_copies(spark, docs, asked, questions_df):
+    rows = docs + [(f"c{i:03d}", "t0", "red", "red fish sea") for i in range(60)]
+    df = spark.createDataFrame(rows, S.AGENT_ELIGIBLE).repartition(3)
+    same(lists(lexical.bm25_top(questions_df, df, 10)), brute_bm25(rows, asked, 10))
+
+
 def test_bm25_empty_corpus(corpus, questions_df):
     assert lexical.bm25_top(questions_df, corpus.limit(0)).count() == 0
 
