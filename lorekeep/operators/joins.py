@@ -42,6 +42,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     return estimated_bytes(df) <= broadcast_limit(df)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds ``_row``, a number per row to spread rows by - exact copies included, which no hash of
+    their columns could tell apart.  Number a table where it is scanned, before any shuffle: a
+    task that is run again reads the same rows in the same order and numbers them alike.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id())
+
+
 def heaviest_keys(df: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
     """The ``limit`` most frequent keys.  Counts combine on the map side, and the top list is a
     per-partition top-k plus a merge, so no group is ever gathered."""
@@ -55,8 +63,8 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join on ``key`` with the big side's hot keys spread over ``SALTS`` partitions.
 
-    ``spread_by`` names columns that tell rows of one key apart; hashing them (not ``rand``) keeps
-    a recomputed task identical to the first run.  ``hot`` may give the heaviest keys where they
+    ``spread_by`` names columns that tell rows of one key apart (``_row`` where copies may occur);
+    hashing them, not ``rand``, keeps a recomputed task identical to the first run.  ``hot`` may give the heaviest keys where they
     are known already.  Rows without a key match nothing and are spread as well.
     """
     hot = hot if hot is not None else heaviest_keys(big, key)
@@ -78,12 +86,12 @@ def salted_join(
 
 def sized_join(
     big: DataFrame, parent: DataFrame, key: str, how: str = "left",
-    spread_by: Sequence[str | Column] | None = None, hot: DataFrame | None = None,
+    spread_by: Sequence[str | Column] = ("_row",), hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``parent`` (one row per key, or few) on ``key``; see the module notes."""
     if fits_broadcast(parent):
         return big.join(F.broadcast(parent), key, how)
-    return salted_join(big, parent, key, how, spread_by or big.columns, hot)
+    return salted_join(big, parent, key, how, spread_by, hot)
 
 
 def keep_matching(big: DataFrame, wanted: DataFrame, key: str, unique: bool = False) -> DataFrame:
@@ -94,7 +102,7 @@ def keep_matching(big: DataFrame, wanted: DataFrame, key: str, unique: bool = Fa
         return big.join(F.broadcast(ids), key, "left_semi")
     if unique:
         return big.join(ids, key, "left_semi")
-    return salted_join(big, ids, key, "inner", [c for c in big.columns if c != key] or [key])
+    return salted_join(numbered(big), ids, key, "inner", ["_row"]).drop("_row")
 
 
 def attach(few: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str | Column]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lorekeep import schemas as S
 from lorekeep.functions.iso import integer, iso_date, iso_timestamp, number
 from lorekeep.functions.text import is_blank, quoted
-from lorekeep.operators.joins import sized_join
+from lorekeep.operators.joins import numbered, sized_join
 from lorekeep.session import staged
 
 Rule = tuple[Column, Column]
@@ -128,12 +128,14 @@ def annotate_duplicates(df: DataFrame, key: str) -> DataFrame:
 
     A window count would sort whole rows by id and gather a hot id in one task.  Here ids are
     counted alone, the (normally few) repeated ones are staged, and the wide rows meet them through
-    a size-checked join, so they usually do not move at all.
+    a size-checked join, so they usually do not move at all.  A frame that is ``numbered`` already
+    keeps its numbers.
     """
+    rows = df if "_row" in df.columns else numbered(df)
     repeats = staged(repeated_keys(df, key), "repeated_keys")
     # A null id joins to nothing, so it travels as a flagged empty key.
-    keyed = df.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("")))
+    keyed = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("")))
     marks = repeats.select(F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("")).alias("_key"), "_copies")
-    counted = sized_join(keyed, marks, "_key", "left", df.columns, hot=marks.orderBy(F.desc("_copies"), "_key"))
+    counted = sized_join(keyed, marks, "_key", "left", hot=marks.orderBy(F.desc("_copies"), "_key"))
     reason = F.format_string("duplicate id: %d rows share this identifier", F.col("_copies"))
     return counted.select(*df.columns, F.when(F.col("_copies").isNotNull(), reason).alias("duplicate_reason"))

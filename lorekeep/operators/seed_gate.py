@@ -14,7 +14,7 @@ from lorekeep import schemas as S
 from lorekeep.functions.governance import ai_eligible
 from lorekeep.functions.iso import iso_date
 from lorekeep.functions.text import is_blank, quoted
-from lorekeep.operators.joins import heaviest_keys, sized_join
+from lorekeep.operators.joins import heaviest_keys, numbered, sized_join
 from lorekeep.operators.quality import repeated_keys
 from lorekeep.session import staged
 
@@ -60,9 +60,9 @@ def _text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _with_known(df: DataFrame, parents: DataFrame, key: str, flag: str, spread_by: list[str]) -> DataFrame:
+def _with_known(df: DataFrame, parents: DataFrame, key: str, flag: str) -> DataFrame:
     ids = staged(parents.select(key).distinct().withColumn(flag, F.lit(True)), f"ids_{key}")
-    return sized_join(df, ids, key, "left", spread_by, heaviest_keys(df, key))
+    return sized_join(df, ids, key, "left", hot=heaviest_keys(df, key))
 
 
 def source_errors(sources: DataFrame) -> DataFrame:
@@ -73,8 +73,8 @@ def source_errors(sources: DataFrame) -> DataFrame:
 
 
 def knowledge_errors(knowledge: DataFrame, topics: DataFrame, sources: DataFrame) -> DataFrame:
-    known = _with_known(knowledge, topics, "topic_id", "_topic", ["knowledge_id"])
-    known = _with_known(known, sources, "source_id", "_source", ["knowledge_id"])
+    known = _with_known(numbered(knowledge), topics, "topic_id", "_topic")
+    known = _with_known(known, sources, "source_id", "_source")
     return _errors(known, "knowledge", "knowledge_id", [
         (F.col("_topic").isNull(), quoted("unknown topic_id", _text("topic_id"))),
         (F.col("_source").isNull(), quoted("unknown source_id", _text("source_id"))),
@@ -89,7 +89,7 @@ def knowledge_errors(knowledge: DataFrame, topics: DataFrame, sources: DataFrame
 
 
 def review_errors(reviews: DataFrame, knowledge: DataFrame) -> DataFrame:
-    known = _with_known(reviews, knowledge, "knowledge_id", "_knowledge", ["review_id"])
+    known = _with_known(numbered(reviews), knowledge, "knowledge_id", "_knowledge")
     return _errors(known, "reviews", "review_id", [
         (F.col("_knowledge").isNull(), quoted("unknown knowledge_id", _text("knowledge_id"))),
         _enum("review_status", S.REVIEW_STATUSES),
@@ -129,7 +129,7 @@ def preview(knowledge: DataFrame, sources: DataFrame) -> DataFrame:
     """``(records, eligible)`` as the delivery stands.  Should a source id repeat, the copy with the
     smallest status text speaks for it (the gate rejects such a delivery anyway)."""
     status = staged(sources.groupBy("source_id").agg(F.min("source_status").alias("source_status")), "source_status")
-    joined = sized_join(knowledge, status, "source_id", "left", ["knowledge_id"])
+    joined = sized_join(numbered(knowledge), status, "source_id", "left")
     flag = ai_eligible(F.col("review_status"), F.col("source_status"), F.col("content_status"))
     return joined.agg(F.count(F.lit(1)).alias("records"), F.count_if(flag).alias("eligible"))
 

@@ -65,3 +65,17 @@ def test_broadcast_limit_follows_the_session(spark, parent):
             assert joins.broadcast_limit(parent) == size
     finally:
         spark.conf.set(key, before)
+
+
+def test_exact_copies_are_spread_too(spark, parent):
+    """A third of all rows being one row, over and over, must not end in one task."""
+    copies = spark.range(6000).select(F.lit("hot").alias("k"), F.lit("same").alias("text"))
+    key = "spark.sql.adaptive.enabled"
+    spark.conf.set(key, "false")
+    try:
+        joined = joins.salted_join(joins.numbered(copies), parent, "k", "left", ["_row"])
+        tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 4 and max(r["count"] for r in tasks) < 3000
+        assert joins.keep_matching(copies, parent, "k").count() == 6000
+    finally:
+        spark.conf.set(key, "true")
