@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import line_dedup, packing, quality_rules  # noqa: F401
+from lorekeep.llm import line_dedup, mixing, packing, quality_rules  # noqa: F401
 from lorekeep.llm.common import ORACLES, QUERIES
 
 
