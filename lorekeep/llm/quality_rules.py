@@ -27,69 +27,73 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 3  # words
+LOOKED_UP = 64  # repeated windows of a text that are looked up one by one
+ALL = 1 << 30
+WORDS, HASHES = f"{DOC}_words", f"{DOC}_hashes"
 
 
 def _whole(column: Column) -> Column:
     return column.cast("long")
 
 
-def repeat_words(w: Column, n: Column) -> Column:
-    """Words inside ``WINDOW``-word windows that the text has twice or more, the first included.
+def _grams(hashes: Column, n: int) -> Column:
+    """Structs of ``n`` neighbouring word hashes, one per word; the last ones run into nulls."""
+    return F.arrays_zip(hashes.alias("h0"), *[F.slice(hashes, k + 1, ALL).alias(f"h{k}") for k in range(1, n)])
 
-    Texts without a repeated window, nearly all, end at a distinct count; the others sort their
-    windows, so the work stays near linear in the text.
-    """
-    windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(*[F.get(w, i - 1 + k) for k in range(WINDOW)]))
-
-    def covered(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-        def starts(s: Column) -> Column:
-            same = lambda x, i, by: F.coalesce(F.get(s, i + by)["h"] == x["h"], F.lit(False))
-            again = F.filter(s, lambda x, i: same(x, i, 1) | (F.when(i > 0, F.get(s, i - 1)["h"] == x["h"]).otherwise(False)))
-            return F.array_sort(F.transform(again, lambda x: x["i"]))
+def split_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the words of the text and their hashes, as columns that later lambdas look into."""
+    return docs.withColumn(WORDS, words(F.col(text))).withColumn(HASHES, F.transform(WORDS, lambda w: F.xxhash64(w)))
 
-        def count(p: Column) -> Column:
-            steps = F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
-            return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
-        return _let(placed, lambda s: _let(starts(s), count))
+def with_repeat_words(docs: DataFrame) -> DataFrame:
+    """Adds ``n_repeat_words``: words inside ``WINDOW``-word windows that the text has twice or more,
+    the first included.
 
-    return F.when(n < WINDOW + 1, F.lit(0)).otherwise(
-        _let(windows, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(covered(hs)))
+    Texts without a repeated window, nearly all, end at a distinct count.  The others look up each
+    window among the few repeated ones; a text with many of those sorts its windows instead, so the
+    work stays near linear in the text.
+    """
+    w, again, at = f"{DOC}_windows", f"{DOC}_again", f"{DOC}_at"
+    full = F.size(HASHES) - (WINDOW - 1)
+    hashed = F.transform(F.slice(_grams(F.col(HASHES), WINDOW), F.lit(1), F.greatest(full, F.lit(0))), lambda x: F.xxhash64(x))
+    alike = F.size(F.array_distinct(w)) == F.size(w)
+    ranked = F.sort_array(w)
+    repeated = F.array_distinct(F.filter(F.col(again), lambda x, i: (i > 0) & (F.get(F.col(again), i - 1) == x)))
+    found = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(F.col(at), x), i)), lambda i: i.isNotNull())
+    placed = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pos, many = f"{DOC}_pos", f"{DOC}_many"
+    beside = lambda s, x, i: F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)) | (F.when(i > 0, F.get(s, i - 1)["h"] == x["h"]).otherwise(False))
+    sorted_found = F.array_sort(F.transform(F.filter(F.col(many), lambda x, i: beside(F.col(many), x, i)), lambda x: x["i"]))
+    steps = F.transform(pos, lambda x, i: F.least(F.coalesce(F.get(F.col(pos), i + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
+    return (
+        docs.withColumn(w, hashed)
+        .withColumn(again, F.when(~alike, ranked))
+        .withColumn(at, F.when(F.col(again).isNotNull(), repeated))
+        .withColumn(many, F.when(F.size(at) > LOOKED_UP, placed))
+        .withColumn(pos, F.when(F.col(many).isNotNull(), sorted_found).when(F.col(at).isNotNull(), found))
+        .withColumn("n_repeat_words", _whole(F.coalesce(F.aggregate(steps, F.lit(0), lambda total, x: total + x), F.lit(0))))
+        .drop(w, again, at, many, pos)
     )
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once: a lambda over a one-element array."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` and the
-    words themselves in ``DOC + "_words"``.  A null text has no words and fails."""
-    w, n = F.col(f"{DOC}_words"), F.col(f"{DOC}_n")
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return (
-        docs.withColumn(f"{DOC}_words", words(F.col(text)))
-        .withColumn(f"{DOC}_n", F.size(w))
-        .withColumns({
-            "n_words": _whole(n),
-            "word_chars": _whole(F.length(F.array_join(w, ""))),
-            "n_symbols": _whole(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS))),
-            "n_dup_lines": _whole(_let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))),
-            "n_repeat_words": _whole(repeat_words(w, n)),
-        })
-        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-        .drop(f"{DOC}_n")
-    )
+    """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` to documents
+    of ``split_words``.  A null text has no words and fails."""
+    lines = f"{DOC}_lines"
+    full = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    measured = docs.withColumn(lines, full).withColumns({
+        "n_words": _whole(F.size(WORDS)),
+        "word_chars": _whole(F.length(F.array_join(WORDS, ""))),
+        "n_symbols": _whole(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(SYMBOLS))),
+        "n_dup_lines": _whole(F.size(lines) - F.size(F.array_distinct(lines))),
+    })
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return with_repeat_words(measured).withColumn("base_failed", failed).drop(lines)
 
 
-def buckets(w: Column) -> Column:
-    """Bucket numbers of the words, then of the pairs of neighbouring words."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    two = F.transform(w, lambda x, i: F.pmod(F.xxhash64(x, F.get(w, i + 1)), F.lit(BUCKETS)).cast("int"))
-    return F.concat(one, F.slice(two, 1, F.greatest(F.size(w) - 1, F.lit(0))))
+def _bucket(x: Column) -> Column:
+    return F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", bound: int = TRUSTED_IDS) -> DataFrame:
@@ -113,9 +117,9 @@ def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str =
     documents, or without any documents, every ratio is 0.
     """
     flagged = docs.select(doc_id, text).join(F.broadcast(trusted.select(doc_id).withColumn(f"{DOC}_good", F.lit(1))), doc_id, "left")
-    split = flagged.select(f"{DOC}_good", words(F.col(text)).alias("w"))  # a column: the bucket lambdas look into it per word
-    grams = split.select(f"{DOC}_good", F.explode(buckets(F.col("w"))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count(f"{DOC}_good").alias("good")).collect()
+    pairs = split_words(flagged, text).select(f"{DOC}_good", F.explode(_grams(F.col(HASHES), 2)).alias("x"))
+    grams = pairs.select(f"{DOC}_good", F.explode(F.array(_bucket(F.col("x.h0")), F.when(F.col("x.h1").isNotNull(), _bucket(F.col("x"))))).alias("bucket"))
+    counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count(f"{DOC}_good").alias("good")).collect()
     raw, good = [1] * BUCKETS, [1] * BUCKETS
     for row in counts:
         raw[row["bucket"]] += row["raw"]
@@ -126,16 +130,18 @@ def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str =
     return [math.log(g / r) + shift for g, r in zip(good, raw)], THRESHOLD - ALLOWANCE * BUCKETS / sum(good)
 
 
-def score(w: Column, ratios: list[float]) -> Column:
-    """Mean log ratio over the n-grams of the words; 0 without words."""
+def score(ratios: list[float]) -> Column:
+    """Mean log ratio over the words and word pairs of ``split_words``; 0 without words."""
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folds to one literal
-    total = F.aggregate(buckets(w), F.lit(0.0), lambda sum_, b: sum_ + F.get(weights, b))
-    return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(total / (2 * F.size(w) - 1))
+    mean = lambda sum_, x: sum_ + F.get(weights, _bucket(x))
+    one = F.aggregate(HASHES, F.lit(0.0), mean)
+    two = F.aggregate(F.slice(_grams(F.col(HASHES), 2), F.lit(1), F.greatest(F.size(HASHES) - 1, F.lit(0))), F.lit(0.0), mean)
+    return F.when(F.size(HASHES) == 0, F.lit(0.0)).otherwise((one + two) / (2 * F.size(HASHES) - 1))
 
 
 def judge(docs: DataFrame, ratios: list[float], threshold: float, text: str = "text") -> DataFrame:
     """``docs`` with the measures of ``base_rules``, ``llr`` and ``kept``."""
-    ruled = base_rules(docs, text).withColumn("llr", score(F.col(f"{DOC}_words"), ratios)).drop(f"{DOC}_words")
+    ruled = base_rules(split_words(docs, text), text).withColumn("llr", score(ratios)).drop(WORDS, HASHES)
     return ruled.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
