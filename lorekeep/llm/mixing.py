@@ -35,8 +35,9 @@ ROWS_PER_PART = 64  # rows that one window of a running sum sees, about
 def source_targets(sizes: DataFrame) -> DataFrame:
     """``source, source_size, weight, target`` per source of ``sizes`` (``source, size``).
 
-    A source is capped where its cap is at most its share at the water level; taking sources by
-    cap per weight, the level is set by the first whose cap is not below what is left for it.
+    Taking sources by cap per weight, each would set the level ``(total - caps before) / weights
+    left`` if it were the first not to be capped.  That level grows while sources are rightly capped
+    and falls behind the first that is not, so the greatest of them is the level.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = W.orderBy(F.col("source").isNull(), F.encode(F.col("source"), "UTF-8"))
@@ -49,7 +50,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     per = per.withColumn("total", F.sum("source_size").over(everything)).withColumn("capped", F.coalesce(F.sum(cap).over(before), F.lit(0)))
     per = per.withColumn("left_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     level = (F.col("total") - F.col("capped")) / F.col("left_weight")
-    per = per.withColumn("level", F.min(F.when(level <= cap / F.col("weight"), level)).over(everything))
+    per = per.withColumn("level", F.max(level).over(everything))
     share = F.col("level") * F.col("weight")
     target = F.when(share >= cap, cap.cast("double")).otherwise(share)
     return per.select("source", "source_size", "weight", target.alias("target"))
@@ -173,7 +174,8 @@ lined AS (
     sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_weight
   FROM weighed),
 levels AS (
-  SELECT *, min(CASE WHEN (total - capped)::DOUBLE / left_weight <= 3.0::DOUBLE * source_size / weight THEN (total - capped)::DOUBLE / left_weight END) OVER () AS level FROM lined),
+  SELECT *, (SELECT arg_min((total - capped)::DOUBLE / left_weight, (source_size / weight, source IS NULL, source)) FROM lined
+    WHERE (total - capped)::DOUBLE / left_weight <= 3.0::DOUBLE * source_size / weight) AS level FROM lined),
 targets AS (
   SELECT source, source_size, CASE WHEN level * weight >= 3 * source_size THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target FROM levels),
 placed AS (

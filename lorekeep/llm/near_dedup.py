@@ -72,6 +72,8 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 def sketch(s: np.ndarray) -> np.ndarray:
     """``SKETCHES`` hashes, each of the ``PICKED`` least shingles of one order, in text order."""
+    if not len(s):
+        return np.zeros(SKETCHES, np.uint64)
     picked = min(PICKED, len(s))
     seeds = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _STEP)
     out = np.empty(SKETCHES, np.uint64)
@@ -175,7 +177,7 @@ class NearDuplicates:
 
     def link(self, rows: DataFrame) -> None:
         """Finds ``links`` (``x, y``) between the distinct texts in ``rows``."""
-        texts = self.split.select("row", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") > 0)
+        texts = self.split.select("row", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
         self.marks = staged(sketched(texts).join(rows, "row", "left_semi"), "sketches")
         one = self.marks.select("row", F.posexplode("sketches").alias("j", "h"))
         shared = staged(one.groupBy("j", "h").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")

@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 from lorekeep.llm import line_dedup, mixing, near_dedup, packing, quality_rules  # noqa: F401
-from lorekeep.llm.common import ORACLES, QUERIES
+from lorekeep.llm.common import ORACLES, QUERIES, query
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def all_queries():
