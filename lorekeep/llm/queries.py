@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import chat_format, line_dedup, mixing, near_dedup, packing, quality_rules  # noqa: F401
+from lorekeep.llm import chat_format, line_dedup, mixing, near_dedup, nearest, packing, quality_rules  # noqa: F401
 from lorekeep.llm.common import ORACLES, QUERIES, query
 
 
