@@ -13,11 +13,12 @@ above 0.85 practically never.
 
 Buckets may be large, so no bucket is paired off.  Each bucket first links its members to the one
 that shares most buckets with others, the likely original.  Components of the verified links leave,
-per bucket, the members outside its centre's component; only buckets that have any go on.  Their
-members meet in narrower buckets (a second sketch agrees as well), and there ever more of the rest
-are compared with every member of another component, until none is left.  So two texts of one
-bucket end in one component or have been compared.  Nothing is capped, and candidate pairs, links
-and labels stay in tables of the shared folder.
+per bucket, the members outside its centre's component; only buckets that have any go on.  Of
+their members, those stay that may still have a similar text there: a text with too many shingles
+no other member has cannot.  Ever more of the rest are compared with every member of another
+component, until none is left.  So two texts of one bucket end in one component, have been compared,
+or cannot be similar.  Nothing is capped, and candidate pairs, links and labels stay in tables of
+the shared folder.
 """
 
 from __future__ import annotations
@@ -134,6 +135,17 @@ def sketched(texts: DataFrame) -> DataFrame:
     return texts.select("row", "hashes").mapInArrow(run, "row long, n long, sketches array<long>")
 
 
+def parts(texts: DataFrame) -> DataFrame:
+    """``row, shingle``: every labelled shingle of ``texts`` (``row, hashes``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, hashes in zip(batch.column(0).to_pylist(), _lists(batch.column(1))):
+                s = shingles(hashes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), row)), pa.array(s)], ["row", "shingle"])
+
+    return texts.select("row", "hashes").mapInArrow(run, "row long, shingle long")
+
+
 def aligned(pairs: DataFrame) -> DataFrame:
     """``x, y`` of the pairs (``x, y, left, right``: word hashes of both) that are similar."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +180,7 @@ class NearDuplicates:
         order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("row"))
         groups = staged(keyed.groupBy("a", "b", "own").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")), "groups")
         self.link(groups.where("size > 0").select(F.col("first.row").alias("row")))
-        labels = components(self.links)
-        named = groups.join(labels, F.col("first.row") == F.col("node"), "left").withColumn("label", F.coalesce("label", "first.row"))
+        named = groups.join(self.labels, F.col("first.row") == F.col("node"), "left").withColumn("label", F.coalesce("label", "first.row"))
         classes = staged(named.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size")), "classes")
         of_group = staged(named.select("a", "b", "own", "label").join(classes, "label").select(
             "a", "b", "own", F.col("first.id").alias("class_id"), F.col("first.row").alias("kept_row"), "class_size"), "named")
@@ -193,14 +204,25 @@ class NearDuplicates:
 
         rest = self.outside(members, centres)
         if rest.limit(1).count():
-            # Members of unsettled buckets meet again where a second sketch agrees too.
-            open_ = members.join(rest.select("bucket").distinct(), "bucket").select("bucket", "row").join(self.marks, "row")
-            narrow = open_.select("row", F.col("bucket").alias("wide"), F.posexplode("sketches").alias("j", "h")).where(F.xxhash64("j", "h") != F.col("wide"))
-            narrow = staged(narrow.select(F.xxhash64("wide", "j", "h").alias("bucket"), "row"), "narrow")
-            many = narrow.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-            members = staged(narrow.join(many.select("bucket"), "bucket").join(weight, "row"), "members")
-            centres = staged(members.groupBy("bucket").agg(F.max(F.struct("weight", F.negative("row").alias("back"))).alias("c")).select("bucket", F.negative("c.back").alias("centre")), "centres")
-            self.settle(members, centres)
+            opened = staged(members.join(rest.select("bucket").distinct(), "bucket").select("bucket", "row", "weight"), "opened")
+            self.settle(self.hopeful(opened), centres)
+
+    def hopeful(self, members: DataFrame) -> DataFrame:
+        """Members that may have a similar text in their bucket.
+
+        ``own`` shingles of a text are in no other member of any bucket here, so it shares at most
+        the other ``n - own`` with a text of at least the bucket's least size, which bounds the
+        similarity.  Counting shingles takes one combined pass over these texts.
+        """
+        each = parts(self.texts.join(members.select("row").distinct(), "row", "left_semi"))
+        once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("row").alias("row")).where("texts = 1")
+        own = once.groupBy("row").agg(F.count(F.lit(1)).alias("own"))
+        known = self.marks.select("row", "n").join(own, "row", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        sized = staged(members.join(known, "row"), "sized")
+        least = sized.groupBy("bucket").agg(F.min("n").alias("least"))
+        shared = F.col("n") - F.col("own")
+        enough = shared + 1e-9 >= SIMILARITY * (F.col("own") + F.greatest(F.col("least"), shared))
+        return staged(sized.join(least, "bucket").where(enough).select("bucket", "row", "weight"), "hopeful")
 
     def outside(self, members: DataFrame, centres: DataFrame) -> DataFrame:
         """Members that are not in the component of their bucket's centre."""
@@ -218,7 +240,6 @@ class NearDuplicates:
         """Compares members outside the component of their centre with all of other components,
         more of them per bucket in each round, until every one has had its turn."""
         tried, turn = centres.select("bucket", F.col("centre").alias("row")), FIRST_CENTRES
-        self.verify(members.join(centres, "bucket").select(F.col("centre").alias("x"), F.col("row").alias("y")))
         while True:
             rest = self.outside(members, centres).join(tried, ["bucket", "row"], "left_anti")
             place = W.partitionBy("bucket").orderBy(F.desc("weight"), "row")
