@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as contract
+from lorekeep.testbed import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.all_queries()))
 def test_query_matches_sql(spark, duck, name):
     assert compare(spark, duck, name, SF_DIR) in (None, "no rows")
 
@@ -27,4 +28,4 @@ def test_entry_yields_rows(spark):
 
 
 def test_only_non_sql_queries_lack_an_oracle():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"event_envelope", "embed_query"}
+    assert set(registry.all_queries()) - set(registry.all_oracles()) == {"event_envelope", "embed_query"}
