@@ -211,8 +211,9 @@ class NearDuplicates:
         """Members that may have a similar text in their bucket.
 
         ``own`` shingles of a text are in no other member of any bucket here, so it shares at most
-        the other ``n - own`` with a text of at least the bucket's least size, which bounds the
-        similarity.  Counting shingles takes one combined pass over these texts.
+        the other ``n - own``.  For a similarity of ``s`` the shared ones must be ``s / (1 + s)`` of
+        both sizes together, so a partner has at most ``most`` shingles.  Counting shingles takes
+        one combined pass over these texts.
         """
         each = parts(self.texts.join(members.select("row").distinct(), "row", "left_semi"))
         once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("row").alias("row")).where("texts = 1")
@@ -221,8 +222,9 @@ class NearDuplicates:
         sized = staged(members.join(known, "row"), "sized")
         least = sized.groupBy("bucket").agg(F.min("n").alias("least"))
         shared = F.col("n") - F.col("own")
-        enough = shared + 1e-9 >= SIMILARITY * (F.col("own") + F.greatest(F.col("least"), shared))
-        return staged(sized.join(least, "bucket").where(enough).select("bucket", "row", "weight"), "hopeful")
+        most = shared * ((1 + SIMILARITY) / SIMILARITY) - F.col("n") + 1e-6
+        able = (F.col("least") <= F.col("most")) & (shared + 1e-6 >= SIMILARITY * F.col("n"))
+        return staged(sized.withColumn("most", most).join(least, "bucket").where(able).select("bucket", "row", "weight", "n", "most"), "hopeful")
 
     def outside(self, members: DataFrame, centres: DataFrame) -> DataFrame:
         """Members that are not in the component of their bucket's centre."""
@@ -243,11 +245,11 @@ class NearDuplicates:
         while True:
             rest = self.outside(members, centres).join(tried, ["bucket", "row"], "left_anti")
             place = W.partitionBy("bucket").orderBy(F.desc("weight"), "row")
-            now = staged(rest.withColumn("place", F.row_number().over(place)).where(F.col("place") <= turn).select("bucket", "row", "label"), "turn")
+            now = staged(rest.withColumn("place", F.row_number().over(place)).where(F.col("place") <= turn).select("bucket", "row", "label", "n", "most"), "turn")
             if not now.limit(1).count():
                 return
-            others = self.labelled(members).select("bucket", F.col("row").alias("y"), F.col("label").alias("there"))
-            pairs = now.join(others, "bucket").where("label <> there").select(F.col("row").alias("x"), "y")
+            others = self.labelled(members).select("bucket", F.col("row").alias("y"), F.col("label").alias("there"), F.col("n").alias("ny"), F.col("most").alias("most_y"))
+            pairs = now.join(others, "bucket").where("label <> there and ny <= most and n <= most_y").select(F.col("row").alias("x"), "y")
             self.verify(pairs)
             tried = staged(tried.union(now.select("bucket", "row")), "tried")
             turn *= 2
