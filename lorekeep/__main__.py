@@ -6,7 +6,7 @@
     python -m lorekeep stream --warehouse /lake --input /landing/events --run-for-seconds 60
     python -m lorekeep analytics --warehouse /lake
     python -m lorekeep search --warehouse /lake --questions q.jsonl --out /tmp/answers
-    python -m lorekeep evaluate --warehouse /lake --benchmark cases.json
+    python -m lorekeep evaluate --warehouse /lake --benchmark cases.json --out /tmp/evaluation
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 
 from lorekeep.operators.seed_gate import DeliveryRejected
 from lorekeep.plans import jobs
-from lorekeep.session import build_session
+from lorekeep.session import build_session, drop_staged
 from lorekeep.sources import files, streams
 from lorekeep.streaming.events import run_for
 
@@ -34,21 +34,22 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(flag, **settings)
 
     need = {"required": True}
-    command("load", ("--feeds", need), ("--single-line", {"action": "store_true"}))
+    command("load", ("--feeds", need), ("--rules", {}), ("--single-line", {"action": "store_true"}))
     command("refresh", ("--quarantine", need), ("--run-id", {}))
     command("index")
     command("stream", ("--input", {}), ("--kafka-servers", {}), ("--kafka-topic", {}),
             ("--run-for-seconds", {"type": float}), ("--available-now", {"action": "store_true"}))
     command("analytics")
-    command("search", ("--questions", need), ("--out", need), ("--topic", {}), ("--top-n", {"type": int, "default": 5}))
-    command("evaluate", ("--benchmark", need))
+    command("search", ("--questions", need), ("--out", need), ("--topic", {}), ("--top-n", {"type": int, "default": 5}),
+            ("--fetch-n", {"type": int}), ("--semantic-weight", {"type": float, "default": 0.6}), ("--lexical-weight", {"type": float, "default": 0.4}))
+    command("evaluate", ("--benchmark", need), ("--out", need), ("--single-line", {"action": "store_true"}))
     return top
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.command == "load":
         try:
-            for warning in jobs.load_raw(spark, args.feeds, args.warehouse, not args.single_line):
+            for warning in jobs.load_raw(spark, args.feeds, args.warehouse, not args.single_line, args.rules):
                 print(f"WARNING: {warning}")
         except DeliveryRejected as error:
             print(f"ERROR: {error}")
@@ -75,16 +76,23 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         jobs.refresh_analytics(spark, args.warehouse)
     elif args.command == "search":
         questions = spark.read.schema("query_id string, question string").json(args.questions)
-        jobs.search(spark, args.warehouse, questions, args.top_n, args.topic).write.mode("overwrite").json(args.out)
+        answers = jobs.search(
+            spark, args.warehouse, questions, args.top_n, args.topic, semantic_weight=args.semantic_weight,
+            lexical_weight=args.lexical_weight, fetch_n=args.fetch_n)
+        answers.write.mode("overwrite").json(args.out)
     else:
-        for frame in jobs.evaluate(spark, args.warehouse, files.read_benchmark(spark, args.benchmark)).values():
-            frame.show(truncate=False)
+        cases = files.read_benchmark(spark, args.benchmark, not args.single_line)
+        for name, frame in jobs.evaluate(spark, args.warehouse, cases).items():
+            frame.write.mode("overwrite").json(f"{args.out}/{name}")
     return 0
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
-    return run(args, build_session())
+    args, spark = parser().parse_args(argv), build_session()
+    try:
+        return run(args, spark)
+    finally:
+        drop_staged(spark)
 
 
 if __name__ == "__main__":

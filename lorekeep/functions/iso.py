@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 DATE = r"^(?!0000)\d{4}-\d{2}-\d{2}$"
 COMPACT_DATE = r"^(?!0000)\d{8}$"
 WEEK_DATE = r"^(?!0000)(\d{4})(-?)W(\d{2})(?:\2(\d))?$"
-TIMESTAMP = (
-    r"^(?!0000)\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
-)
+_FRACTION = r"(?:[.,]\d+)?"
+_CLOCK = rf"\d{{2}}(?::\d{{2}}(?::\d{{2}}{_FRACTION})?)?|\d{{4}}(?:\d{{2}}{_FRACTION})?"
+_OFFSET = rf"Z|[+-](?:\d{{2}}(?::\d{{2}}(?::\d{{2}}{_FRACTION})?)?|\d{{4}}(?:\d{{2}}{_FRACTION})?)"
+TIMESTAMP = rf"(?s)^(\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}-?W\d{{2}}(?:-?\d(?!\d))?|\d{{8}})(?:.({_CLOCK})({_OFFSET})?)?$"
 INTEGER = r"^\s*[+-]?\d+\s*$"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -43,7 +44,22 @@ def iso_date(text: Column) -> Column:
 
 
 def iso_timestamp(text: Column) -> Column:
-    return F.when(text.rlike(TIMESTAMP), text.try_cast("timestamp"))
+    """Extended and basic forms, week dates, any separator before the time, hours alone, fractions of
+    any length (cut to microseconds) after a dot or comma, offsets down to seconds.  A time without
+    an offset is in the session's zone."""
+    part = lambda i: F.regexp_extract(text, TIMESTAMP, i)
+    digits = lambda t: F.rpad(F.regexp_replace(F.regexp_extract(t, r"^[+-]?([\d:]*)", 1), ":", ""), 6, "0")
+    two = lambda t, at: F.substring(digits(t), at, 2)
+    clock, offset = part(2), part(3)
+    fraction = F.rpad(F.substring(F.regexp_extract(clock, r"[.,](\d+)$", 1), 1, 6), 6, "0")
+    stamp = F.concat(
+        iso_date(part(1)).cast("string"), F.lit(" "), two(clock, 1), F.lit(":"), two(clock, 3), F.lit(":"), two(clock, 5),
+        F.lit("."), fraction, F.when(offset != "", F.lit("Z")).otherwise(F.lit(""))).try_cast("timestamp")
+    hours, minutes, seconds = (two(offset, i).try_cast("int") for i in (1, 3, 5))
+    ahead = F.when(offset.startswith("-"), F.lit(-1)).otherwise(F.lit(1)) * F.coalesce(hours * 3600 + minutes * 60 + seconds, F.lit(0))
+    sane = F.coalesce((hours < 24) & (minutes < 60) & (seconds < 60), F.lit(True))
+    moved = F.timestamp_add("SECOND", -ahead, stamp)
+    return F.when(text.rlike(TIMESTAMP) & sane, moved)
 
 
 def integer(text: Column) -> Column:

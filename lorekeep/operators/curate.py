@@ -13,7 +13,7 @@ from lorekeep import schemas as S
 from lorekeep.functions.governance import ai_eligible
 from lorekeep.functions.iso import integer, iso_date
 from lorekeep.operators import quality as Q
-from lorekeep.operators.joins import heaviest_keys, numbered, sized_join
+from lorekeep.operators.joins import key_counts, numbered, sized_join
 
 
 def _judged(df: DataFrame, rules: list[Q.Rule]) -> DataFrame:
@@ -35,8 +35,8 @@ def check_knowledge(raw: DataFrame, valid_topics: DataFrame, valid_sources: Data
     topics = valid_topics.select("topic_id", "topic_name")
     sources = valid_sources.select("source_id", "source_name", "source_status")
     joined = Q.annotate_duplicates(numbered(raw), "knowledge_id")
-    joined = sized_join(joined, topics, "topic_id", "left", hot=heaviest_keys(raw, "topic_id"))
-    joined = sized_join(joined, sources, "source_id", "left", hot=heaviest_keys(raw, "source_id"))
+    joined = sized_join(joined, topics, "topic_id", "left", counts=key_counts(raw, "topic_id"))
+    joined = sized_join(joined, sources, "source_id", "left", counts=key_counts(raw, "source_id"))
     eligible = ai_eligible(F.col("review_status"), F.col("source_status"), F.col("content_status"))
     return _judged(joined, Q.knowledge_rules()).select(
         *raw.columns, "topic_name", "source_name", eligible.alias("ai_eligible"), "reason"
@@ -47,7 +47,7 @@ def check_reviews(raw: DataFrame, valid_knowledge: DataFrame) -> DataFrame:
     """Reviews may hang on ineligible knowledge, not on rejected knowledge."""
     known = valid_knowledge.select("knowledge_id", F.lit(True).alias("knowledge_found"))
     joined = Q.annotate_duplicates(numbered(raw), "review_id")
-    joined = sized_join(joined, known, "knowledge_id", "left", hot=heaviest_keys(raw, "knowledge_id"))
+    joined = sized_join(joined, known, "knowledge_id", "left", counts=key_counts(raw, "knowledge_id"))
     return _judged(joined, Q.review_rules()).select(*raw.columns, "reason")
 
 

@@ -56,10 +56,17 @@ def side_by_side(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
         return [done.result() for done in [pool.submit(build) for build in builds]]
 
 
+def one_per_id(questions: DataFrame) -> DataFrame:
+    """One whole row per ``query_id``, the first by value: text and vector stay together."""
+    rest = [c for c in questions.columns if c != "query_id"]
+    return questions.groupBy("query_id").agg(F.min(F.struct(*rest)).alias("q")).select("query_id", "q.*")
+
+
 def candidate_lists(
     questions: DataFrame, embeddings: DataFrame, corpus: DataFrame, fetch_n: int = 10
 ) -> list[DataFrame]:
     """The semantic and the lexical list, ids and scores only, staged."""
+    questions = staged(one_per_id(questions), "questions")
     return side_by_side(
         lambda: staged(cosine_top(questions, embeddings, fetch_n), "semantic"),
         lambda: staged(bm25_top(questions, corpus, fetch_n), "lexical"),
@@ -88,8 +95,12 @@ def search(
     """Hybrid search for a table of questions ``(query_id, question, embedding)``.
 
     ``2 * top_n`` merged candidates are kept before the re-check, so a few rows that became
-    ineligible since indexing do not starve the answer.
+    ineligible since indexing do not starve the answer.  ``fetch_n`` from each side must be able to
+    fill ``top_n``.  A repeated ``query_id`` is one question, the same for both sides.
     """
+    if fetch_n < top_n:
+        raise ValueError(f"fetch_n={fetch_n} candidates a side cannot be sure to fill top_n={top_n}")
+    questions = staged(one_per_id(questions), "questions")
     sem, lex = side_by_side(
         lambda: semantic_search(questions, embeddings, fetch_n), lambda: lexical_search(questions, corpus, fetch_n)
     )

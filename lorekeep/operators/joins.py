@@ -2,14 +2,13 @@
 
 ``sized_join`` is the one way big tables meet their parents here:
 
-* the parent is small enough (Catalyst's byte estimate, exact for staged tables) -> broadcast it;
-  the big side does not move, so a hot key costs nothing;
-* otherwise both sides shuffle, and the keys that would swamp one task are salted: the heaviest
-  ``HOT_KEYS`` keys of the big side (a list bounded by construction) have their rows spread over
-  ``SALTS`` partitions, and only those parents are copied ``SALTS`` times.
-
-Any key outside the list holds less than 1/HOT_KEYS of the rows, so no task gets an outsized share
-and no row is dropped.
+* the parent is small enough, by its files and by its decoded values -> broadcast it; the big side
+  does not move, so a hot key costs nothing;
+* otherwise both sides shuffle, and every key with more rows than one task should have is salted:
+  its rows are spread over as many partitions as its count makes shares, and its parents are copied
+  as often.
+
+No row is dropped, and no key brings a task more than a share (``heavy_keys``).
 """
 
 from __future__ import annotations
@@ -18,11 +17,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorekeep.session import staged
 
-HOT_KEYS = 256
-SALTS = 64
+ROWS_PER_TASK = 1_000_000
+MAX_HEAVY = 50_000
+NULL_SALTS = 1 << 20  # rows without a key have no parent to copy, so any number does
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -38,8 +39,24 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(float(number) * units.get(text[len(number):].lower(), 1))
 
 
+def decoded_bytes(df: DataFrame) -> int:
+    """What the values of a frame take once decoded: text by its length, the rest by its type."""
+    def width(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.col(field.name))), F.lit(0)) + 16
+        return F.lit(8)
+
+    row = sum((width(f) for f in df.schema), F.lit(16))
+    return int(df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0])
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= broadcast_limit(df)
+    """By Catalyst's estimate first, which is the size of compressed files; only a frame that passes
+    is measured, by a scan of no more than that."""
+    limit = broadcast_limit(df)
+    return estimated_bytes(df) <= limit and decoded_bytes(df) <= limit
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -50,48 +67,52 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("_row", F.monotonically_increasing_id())
 
 
-def heaviest_keys(df: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
-    """The ``limit`` most frequent keys.  Counts combine on the map side, and the top list is a
-    per-partition top-k plus a merge, so no group is ever gathered."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.orderBy(F.desc("_rows"), key).limit(limit).select(key)
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """``(key, _rows)``; counts combine on the map side, so no group is ever gathered."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def heavy_keys(counts: DataFrame, key: str) -> DataFrame:
+    """``(key, _salts)`` of the keys with more rows than one task should have.
+
+    A task's share is ``ROWS_PER_TASK``, or a ``MAX_HEAVY``-th of the heavy keys' rows if that is
+    more, so the list has at most ``MAX_HEAVY`` keys and may be broadcast.  Each gets as many salts as
+    its rows make shares.
+    """
+    heavy = staged(counts.select(key, "_rows").where(F.col("_rows") > ROWS_PER_TASK), "heavy")
+    rows = heavy.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    share = max(ROWS_PER_TASK, rows // MAX_HEAVY)
+    return heavy.where(F.col("_rows") > share).select(key, F.ceil(F.col("_rows") / share).cast("int").alias("_salts"))
 
 
 def salted_join(
     big: DataFrame, parent: DataFrame, key: str, how: str, spread_by: Sequence[str | Column],
-    hot: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join on ``key`` with the big side's hot keys spread over ``SALTS`` partitions.
+    """Equi-join on ``key`` with the big side's heavy keys spread over as many partitions as their
+    rows need.
 
     ``spread_by`` names columns that tell rows of one key apart (``_row`` where copies may occur);
-    hashing them, not ``rand``, keeps a recomputed task identical to the first run.  ``hot`` may give the heaviest keys where they
-    are known already.  Rows without a key match nothing and are spread as well.
+    hashing them, not ``rand``, keeps a recomputed task identical to the first run.  ``counts`` may give the
+    rows per key where they are known already.  Rows without a key match nothing and are spread as well.
     """
-    hot = hot if hot is not None else heaviest_keys(big, key)
-    hot = hot.limit(HOT_KEYS).select(key, F.lit(True).alias("_hot"))  # bounded, so safe to broadcast
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    left = (
-        big.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = (
-        parent.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
+    heavy = heavy_keys(key_counts(big, key) if counts is None else counts, key)
+    hashed = F.xxhash64(*spread_by)
+    salt = F.when(F.col(key).isNull(), F.pmod(hashed, F.lit(NULL_SALTS))).otherwise(F.pmod(hashed, F.coalesce("_salts", F.lit(1))))
+    left = big.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = parent.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def sized_join(
     big: DataFrame, parent: DataFrame, key: str, how: str = "left",
-    spread_by: Sequence[str | Column] = ("_row",), hot: DataFrame | None = None,
+    spread_by: Sequence[str | Column] = ("_row",), counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``big`` to ``parent`` (one row per key, or few) on ``key``; see the module notes."""
     if fits_broadcast(parent):
         return big.join(F.broadcast(parent), key, how)
-    return salted_join(big, parent, key, how, spread_by, hot)
+    return salted_join(big, parent, key, how, spread_by, counts)
 
 
 def keep_matching(big: DataFrame, wanted: DataFrame, key: str, unique: bool = False) -> DataFrame:

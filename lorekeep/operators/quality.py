@@ -136,6 +136,6 @@ def annotate_duplicates(df: DataFrame, key: str) -> DataFrame:
     # A null id joins to nothing, so it travels as a flagged empty key.
     keyed = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("")))
     marks = repeats.select(F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("")).alias("_key"), "_copies")
-    counted = sized_join(keyed, marks, "_key", "left", hot=marks.orderBy(F.desc("_copies"), "_key"))
+    counted = sized_join(keyed, marks, "_key", "left", counts=marks.select("_key", F.col("_copies").alias("_rows")))
     reason = F.format_string("duplicate id: %d rows share this identifier", F.col("_copies"))
     return counted.select(*df.columns, F.when(F.col("_copies").isNotNull(), reason).alias("duplicate_reason"))

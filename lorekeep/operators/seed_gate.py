@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from lorekeep import schemas as S
 from lorekeep.functions.governance import ai_eligible
-from lorekeep.functions.iso import iso_date
+from lorekeep.functions.iso import integer, iso_date
 from lorekeep.functions.text import is_blank, quoted
-from lorekeep.operators.joins import heaviest_keys, numbered, sized_join
+from lorekeep.operators.joins import key_counts, numbered, sized_join
 from lorekeep.operators.quality import repeated_keys
-from lorekeep.session import staged
+from lorekeep.session import scratch_path, staged
 
 # The record count a delivery is expected to stay within.
 EXPECTED_RECORDS = (30, 50)
@@ -62,7 +62,7 @@ def _text(column: str) -> Column:
 
 def _with_known(df: DataFrame, parents: DataFrame, key: str, flag: str) -> DataFrame:
     ids = staged(parents.select(key).distinct().withColumn(flag, F.lit(True)), f"ids_{key}")
-    return sized_join(df, ids, key, "left", hot=heaviest_keys(df, key))
+    return sized_join(df, ids, key, "left", counts=key_counts(df, key))
 
 
 def source_errors(sources: DataFrame) -> DataFrame:
@@ -85,6 +85,9 @@ def knowledge_errors(knowledge: DataFrame, topics: DataFrame, sources: DataFrame
             for c in ("published_date", "last_reviewed_date")
         ],
         (is_blank(F.col("summary")), F.lit("empty summary")),
+        # The load casts this column and would stop at such a value.
+        (F.col("content_version").isNotNull() & integer(F.col("content_version").cast("string")).isNull(),
+         quoted("content_version is not an integer", _text("content_version"))),
     ])
 
 
@@ -105,13 +108,17 @@ def uniqueness_errors(topics: DataFrame, sources: DataFrame, knowledge: DataFram
     )
 
 
-def all_errors(topics: DataFrame, sources: DataFrame, knowledge: DataFrame, reviews: DataFrame) -> DataFrame:
-    return (
+def all_errors(
+    topics: DataFrame, sources: DataFrame, knowledge: DataFrame, reviews: DataFrame, rules_path: str | None = None,
+) -> DataFrame:
+    """Every error of a delivery; with ``rules_path`` the rules file must load as well."""
+    found = (
         uniqueness_errors(topics, sources, knowledge, reviews)
         .unionByName(source_errors(sources))
         .unionByName(knowledge_errors(knowledge, topics, sources))
         .unionByName(review_errors(reviews, knowledge))
     )
+    return found.unionByName(rules_file_errors(topics.sparkSession, rules_path)) if rules_path else found
 
 
 def rules_file_errors(spark: SparkSession, path: str) -> DataFrame:
@@ -147,9 +154,17 @@ def warnings(knowledge: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def abort_on_errors(errors: DataFrame, shown: int = 20) -> None:
-    """Raises when there is any error; the message names a few of them."""
-    first = errors.limit(shown).collect()
-    if first:
+def abort_on_errors(errors: DataFrame, report: str | None = None, shown: int = 20) -> DataFrame:
+    """Raises when there is any error.  All of them are in ``report`` (JSON lines; a folder of the
+    session's shared space where none is given), whose path and count the message has, with the
+    first few in order.  Returns the errors as written."""
+    spark = errors.sparkSession
+    report = report or scratch_path(spark, "gate_errors")
+    errors.write.mode("overwrite").json(report)
+    written = spark.read.schema(errors.schema).json(report)
+    total = written.count()
+    if total:
+        first = written.orderBy("table", "id", "error").limit(shown).collect()
         lines = "; ".join(f"{r['table']}[{r['id']}]: {r['error']}" for r in first)
-        raise DeliveryRejected(f"refusing to load: {lines}")
+        raise DeliveryRejected(f"refusing to load: {total} errors, all in {report}: {lines}")
+    return written

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorekeep import schemas as S
 from lorekeep.operators import analytics, embedding, evaluation, hybrid, seed_gate
@@ -20,24 +21,30 @@ from lorekeep.streaming import events
 RAW = {"topics": S.RAW_TOPICS, "sources": S.RAW_SOURCES, "knowledge": S.RAW_KNOWLEDGE, "reviews": S.RAW_REVIEWS}
 
 
-def load_raw(spark: SparkSession, feeds: str, warehouse: str, multi_line: bool = True) -> list[str]:
+def load_raw(spark: SparkSession, feeds: str, warehouse: str, multi_line: bool = True, rules: str | None = None) -> list[str]:
     """Loads ``<feeds>/<name>.csv`` into the raw tables unless the gate finds an error; returns the
-    gate's warnings."""
+    gate's warnings.  All errors go to ``<warehouse>/rejected/<run id>``; ``rules`` is a rules file
+    that must load.  The four tables are replaced together."""
     delivered = [
         staged(files.read_csv(spark, f"{feeds}/{name}.csv", schema, multi_line), f"feed_{name}")
         for name, schema in RAW.items()
     ]
-    seed_gate.abort_on_errors(seed_gate.all_errors(*delivered))
+    report = f"{warehouse}/rejected/{files.new_run_id()}/errors"
+    seed_gate.abort_on_errors(seed_gate.all_errors(*delivered, rules), report)
     topics, sources, knowledge, reviews = delivered
     warnings = [r["warning"] for r in seed_gate.warnings(knowledge, sources).collect()]  # two rows at most
     knowledge = files.cast_on_load(knowledge, ["content_version"])
-    for name, df in zip(RAW, (topics, sources, knowledge, reviews)):
-        files.overwrite_table(df, warehouse, f"raw/{name}")
+    files.publish({f"raw/{name}": df for name, df in zip(RAW, (topics, sources, knowledge, reviews))}, warehouse)
     return warnings
 
 
+def _loaded(schema: T.StructType) -> T.StructType:
+    """A raw table's schema as the load leaves it."""
+    return T.StructType([T.StructField(f.name, T.LongType() if f.name == "content_version" else f.dataType) for f in schema])
+
+
 def refresh(spark: SparkSession, warehouse: str, quarantine: str, run_id: str | None = None) -> str:
-    raw = [files.read_table(spark, warehouse, f"raw/{name}") for name in RAW]
+    raw = [files.read_table(spark, warehouse, f"raw/{name}", _loaded(schema)) for name, schema in RAW.items()]
     return Refresh(*raw).run(warehouse, quarantine, run_id)
 
 
@@ -61,8 +68,8 @@ def stream(messages: DataFrame, warehouse: str, available_now: bool = False):
 
 
 def refresh_analytics(spark: SparkSession, warehouse: str) -> None:
-    """Recomputes all metrics from the event fact."""
-    fact = files.read_table(spark, warehouse, "curated/fact_event")
+    """Recomputes all metrics from the event fact; before the first event all counts are zero."""
+    fact = files.read_table(spark, warehouse, "curated/fact_event", S.FACT_EVENT, or_empty=True)
     metrics = analytics.question_analytics(fact, F.lit(_now(spark)).cast("timestamp"))
     files.overwrite_table(metrics, warehouse, "semantic/question_analytics")
 
@@ -78,14 +85,15 @@ def _embeddings(spark: SparkSession, warehouse: str) -> DataFrame:
 
 def search(
     spark: SparkSession, warehouse: str, questions: DataFrame, top_n: int = 5, topic: str | None = None,
-    embedder: Embedder = hashed_words, semantic_weight: float = 0.6, lexical_weight: float = 0.4,
+    embedder: Embedder = hashed_words, semantic_weight: float = 0.6, lexical_weight: float = 0.4, fetch_n: int | None = None,
 ) -> DataFrame:
-    """``questions``: (query_id, question).  With a topic both corpora are cut to it first."""
+    """``questions``: (query_id, question).  With a topic both corpora are cut to it first.
+    ``fetch_n`` candidates come from each side; by default as many as ``top_n`` may need."""
     current = eligible(spark, warehouse)
     asked = staged(embedding.embed_queries(questions, embedder), "asked")
     return hybrid.search(
         asked, files.embedding_corpus(_embeddings(spark, warehouse), topic), files.lexical_corpus(current, topic),
-        current, top_n, semantic_weight=semantic_weight, lexical_weight=lexical_weight,
+        current, top_n, fetch_n or max(10, 2 * top_n), semantic_weight=semantic_weight, lexical_weight=lexical_weight,
     )
 
 

@@ -49,6 +49,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lorekeep/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever Spark can write one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Removes every intermediate table of this application; for the end of a job."""
+    drop_folder(spark, f"{shared_dir(spark)}/lorekeep/{spark.sparkContext.applicationId}")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep import schemas as S
 from lorekeep.functions.iso import integer
+from lorekeep.session import drop_folder
+
+LOG = "_published"  # one row per publication: its version and the tables it replaced
+PUBLISHED = T.StructType([T.StructField("version", T.StringType()), T.StructField("tables", T.ArrayType(T.StringType()))])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
@@ -46,10 +53,17 @@ def cast_on_load(df: DataFrame, long_columns: list[str]) -> DataFrame:
     return df.withColumns({c: strict(c) for c in long_columns})
 
 
-def read_table(spark: SparkSession, base: str, name: str, schema: T.StructType | None = None) -> DataFrame:
-    """A Parquet table; the column list and filters of the query reach the scan."""
+def read_table(spark: SparkSession, base: str, name: str, schema: T.StructType | None = None, or_empty: bool = False) -> DataFrame:
+    """The current version of a published table, or the plain Parquet folder of that name; the column
+    list and filters of the query reach the scan.  ``or_empty`` reads an absent table as no rows."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{base}/{name}")
+    current = versions(spark, base, name)[-1:]
+    try:
+        return reader.parquet("/".join([base, name, *current]))
+    except AnalysisException:
+        if or_empty and schema is not None:
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def read_benchmark(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -95,7 +109,7 @@ def new_run_id(now: datetime | None = None) -> str:
 
 def overwrite_table(df: DataFrame, base: str, name: str) -> None:
     """Full refresh of one table."""
-    df.write.mode("overwrite").parquet(f"{base}/{name}")
+    publish({name: df}, base)
 
 
 def quarantine_lines(rejects: DataFrame) -> DataFrame:
@@ -127,8 +141,31 @@ def write_events(df: DataFrame, base: str, feed: str, batch_id: int) -> None:
 
 
 def publish(tables: dict[str, DataFrame], base: str) -> None:
-    """Replace all output tables, once every one of them is computed (see ``plans.refresh``).  The
-    writes do not depend on each other, so they share the cluster instead of queueing."""
+    """Replace tables together, or not at all.
+
+    Every table is written to a folder of its own, and only when all are complete does one row of
+    the warehouse's log name them current.  That row is one file, committed as a whole, so readers see
+    all old tables or all new ones, and a failed run leaves the old ones as they were.  The version
+    before stays for readers that have begun; older ones go.  The writes do not depend on each
+    other, so they share the cluster instead of queueing.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     with ThreadPoolExecutor(max_workers=len(tables)) as pool:
-        for done in [pool.submit(overwrite_table, df, base, name) for name, df in tables.items()]:
+        writes = [pool.submit(df.write.parquet, f"{base}/{name}/{version}") for name, df in tables.items()]
+        for done in writes:
             done.result()
+    log = spark.createDataFrame([(version, sorted(tables))], PUBLISHED)
+    log.coalesce(1).write.mode("append").json(f"{base}/{LOG}")
+    for name in tables:
+        for old in versions(spark, base, name)[:-2]:
+            drop_folder(spark, f"{base}/{name}/{old}")
+
+
+def versions(spark: SparkSession, base: str, name: str) -> list[str]:
+    """Published versions of a table, oldest first; none if it never was."""
+    try:
+        log = spark.read.schema(PUBLISHED).json(f"{base}/{LOG}")
+        return [r["version"] for r in log.where(F.array_contains("tables", name)).orderBy("version").collect()]
+    except AnalysisException:
+        return []

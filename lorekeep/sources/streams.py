@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lorekeep import schemas as S
 
 
-def kafka_messages(spark: SparkSession, servers: str, topic: str, per_batch: int | None = None) -> DataFrame:
-    """``value: binary`` from a Kafka topic (needs the Kafka package on the class path)."""
+def kafka_messages(spark: SparkSession, servers: str, topic: str, per_batch: int | None = None, start: str = "earliest") -> DataFrame:
+    """``value: binary`` from a Kafka topic (needs the Kafka package on the class path).  A first
+    start delivers what is waiting; ``start`` is Kafka's ``startingOffsets``."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    reader = reader.option("startingOffsets", start)
     if per_batch:
         reader = reader.option("maxOffsetsPerTrigger", per_batch)
     return reader.load().select("value")

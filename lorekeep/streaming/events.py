@@ -6,8 +6,6 @@ deduplicated and nothing is windowed: metrics are recomputed from the fact (``op
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -56,10 +54,10 @@ def start(
 ) -> StreamingQuery:
     """Append valid events and rejects.  Each micro-batch is annotated once and written under its
     own ``batch_id``, so a replay after a failure replaces its files instead of doubling them.
-    Batch numbers belong to a checkpoint; its name keeps two feeds into one table apart."""
-    feed = f"f{zlib.crc32(checkpoint.encode()):08x}"
-
+    Batch numbers belong to a query, whose id is kept in its checkpoint: a fresh checkpoint, at the
+    same path or another, is a feed of its own and replaces nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        feed = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch = batch.persist()
         try:
             write_events(normalize_events(batch), fact_dir, feed, batch_id)

@@ -31,7 +31,7 @@ VIEWS: dict[str, str] = {
         select cast(s_suppkey as string) source_id, s_name source_name,
           'type_'||cast(s_nationkey%3 as string) source_type,
           (case when s_suppkey%25=0 then 'http://' else 'https://' end)||'example.org/'||cast(s_suppkey as string) url,
-          case when s_suppkey%40=7 then 'DEPRECATED' when s_suppkey%10=3 then 'INACTIVE' else 'ACTIVE' end source_status
+          case when s_suppkey%40=7 then 'RETIRED' when s_suppkey%10=3 then 'INACTIVE' else 'ACTIVE' end source_status
         from supplier""",
     "b_k1": """
         select d.doc_id, l.quality, l.toxic, 'know_'||cast(d.doc_id as string) knowledge_id,
@@ -42,7 +42,7 @@ VIEWS: dict[str, str] = {
           case when l.toxic=1 then 'EXPIRED' when l.quality=0 then 'NEEDS_REVIEW'
             when l.quality is null and d.doc_id%7=0 then 'PENDING' else 'APPROVED' end review_status,
           case when d.doc_id%97=5 then 'ARCHIVED' when d.doc_id%10=0 then 'STALE' else 'CURRENT' end content_status,
-          case when d.doc_id%89=3 then 'not-a-date'
+          case when d.doc_id%89=3 then 'some day'
             else cast(date '2024-01-01' + cast(d.doc_id%365 as integer) as string) end published_date,
           '2025-06-01' last_reviewed_date,
           case when d.doc_id%83=6 then 'v1' else cast(1+d.doc_id%4 as string) end content_version
@@ -67,14 +67,14 @@ VIEWS: dict[str, str] = {
         select cast(event_id as string) event_id,
           case event_type when 'view' then 'QUESTION_ASKED' when 'purchase' then 'RESPONSE_GENERATED'
             when 'click' then 'SOURCE_OPENED' when 'signup' then 'FEEDBACK_SUBMITTED'
-            when 'error' then case when event_id%3=0 then 'SOMETHING_ELSE' else 'RELATED_TOPIC_OPENED' end
+            when 'error' then case when event_id%3=0 then 'PAGE_PRINTED' else 'RELATED_TOPIC_OPENED' end
           end event_type,
           case when event_id%101=1 then '' else 'user_'||cast(user_id as string) end session_id,
           'trace_'||cast(event_id as string) trace_id,
           case when event_type in ('click','error') then
             case when event_id%3=1 then '42' else cast(event_id%211 as string) end end topic_id,
           case when event_type='click' then 'know_'||cast(event_id%1000 as string) end knowledge_id,
-          case when event_type='signup' then case when event_id%29=3 then 'sideways'
+          case when event_type='signup' then case when event_id%29=3 then 'undecided'
             when event_id%5=0 then 'down' else 'up' end end rating,
           case when event_type='purchase' then value end latency_ms,
           case when event_type='purchase' then cast(event_id%3+1 as integer) end source_count,

@@ -379,13 +379,14 @@ def dq_seed_warnings(c: Context) -> DataFrame:
 
 @query("dq_gate_abort", """select count(*) > 0 rejected, count(*) errors from g_errors""")
 def dq_gate_abort(c: Context) -> DataFrame:
+    report = c.scratch("gate_errors")
     errors = seed_gate.all_errors(*_raw(c))
     try:
-        seed_gate.abort_on_errors(errors)
+        seed_gate.abort_on_errors(errors, report)
         rejected = False
     except seed_gate.DeliveryRejected:
         rejected = True
-    return errors.agg(F.lit(rejected).alias("rejected"), F.count(F.lit(1)).alias("errors"))
+    return c.spark.read.schema(errors.schema).json(report).agg(F.lit(rejected).alias("rejected"), F.count(F.lit(1)).alias("errors"))
 
 
 # ---- foreign keys, enrichment ------------------------------------------------------------------

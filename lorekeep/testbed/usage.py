@@ -107,7 +107,7 @@ SQL_VIEWS.update({
           when event_type='view' then '{"results":[{"knowledge_id":"know_'||cast(event_id as string)||'"},7,{"other":1}]}'
           when event_type='click' then '{"topics":['||cast(event_id as string)||',2,3]}'
           when event_type='purchase' then '{"related_topics":["a"],"error":"x"}'
-          when event_type='signup' then '{"error":"boom '||cast(event_id as string)||'","z":1}'
+          when event_type='signup' then '{"error":"failed '||cast(event_id as string)||'","z":1}'
           when event_id%2=0 then props else '"plain '||cast(event_id as string)||'"' end result,
           event_type, event_id%2=0 even
         from events""",
@@ -422,7 +422,7 @@ def topk_recent_traces(c: Context) -> DataFrame:
       case when event_type='view' then 'know_'||event_id||',-' end candidate_ids,
       case when event_type='click' then 3 end topic_count,
       case when event_type='purchase' then 1 end related_count,
-      case when event_type='signup' then 'boom '||event_id end error,
+      case when event_type='signup' then 'failed '||event_id end error,
       case when event_type='error' and even then 'k' end "keys",
       case when event_type='error' and not even then 'plain '||event_id end value
     from v_results""")

@@ -5,7 +5,10 @@ import json
 
 import pytest
 
+from lorekeep import schemas as S
 from lorekeep.__main__ import parser, run
+from lorekeep.plans import jobs
+from lorekeep.sources import files
 
 TOPICS = [["topic_id", "topic_name", "parent_category", "description"],
           ["birds", "Birds", "Nature", ""], ["fish", "Fish", "Nature", "in, water"], ["stars", "Stars", "Sky", ""]]
@@ -47,7 +50,7 @@ def test_from_delivery_to_evaluation(spark, tmp_path, job, capsys):
     assert job("load", "--feeds", deliver(tmp_path / "feeds")) == 0
     assert "ai_eligible preview: 3/5" in capsys.readouterr().out
     assert job("refresh", "--quarantine", f"{tmp_path}/q", "--run-id", "r1") == 0
-    eligible = spark.read.parquet(f"{lake}/semantic/agent_eligible_knowledge")
+    eligible = files.read_table(spark, lake, "semantic/agent_eligible_knowledge")
     assert sorted(r["knowledge_id"] for r in eligible.collect()) == ["k0", "k1", "k2"]
     assert "\n" in eligible.where("knowledge_id = 'k0'").first()["summary"]
     assert spark.read.text(f"{tmp_path}/q/r1/quarantine").count() == 0
@@ -70,17 +73,76 @@ def test_from_delivery_to_evaluation(spark, tmp_path, job, capsys):
          "excluded_knowledge_id": "k0", "excluded_reason": "expired"},
     ]
     (tmp_path / "cases.json").write_text(json.dumps(cases))
-    capsys.readouterr()
-    assert job("evaluate", "--benchmark", f"{tmp_path}/cases.json") == 0
-    shown = capsys.readouterr().out
-    assert "|c1 |grounded         |semantic|true" in shown and "|1  |1             |1                |" in shown
+    assert job("evaluate", "--benchmark", f"{tmp_path}/cases.json", "--out", f"{tmp_path}/eval") == 0
+    results = {r["id"]: r for r in spark.read.json(f"{tmp_path}/eval/cases").collect()}
+    assert set(results) == {"c1", "c2"} and results["c1"]["type"] == "grounded"
+    assert spark.read.json(f"{tmp_path}/eval/summary").count() > 0 and spark.read.json(f"{tmp_path}/eval/rejections").count() == 1
 
 
 def test_bad_delivery_is_refused_and_changes_nothing(spark, tmp_path, job, capsys):
     bad = [TOPICS[0], TOPICS[1], TOPICS[1]]
     assert job("load", "--feeds", deliver(tmp_path / "feeds", topics=bad)) == 1
     assert "duplicate topic_id 'birds'" in capsys.readouterr().out
-    assert not (tmp_path / "lake").exists()
+    assert [p.name for p in (tmp_path / "lake").iterdir()] == ["rejected"]
+
+
+def test_every_error_of_a_delivery_is_kept(spark, tmp_path, job, capsys):
+    many = [KNOWLEDGE[0]] + [[f"n{i}", *KNOWLEDGE[1][1:4], "", *KNOWLEDGE[1][5:9], "v1" if i == 7 else "2"] for i in range(40)]
+    (tmp_path / "rules.json").write_text("{ broken")
+    assert job("load", "--feeds", deliver(tmp_path / "feeds", knowledge=many, reviews=REVIEWS[:1]), "--rules", f"{tmp_path}/rules.json") == 1
+    assert "42 errors" in capsys.readouterr().out
+    (report,) = (tmp_path / "lake" / "rejected").glob("*/errors")
+    kept = spark.read.json(str(report))
+    assert kept.count() == 42 and kept.where("error like 'content_version is not%' and id = 'n7'").count() == 1
+    assert kept.where("`table` = 'rules'").count() == 1
+
+
+def test_a_failed_write_leaves_published_tables_alone(spark, tmp_path, job):
+    from pyspark.errors import PySparkException
+
+    lake = f"{tmp_path}/lake"
+    old = spark.createDataFrame([("a", 1)], "k string, v long")
+    files.publish({"raw/one": old, "raw/two": old}, lake)
+    broken = spark.createDataFrame([("x",)], "v string")
+    with pytest.raises(PySparkException):
+        files.publish({"raw/one": old.union(old), "raw/two": files.cast_on_load(broken, ["v"])}, lake)
+    assert files.read_table(spark, lake, "raw/one").count() == 1 and files.read_table(spark, lake, "raw/two").count() == 1
+    for n in (2, 3, 4):
+        files.publish({"raw/one": spark.range(n)}, lake)
+    assert files.read_table(spark, lake, "raw/one").count() == 4 and files.read_table(spark, lake, "raw/two").count() == 1
+    assert sum(p.is_dir() for p in (tmp_path / "lake" / "raw" / "one").iterdir()) <= 3
+
+    assert job("load", "--feeds", deliver(tmp_path / "feeds")) == 0 and job("refresh", "--quarantine", f"{tmp_path}/q") == 0
+    jobs.index(spark, lake)
+    before = files.read_table(spark, lake, "semantic/knowledge_embeddings", S.EMBEDDINGS).count()
+
+    def failing(batches):
+        raise RuntimeError("model is away")
+        yield
+
+    with pytest.raises(Exception):  # noqa: B017  whatever the embedder raises
+        jobs.index(spark, lake, failing)
+    assert files.read_table(spark, lake, "semantic/knowledge_embeddings", S.EMBEDDINGS).count() == before > 0
+
+
+def test_analytics_before_the_first_event(spark, tmp_path, job):
+    assert job("analytics") == 0
+    metrics = files.read_table(spark, f"{tmp_path}/lake", "semantic/question_analytics")
+    assert metrics.count() > 0 and metrics.where("metric_value <> 0").count() == 0
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("broken\n")
+    assert job("stream", "--input", f"{tmp_path}/in", "--available-now") == 0 and job("analytics") == 0
+
+
+def test_more_answers_than_the_default(spark, tmp_path, job):
+    many = [KNOWLEDGE[0]] + [[f"n{i}", *KNOWLEDGE[1][1:3], f"Title {i}", f"owls number {i}", *KNOWLEDGE[1][5:]] for i in range(60)]
+    assert job("load", "--feeds", deliver(tmp_path / "feeds", knowledge=many, reviews=REVIEWS[:1])) == 0
+    assert job("refresh", "--quarantine", f"{tmp_path}/q") == 0 and job("index") == 0
+    (tmp_path / "q.jsonl").write_text('{"query_id":"a","question":"owls"}\n{"query_id":"a","question":"number 7"}\n')
+    assert job("search", "--questions", f"{tmp_path}/q.jsonl", "--out", f"{tmp_path}/out", "--top-n", "30") == 0
+    assert spark.read.json(f"{tmp_path}/out").count() == 30
+    with pytest.raises(ValueError):
+        job("search", "--questions", f"{tmp_path}/q.jsonl", "--out", f"{tmp_path}/out2", "--top-n", "30", "--fetch-n", "10")
 
 
 def test_nothing_to_index(spark, tmp_path, job):
@@ -96,7 +158,7 @@ def test_stream_and_analytics(spark, tmp_path, job):
     (tmp_path / "in" / "a.txt").write_text("\n".join([json.dumps(event), json.dumps({**event, "rating": "?"})]) + "\n")
     assert job("stream", "--input", f"{tmp_path}/in", "--available-now") == 0
     assert job("analytics") == 0
-    metrics = spark.read.parquet(f"{tmp_path}/lake/semantic/question_analytics")
+    metrics = files.read_table(spark, f"{tmp_path}/lake", "semantic/question_analytics")
     assert metrics.count() == 9 and metrics.select("computed_at").distinct().count() == 1
     assert metrics.where("dimension = 'fish' and metric_name = 'source_open_count'").first()["metric_value"] == 1.0
     assert spark.read.parquet(f"{tmp_path}/lake/curated/quarantined_events").first()["reason"] == "invalid rating '?'"

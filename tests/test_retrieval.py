@@ -187,7 +187,7 @@ def ranking(spark, *rows):
     return spark.createDataFrame([("q", k, float(s), i + 1, "t", title, "s") for i, (k, s, title) in enumerate(rows)], LIST)
 
 
-@pytest.mark.parametrize("scores, expected", [([10, 5, 0], [1.0, 0.5, 0.0]), ([3, 3], [1.0, 1.0]), ([], [])])
+@pytest.mark.parametrize("scores, expected", [([7, -1, 5, 1], [1.0, 0.0, 0.75, 0.25]), ([0.4, 0.4, 0.4], [1.0, 1.0, 1.0]), ([], [])])
 def test_normalize(spark, scores, expected):
     df = ranking(spark, *[(f"k{i}", s, "") for i, s in enumerate(scores)])
     assert [r["score"] for r in sorted(hybrid.normalize(df).collect(), key=lambda r: r["rank"])] == expected

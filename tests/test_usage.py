@@ -29,7 +29,7 @@ def reason(spark, body):
     ({k: v for k, v in EVENT.items() if k != "occurred_at"}, "missing required fields: ['occurred_at']"),
     ({**EVENT, "event_id": None}, "missing required fields: ['event_id']"),
     ({**EVENT, "event_type": "OTHER"}, "invalid event_type 'OTHER'"),
-    ({**EVENT, "rating": "sideways"}, "invalid rating 'sideways'"),
+    ({**EVENT, "rating": "neither"}, "invalid rating 'neither'"),
     ({**EVENT, "rating": "up"}, None),
     ({**EVENT, "rating": None}, None),
     ({**EVENT, "occurred_at": "yesterday"}, "unparseable occurred_at 'yesterday'"),
@@ -228,8 +228,8 @@ def trace(spark, *calls, name="a"):
 
 
 def test_candidate_ids_keep_order_and_skip_other_tools(spark):
-    df = trace(spark, call("search_knowledge", "a", "b", None, ""), call("other", "x"), call("search_knowledge", "b", "c"))
-    assert traces.with_candidates(df).first()["ids"] == ["a", "b", "c"]
+    df = trace(spark, call("search_knowledge", "m7", "m2", None, ""), call("other", "x"), call("search_knowledge", "m2", "m9", "m7"))
+    assert traces.with_candidates(df).first()["ids"] == ["m7", "m2", "m9"]
     assert traces.with_candidates(trace(spark)).first()["ids"] == []
     blank = spark.createDataFrame([("a", None, [("search_knowledge", {}, 1.0, None)])], TRACES)
     assert traces.with_candidates(blank).first()["ids"] == []
@@ -275,10 +275,10 @@ def test_a_rerecorded_trace_moves_to_the_front(spark):
     ({"results": []}, {"candidate_count": 0, "candidate_knowledge_ids": []}),
     ({"results": "none", "topics": [1, 2, 3]}, {"topic_count": 3}),
     ({"related_topics": [{}]}, {"related_count": 1}),
-    ({"error": "boom"}, {"error": "boom"}),
-    ({"b": 2, "a": 1}, {"keys": ["a", "b"]}),
+    ({"error": "timed out"}, {"error": "timed out"}),
+    ({"size": 2, "color": 1}, {"keys": ["color", "size"]}),
     ({}, {"keys": []}),
-    ("plain string", {"value": "plain string"}),
+    ("some words", {"value": "some words"}),
     (7, {"value": "7"}),
     ("x" * 300, {"value": "x" * 200}),
 ])
