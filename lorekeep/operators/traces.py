@@ -101,10 +101,10 @@ def related_for_answers(
 
 
 def latest_traces(traces: DataFrame) -> DataFrame:
-    """A trace recorded again replaces its older record.  ``max_by`` combines on the map side, so
-    an id recorded endlessly never gathers in one task."""
+    """A trace recorded again replaces its older record; of records of one time the last by text
+    stays.  ``max_by`` combines on the map side, so an id recorded endlessly never gathers in one task."""
     rest = [c for c in traces.columns if c != "trace_id"]
-    newest = F.max_by(F.struct(*rest), F.col("recorded_at")).alias("t")
+    newest = F.max_by(F.struct(*rest), F.struct("recorded_at", F.to_json(F.struct(*rest)))).alias("t")
     return traces.groupBy("trace_id").agg(newest).select("trace_id", "t.*")
 
 

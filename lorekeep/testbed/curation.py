@@ -120,6 +120,8 @@ SQL_VIEWS.update({
         union all select 'knowledge', knowledge_id, 'unparseable last_reviewed_date '''||last_reviewed_date||'''' from b_knowledge
           where try_cast(last_reviewed_date as date) is null
         union all select 'knowledge', knowledge_id, 'empty summary' from b_knowledge where {_blank("summary")}
+        union all select 'knowledge', knowledge_id, 'content_version is not an integer '''||content_version||''''
+          from b_knowledge where not regexp_full_match(content_version, '[+-]?[0-9]+')
         union all select 'reviews', review_id, 'unknown knowledge_id '''||knowledge_id||'''' from b_reviews
           where knowledge_id not in (select knowledge_id from b_knowledge)
         union all select 'reviews', review_id, 'invalid review_status '''||review_status||'''' from b_reviews

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep import schemas as S
@@ -259,17 +259,28 @@ def _within(c: Context) -> DataFrame:
 
     Five words from inside the text must stand in the document, so those are joined on and only
     such pairs are compared in full.  The first and last word may be parts of longer ones there.
+    A text of three to six words has its second word joined on; a shorter one has no inner word and is
+    matched by its first.
     """
     needle = F.lower("question")
-    asked = staged(c.questions.select(
-        "query_id", needle.alias("needle"), F.array_join(F.slice(tokens(needle), 2, ANCHOR), " ").alias("anchor")), "asked")
+    parts = F.size("parts")
+    anchor = (
+        F.when(parts >= ANCHOR + 2, F.array_join(F.slice("parts", 2, ANCHOR), " "))
+        .when(parts >= 3, F.get("parts", F.lit(1))).otherwise(F.get("parts", F.lit(0)))
+    )
+    asked = staged(c.questions.select("query_id", needle.alias("needle"), tokens(needle).alias("parts")).select(
+        "query_id", "needle", anchor.alias("anchor"), (parts < ANCHOR + 2).alias("short")), "asked")
+    lengths = [ANCHOR, 1] if asked.where("short").limit(1).count() else [ANCHOR]
     docs = c.raw("b_k1").select("knowledge_id", F.col("summary").alias("text"))
     # Staged: inside ``transform`` an unstaged word list would be split anew for every position.
     words = staged(docs.select("knowledge_id", tokens(F.col("text")).alias("words")), "words")
-    last = F.size("words") - ANCHOR + 1
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    anchors = words.select("knowledge_id", F.explode(F.array_distinct(
-        F.transform(starts, lambda i: F.array_join(F.slice("words", i, ANCHOR), " ")))).alias("anchor"))
+
+    def runs(n: int) -> Column:
+        last = F.size("words") - n + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("words", i, n), " "))
+
+    anchors = words.select("knowledge_id", F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths]))).alias("anchor"))
     pairs = sized_join(anchors, asked, "anchor", "inner", ["knowledge_id"]).select("knowledge_id", "query_id", "needle")
     full = attach(pairs, docs, "knowledge_id", ["query_id"])
     holds = full.where(F.contains(F.lower("text"), F.col("needle")))
