@@ -39,7 +39,7 @@ START_DOCS = 1_500  # expected number at most, for the starting point
 START_TOKENS = 400
 START_ROUNDS = 12
 SMOOTHING = 200.0  # tokens of the unigram model that every state has seen beforehand
-BLOCK = 200_000  # tokens whose recursions run together
+BLOCK = 600_000  # tokens whose recursions run together: about 40 MB an array
 KNOWN_AT_ONCE = 300_000  # distinct words a task counts before it hands them on
 
 END = b""  # no word is empty
@@ -153,49 +153,59 @@ class Hmm:
         start, move = start + 1.0, move + 1.0
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def forward(self, symbols: np.ndarray, first: np.ndarray, keep: bool = False):
-        """Scaled forward recursion of many sequences, laid end to end; ``first`` has where each
-        begins, longest first, and the end.  Gives the natural log likelihood of each and, with
-        ``keep``, the messages."""
-        counts = np.diff(first)
-        alive = np.searchsorted(-counts, -np.arange(counts[0] if len(counts) else 0), side="left")
-        logs = np.zeros(len(counts))
-        messages = np.empty((len(symbols), STATES)) if keep else None
+    def forward(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Natural log likelihood of many sequences, laid end to end; ``first`` has where each
+        begins, longest first, and the end.  Scaled forward recursion, position by position."""
+        steps = Steps(symbols, first)
+        _, scales = self._forward(steps, self.emit[steps.symbols], keep=False)
+        return np.bincount(steps.owner, np.log(scales), len(first) - 1)
+
+    def _forward(self, steps: Steps, emit: np.ndarray, keep: bool):
+        scales, ones = np.empty(len(emit)), np.ones(STATES)
+        messages = np.empty_like(emit) if keep else None
         state = None
-        for t, n in enumerate(alive):
-            at = first[:n] + t
-            ahead = np.broadcast_to(self.start, (n, STATES)) if t == 0 else state[:n] @ self.move
-            state = ahead * self.emit[symbols[at]]
-            scale = state.sum(axis=1)
+        for low, high in steps.ranges:
+            state = (self.start if low == 0 else state[:high - low] @ self.move) * emit[low:high]
+            scale = state @ ones
             state /= scale[:, None]
-            logs[:n] += np.log(scale)
+            scales[low:high] = scale
             if keep:
-                messages[at] = state
-        return logs, messages
+                messages[low:high] = state
+        return messages, scales
 
     def expected(self, symbols: np.ndarray, first: np.ndarray):
-        """Expected start, transition and emission counts, exact over whole sequences."""
-        counts = np.diff(first)
-        alive = np.searchsorted(-counts, -np.arange(counts[0] if len(counts) else 0), side="left")
-        _, forward = self.forward(symbols, first, keep=True)
-        gamma = np.empty_like(forward)
-        move = np.zeros((STATES, STATES))
-        back = np.ones((len(counts), STATES))
-        for t in range(len(alive) - 1, -1, -1):
-            n = alive[t]
-            at = first[:n] + t
-            if t + 1 < len(alive):
-                m = alive[t + 1]
-                ahead = back[:m] * self.emit[symbols[first[:m] + t + 1]]
-                here = ahead @ self.move.T
-                # P(state, next | text) = forward * move * ahead, scaled per sequence.
-                weight = (forward[at[:m]] * here).sum(axis=1, keepdims=True)
-                move += forward[at[:m]].T @ (ahead / weight)
-                back[:m] = here / here.sum(axis=1, keepdims=True)
-            g = forward[at] * back[:n]
-            gamma[at] = g / g.sum(axis=1, keepdims=True)
-        emit = np.stack([np.bincount(symbols, gamma[:, k], len(self.emit)) for k in range(STATES)], axis=1)
-        return gamma[first[:-1]].sum(axis=0), move * self.move, emit
+        """Expected start, transition and emission counts, exact over whole sequences.  The backward
+        messages carry the forward scales, so products of both are probabilities as they are."""
+        steps = Steps(symbols, first)
+        emit = self.emit[steps.symbols]
+        forward, scales = self._forward(steps, emit, keep=True)
+        emit /= scales[:, None]
+        backward = np.ones_like(emit)
+        move, back = np.zeros((STATES, STATES)), self.move.T.copy()
+        for (low, _), (ahead, end) in zip(steps.ranges[-2::-1], steps.ranges[:0:-1]):
+            n = end - ahead
+            weighted = emit[ahead:end] * backward[ahead:end]
+            move += forward[low:low + n].T @ weighted
+            backward[low:low + n] = weighted @ back
+        gamma = forward * backward
+        counts = np.stack([np.bincount(steps.symbols, gamma[:, k], len(self.emit)) for k in range(STATES)], axis=1)
+        return gamma[:len(first) - 1].sum(axis=0), move * self.move, counts
+
+
+class Steps:
+    """Sequences in order of position: all first symbols, then all second ones, and so on, so that
+    every step of a recursion is one stretch.  Sequences come longest first and none is empty."""
+
+    def __init__(self, symbols: np.ndarray, first: np.ndarray):
+        lengths = np.diff(first)
+        longest = int(lengths[0]) if len(lengths) else 0
+        alive = np.searchsorted(-lengths, -np.arange(longest), side="left")
+        starts = np.r_[0, np.cumsum(alive)].astype(np.int64)
+        self.ranges = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+        which = np.repeat(np.arange(len(lengths)), lengths)
+        place = starts[np.arange(len(symbols)) - first[which]] + which
+        self.symbols, self.owner = np.empty(len(symbols), np.int64), np.empty(len(symbols), np.int64)
+        self.symbols[place], self.owner[place] = symbols, which
 
 
 def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -216,7 +226,7 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u4") for x in column]
 
 
-def _batched(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
+def _batched(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, len(batch), rows):
             yield batch.slice(low, rows)
@@ -315,7 +325,7 @@ def score_texts(docs: DataFrame, folds: int, held: int, doc_id: str = "doc_id",
         for batch in _batched(batches):
             logs = np.zeros(len(batch))
             for at, symbols, first in blocks(_sequences(batch.column(6))):
-                logs[at] = model.forward(symbols, first)[0] / math.log(10)
+                logs[at] = model.forward(symbols, first) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(logs)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "chain"])
 
     scored = encoded.mapInArrow(likelihood, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, chain double")

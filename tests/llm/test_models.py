@@ -112,7 +112,7 @@ def test_scaled_recursions_against_enumeration(monkeypatch):
     k, size = markov_lm.STATES, 5
     model = markov_lm.Hmm(pick.dirichlet(np.ones(k)), pick.dirichlet(np.ones(k), k), pick.dirichlet(np.ones(size), k).T)
     symbols, first = np.array([0, 3, 4, 2, 1]), np.array([0, 3, 5])
-    logs, _ = model.forward(symbols, first)
+    logs = model.forward(symbols, first)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
     for n, (a, b) in enumerate(zip(first, first[1:])):
         own, total = symbols[a:b], 0.0
