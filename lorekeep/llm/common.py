@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.session import staged
+
 # ASCII white space: what separates words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -50,10 +52,10 @@ def fold(text: str, *cols: Column) -> Column:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number per row in ``ROW``.
+    """``docs`` with a number per row in ``ROW``, repeated rows included.
 
-    Files are split the same way each time a table is scanned, so a second scan of the same table
-    (and a task that runs again) numbers every row alike, repeated rows included.  Callers hand in
-    a table scan, or projections and filters of one.
+    How files are split depends on the cores registered when a scan is planned, so a second scan may
+    number rows otherwise.  Rows are numbered in one scan, written to the shared folder with all
+    their columns, and only read from there; ``docs`` that have their numbers stay as they are.
     """
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    return docs if ROW in docs.columns else staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")

@@ -7,8 +7,8 @@ positions are merged first, so overlapping windows remove a repeated passage as
 lines inside it included.  Where a later window overlaps its first occurrence in the same document,
 the lines of the first stay.
 
-Only built-in expressions run.  Windows are written once to the shared folder (hashes and positions,
-no text) and reduced to the repeated ones by a count that combines before its shuffle.  The repeated
+Only built-in expressions run.  The table is numbered and written once to the shared folder, and
+every later read is from there.  Windows are written once too (hashes and positions, no text) and reduced to the repeated ones by a count that combines before its shuffle.  The repeated
 windows are written too, so the join back to all windows is between plain scans and Spark splits a
 passage that fills a partition of its own.
 """
@@ -30,7 +30,7 @@ def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     bare = lambda x: F.btrim(x, F.lit(SPACE_CHARS))
     hashed = F.transform(lines, lambda x, i: F.struct(
         i.alias("i"), (bare(x) != "").alias("full"), F.xxhash64(bare(x)).alias("a"), F.xxhash64(F.lit("b"), bare(x)).alias("b")))
-    placed = numbered(docs.select(doc_id, text)).select(
+    placed = numbered(docs).select(
         F.col(ROW).alias("row"), F.col(doc_id).alias("id"), F.filter(hashed, lambda x: x["full"]).alias("lines"))
 
     def window(i: Column) -> Column:
@@ -76,8 +76,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     row goes: a document that loses every line keeps an empty text.  Repeated rows lose their
     windows to the first of them.  An empty table stays empty.
     """
+    docs = numbered(docs)
     spans = covered(docs, doc_id, text).withColumnRenamed("row", ROW).withColumnRenamed("spans", f"{DOC}_spans")
-    joined = numbered(docs).join(spans.hint("shuffle_hash"), ROW, "left")
+    joined = docs.join(spans.hint("shuffle_hash"), ROW, "left")
     lines, cut = F.col(f"{DOC}_lines"), F.coalesce(F.col(f"{DOC}_spans"), F.array().cast("array<struct<start:int,stop:int>>"))
     # What stands before each span, and behind the last one.
     ends = F.transform(F.sequence(F.lit(0), F.size(f"{DOC}_spans")), lambda i: F.struct(

@@ -93,10 +93,10 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source"):
-        sized = numbered(docs.select(doc_id, source, text)).select(
-            F.col(ROW).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+        sized = docs.select(
+            *[c for c in docs.columns if c == ROW], F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
             F.size(words(F.col(text))).cast("long").alias("size"))
-        self.sizes = staged(sized, "sizes")
+        self.sizes = (staged(sized, "sizes") if ROW in docs.columns else numbered(sized)).withColumnRenamed(ROW, "row")
         self.targets = staged(source_targets(self.sizes), "targets")
         total, rows = self.sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
         self.rows = rows
@@ -153,13 +153,14 @@ class Mix:
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` as the mix has them: a row per whole epoch of a document, and for a document that the
     target cuts, a row with the words that still fit.  Columns of ``docs`` only."""
+    columns, docs = docs.columns, numbered(docs)
     mix = Mix(docs, doc_id, text, source)
     spans = mix.pieces().where("slot is not null").groupBy("row", "size", "epoch").agg(F.sum("length").alias("take"))
     spans = spans.groupBy("row", "size").agg(F.collect_list("take").alias("takes")).select(
         F.col("row").alias(ROW), F.col("size").alias(f"{DOC}_size"), F.explode("takes").alias(f"{DOC}_take"))
-    joined = numbered(docs).join(spans, ROW)
+    joined = docs.join(spans, ROW)
     cut = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col(f"{DOC}_take").cast("int")), " ")
-    return joined.withColumn(text, F.when(F.col(f"{DOC}_take") == F.col(f"{DOC}_size"), F.col(text)).otherwise(cut)).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col(f"{DOC}_take") == F.col(f"{DOC}_size"), F.col(text)).otherwise(cut)).select(*columns)
 
 
 ORACLE = r"""

@@ -166,7 +166,7 @@ class NearDuplicates:
     """
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text"):
-        self.split = numbered(docs.select(doc_id, text)).select(
+        self.split = numbered(docs.select(*[c for c in docs.columns if c in (ROW, doc_id, text)])).select(
             F.col(ROW).alias("row"), F.col(doc_id).alias("id"), words(F.col(text)).alias("words"))
         self.compared: DataFrame | None = None
         self.links: DataFrame | None = None
@@ -278,8 +278,9 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the first row of each class."""
+    docs = numbered(docs)
     kept = near_classes(docs, doc_id, text).where("kept").select(F.col("row").alias(ROW))
-    return numbered(docs).join(kept, ROW, "left_semi").drop(ROW)
+    return docs.join(kept, ROW, "left_semi").drop(ROW)
 
 
 @query("op5_order_minhash")
