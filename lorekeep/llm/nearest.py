@@ -12,8 +12,10 @@ every vector.  A query first searches its own leaf, which bounds ``d_k``; then i
 whose box is inside the radius that the stopping test leaves, and stops in each by the same test.
 Leaves are dealt in blocks of about ``LEAF`` vectors, so none is larger than a task can hold.
 
-Equal vectors are one entry that keeps its ``k + 1`` smallest ids: no other copy can be among the
-``k`` nearest, ties going to smaller ids.  Equal queries are searched once.
+Equal vectors are one entry that keeps its ``k + 1`` smallest distinct ids: no other copy can be among
+the ``k`` nearest, ties going to smaller ids.  Equal queries are searched once.  Repeated rows count
+once.  An id with several vectors is as near as the nearest pair of them, and is listed once: lists
+and the stopping test count distinct ids, not vectors.
 """
 
 from __future__ import annotations
@@ -117,23 +119,27 @@ def search(queries: pa.Table, block: pa.Table, k: int, ratio: float) -> pa.Table
     qu, vu = _unit(q), _unit(v)
     p = projection(v.shape[1])
     qp, vp = qu @ p, vu @ p
-    bound = queries["bound"].to_numpy()
+    bound, ids = queries["bound"].to_numpy(), block["ids"].to_pylist()
     qn, vn = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
     owner, found, scores = [], [], []
     for i in range(len(q)):
         near = ((vp - qp[i]) ** 2).sum(axis=1)
         order = np.argsort(near)
-        best, at, done = np.empty(0), np.empty(0, np.int64), 0
+        best, at, done, edge = np.empty(0), np.empty(0, np.int64), 0, -np.inf
         while done < len(order):
-            kth = min(bound[i], 2 - 2 * best[k - 1] if len(best) >= k else np.inf)
+            kth = min(bound[i], 2 - 2 * edge)
             if near[order[done]] > ratio * max(kth, 1e-12):
                 break
             now = order[done:done + BATCH]
             s = np.r_[best, (v[now] @ q[i]) / (vn[now] * qn[i])]
             at = np.r_[at, now]
-            keep = np.argsort(-s, kind="stable")[: k + 16] if len(s) > k + 16 else np.argsort(-s, kind="stable")
+            edge, known = -np.inf, set()
+            for x in np.argsort(-s, kind="stable"):
+                known.update(ids[at[x]])
+                if len(known) >= k:
+                    edge = s[x]
+                    break
             # Ties with the last one stay: their ids decide.
-            edge = s[keep[min(k, len(keep)) - 1]]
             keep = np.flatnonzero(s >= edge)
             keep = keep[np.argsort(-s[keep], kind="stable")]
             best, at, done = s[keep], at[keep], done + BATCH
@@ -162,9 +168,10 @@ class Index:
         self.width = widths["width"] if widths else 1
         self.rows = usable.where(F.size("vector") == self.width).select(
             "id", F.xxhash64("vector").alias("a"), F.xxhash64(F.lit("b"), "vector").alias("b"), "vector")
-        # At most k + 1 ids of equal vectors leave a task, and at most as many are kept.
+        # Repeated rows become one; then at most k + 1 ids of equal vectors leave a task, and as many are kept.
         place = W.partitionBy("a", "b").orderBy("id")
-        few = self.rows.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)
+        once = self.rows.groupBy("a", "b", "id").agg(F.first("vector").alias("vector"))
+        few = once.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)
         entries = staged(few.groupBy("a", "b").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("vector").alias("vector")), "entries")
         self.entries = entries
         total = entries.count()
@@ -209,10 +216,12 @@ class Index:
 
     def best(self, found: DataFrame) -> DataFrame:
         place = W.partitionBy("qa", "qb").orderBy(F.desc("score"), "id")
+        found = found.groupBy("qa", "qb", "id").agg(F.max("score").alias("score"))
         return found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= self.k + 1)
 
     def nearest(self, queries: DataFrame) -> DataFrame:
-        """``query_id, rank, id, score`` for rows of this table (``id, a, b, vector``)."""
+        """``query_id, rank, id, score`` for rows of this table (``id, a, b, vector``): up to ``k`` distinct
+        ids per distinct ``query_id``, with the best score over its vectors and theirs."""
         tree, width, ratio = self.tree, self.width, stop_ratio(CONFIDENCE)
         asked = staged(queries.select(F.col("a").alias("qa"), F.col("b").alias("qb"), "vector").dropDuplicates(["qa", "qb"]), "asked")
 
@@ -239,10 +248,10 @@ class Index:
         bounded = asked.join(bounds, ["qa", "qb"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
         more = self.visit(staged(bounded.mapInArrow(route(False), schema), "routed"))
         every = staged(self.best(first.drop("place").union(more.drop("place"))).drop("place"), "nearest")
-        ids = queries.select(F.col("id").alias("query_id"), F.col("a").alias("qa"), F.col("b").alias("qb"))
+        ids = queries.select(F.col("id").alias("query_id"), F.col("a").alias("qa"), F.col("b").alias("qb")).distinct()
         place = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return (
-            ids.join(every, ["qa", "qb"]).where("id <> query_id")
+            ids.join(every, ["qa", "qb"]).where("id <> query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
             .withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= self.k)
             .select("query_id", "rank", "id", "score"))
 

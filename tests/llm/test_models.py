@@ -52,6 +52,25 @@ def test_nearest_against_brute_force(spark):
     assert hits / total >= 0.9 and not {r["query_id"] for r in got} & set(range(9001, 9007))
 
 
+def test_repeated_rows_and_ids_take_no_places(spark):
+    pick = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(pick.standard_normal((60, 16)))]
+    rows += [rows[0]] * 2 + [rows[7]] * 3  # repeated as queries and as neighbours
+    one = pick.standard_normal(16)
+    rows += [(100, one.tolist())] * 9 + [(101 + i, one.tolist()) for i in range(7)]  # copies of one id among equal vectors
+    rows += [(200, (one + 0.01 * pick.standard_normal(16)).tolist()) for _ in range(12)]  # one id, several vectors
+    vectors = {}
+    for i, v in rows:
+        vectors.setdefault(i, []).append(np.array(v) / np.linalg.norm(v))
+    queries = [0, 7, 21, 100, 106, 200]
+    index = nearest.Index(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), k=5)
+    got = index.nearest(index.rows.where(f"id in {tuple(queries)}")).collect()
+    for q in queries:
+        best = sorted((-round(float((np.array(vectors[q]) @ np.array(vectors[i]).T).max()), 12), i) for i in vectors if i != q)[:5]
+        own = sorted((r["rank"], r["id"]) for r in got if r["query_id"] == q)
+        assert own == [(n + 1, i) for n, (_, i) in enumerate(best)]
+
+
 def test_search_of_nothing(spark):
     index = nearest.Index(spark.createDataFrame([], "vec_id long, embedding array<float>"), k=5)
     assert index.nearest(index.rows).count() == 0
