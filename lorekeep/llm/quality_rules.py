@@ -1,8 +1,8 @@
 """Quality rules: fixed limits on a document, then a hashed n-gram log-likelihood ratio.
 
-Words and word pairs fall into ``BUCKETS`` hashed buckets.  Two smoothed multinomials over the
-buckets, one counted over trusted documents and one over the raw corpus, give each bucket a log
-ratio; a document scores the mean log ratio of its n-grams, and every document at or above the
+Words and word pairs fall into ``BUCKETS`` hashed buckets.  Two multinomials over the buckets, one
+counted over trusted documents, backing off to the other, counted over the raw corpus, give each
+bucket a log ratio; a document scores the mean log ratio of its n-grams, and every document at or above the
 threshold is kept.  The raw multinomial covers every document, the trusted one the labelled
 documents of a hash sample whose expected size, ``TRUSTED_IDS``, bounds the ids that are broadcast.
 
@@ -22,7 +22,7 @@ from lorekeep.llm.common import DOC, query, table, words
 BUCKETS = 10_000
 TRUSTED_IDS = 100_000  # expected number of trusted ids at most; they are broadcast
 THRESHOLD = -0.03
-ALLOWANCE = 2.0  # times the relative variance of an average bucket's trusted count
+BACK_OFF = 30.0  # n-grams that a bucket has beforehand, trusted as often as the raw corpus has them
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
@@ -107,11 +107,12 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quali
 
 
 def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[list[float], float]:
-    """Log ratio per bucket, add-one smoothed, and the threshold.  ``trusted`` is a bounded list of ids.
+    """Log ratio per bucket, and the threshold.  ``trusted`` is a bounded list of ids.
 
-    Few trusted n-grams make the ratios of unseen documents too low: the log of a count ``g`` falls
-    short by about ``1 / 2g``.  The threshold is lowered by ``ALLOWANCE`` times ``1 / g`` of the
-    average bucket, which vanishes as the trusted set grows.
+    Few trusted n-grams would make the ratios of unseen documents too low.  So the trusted multinomial
+    backs off to the raw one: each bucket has ``BACK_OFF`` n-grams in the proportion of the raw
+    corpus beforehand, and its ratio moves away from 0 as its trusted count grows.  The threshold is
+    the same whatever the labels.
 
     The counts come to the driver: ``BUCKETS`` rows however large the corpus.  Without trusted
     documents, or without any documents, every ratio is 0.
@@ -120,14 +121,11 @@ def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str =
     pairs = split_words(flagged, text).select(f"{DOC}_good", F.explode(_grams(F.col(HASHES), 2)).alias("x"))
     grams = pairs.select(f"{DOC}_good", F.explode(F.array(_bucket(F.col("x.h0")), F.when(F.col("x.h1").isNotNull(), _bucket(F.col("x"))))).alias("bucket"))
     counts = grams.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count(f"{DOC}_good").alias("good")).collect()
-    raw, good = [1] * BUCKETS, [1] * BUCKETS
+    raw, good = [0] * BUCKETS, [0] * BUCKETS
     for row in counts:
-        raw[row["bucket"]] += row["raw"]
-        good[row["bucket"]] += row["good"]
-    if sum(good) == BUCKETS:
-        return [0.0] * BUCKETS, THRESHOLD
-    shift = math.log(sum(raw) / sum(good))
-    return [math.log(g / r) + shift for g, r in zip(good, raw)], THRESHOLD - ALLOWANCE * BUCKETS / sum(good)
+        raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["good"]
+    share = sum(good) / max(1, sum(raw))
+    return [math.log((g + BACK_OFF) / (r * share + BACK_OFF)) for g, r in zip(good, raw)], THRESHOLD
 
 
 def score(ratios: list[float]) -> Column:
