@@ -7,7 +7,7 @@ word, so the model is a proper distribution over texts whatever the vocabulary.
 ``WORDS`` and ``STATES``; counts of all words, classes, states and transitions come from all training
 documents.
 
-Baum-Welch starts from a bounded sample of documents and then makes ``ROUNDS`` rounds over every
+Baum-Welch starts from noise around the word counts of all documents and makes ``ROUNDS`` rounds over every
 training document: tasks run the scaled forward and backward recursions over whole texts and hand
 back expected counts, which Spark adds up by symbol.  Scoring is the scaled forward recursion alone.
 Words outside the frequent ones meet their counts in one shuffled join by hash; the frequent ones,
@@ -34,10 +34,7 @@ from lorekeep.session import staged
 STATES = 8
 WORDS = 50_000
 CLASSES = 256
-ROUNDS = 3
-START_DOCS = 1_500  # expected number at most, for the starting point
-START_TOKENS = 400
-START_ROUNDS = 12
+ROUNDS = 15
 SMOOTHING = 200.0  # tokens of the unigram model that every state has seen beforehand
 BLOCK = 600_000  # tokens whose recursions run together: about 40 MB an array
 KNOWN_AT_ONCE = 300_000  # distinct words a task counts before it hands them on
@@ -235,16 +232,9 @@ def _batched(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[
 def baum_welch(encoded: DataFrame, vocabulary: Vocabulary) -> Hmm:
     """The model of ``encoded`` (``row, doc, symbols``).  Without documents it stays the start."""
     share = vocabulary.share()
-    total = encoded.count()
-    bits = 1 << 30
-    sample = encoded.where(F.pmod(F.xxhash64("row"), F.lit(bits)) < int(bits * min(1.0, START_DOCS / max(total, 1))))
-    few = [s[:START_TOKENS] for s in _sequences(sample.orderBy("row").select("symbols").toArrow()["symbols"].combine_chunks())] if total else []
     model = Hmm.first(share)
-    for _ in range(START_ROUNDS if few else 0):
-        parts = [model.expected(symbols, first) for _, symbols, first in blocks(few)]
-        model = Hmm.from_counts(*[sum(p[i] for p in parts) for i in range(3)], share)
     columns = [f"s{k}" for k in range(STATES)]
-    for _ in range(ROUNDS if total else 0):
+    for _ in range(ROUNDS if vocabulary.ends else 0):
         model = _round(encoded, model, share, columns)
     return model
 

@@ -1,0 +1,19 @@
+"""Every training round of the language model sees whole texts of all documents."""
+
+import numpy as np
+from llm_rows import prose
+
+from lorekeep.llm import markov_lm
+
+
+def test_rounds_run_over_whole_texts(spark, documents):
+    docs = documents([(i, prose(i, 300) + " late words stand behind here" * 60) for i in range(6)])
+    vocabulary = markov_lm.Vocabulary(markov_lm.word_counts(docs))
+    whole = [vocabulary.encode(r["text"])[0] for r in docs.collect()]
+    encoded = spark.createDataFrame([(i, bytearray(s.astype("<u4").tobytes())) for i, s in enumerate(whole)], "row long, symbols binary")
+    want, share = markov_lm.Hmm.first(vocabulary.share()), vocabulary.share()
+    for _ in range(15):
+        found = [want.expected(s, f) for _, s, f in markov_lm.blocks(whole)]
+        want = markov_lm.Hmm.from_counts(*[sum(p[i] for p in found) for i in range(3)], share)
+    got = markov_lm.baum_welch(encoded, vocabulary)
+    assert np.allclose(got.move, want.move, atol=1e-6) and np.allclose(got.emit, want.emit, atol=1e-6)
