@@ -15,9 +15,7 @@ scan, and a task that runs again on another executor reads the same split and pa
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,65 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.llm.common import query, table, text_of
+from lorekeep.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
 END_ID = 1
 GROUP_TOKENS = 1 << 21  # tokens that one greedy assignment sees: 8 MB of ids
 FLUSH_BYTES = 16 << 20  # ids per output batch
 
-# Fixed value: how the byte-level tokenizer cuts a text before merging bytes.
-_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-class Encoder:
-    """Token ids of a byte-level tokenizer file, as little-endian unsigned 32-bit bytes.
-
-    Where the file's merges stand in the order of their ids, as they do in a file made by plain
-    byte-pair training, ``tiktoken`` gives the same ids several times as fast and does the encoding;
-    other files, and texts that hold a special token's string, go through ``tokenizers`` itself.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.special = [t["content"] for t in spec.get("added_tokens") or []]
-        self.fast = _by_rank(spec)
-
-    def encode(self, text: str) -> bytes:
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
-
-
-def _by_rank(spec: dict):
-    """A ``tiktoken`` encoding of a tokenizer file, if ids follow the order of its merges."""
-    model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = model["type"] == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel"
-    if not plain or before.get("add_prefix_space") or not before.get("use_regex", True):
-        return None
-    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    made = [model["vocab"][a + b] for a, b in pairs]
-    if model.get("ignore_merges") or any(a >= b for a, b in zip(made, made[1:])):
-        return None
-    import tiktoken
-
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(printable)]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
-    special = {t["content"] for t in spec.get("added_tokens") or []}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process."""
-    return Encoder(path)
-
-
 def balance(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(item, start, length, sequence, offset)`` of items shorter than ``capacity``."""
     total = int(lengths.sum())
@@ -184,12 +130,6 @@ def with_checksums(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query("op8_cost_balanced_packing")
 def op8(spark, sf_dir):
     pieces = with_checksums(pack(table(spark, sf_dir, "documents"), default_tokenizer()))

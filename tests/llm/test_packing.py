@@ -4,12 +4,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_rows import DOCS, ODD, prose
 
-from lorekeep.llm import packing
+from lorekeep.llm import packing, tokens
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return packing.Encoder(packing.default_tokenizer())
+    return tokens.Encoder(tokens.default_tokenizer())
 
 
 @settings(max_examples=200, deadline=None)
@@ -38,7 +38,7 @@ def test_longest_goes_to_the_cheapest_with_room():
 
 def test_pack_round_trip(spark, documents, encoder):
     docs = documents([*ODD, (9, prose(1, 3000)), (10, prose(2, 40))])
-    got = packing.pack(docs, packing.default_tokenizer()).collect()
+    got = packing.pack(docs, tokens.default_tokenizer()).collect()
     for doc_id, text in [(9, prose(1, 3000)), (1, ""), (2, "")]:
         own = sorted((r for r in got if r["doc_id"] == doc_id), key=lambda r: r["start"])
         ids = encoder.encode(text) + np.array([1], "<u4").tobytes()
@@ -47,4 +47,18 @@ def test_pack_round_trip(spark, documents, encoder):
     for r in got:
         filled[r["sequence_id"]] = filled.get(r["sequence_id"], 0) + r["length"]
     assert max(filled.values()) <= 2048
-    assert packing.pack(spark.createDataFrame([], DOCS), packing.default_tokenizer()).count() == 0
+    assert packing.pack(spark.createDataFrame([], DOCS), tokens.default_tokenizer()).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a b" + " " * 2_000_000 + "\tx y", "a" + "\n" * 2_000_000 + "b"])
+def test_long_blank_runs_are_encoded_by_the_tokenizer(encoder, text):
+    ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
+
+
+def test_pack_keeps_texts_of_megabytes_whole(documents, encoder):
+    texts = {1: " " * 2_000_000 + "x", 2: prose(1, 200_000), 3: "x" * 50 + "\n" * 2_000_000 + "end"}
+    got = packing.pack(documents(list(texts.items()), "start", "length", "ids"), tokens.default_tokenizer()).collect()
+    for doc_id, text in texts.items():
+        own = sorted((r for r in got if r["doc_id"] == doc_id), key=lambda r: r["start"])
+        assert b"".join(r["ids"] for r in own) == encoder.encode(text) + np.array([1], "<u4").tobytes()
