@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import chat_format, line_crf, line_dedup, markov_lm, mixing, near_dedup, nearest, online_packing, packing, quality_rules, toxicity  # noqa: F401
+from lorekeep.llm import (  # noqa: F401
+    chat_format, line_crf, line_dedup, markov_lm, mixing, near_dedup, nearest, online_packing, packing, prefix_trie, quality_rules, spelling, toxicity,
+)
 from lorekeep.llm.common import ORACLES, QUERIES, query
 
 
