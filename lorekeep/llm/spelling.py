@@ -130,29 +130,43 @@ def neighbourhoods(words: pa.Array, symbols: int = SYMBOLS) -> Iterator[tuple[np
                 yield np.broadcast_to(ids[:, None, None], fresh.shape)[fresh], longer[fresh]
 
 
-def _place(keys: np.ndarray) -> np.ndarray:
-    return _mix(keys) >> np.uint64(64 - FILTER_BITS)
+def one_edit(a: str, b: str) -> bool:
+    """Whether exactly one inserted, deleted or replaced letter separates the words.  Their common
+    beginning is found by halving, so a long word costs its length (the built-in distance costs its square)."""
+    if len(a) > len(b):
+        a, b = b, a
+    same, high = 0, len(a)
+    while same < high:
+        middle = (same + high + 1) // 2
+        if a[same:middle] == b[same:middle]:
+            same = middle
+        else:
+            high = middle - 1
+    return a[same + 1:] == b[same + 1:] and a != b if len(a) == len(b) else a[same:] == b[same + 1:]
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """One bit per hash of ``key``, ``2 ** FILTER_BITS`` in all: tasks set bits of their own, and
-    segments are joined before anything comes to the driver, which gets 32 MB whatever the keys."""
-    segment = 16  # bits of a place that name its segment: 512 bytes each, 65,536 of them
+def _place(keys: np.ndarray, filter_bits: int) -> np.ndarray:
+    return _mix(keys) >> np.uint64(64 - filter_bits)
+
+
+def bitmap(keys: DataFrame, filter_bits: int) -> np.ndarray:
+    """One bit per hash of ``key``, ``2 ** filter_bits`` in all.  Bits are joined into words of 64 and these
+    into segments before anything comes to the driver, which gets twice the bitmap at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_place(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            at = np.unique(_place(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), filter_bits))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(np.uint64(1) << (at & np.uint64(63))).view(pa.int64())], ["at", "bits"])
 
     words_ = keys.select("key").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    runs = words_.groupBy(F.shiftright("at", FILTER_BITS - 6 - segment).alias("segment")).agg(F.collect_list("at").alias("at"), F.collect_list("bits").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    runs = words_.groupBy(F.shiftright("at", 12).alias("segment")).agg(F.collect_list("at").alias("at"), F.collect_list("bits").alias("bits"))
+    out = np.zeros(1 << (filter_bits - 6), np.uint64)
     for batch in runs.select("at", "bits").toArrow().to_batches():
         out[batch.column(0).flatten().to_numpy()] = batch.column(1).flatten().to_numpy().view(np.uint64)
     return out
 
 
-def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
+def near_pairs(words: DataFrame, symbols: int = SYMBOLS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``word, near``: both ways, every pair of ``words`` (``word``, distinct) that one edit separates."""
     spark = words.sparkSession
     words = staged(words.select("word", reduced("word", symbols).alias("form")), "reduced")
@@ -162,13 +176,13 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(polynomials(batch.column(0))).view(pa.int64())], ["form", "key"])
 
     forms = staged(words.select("form").distinct().mapInArrow(keyed, "form string, key long"), "forms")
-    known = spark.sparkContext.broadcast(bitmap(forms))
+    known = spark.sparkContext.broadcast(bitmap(forms, filter_bits))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
         for batch in batches:
             for at, keys in neighbourhoods(batch.column(0), symbols):
-                place = _place(keys)
+                place = _place(keys, filter_bits)
                 hit = (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
                 if hit.any():
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[hit])), pa.array(keys[hit]).view(pa.int64())], ["form", "key"])
@@ -177,11 +191,15 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     joined = staged(reached.join(forms.withColumnRenamed("form", "other"), "key").select("form", "other"), "joined")
     left = joined.join(words, "form").select("word", "other")
     right = words.select(F.col("form").alias("other"), F.col("word").alias("near"))
-    one_edit = F.levenshtein("word", "near", 1) == 1
-    return left.join(right, "other").where(one_edit).select("word", "near").distinct()
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(map(one_edit, batch.column(0).to_pylist(), batch.column(1).to_pylist()), pa.bool_()))
+
+    candidates = left.join(right, "other").where(F.abs(F.length("word") - F.length("near")) <= 1).select("word", "near")
+    return candidates.mapInArrow(verified, "word string, near string").distinct()
 
 
-def variants(vocabulary: DataFrame, ratio: int = FORM_RATIO, symbols: int = SYMBOLS) -> DataFrame:
+def variants(vocabulary: DataFrame, ratio: int = FORM_RATIO, symbols: int = SYMBOLS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of a vocabulary (``word, n``; words distinct, letters of ``RUNS``,
     A-Z in lower case).
 
@@ -193,7 +211,7 @@ def variants(vocabulary: DataFrame, ratio: int = FORM_RATIO, symbols: int = SYMB
         raise ValueError("ratio must be 2 or more, or forms may go round in circles")
     vocabulary = staged(vocabulary.select("word", "n"), "vocabulary")
     counts = vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    best = near_pairs(vocabulary, symbols).join(counts, "near").groupBy("word").agg(
+    best = near_pairs(vocabulary, symbols, filter_bits).join(counts, "near").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct(F.negative("near_n").alias("back"), "near")).alias("best"))
     known = vocabulary.join(best, "word", "left")
     far = F.coalesce(-F.col("best.back") >= ratio * F.col("n"), F.lit(False))

@@ -7,6 +7,8 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from llm_rows import DOCS, ODD
 
 from lorekeep.llm import spelling as sp
@@ -46,7 +48,7 @@ def words_by_hand(rows):
     return {w: n for w, n in seen.items() if len(w) >= 7 and n >= 2}
 
 
-def one_edit(a, b):
+def one_edit_by_hand(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) == 1
     a, b = sorted((a, b), key=len)
@@ -54,7 +56,7 @@ def one_edit(a, b):
 
 
 def variants_by_hand(vocabulary):
-    near = {w: [x for x in vocabulary if x != w and one_edit(w, x)] for w in vocabulary}
+    near = {w: [x for x in vocabulary if x != w and one_edit_by_hand(w, x)] for w in vocabulary}
     form = {}
     for w, others in near.items():
         best = min(others, key=lambda x: (-vocabulary[x], x), default=None)
@@ -68,6 +70,11 @@ def variants_by_hand(vocabulary):
     return out
 
 
+@given(st.text("abé", max_size=6), st.text("abé", max_size=6))
+def test_one_edit(a, b):
+    assert sp.one_edit(a, b) == one_edit_by_hand(a, b)
+
+
 def noisy(seed, n):
     pick = random.Random(seed)
     letters = "abcdefghéÉñßÀÿ×"
@@ -104,24 +111,17 @@ def test_words_of_documents_against_brute_force(spark, documents):
 
 def test_words_of_a_million_letters(spark, documents):
     long = "".join(random.Random(1).choices("abcdefghijklmnop", k=1_000_000))
-    rows = [(1, f"{long} {long}"), (2, f"{long[:500_000]}{long[500_001:]} {long}z " * 2), (3, "k" * 300_000 + " " + "k" * 300_000)]
-    words = words_by_hand(rows)
-    got = {r["word"]: r["n_near"] for r in sp.variants(sp.vocabulary(sp.occurrences(documents(rows)))).collect()}
-    assert got == {w: sum(1 for x in words if x != w and abs(len(x) - len(w)) <= 1 and one_edit_long(w, x)) for w in words}
-
-
-def one_edit_long(a, b):
-    """As ``one_edit``, by the common beginning and end."""
-    a, b = sorted((a, b), key=len)
-    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
-    return a[i:] == b[i + 1:] if len(a) != len(b) else a[i + 1:] == b[i + 1:]
+    other = long[:500_000] + ("A" if long[500_000] != "a" else "b") + long[500_001:]
+    rows = [(1, f"{long} {long}"), (2, f"{other.lower()} {long}z " * 2), (3, "k" * 300_000 + " " + "k" * 300_000)]
+    words = sp.vocabulary(sp.occurrences(documents(rows), every=1 << 40))
+    got = sp.variants(words).collect()
+    assert {r["word"]: (r["n"], r["n_near"]) for r in got} == {long: (2, 2), other.lower(): (2, 1), long + "z": (2, 1), "k" * 300_000: (2, 0)}
 
 
-def test_full_filter_and_no_words(spark, monkeypatch):
-    """With a bitmap of 4,096 bits most neighbours pass it, and nothing is lost."""
-    monkeypatch.setattr(sp, "FILTER_BITS", 22)
+def test_full_filter_and_no_words(spark):
+    """Most neighbours pass a bitmap of 1,024 bits, and nothing is lost."""
     words = {w: n for w, n in Counter(noisy(4, 2000)).items() if len(w) >= 7}
-    assert set(map(tuple, sp.variants(spark.createDataFrame(list(words.items()), "word string, n long")).collect())) == variants_by_hand(words)
+    assert set(map(tuple, sp.variants(spark.createDataFrame(list(words.items()), "word string, n long"), filter_bits=10).collect())) == variants_by_hand(words)
     assert sp.variants(sp.vocabulary(sp.occurrences(spark.createDataFrame([], DOCS)))).count() == 0
 
 
