@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_scope: ContextVar[str] = ContextVar("scratch scope", default="")
 
 
 def build_session(app: str = "lorekeep", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,7 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one intermediate table."""
-    return f"{shared_dir(spark)}/lorekeep/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lorekeep/{spark.sparkContext.applicationId}/{_scope.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str) -> Iterator[str]:
+    """Within it, intermediate tables go to a folder of their own, which is what it gives.
+
+    For steps that have an end: once a step's result is written, ``drop_folder`` on this folder
+    frees what the step needed, and a lost executor reads the result instead."""
+    within = f"{_scope.get()}{name}-{uuid.uuid4().hex}/"
+    token = _scope.set(within)
+    try:
+        yield f"{shared_dir(spark)}/lorekeep/{spark.sparkContext.applicationId}/{within}".rstrip("/")
+    finally:
+        _scope.reset(token)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -89,3 +89,21 @@ def test_index_embeds_the_summary_of_every_eligible_row(spark):
     assert sorted(r["embedding"] for r in custom.collect()) == [[0.0], [8.0], [8.0]]
     with pytest.raises(ValueError):
         embedding.build_index(eligible.limit(0), F.current_timestamp())
+
+
+def test_scratch_scope_holds_and_frees_its_tables(spark):
+    from lorekeep import session
+
+    outer = session.staged(spark.range(3), "outer")
+    with session.scratch_scope(spark, "step") as folder:
+        inner = session.staged(spark.range(4), "inner")
+        with session.scratch_scope(spark, "part") as nested:
+            assert nested.startswith(folder + "/")
+    after = session.staged(spark.range(5), "after")
+    assert all(folder in f for f in inner.inputFiles())
+    assert not any(folder in f for f in [*outer.inputFiles(), *after.inputFiles()])
+    assert inner.count() == 4
+    session.drop_folder(spark, folder)
+    assert outer.count() == 3 and after.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(folder)
