@@ -8,9 +8,10 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators.joins import keep_matching
-from lorekeep.operators.lexical import bm25_top, lexical_search
-from lorekeep.operators.semantic import cosine_top, semantic_search
+from lorekeep.operators import inverted
+from lorekeep.operators.joins import attach, keep_matching
+from lorekeep.operators.lexical import bm25_top
+from lorekeep.operators.semantic import cosine_top
 from lorekeep.operators.topk import DECIMALS, best_per_question, ranked
 from lorekeep.session import staged
 
@@ -63,13 +64,16 @@ def one_per_id(questions: DataFrame) -> DataFrame:
 
 
 def candidate_lists(
-    questions: DataFrame, embeddings: DataFrame, corpus: DataFrame, fetch_n: int = 10
+    questions: DataFrame, embeddings: DataFrame, corpus: DataFrame, fetch_n: int = 10,
+    words: inverted.InvertedIndex | None = None,
 ) -> list[DataFrame]:
-    """The semantic and the lexical list, ids and scores only, staged."""
+    """The semantic and the lexical list, ids and scores only, staged.  ``words`` is a stored index of
+    ``corpus``; without it the corpus is scanned."""
     questions = staged(one_per_id(questions), "questions")
+    lexical = (lambda: bm25_top(questions, corpus, fetch_n)) if words is None else (lambda: inverted.bm25_top(questions, words, fetch_n))
     return side_by_side(
         lambda: staged(cosine_top(questions, embeddings, fetch_n), "semantic"),
-        lambda: staged(bm25_top(questions, corpus, fetch_n), "lexical"),
+        lambda: staged(lexical(), "lexical"),
     )
 
 
@@ -91,21 +95,31 @@ def rerank(found: DataFrame, n: int) -> DataFrame:
 def search(
     questions: DataFrame, embeddings: DataFrame, corpus: DataFrame, eligible: DataFrame,
     top_n: int = 5, fetch_n: int = 10, semantic_weight: float = 0.6, lexical_weight: float = 0.4,
+    words: inverted.InvertedIndex | None = None,
 ) -> DataFrame:
     """Hybrid search for a table of questions ``(query_id, question, embedding)``.
 
     ``2 * top_n`` merged candidates are kept before the re-check, so a few rows that became
     ineligible since indexing do not starve the answer.  ``fetch_n`` from each side must be able to
-    fill ``top_n``.  A repeated ``query_id`` is one question, the same for both sides.
+    fill ``top_n``.  A repeated ``query_id`` is one question, the same for both sides.  Ids and scores go
+    through the merge; topic, title and summary of the answers are fetched at the end, from ``embeddings`` for
+    what they hold, else from ``corpus``.  ``words`` is as in ``candidate_lists``.
     """
     if fetch_n < top_n:
         raise ValueError(f"fetch_n={fetch_n} candidates a side cannot be sure to fill top_n={top_n}")
-    questions = staged(one_per_id(questions), "questions")
-    sem, lex = side_by_side(
-        lambda: semantic_search(questions, embeddings, fetch_n), lambda: lexical_search(questions, corpus, fetch_n)
-    )
+    sem, lex = candidate_lists(questions, embeddings, corpus, fetch_n, words)
+    sem = sem.withColumn("embedded", F.lit(True))
+    lex = lex.withColumn("embedded", F.lit(False))
     merged = staged(merge(sem, lex, semantic_weight, lexical_weight, 2 * top_n), "merged")
-    return rerank(recheck(merged, eligible), top_n)
+    answers = staged(rerank(recheck(merged, eligible), top_n), "answers")
+    return detailed(answers.where("embedded"), embeddings).unionByName(detailed(answers.where("not embedded"), corpus))
+
+
+def detailed(answers: DataFrame, table: DataFrame) -> DataFrame:
+    """Answers with topic, title and summary."""
+    details = table.select("knowledge_id", "topic_id", "title", "summary")
+    return attach(answers, details, "knowledge_id", ["query_id"]).select(
+        "query_id", "knowledge_id", "topic_id", "title", "summary", "hybrid_score", "semantic_score", "lexical_score", "rank")
 
 
 def drift(embeddings: DataFrame, eligible: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The jobs of one warehouse folder: load, refresh, index, stream, analytics, search, evaluate.
 
-Tables live under ``<warehouse>/raw``, ``/curated`` and ``/semantic``.  Each job reads tables and
-writes tables; between jobs nothing is kept in memory.
+Tables live under ``<warehouse>/raw``, ``/curated`` and ``/semantic``.  Each job reads tables of one
+snapshot and writes tables; between jobs nothing is kept in memory.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep import schemas as S
-from lorekeep.operators import analytics, embedding, evaluation, hybrid, seed_gate
+from lorekeep.operators import analytics, embedding, evaluation, hybrid, inverted, seed_gate
 from lorekeep.operators.embedding import HASHED_MODEL, Embedder, hashed_words
 from lorekeep.plans.refresh import Refresh
 from lorekeep.session import staged
@@ -44,19 +44,41 @@ def _loaded(schema: T.StructType) -> T.StructType:
 
 
 def refresh(spark: SparkSession, warehouse: str, quarantine: str, run_id: str | None = None) -> str:
-    raw = [files.read_table(spark, warehouse, f"raw/{name}", _loaded(schema)) for name, schema in RAW.items()]
+    now = files.snapshot(spark, warehouse)
+    raw = [now.read(f"raw/{name}", _loaded(schema)) for name, schema in RAW.items()]
     return Refresh(*raw).run(warehouse, quarantine, run_id)
 
 
-def eligible(spark: SparkSession, warehouse: str) -> DataFrame:
-    return files.read_table(spark, warehouse, "semantic/agent_eligible_knowledge", S.AGENT_ELIGIBLE)
+ELIGIBLE = "semantic/agent_eligible_knowledge"
+
+
+def eligible(now: files.Snapshot) -> DataFrame:
+    return now.read(ELIGIBLE, S.AGENT_ELIGIBLE)
 
 
 def index(spark: SparkSession, warehouse: str, embedder: Embedder = hashed_words, model: str = HASHED_MODEL) -> None:
-    """Re-embeds everything eligible."""
-    built = embedding.build_index(eligible(spark, warehouse), F.current_timestamp(), embedder, model)
-    # Sorted inside each file, so a search within one topic skips most row groups.
-    files.overwrite_table(built.sortWithinPartitions("topic_id"), warehouse, "semantic/knowledge_embeddings")
+    """Re-embeds everything eligible and inverts its words, published together."""
+    now = files.snapshot(spark, warehouse)
+    current = eligible(now)
+    built = embedding.build_index(current, F.current_timestamp(), embedder, model)
+    words = inverted.build(current)
+    words = inverted.InvertedIndex(words.stats.withColumn("built_from", F.lit(now.version(ELIGIBLE))), words.terms, words.postings, words.documents)
+    files.publish(
+        # Sorted inside each file, so a search within one topic skips most row groups.
+        {"semantic/knowledge_embeddings": built.sortWithinPartitions("topic_id"), **words.tables()}, warehouse,
+        {f"semantic/{name}": columns for name, columns in inverted.PARTITIONED.items()},
+    )
+
+
+def stored_words(now: files.Snapshot) -> inverted.InvertedIndex | None:
+    """The inverted index, if it was built from the knowledge that is eligible now and can be searched."""
+    names = [f"semantic/{name}" for name in inverted.TABLES]
+    if any(now.version(name) is None for name in names):
+        return None
+    found = inverted.InvertedIndex(*[now.read(name) for name in names])
+    if found.stats.first()["built_from"] != now.version(ELIGIBLE) or not inverted.bounds_hold(found):
+        return None
+    return found
 
 
 def stream(messages: DataFrame, warehouse: str, available_now: bool = False):
@@ -69,7 +91,7 @@ def stream(messages: DataFrame, warehouse: str, available_now: bool = False):
 
 def refresh_analytics(spark: SparkSession, warehouse: str) -> None:
     """Recomputes all metrics from the event fact; before the first event all counts are zero."""
-    fact = files.read_table(spark, warehouse, "curated/fact_event", S.FACT_EVENT, or_empty=True)
+    fact = files.snapshot(spark, warehouse).read("curated/fact_event", S.FACT_EVENT, or_empty=True)
     metrics = analytics.question_analytics(fact, F.lit(_now(spark)).cast("timestamp"))
     files.overwrite_table(metrics, warehouse, "semantic/question_analytics")
 
@@ -79,8 +101,8 @@ def _now(spark: SparkSession) -> str:
     return spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
 
 
-def _embeddings(spark: SparkSession, warehouse: str) -> DataFrame:
-    return files.read_table(spark, warehouse, "semantic/knowledge_embeddings", S.EMBEDDINGS)
+def _embeddings(now: files.Snapshot) -> DataFrame:
+    return now.read("semantic/knowledge_embeddings", S.EMBEDDINGS)
 
 
 def search(
@@ -88,12 +110,17 @@ def search(
     embedder: Embedder = hashed_words, semantic_weight: float = 0.6, lexical_weight: float = 0.4, fetch_n: int | None = None,
 ) -> DataFrame:
     """``questions``: (query_id, question).  With a topic both corpora are cut to it first.
-    ``fetch_n`` candidates come from each side; by default as many as ``top_n`` may need."""
-    current = eligible(spark, warehouse)
+    ``fetch_n`` candidates come from each side; by default as many as ``top_n`` may need.
+
+    Without a topic words are looked up in the stored index, unless knowledge was refreshed since it was built;
+    statistics of a topic are its own, so its rows are scanned."""
+    now = files.snapshot(spark, warehouse)
+    current = eligible(now)
     asked = staged(embedding.embed_queries(questions, embedder), "asked")
     return hybrid.search(
-        asked, files.embedding_corpus(_embeddings(spark, warehouse), topic), files.lexical_corpus(current, topic),
+        asked, files.embedding_corpus(_embeddings(now), topic), files.lexical_corpus(current, topic),
         current, top_n, fetch_n or max(10, 2 * top_n), semantic_weight=semantic_weight, lexical_weight=lexical_weight,
+        words=None if topic else stored_words(now),
     )
 
 
@@ -101,10 +128,11 @@ def evaluate(
     spark: SparkSession, warehouse: str, cases: DataFrame, embedder: Embedder = hashed_words
 ) -> dict[str, DataFrame]:
     """Per-case results, hit and empty counts by style, and the rejection summary."""
-    current = eligible(spark, warehouse)
+    now = files.snapshot(spark, warehouse)
+    current = eligible(now)
     asked = cases.select(F.col("id").alias("query_id"), "question")
     asked = staged(embedding.embed_queries(asked, embedder), "asked")
-    lists = evaluation.candidates(*hybrid.candidate_lists(asked, _embeddings(spark, warehouse), current), current)
+    lists = evaluation.candidates(*hybrid.candidate_lists(asked, _embeddings(now), current, words=stored_words(now)), current)
     results = staged(evaluation.eval_cases(cases, lists), "results")
     return {
         "cases": results,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +18,15 @@ from lorekeep import schemas as S
 from lorekeep.functions.iso import integer
 from lorekeep.session import drop_folder
 
-LOG = "_published"  # one row per publication: its version and the tables it replaced
-PUBLISHED = T.StructType([T.StructField("version", T.StringType()), T.StructField("tables", T.ArrayType(T.StringType()))])
+LOG = "_published"  # one row per publication: its version and the tables it replaced; or a checkpoint of them
+_names = T.ArrayType(T.StringType())
+PUBLISHED = T.StructType([
+    T.StructField("version", T.StringType()), T.StructField("tables", _names),
+    T.StructField("state", T.MapType(T.StringType(), _names)), T.StructField("folded", _names),
+])
+KEPT = 2  # versions of a table that stay
+CHECKPOINT_EVERY = 20  # log rows that are folded into one
+READ_ATTEMPTS = 5
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
@@ -55,15 +64,10 @@ def cast_on_load(df: DataFrame, long_columns: list[str]) -> DataFrame:
 
 def read_table(spark: SparkSession, base: str, name: str, schema: T.StructType | None = None, or_empty: bool = False) -> DataFrame:
     """The current version of a published table, or the plain Parquet folder of that name; the column
-    list and filters of the query reach the scan.  ``or_empty`` reads an absent table as no rows."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    current = versions(spark, base, name)[-1:]
-    try:
-        return reader.parquet("/".join([base, name, *current]))
-    except AnalysisException:
-        if or_empty and schema is not None:
-            return spark.createDataFrame([], schema)
-        raise
+    list and filters of the query reach the scan.  ``or_empty`` reads an absent table as no rows.
+
+    A job that reads several tables takes one ``snapshot`` and reads them all from it."""
+    return snapshot(spark, base).read(name, schema, or_empty)
 
 
 def read_benchmark(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -140,32 +144,135 @@ def write_events(df: DataFrame, base: str, feed: str, batch_id: int) -> None:
     )
 
 
-def publish(tables: dict[str, DataFrame], base: str) -> None:
-    """Replace tables together, or not at all.
+@dataclass(frozen=True)
+class Snapshot:
+    """The tables of a warehouse as they were at one moment: ``state`` has the versions of each that are
+    still there, the current one last.  Whatever is published meanwhile, a job reads one state."""
+
+    spark: SparkSession
+    base: str
+    state: dict[str, list[str]]
+
+    def version(self, name: str) -> str | None:
+        """The version of a table; none if it was never published."""
+        return self.state[name][-1] if name in self.state else None
+
+    def read(self, name: str, schema: T.StructType | None = None, or_empty: bool = False) -> DataFrame:
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
+        try:
+            return reader.parquet("/".join([self.base, name, *self.state.get(name, [])[-1:]]))
+        except AnalysisException as error:
+            if or_empty and schema is not None and error.getCondition() == "PATH_NOT_FOUND":
+                return self.spark.createDataFrame([], schema)
+            raise
+
+
+def snapshot(spark: SparkSession, base: str) -> Snapshot:
+    """The current state of a warehouse, from one read of its log."""
+    return Snapshot(spark, base, _state(_entries(spark, base)))
+
+
+def _entries(spark: SparkSession, base: str) -> list[Row]:
+    """The log: at most one checkpoint and the publications since.  A checkpoint removes what it
+    stands for, so a read that meets a file on its way out reads again."""
+    for attempt in range(READ_ATTEMPTS):
+        try:
+            return spark.read.schema(PUBLISHED).json(f"{base}/{LOG}").withColumn("file", F.input_file_name()).collect()
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        except PySparkException:
+            if attempt + 1 == READ_ATTEMPTS:
+                raise
+    raise AssertionError("unreachable")
+
+
+def _state(entries: list[Row]) -> dict[str, list[str]]:
+    """Per table the last two versions, by the newest checkpoint and all publications it does not hold.
+    Publications may be written in another order than they began; versions order them."""
+    checkpoint = max((e for e in entries if e["state"] is not None), key=lambda e: e["version"], default=None)
+    state = {k: list(v) for k, v in checkpoint["state"].items()} if checkpoint else {}
+    folded = set(checkpoint["folded"]) if checkpoint else set()
+    for entry in entries:
+        if entry["state"] is None and entry["version"] not in folded:
+            for name in entry["tables"]:
+                state[name] = sorted({*state.get(name, []), entry["version"]})
+    return {name: versions[-KEPT:] for name, versions in state.items()}
+
+
+def publish(tables: dict[str, DataFrame], base: str, partitioned: dict[str, list[str]] | None = None) -> str:
+    """Replace tables together, or not at all; returns their version.
 
     Every table is written to a folder of its own, and only when all are complete does one row of
-    the warehouse's log name them current.  That row is one file, committed as a whole, so readers see
+    the warehouse's log name them current.  That row is one file, committed as a whole, so a snapshot has
     all old tables or all new ones, and a failed run leaves the old ones as they were.  The version
-    before stays for readers that have begun; older ones go.  The writes do not depend on each
-    other, so they share the cluster instead of queueing.
+    before stays for jobs that have begun; older ones go.  The writes do not depend on each
+    other, so they share the cluster instead of queueing.  ``partitioned`` names the columns whose values
+    become folders of a table.
     """
     spark = next(iter(tables.values())).sparkSession
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    version = new_version()
     with ThreadPoolExecutor(max_workers=len(tables)) as pool:
-        writes = [pool.submit(df.write.parquet, f"{base}/{name}/{version}") for name, df in tables.items()]
+        writes = [
+            pool.submit(df.write.partitionBy(*(partitioned or {}).get(name, [])).parquet, f"{base}/{name}/{version}")
+            for name, df in tables.items()
+        ]
         for done in writes:
             done.result()
-    log = spark.createDataFrame([(version, sorted(tables))], PUBLISHED)
-    log.coalesce(1).write.mode("append").json(f"{base}/{LOG}")
+    before = _state(_entries(spark, base))
+    _log(spark, base, Row(version=version, tables=sorted(tables), state=None, folded=None))
+    entries = _entries(spark, base)
+    after = _state(entries)
     for name in tables:
-        for old in versions(spark, base, name)[:-2]:
+        for old in set(before.get(name, [])) - set(after[name]):
             drop_folder(spark, f"{base}/{name}/{old}")
+    if len(entries) >= CHECKPOINT_EVERY:
+        checkpoint(spark, base)
+    return version
+
+
+def new_version() -> str:
+    """Versions sort by the time a publication began."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def _log(spark: SparkSession, base: str, entry: Row) -> None:
+    """One row, one file, committed as a whole."""
+    spark.createDataFrame([entry], PUBLISHED).coalesce(1).write.mode("append").json(f"{base}/{LOG}")
+
+
+def checkpoint(spark: SparkSession, base: str) -> None:
+    """Folds the log into one row with the whole state, then removes the files it stands for.  A
+    publication written meanwhile is not among them and stays."""
+    entries = _entries(spark, base)
+    if not entries:
+        return
+    folded = sorted({e["version"] for e in entries if e["state"] is None})
+    _log(spark, base, Row(version=new_version(), tables=[], state=_state(entries), folded=folded))
+    for file in {e["file"] for e in entries}:
+        drop_folder(spark, file)
+
+
+def remove_orphans(spark: SparkSession, base: str, older_than_seconds: float = 86_400) -> list[str]:
+    """Removes version folders that no state names: what failed runs have left.  A run that is still
+    writing has a young version, so only folders begun ``older_than_seconds`` ago go.  Returns them."""
+    state = snapshot(spark, base).state
+    named = {f"{name}/{version}" for name, versions in state.items() for version in versions}
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    system, gone = path.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    root = str(system.makeQualified(path).toString()).rstrip("/")
+    limit = time.time_ns() - int(older_than_seconds * 1e9)
+    for depth in ("*/*", "*/*/*"):
+        for found in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{depth}")) or []:
+            name = found.getPath().toString()[len(root) + 1:]
+            stamp = re.fullmatch(r"(\d{20})-[0-9a-f]{8}", name.rsplit("/", 1)[-1])
+            if stamp and name not in named and int(stamp[1]) < limit:
+                drop_folder(spark, f"{root}/{name}")
+                gone.append(name)
+    return sorted(gone)
 
 
 def versions(spark: SparkSession, base: str, name: str) -> list[str]:
-    """Published versions of a table, oldest first; none if it never was."""
-    try:
-        log = spark.read.schema(PUBLISHED).json(f"{base}/{LOG}")
-        return [r["version"] for r in log.where(F.array_contains("tables", name)).orderBy("version").collect()]
-    except AnalysisException:
-        return []
+    """Versions of a table that are still there, oldest first; none if it never was published."""
+    return snapshot(spark, base).state.get(name, [])

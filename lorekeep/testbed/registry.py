@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from lorekeep.plans.refresh import Refresh
 from lorekeep.session import scratch_path, staged
 from lorekeep.streaming.events import normalize_events
+from lorekeep.operators import inverted
 from lorekeep.operators.quality import annotate, event_rules
+from lorekeep.sources import files
 from lorekeep.testbed import bindings
 
 _contexts: dict[tuple[str, str], "Context"] = {}
@@ -57,6 +59,14 @@ class Context:
     def questions(self) -> DataFrame:
         return self.raw("b_questions")
 
+    @cached_property
+    def lexical_index(self) -> inverted.InvertedIndex:
+        """The inverted index of the eligible knowledge, published once and read back like any table."""
+        base = self.scratch("index")
+        files.publish(inverted.build(self.refresh.eligible).tables(), base, {f"semantic/{k}": v for k, v in inverted.PARTITIONED.items()})
+        now = files.snapshot(self.spark, base)
+        return inverted.InvertedIndex(*[now.read(f"semantic/{name}") for name in inverted.TABLES])
+
     @cached_property
     def checked_events(self) -> DataFrame:
         return annotate(self.raw("b_events"), event_rules())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep import schemas as S
 from lorekeep.functions.governance import cosine
 from lorekeep.functions.text import tokens
-from lorekeep.operators import embedding, evaluation, hybrid, lexical, semantic
+from lorekeep.operators import embedding, evaluation, hybrid, inverted, lexical, semantic
 from lorekeep.operators.joins import attach, sized_join
 from lorekeep.session import staged
 from lorekeep.sources import files
@@ -165,6 +165,12 @@ def join_query_vector(c: Context) -> DataFrame:
 
 @query("topk_lexical", _LEXICAL)
 def topk_lexical(c: Context) -> DataFrame:
+    return _out(inverted.bm25_top(c.questions, c.lexical_index))
+
+
+@query("topk_lexical_scan", _LEXICAL)
+def topk_lexical_scan(c: Context) -> DataFrame:
+    """The same rows without an index."""
     return _out(lexical.bm25_top(c.questions, c.refresh.eligible))
 
 
@@ -172,8 +178,8 @@ def topk_lexical(c: Context) -> DataFrame:
     select l.query_id, l.knowledge_id, l.rank, round(l.score, 6) score, e.topic_id, e.title, e.summary
     from l_top l join v_eligible e on l.knowledge_id = e.knowledge_id""")
 def lexical_search(c: Context) -> DataFrame:
-    found = lexical.lexical_search(c.questions, files.lexical_corpus(c.refresh.eligible))
-    return found.withColumn("score", six("score"))
+    found = inverted.bm25_top(c.questions, c.lexical_index)
+    return semantic.with_details(found, files.lexical_corpus(c.refresh.eligible)).withColumn("score", six("score"))
 
 
 @query("lexical_search_topic", "select query_id, knowledge_id, rank, round(score, 6) score from w_top")
@@ -183,14 +189,14 @@ def lexical_search_topic(c: Context) -> DataFrame:
 
 @query("agg_bm25_stats", "select term, df, round(idf, 6) idf from l_idf")
 def agg_bm25_stats(c: Context) -> DataFrame:
-    stats = lexical.term_statistics(c.refresh.eligible)
-    return stats.terms.select("term", "df", F.round(stats.idf, 6).alias("idf"))
+    """As stored with the index; ``lexical.term_statistics`` computes them for a scan."""
+    return inverted.term_weights(c.lexical_index).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 # ---- merge, re-check, search -------------------------------------------------------------------
 
 def _lists(c: Context) -> list[DataFrame]:
-    return hybrid.candidate_lists(c.questions, c.embeddings, c.refresh.eligible)
+    return hybrid.candidate_lists(c.questions, c.embeddings, c.refresh.eligible, words=c.lexical_index)
 
 
 _MERGED = "select query_id, knowledge_id, round(semantic_score, 6) semantic_score, round(lexical_score, 6) lexical_score, round(hybrid_score, 6) hybrid_score, rank from h_ranked"
@@ -239,7 +245,7 @@ def topk_overfetch(c: Context) -> DataFrame:
 def search_knowledge(c: Context) -> DataFrame:
     eligible = c.refresh.eligible
     return _rounded(hybrid.search(
-        c.questions, files.embedding_corpus(c.embeddings), files.lexical_corpus(eligible), eligible
+        c.questions, files.embedding_corpus(c.embeddings), files.lexical_corpus(eligible), eligible, words=c.lexical_index
     ))
 
 

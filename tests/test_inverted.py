@@ -1,0 +1,102 @@
+"""The stored index against the scan and against brute force; what it leaves out."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from test_retrieval import asked, brute_bm25, corpus, docs, lists, questions_df, same  # noqa: F401  fixtures
+
+from lorekeep import schemas as S
+from lorekeep.operators import inverted, joins, lexical
+from lorekeep.session import staged
+
+QUESTIONS = "query_id string, question string"
+
+
+def stored(index, buckets=None):
+    """The index as its published tables would be read."""
+    return inverted.InvertedIndex(*[staged(df, "index") for df in (index.stats, index.terms, index.postings, index.documents)])
+
+
+@pytest.fixture(scope="module")
+def index(corpus):  # noqa: F811
+    return stored(inverted.build(corpus))
+
+
+@pytest.mark.parametrize("k", [1, 7, 10, 60, 300])
+def test_rows_of_brute_force(docs, index, asked, questions_df, k):  # noqa: F811
+    same(lists(inverted.bm25_top(questions_df, index, k)), brute_bm25(docs, asked, k))
+
+
+@pytest.mark.parametrize("block", [1, 4])
+def test_small_blocks_and_slices(docs, corpus, asked, questions_df, monkeypatch, block):  # noqa: F811
+    monkeypatch.setattr(inverted, "BLOCK", block)
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 20)
+    small = stored(inverted.build(corpus, buckets=3))
+    assert small.postings.groupBy("key", "block").count().where("count > 1").count() > 0  # slices of one term
+    assert small.postings.where(F.size("docs") > block).count() == 0
+    same(lists(inverted.bm25_top(questions_df, small, 10)), brute_bm25(docs, asked, 10))
+
+
+def test_shuffled_joins_give_the_same(docs, index, asked, questions_df, either_join):  # noqa: F811
+    same(lists(inverted.bm25_top(questions_df, index, 10)), brute_bm25(docs, asked, 10))
+
+
+def test_stored_terms_are_those_of_the_scan(index, corpus):  # noqa: F811
+    stats = lexical.term_statistics(corpus)
+    mine = {r["term"]: (r["df"], pytest.approx(r["idf"])) for r in inverted.term_weights(index).collect()}
+    assert mine == {r["term"]: (r["df"], r["idf"]) for r in stats.terms.select("term", "df", stats.idf.alias("idf")).collect()}
+    blocks = index.postings.select("key", "top", F.array_max("impacts").alias("most"), F.size("docs").alias("n"))
+    assert blocks.where("top <> most or n = 0 or n > 128").count() == 0
+    assert blocks.groupBy("key").agg(F.sum("n").alias("n")).join(index.terms, "key").where("n <> df").count() == 0
+
+
+def test_only_folders_of_asked_terms_are_read(spark, corpus, tmp_path):  # noqa: F811
+    built = inverted.build(corpus, buckets=16)
+    built.postings.write.partitionBy("bucket").parquet(str(tmp_path / "postings"))
+    index = inverted.InvertedIndex(built.stats, built.terms, spark.read.parquet(str(tmp_path / "postings")), built.documents)
+    wanted = [r[0] for r in built.terms.where("term = 'wordling'").select(F.pmod("key", F.lit(16))).collect()]
+    files_of = lambda df: {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+    read = index.postings.where(F.col("bucket").isin(wanted))
+    assert files_of(read) < files_of(index.postings) and all("bucket=" + str(wanted[0]) + "/" in f for f in files_of(read))
+    got = inverted.bm25_top(spark.createDataFrame([("q", "wordling")], QUESTIONS), index, 1).first()
+    assert (got["knowledge_id"], got["rank"]) == ("k902", 1)
+
+
+def test_weak_terms_and_low_blocks_are_left_out(spark, monkeypatch):
+    """A rare word in ten short documents; common words in all: only the rare word's documents are scored."""
+    rng = random.Random(3)
+    rows = [(f"d{i:04d}", "t", "", " ".join(rng.choices([f"w{k}" for k in range(40)], k=30)) + (" rare" if i % 60 == 0 else "")) for i in range(600)]
+    monkeypatch.setattr(inverted, "BLOCK", 8)
+    index = stored(inverted.build(spark.createDataFrame(rows, S.AGENT_ELIGIBLE)))
+    scored = []
+    exact = inverted._exact
+    monkeypatch.setattr(inverted, "_exact", lambda found, *a: scored.append(found.count()) or exact(found, *a))
+    question = [("q", "rare w1")]
+    got = lists(inverted.bm25_top(spark.createDataFrame(question, QUESTIONS), index, 5))
+    same(got, brute_bm25(rows, question, 5))
+    assert sum(scored) < 100  # of about 330 documents with a word of the question
+
+
+def test_random_corpora(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(f"d{i:03d}", "t", "", " ".join(rng.choices([f"w{k}" for k in range(200)], weights=[1 / (k + 1) for k in range(200)], k=rng.randint(0, 25)))) for i in range(150)]
+        question = [(f"q{i}", " ".join(rng.choices([f"w{k}" for k in range(220)], k=rng.randint(1, 9)))) for i in range(15)]
+        index = stored(inverted.build(spark.createDataFrame(rows, S.AGENT_ELIGIBLE)))
+        same(lists(inverted.bm25_top(spark.createDataFrame(question, QUESTIONS), index, 6)), brute_bm25(rows, question, 6))
+
+
+def test_terms_that_lower_scores_need_the_scan(spark):
+    rows = [(f"k{i}", "t", "", "same words") for i in range(5)] + [("k9", "t", "", "zzz")]
+    index = inverted.build(spark.createDataFrame(rows, S.AGENT_ELIGIBLE))
+    assert not inverted.bounds_hold(index)
+    with pytest.raises(ValueError):
+        inverted.bm25_top(spark.createDataFrame([("q", "same")], QUESTIONS), index)
+
+
+def test_no_questions_and_repeated_ones(spark, index, questions_df):  # noqa: F811
+    assert inverted.bm25_top(questions_df.limit(0), index).count() == 0
+    twice = spark.createDataFrame([("q", "red fish"), ("q", "blue bird")], QUESTIONS)
+    once = spark.createDataFrame([("q", "blue bird")], QUESTIONS)
+    same(lists(inverted.bm25_top(twice, index, 4)), lists(inverted.bm25_top(once, index, 4)))
