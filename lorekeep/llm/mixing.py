@@ -9,7 +9,8 @@ another on a line as long as a power of two, and the van der Corput point of a s
 reversed - says which interval it falls in, so every source recurs at even steps.  The slots of a
 source are ranked in schedule order; its documents, shuffled by a hash, lie end to end on a line of
 words, repeated for every epoch; the slot of rank ``r`` takes the words of block ``r``.  Joining
-slots to documents on (source, block) gives the pieces of the mix.
+slots to documents on (source, block) gives the pieces of the mix, and the order of slots is its order: a
+document comes when the slot of its first piece is due.
 
 Only built-in expressions run and no text moves.  Ranks and positions are running sums in three
 levels (shares of the hash space, parts of a share, rows), so a source with any share of the rows is
@@ -30,6 +31,7 @@ MAX_EPOCHS = 3
 BLOCK_WORDS = 1024
 MIN_SLOTS = 256  # small corpora get smaller blocks
 ROWS_PER_PART = 64  # rows that one window of a running sum sees, about
+SLOTS_PER_ROW = 1 << 16  # slots that one row unfolds to
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -112,8 +114,11 @@ class Mix:
             "until", F.sum("blocks").over(W.orderBy(*at).rowsBetween(W.unboundedPreceding, 0))), "intervals")
         most = intervals.agg(F.coalesce(F.max("until"), F.lit(0))).first()[0]
         bits = max(0, int(most) - 1).bit_length()
-        points = intervals.where("blocks > 0").select(
-            "source", F.explode(F.sequence(F.col("until") - F.col("blocks"), F.col("until") - 1)).alias("point"))
+        # Unfolded in two steps, so that a large source is neither one row nor one task.
+        low = F.col("until") - F.col("blocks") + F.col("part") * SLOTS_PER_ROW
+        coarse = intervals.where("blocks > 0").select("source", "until", "blocks", F.explode(
+            F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / SLOTS_PER_ROW))).alias("part")).repartition("source", "part")
+        points = coarse.select("source", F.explode(F.sequence(low, F.least(low + SLOTS_PER_ROW, F.col("until")) - 1)).alias("point"))
         points = points.withColumn("slot", reversed_bits(F.col("point"), bits))
         # Slots are ranked in their own order: the high bits of the slot are its share.
         share = F.shiftleft(F.col("slot"), max(0, 30 - bits)) if bits <= 30 else F.shiftright(F.col("slot"), bits - 30)
@@ -129,8 +134,9 @@ class Mix:
             "d.row", "d.doc_id", "d.source", "d.size", "d.start", "t.source_size", "t.target")
 
     def pieces(self) -> DataFrame:
-        """Every document with the pieces the mix takes: ``slot``, ``epoch``, ``offset`` (words
-        into the document) and ``length``; one row without a slot where it takes none."""
+        """Every document with the pieces the mix takes: ``slot``, ``epoch``, ``line`` (where the document
+        begins on the line of its source in that epoch), ``offset`` (words into the document) and
+        ``length``; one row without a slot where it takes none."""
         limit = F.floor(F.col("target") + 0.5)
         first = lambda e: e * F.col("source_size") + F.col("start")
         epochs = F.transform(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1)), lambda e: F.struct(
@@ -139,28 +145,38 @@ class Mix:
         blocks = F.when(F.col("e").isNotNull(), F.sequence(F.floor(F.col("e.low") / self.block), F.floor((F.col("e.high") - 1) / self.block)))
         cut = taken.select("*", F.explode_outer(blocks).alias("block"))
         low, high = F.greatest("e.low", F.col("block") * self.block), F.least("e.high", (F.col("block") + 1) * self.block)
-        cut = cut.select("*", F.col("e.epoch").alias("epoch"), (low - F.col("e.low")).alias("offset"), (high - low).alias("length")).drop("e")
+        cut = cut.select("*", F.col("e.epoch").alias("epoch"), F.col("e.low").alias("line"), (low - F.col("e.low")).alias("offset"), (high - low).alias("length")).drop("e")
         due = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.block") == F.col("s.block"))
         return cut.alias("d").join(self.slots().alias("s"), due, "left").select("d.*", "s.slot").drop("block")
 
     def taken(self) -> DataFrame:
-        """One row per document: the words the mix takes of it over all its pieces."""
+        """One row per document: the words the mix takes of it over all its pieces, and ``first_slot``, when
+        the first is due (null where it takes none)."""
         whole = F.col("slot").isNotNull()
         return self.pieces().groupBy("row", "doc_id", "size", "source_size", "target").agg(
-            F.coalesce(F.sum(F.when(whole, F.col("length"))), F.lit(0)).cast("long").alias("taken"))
+            F.coalesce(F.sum(F.when(whole, F.col("length"))), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word, white space as it was."""
+    spaces = F.split(text, r"[^\x20\x09-\x0D]+")
+    return F.array_join(F.zip_with(F.slice(spaces, F.lit(1), n), F.slice(words(text), F.lit(1), n), lambda s, w: F.concat(s, w)), "")
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` as the mix has them: a row per whole epoch of a document, and for a document that the
-    target cuts, a row with the words that still fit.  Columns of ``docs`` only."""
+    target cuts, a row with the words that still fit.  Rows are in schedule order, by the slot of their
+    first piece, over ranges of slots and within them.  Columns of ``docs`` only."""
     columns, docs = docs.columns, numbered(docs)
     mix = Mix(docs, doc_id, text, source)
-    spans = mix.pieces().where("slot is not null").groupBy("row", "size", "epoch").agg(F.sum("length").alias("take"))
-    spans = spans.groupBy("row", "size").agg(F.collect_list("take").alias("takes")).select(
-        F.col("row").alias(ROW), F.col("size").alias(f"{DOC}_size"), F.explode("takes").alias(f"{DOC}_take"))
-    joined = docs.join(spans, ROW)
-    cut = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col(f"{DOC}_take").cast("int")), " ")
-    return joined.withColumn(text, F.when(F.col(f"{DOC}_take") == F.col(f"{DOC}_size"), F.col(text)).otherwise(cut)).select(*columns)
+    due = F.struct(F.min("slot").alias("slot"), F.min("line").alias("line"), F.sum("length").alias("take"))
+    spans = mix.pieces().where("slot is not null").groupBy("row", "size", "epoch").agg(due.alias("due"))
+    spans = spans.groupBy("row", "size").agg(F.collect_list("due").alias("due")).select(
+        F.col("row").alias(ROW), F.col("size").alias(f"{DOC}_size"), F.explode("due").alias(f"{DOC}_due"))
+    joined, take = docs.join(spans, ROW), F.col(f"{DOC}_due.take")
+    joined = joined.withColumn(text, F.when(take == F.col(f"{DOC}_size"), F.col(text)).otherwise(first_words(F.col(text), take.cast("int"))))
+    order = [F.col(f"{DOC}_due.slot"), F.col(f"{DOC}_due.line"), F.col(ROW)]
+    return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
 
 
 ORACLE = r"""
@@ -180,16 +196,28 @@ levels AS (
 targets AS (
   SELECT source, source_size, CASE WHEN level * weight >= 3 * source_size THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target FROM levels),
 placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sizes)
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sizes),
+width AS (SELECT greatest(1, least(1024, coalesce(sum(size), 0)::BIGINT // 256)) AS block FROM sizes),
+intervals AS (
+  SELECT source, ceil(floor(target + 0.5) / block)::BIGINT AS blocks, sum(ceil(floor(target + 0.5) / block)::BIGINT) OVER (ORDER BY source IS NULL, encode(source))::BIGINT AS until
+  FROM targets, width),
+bits AS (SELECT len(bin(max(until) - 1)) AS bits FROM intervals),
+slots AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS number FROM (
+    SELECT source, list_sum(list_transform(range(bits), lambda i: ((point >> i::INT) & 1) << (bits - 1 - i)::INT))::BIGINT AS slot
+    FROM (SELECT source, bits, unnest(range(until - blocks, until)) AS point FROM intervals, bits))),
+laid AS (SELECT p.*, CASE WHEN p.size > 0 AND p.start < floor(t.target + 0.5) THEN p.start // block END AS number
+  FROM placed p JOIN targets t ON t.source IS NOT DISTINCT FROM p.source, width)
 SELECT p.doc_id, p.size, t.source_size, t.target, (
     greatest(0, least(p.start + p.size, floor(t.target + 0.5)) - p.start)
   + greatest(0, least(p.start + p.size + t.source_size, floor(t.target + 0.5)) - p.start - t.source_size)
-  + greatest(0, least(p.start + p.size + 2 * t.source_size, floor(t.target + 0.5)) - p.start - 2 * t.source_size))::BIGINT AS taken
-FROM placed p JOIN targets t ON t.source IS NOT DISTINCT FROM p.source
+  + greatest(0, least(p.start + p.size + 2 * t.source_size, floor(t.target + 0.5)) - p.start - 2 * t.source_size))::BIGINT AS taken, s.slot AS first_slot
+FROM laid p JOIN targets t ON t.source IS NOT DISTINCT FROM p.source
+LEFT JOIN slots s ON s.source IS NOT DISTINCT FROM p.source AND s.number = p.number
 """
 
 
 @query("op7_low_discrepancy_mix", ORACLE)
 def op7(spark, sf_dir):
     taken = Mix(table(spark, sf_dir, "documents")).taken()
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
