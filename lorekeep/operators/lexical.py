@@ -3,15 +3,14 @@
 Two passes over the corpus: one gathers the statistics (document frequency per term, document
 count, mean length), the other scores.  The first is an ordinary aggregate whose counts combine on the
 map side, so a word present in every document costs one row per task.  Joining postings on the term
-would emit every (question, document) pair sharing a common word; instead the scoring pass holds
-the question terms - bounded, see ``operators.questions`` - and keeps a per-task best list.
+would emit every (question, document) pair sharing a common word; instead the scoring pass takes blocks of
+questions with the weights of their terms, see ``operators.questions``, and keeps best lists.  For a corpus
+that is searched again and again, ``operators.inverted`` stores an index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import tokens
 from lorekeep.operators import questions as questions_
+from lorekeep.operators.joins import sized_join
 from lorekeep.operators.semantic import with_details
-from lorekeep.operators.topk import SCORED, BestRows, best_per_question, by_id, scan_for_best
+from lorekeep.operators.topk import BestRows, best_per_question, by_id
 from lorekeep.session import staged
 
 # The Okapi constants.
@@ -79,12 +79,15 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", tokens(F.col("question")).alias("tokens"))
 
 
-def _weights(batch: pa.Table, stats: TermStatistics) -> dict[str, float]:
-    """idf of each word of one question batch that the corpus knows (a bounded list)."""
-    words = pc.unique(batch["tokens"].combine_chunks().flatten())
-    asked = stats.terms.sparkSession.createDataFrame(pa.table({"term": words.cast(pa.string())}))
-    known = stats.terms.join(F.broadcast(asked), "term").select("term", stats.idf.alias("idf")).toArrow()
-    return dict(zip(known["term"].to_pylist(), known["idf"].to_pylist()))
+def weighted(questions: DataFrame, stats: TermStatistics) -> DataFrame:
+    """``(query_id, words, worth)``: the words of each question that the corpus knows and their idf, times
+    their number in the question.  A repeated question id is one question, the first by its words."""
+    asked = staged(question_terms(questions).groupBy("query_id").agg(F.min("tokens").alias("tokens")), "asked")
+    words = asked.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").count()
+    known = sized_join(words, stats.terms.select("term", stats.idf.alias("idf")), "term", "inner", ["query_id"])
+    lists = known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("count") * F.col("idf")).alias("worth")))).alias("w"))
+    return asked.select("query_id").join(lists, "query_id", "left").select(
+        "query_id", F.coalesce("w.term", F.array().cast("array<string>")).alias("words"), F.coalesce("w.worth", F.array().cast("array<double>")).alias("worth"))
 
 
 def _blocks(questions: list[list[str]]) -> list[tuple[int, int]]:
@@ -98,54 +101,58 @@ def _blocks(questions: list[list[str]]) -> list[tuple[int, int]]:
     return cuts + [(start, len(questions))]
 
 
-def _scorer(
-    batch: pa.Table, idf: dict[str, float], mean_length: float, k: int
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    query_ids, asked = batch["query_id"].to_pylist(), batch["tokens"].to_pylist()
-    vocabulary = sorted(idf)
-    place = {term: i for i, term in enumerate(vocabulary)}
-    blocks = []  # kept sparse, as they travel to every task: (questions, terms, cells of the matrix)
-    for first, last in _blocks(asked):
-        known = [[place[w] for w in words if w in place] for words in asked[first:last]]
-        column = np.repeat(np.arange(last - first), [len(words) for words in known])
-        used, row = np.unique(np.array([t for words in known for t in words], dtype=int), return_inverse=True)
-        worth = np.array([idf[vocabulary[t]] for t in used])[row]
-        blocks.append((first, last, used, row, column, worth))
-    width = max(len(vocabulary), 1)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestRows(len(query_ids), k)
-        lookup = pa.array(vocabulary, pa.string())
-        for rows in batches:
-            ids, order = by_id(rows.column("knowledge_id"))
-            place_of = np.empty(len(ids), dtype=np.int64)
-            place_of[order] = np.arange(len(ids))
-            lists = rows.column("tokens")
-            lengths = np.asarray(lists.value_lengths().fill_null(0))
-            owner, lengths = np.repeat(place_of, lengths), lengths[order]
-            found = pc.index_in(lists.flatten(), value_set=lookup).fill_null(-1).to_numpy(zero_copy_only=False)
-            hit = found >= 0
-            cells, freq = np.unique(owner[hit] * width + found[hit], return_counts=True)
-            doc, term = cells // width, cells % width
-            relative = lengths[doc] / mean_length if mean_length else np.zeros(doc.size)
-            weight = freq * (K1 + 1) / (freq + K1 * (1 - B + B * relative))
-            for first, last, used, row, column, worth in blocks:
-                matrix = np.zeros((used.size, last - first))
-                np.add.at(matrix, (row, column), worth)  # a repeated word counts each time
-                local = np.full(width, -1)
-                local[used] = np.arange(used.size)
-                step = max(1, BLOCK_CELLS // max(used.size, last - first, 1))
-                for start in range(0, len(ids), step):
-                    stop = min(start + step, len(ids))
-                    lo, hi = np.searchsorted(doc, [start, stop])
-                    dense = np.zeros((stop - start, used.size))
-                    own = local[term[lo:hi]]
-                    wanted = own >= 0
-                    dense[doc[lo:hi][wanted] - start, own[wanted]] = weight[lo:hi][wanted]
-                    best.push(first, ids[start:stop], (dense @ matrix).T)
-        yield best.to_batch(query_ids)
-
-    return score
+class _Block:
+    """A block of questions against corpus rows."""
+
+    def __init__(self, questions: pa.RecordBatch, mean_length: float, k: int):
+        self.ids, asked = questions.column("query_id").to_pylist(), questions.column("words").to_pylist()
+        worth = questions.column("worth").to_pylist()
+        self.vocabulary = sorted({w for words in asked for w in words})
+        place = {term: i for i, term in enumerate(self.vocabulary)}
+        self.blocks = []  # kept sparse: (questions, terms, cells of the matrix)
+        for first, last in _blocks(asked):
+            column = np.repeat(np.arange(last - first), [len(words) for words in asked[first:last]])
+            terms = np.array([place[w] for words in asked[first:last] for w in words], dtype=int)
+            used, row = np.unique(terms, return_inverse=True)
+            self.blocks.append((first, last, used, row, column, np.array([x for part in worth[first:last] for x in part])))
+        self.mean_length = mean_length
+        self.best = BestRows(len(self.ids), k)
+
+    @property
+    def held(self) -> int:
+        return self.best.held
+
+    def push(self, rows: pa.RecordBatch) -> None:
+        width, mean_length = max(len(self.vocabulary), 1), self.mean_length
+        ids, order = by_id(rows.column("knowledge_id"))
+        place_of = np.empty(len(ids), dtype=np.int64)
+        place_of[order] = np.arange(len(ids))
+        lists = rows.column("tokens")
+        lengths = np.asarray(lists.value_lengths().fill_null(0))
+        owner, lengths = np.repeat(place_of, lengths), lengths[order]
+        found = pc.index_in(lists.flatten(), value_set=pa.array(self.vocabulary, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        hit = found >= 0
+        cells, freq = np.unique(owner[hit] * width + found[hit], return_counts=True)
+        doc, term = cells // width, cells % width
+        relative = lengths[doc] / mean_length if mean_length else np.zeros(doc.size)
+        weight = freq * (K1 + 1) / (freq + K1 * (1 - B + B * relative))
+        for first, last, used, row, column, worth in self.blocks:
+            matrix = np.zeros((used.size, last - first))
+            matrix[row, column] = worth
+            local = np.full(width, -1)
+            local[used] = np.arange(used.size)
+            step = max(1, BLOCK_CELLS // max(used.size, last - first, 1))
+            for start in range(0, len(ids), step):
+                stop = min(start + step, len(ids))
+                lo, hi = np.searchsorted(doc, [start, stop])
+                dense = np.zeros((stop - start, used.size))
+                own = local[term[lo:hi]]
+                wanted = own >= 0
+                dense[doc[lo:hi][wanted] - start, own[wanted]] = weight[lo:hi][wanted]
+                self.best.push(first, ids[start:stop], (dense @ matrix).T)
+
+    def to_batch(self) -> pa.RecordBatch:
+        return self.best.to_batch(self.ids)
 
 
 def bm25_top(
@@ -154,16 +161,10 @@ def bm25_top(
     """``(query_id, knowledge_id, score, rank)``.  Every corpus row is ranked: with few matches the
     rest of the list is zero-score rows in id order, and negative scores come below those."""
     stats = stats or term_statistics(corpus)
-    docs = tokenized(corpus)
-    parts = [
-        scan_for_best(docs, _scorer(batch, _weights(batch, stats), stats.mean_length, fetch_n))
-        for batch in questions_.bounded_batches(
-            question_terms(questions), "tokens", F.octet_length(F.array_join("tokens", "    ")), questions_.TEXT_BYTES
-        )
-    ]
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], SCORED + ", rank long")
-    return best_per_question(reduce(DataFrame.unionByName, parts), fetch_n)
+    mean = stats.mean_length
+    scored = questions_.rank_in_blocks(
+        weighted(questions, stats), tokenized(corpus), lambda part: _Block(part, mean, fetch_n), questions_.TEXT_BYTES)
+    return best_per_question(scored, fetch_n)
 
 
 def lexical_search(questions: DataFrame, corpus: DataFrame, fetch_n: int = 10) -> DataFrame:

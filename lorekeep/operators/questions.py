@@ -1,35 +1,89 @@
-"""Cutting a question table into batches of bounded size.
+"""Question tables of any size against a corpus: blocks that meet in the tasks.
 
-A search pass ships its questions to every task that scans the corpus, so their bytes are measured
-first.  Up to ``VECTOR_BYTES`` or ``TEXT_BYTES`` go in one pass; a larger table is cut by a hash of
-the question id and each part gets a pass of its own over the corpus.
+Both sides become blocks, rows that hold a packed Arrow batch: questions of ``VECTOR_BYTES`` or ``TEXT_BYTES``, corpus
+rows of ``CORPUS_BYTES``.  Every corpus block meets every question block, which is the whole work of ranking a
+stated set of questions against all rows; what is joined are blocks, and what is emitted are best lists.
+
+Question blocks whose checked size fits are broadcast, and the corpus does not move.  Others are dealt out: they
+are copied to every one of a bounded number of slots, corpus blocks go to a slot each, and past ``GROUP_BYTES`` of
+questions both go by group too, so that a task holds one group of questions.  The corpus is scanned once
+either way, and no question comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VECTOR_BYTES, TEXT_BYTES = 64 << 20, 16 << 20
-
-
-def bounded_batches(
-    questions: DataFrame, payload: str, payload_bytes: Column, limit: int
-) -> Iterator[pa.Table]:
-    """Arrow tables ``(query_id, payload)``, each of about ``limit`` bytes or less.
-
-    Repeated question ids are one question, as in a keyed request; ``first`` by payload order keeps
-    the choice stable.
-    """
-    total = questions.agg(F.sum(payload_bytes + F.octet_length("query_id"))).first()[0] or 0
-    passes = int(total // limit) + 1
-    for number in range(passes):
-        part = questions.select("query_id", payload)
-        if passes > 1:
-            part = part.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number)
-        table = part.groupBy("query_id").agg(F.min(payload).alias(payload)).toArrow()
-        if table.num_rows:
-            yield table.sort_by("query_id")
+from lorekeep.operators.joins import fits_broadcast
+from lorekeep.operators.topk import SCAN_TASKS, SCORED, TASKS_PER_CORE
+from lorekeep.session import staged
+
+VECTOR_BYTES, TEXT_BYTES = 128 << 10, 128 << 10
+CORPUS_BYTES, CORPUS_ROWS = 2 << 20, 4096
+GROUP_BYTES = 64 << 20
+HELD_ROWS = 2_000_000  # rows of best lists a task holds before it hands them on
+
+
+def packed(df: DataFrame, column: str, limit: int, most_rows: int) -> DataFrame:
+    """One row, one binary ``column``, per run of about ``limit`` bytes of rows; a single longer row is a
+    block of its own.  Rows stay in their task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, min(most_rows, limit * len(batch) // max(1, batch.nbytes)))
+            for low in range(0, len(batch), step):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as writer:
+                    writer.write_batch(batch.slice(low, step))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [column])
+
+    return df.mapInArrow(run, f"{column} binary")
+
+
+def _unpacked(payload: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(payload.as_buffer()).read_next_batch()
+
+
+def rank_in_blocks(
+    questions: DataFrame, corpus: DataFrame, block: Callable[[pa.RecordBatch], object], question_bytes: int,
+) -> DataFrame:
+    """Best rows (``query_id, knowledge_id, score``) of every question, per task.
+
+    ``block(questions)`` makes a scorer with ``push(corpus rows)``, ``held`` rows and ``to_batch()``.  Question ids
+    are distinct."""
+    asked = staged(packed(questions, "asked", question_bytes, 1 << 20).withColumn("number", F.monotonically_increasing_id()), "question_blocks")
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    tasks = max(SCAN_TASKS, TASKS_PER_CORE * cores)
+    rows = packed(corpus.coalesce(tasks), "rows", CORPUS_BYTES, CORPUS_ROWS).withColumn("place", F.monotonically_increasing_id())
+    if fits_broadcast(asked):
+        keys, asked = ["group"], F.broadcast(asked.withColumn("group", F.pmod("number", F.lit(1))))
+        rows = rows.withColumn("group", F.pmod("place", F.lit(1)))
+    else:
+        held = asked.agg(F.coalesce(F.sum(F.octet_length("asked")), F.lit(0))).first()[0]
+        groups = max(1, -(-held // GROUP_BYTES))
+        slots = min(SCAN_TASKS, TASKS_PER_CORE * cores)
+        keys, asked = ["group", "slot"], asked.withColumn("group", F.pmod(F.xxhash64("number"), F.lit(groups))).withColumn(
+            "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+        rows = rows.withColumn("slot", F.pmod(F.xxhash64("place"), F.lit(slots))).withColumn(
+            "group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers: dict[int, object] = {}
+        place, part = None, None
+        for batch in batches:
+            for i in range(len(batch)):
+                number, at = batch.column("number")[i].as_py(), batch.column("place")[i].as_py()
+                if at != place:
+                    place, part = at, _unpacked(batch.column("rows")[i])
+                if number not in scorers:
+                    scorers[number] = block(_unpacked(batch.column("asked")[i]))
+                scorers[number].push(part)
+                if sum(s.held for s in scorers.values()) > HELD_ROWS:
+                    yield from (s.to_batch() for s in scorers.values())
+                    scorers = {}
+        yield from (s.to_batch() for s in scorers.values())
+
+    return rows.join(asked, keys).mapInArrow(run, SCORED)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import questions as questions_
 from lorekeep.operators.joins import attach
-from lorekeep.operators.topk import SCORED, BestRows, best_per_question, by_id, scan_for_best
+from lorekeep.operators.topk import BestRows, best_per_question, by_id
 
 QUESTION_BLOCK = 512
 ROW_BLOCK = 4096
@@ -33,43 +30,46 @@ def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, norms
 
 
-def _scorer(questions: pa.Table, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    query_ids = questions["query_id"].to_pylist()
-    width = max(len(v or []) for v in questions["embedding"].to_pylist())
-    q_matrix, q_norms = _matrix(questions["embedding"], width)
+class _Block:
+    """A block of questions against corpus rows."""
+
+    def __init__(self, questions: pa.RecordBatch, k: int):
+        self.ids = questions.column("query_id").to_pylist()
+        vectors = questions.column("embedding")
+        self.width = max((len(v or []) for v in vectors.to_pylist()), default=0)
+        self.matrix, self.norms = _matrix(vectors, self.width)
+        self.best = BestRows(len(self.ids), k)
+
+    @property
+    def held(self) -> int:
+        return self.best.held
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestRows(len(query_ids), k)
-        for batch in batches:
-            ids, order = by_id(batch.column("knowledge_id"))
-            rows, norms = (part[order] for part in _matrix(batch.column("embedding"), width))
-            for r in range(0, len(ids), ROW_BLOCK):
-                for q in range(0, len(query_ids), QUESTION_BLOCK):
-                    dots = q_matrix[q:q + QUESTION_BLOCK] @ rows[r:r + ROW_BLOCK].T
-                    scale = np.outer(q_norms[q:q + QUESTION_BLOCK], norms[r:r + ROW_BLOCK])
-                    cosine = np.divide(dots, scale, out=np.zeros_like(dots), where=scale != 0)
-                    best.push(q, ids[r:r + ROW_BLOCK], cosine)
-        yield best.to_batch(query_ids)
+    def push(self, batch: pa.RecordBatch) -> None:
+        ids, order = by_id(batch.column("knowledge_id"))
+        rows, norms = (part[order] for part in _matrix(batch.column("embedding"), self.width))
+        for r in range(0, len(ids), ROW_BLOCK):
+            for q in range(0, len(self.ids), QUESTION_BLOCK):
+                dots = self.matrix[q:q + QUESTION_BLOCK] @ rows[r:r + ROW_BLOCK].T
+                scale = np.outer(self.norms[q:q + QUESTION_BLOCK], norms[r:r + ROW_BLOCK])
+                cosine = np.divide(dots, scale, out=np.zeros_like(dots), where=scale != 0)
+                self.best.push(q, ids[r:r + ROW_BLOCK], cosine)
 
-    return score
+    def to_batch(self) -> pa.RecordBatch:
+        return self.best.to_batch(self.ids)
 
 
 def cosine_top(questions: DataFrame, corpus: DataFrame, fetch_n: int = 10) -> DataFrame:
     """``(query_id, knowledge_id, score, rank)``: the ``fetch_n`` nearest rows per question.
 
-    One pass over ``(knowledge_id, embedding)`` per question batch; what crosses the network is
-    ``tasks * questions * fetch_n`` short rows, with a bounded number of tasks.
+    One pass over ``(knowledge_id, embedding)``, see ``operators.questions``; what crosses the network is
+    ``tasks * questions * fetch_n`` short rows, with a bounded number of tasks.  A repeated question id is
+    one question, the first by its vector.
     """
-    spark = corpus.sparkSession
     vectors = corpus.select("knowledge_id", "embedding")  # float or double, widened in the task
     asked = questions.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    parts = [
-        scan_for_best(vectors, _scorer(batch, fetch_n))
-        for batch in questions_.bounded_batches(asked, "embedding", F.size("embedding") * 8, questions_.VECTOR_BYTES)
-    ]
-    if not parts:
-        return spark.createDataFrame([], SCORED + ", rank long")
-    return best_per_question(reduce(DataFrame.unionByName, parts), fetch_n)
+    asked = asked.groupBy("query_id").agg(F.min("embedding").alias("embedding"))
+    scored = questions_.rank_in_blocks(asked, vectors, lambda part: _Block(part, fetch_n), questions_.VECTOR_BYTES)
+    return best_per_question(scored, fetch_n)
 
 
 def with_details(found: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ are rounded to 9 decimals and ties go to the smaller id, so a result never depen
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,6 +36,10 @@ class BestRows:
         self.scores = [np.empty(0) for _ in range(questions)]
         self.floors = np.full(questions, -np.inf)  # a lower score cannot enter any more
 
+    @property
+    def held(self) -> int:
+        return sum(s.size for s in self.scores)
+
     def push(self, first: int, ids: np.ndarray, scores: np.ndarray) -> None:
         """``scores[i, j]``: question ``first + i`` against row ``ids[j]``; ``ids`` ascend, so of any
         number of tied rows the first ones are the ones to keep."""
@@ -69,13 +71,6 @@ class BestRows:
         )
 
 
-def scan_for_best(rows: DataFrame, scorer: Callable) -> DataFrame:
-    """Runs a per-task scorer over the corpus.  ``coalesce`` joins splits without a shuffle and
-    leaves a corpus of fewer splits as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.coalesce(max(SCAN_TASKS, TASKS_PER_CORE * cores)).mapInArrow(scorer, SCORED)
-
-
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None) -> DataFrame:
     """``rank`` 1.. within ``by``.  With ``k`` Spark plans WindowGroupLimit: each task passes on at
     most ``k`` rows per group, so a hot group never lands whole in one task."""

@@ -166,13 +166,40 @@ def test_cosine_matches_brute_force(spark, vectors, asked_vectors, monkeypatch,
     same(lists(semantic.cosine_top(asked, corpus, 10)), brute_cosine(vectors, asked_vectors, 10))
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_fifty_blocks_of_questions_and_one_scan(spark, vectors, asked_vectors, monkeypatch, broadcast):
+    """Whatever the number of question blocks, the corpus is scanned by one node and the driver gets no question."""
+    from pyspark.sql import DataFrame
+
+    many = [(f"{q}-{n}", v) for n in range(40) for q, v in asked_vectors]
+    monkeypatch.setattr(questions, "VECTOR_BYTES", 1600)
+    monkeypatch.setattr(questions, "CORPUS_ROWS", 50)
+    monkeypatch.setattr(questions, "HELD_ROWS", 3000)
+    if not broadcast:
+        monkeypatch.setattr(questions, "fits_broadcast", lambda df: False)
+        monkeypatch.setattr(questions, "GROUP_BYTES", 50_000)
+    staged_blocks = []
+    keep = questions.staged
+    monkeypatch.setattr(questions, "staged", lambda df, name: staged_blocks.append(keep(df, name)) or staged_blocks[-1])
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, lambda self: pytest.fail("rows on the driver"))
+    corpus = spark.createDataFrame(vectors, "knowledge_id string, embedding array<double>").repartition(4)
+    found = semantic.cosine_top(spark.createDataFrame(many, "query_id string, embedding array<double>"), corpus, 10)
+    monkeypatch.undo()
+    assert staged_blocks[0].count() >= 50
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Join Inner") == 1  # corpus rows to blocks, blocks to best lists
+    one = brute_cosine(vectors, asked_vectors, 10)
+    same(lists(found), {q: one[q.rsplit("-", 1)[0]] for q, _ in many})
+
+
 def test_cosine_of_given_pairs(spark):
     rows = [([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 2.0]), ([1.0, 0.0], [-3.0, 0.0]), ([0.0, 0.0], [1.0, 1.0])]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>")
     assert [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, -1.0, 0.0]
 
 
-def test_no_questions_gives_no_rows(spark, corpus, questions_df):
+def test_no_questions_gives_no_rows(spark, corpus, questions_df, either_join):
     assert lexical.bm25_top(questions_df.limit(0), corpus).count() == 0
     empty = spark.createDataFrame([], "query_id string, embedding array<double>")
     assert semantic.cosine_top(empty, corpus.withColumn("embedding", F.array(F.lit(1.0)))).count() == 0
