@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -39,9 +40,11 @@ def parser() -> argparse.ArgumentParser:
     command("index")
     command("stream", ("--input", {}), ("--kafka-servers", {}), ("--kafka-topic", {}),
             ("--run-for-seconds", {"type": float}), ("--available-now", {"action": "store_true"}))
-    command("analytics")
+    command("compact")
+    command("analytics", ("--recompute", {"action": "store_true"}))
     command("search", ("--questions", need), ("--out", need), ("--topic", {}), ("--top-n", {"type": int, "default": 5}),
             ("--fetch-n", {"type": int}), ("--semantic-weight", {"type": float, "default": 0.6}), ("--lexical-weight", {"type": float, "default": 0.4}))
+    command("report", ("--name", {**need, "choices": jobs.REPORTS}), ("--out", need), ("--topic", {}), ("--ids", {}))
     command("evaluate", ("--benchmark", need), ("--out", need), ("--single-line", {"action": "store_true"}))
     return top
 
@@ -73,13 +76,19 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         else:
             query.awaitTermination()
     elif args.command == "analytics":
-        jobs.refresh_analytics(spark, args.warehouse)
+        jobs.refresh_analytics(spark, args.warehouse, args.recompute)
+    elif args.command == "compact":
+        print(json.dumps(jobs.compact(spark, args.warehouse)))
     elif args.command == "search":
         questions = spark.read.schema("query_id string, question string").json(args.questions)
         answers = jobs.search(
             spark, args.warehouse, questions, args.top_n, args.topic, semantic_weight=args.semantic_weight,
             lexical_weight=args.lexical_weight, fetch_n=args.fetch_n)
         answers.write.mode("overwrite").json(args.out)
+    elif args.command == "report":
+        ids = spark.read.schema("source_id string").json(args.ids) if args.ids else None
+        for name, frame in jobs.report(spark, args.warehouse, args.name, args.topic, ids).items():
+            frame.write.mode("overwrite").json(f"{args.out}/{name}")
     else:
         cases = files.read_benchmark(spark, args.benchmark, not args.single_line)
         for name, frame in jobs.evaluate(spark, args.warehouse, cases).items():

@@ -69,12 +69,27 @@ def metrics_long(overall: DataFrame, by_topic: DataFrame, computed_at: Column) -
     return rows.select("metric_name", "dimension", "metric_value", computed_at.alias("computed_at"))
 
 
+def partial_metrics(fact: DataFrame) -> DataFrame:
+    """Counts and latency sums per topic, events without one included; parts of a fact add up."""
+    return fact.groupBy("topic_id").agg(*_counts(), F.sum(_latency()).alias("latency"), F.count(_latency()).alias("responses"))
+
+
+def add_up(partials: DataFrame) -> DataFrame:
+    """Partial metrics of several parts of a fact as those of the whole."""
+    return partials.groupBy("topic_id").agg(*[F.sum(c).alias(c) for c in PARTIAL_METRICS])
+
+
+PARTIAL_METRICS = [m for m in GLOBAL_METRICS if m != "avg_response_latency_ms"] + ["latency", "responses"]
+
+
 def question_analytics(fact: DataFrame, computed_at: Column) -> DataFrame:
-    """The whole metric table from one scan of the fact: everything is counted per topic (events
-    without one included), and the global row adds those up."""
-    per_topic = staged(fact.groupBy("topic_id").agg(
-        *_counts(), F.sum(_latency()).alias("latency"), F.count(_latency()).alias("responses")
-    ), "topic_metrics")
+    """The whole metric table from one scan of the fact."""
+    return merged_analytics(partial_metrics(fact), computed_at)
+
+
+def merged_analytics(per_topic: DataFrame, computed_at: Column) -> DataFrame:
+    """The whole metric table from partial metrics, one row per topic; the global row adds those up."""
+    per_topic = staged(per_topic, "topic_metrics")
     totals = [F.sum(m).alias(m) for m in GLOBAL_METRICS if m != "avg_response_latency_ms"]
     mean = F.try_divide(F.sum("latency"), F.sum("responses")).alias("avg_response_latency_ms")
     by_topic = per_topic.where(F.col("topic_id").isNotNull()).select(

@@ -1,4 +1,4 @@
-"""The jobs of one warehouse folder: load, refresh, index, stream, analytics, search, evaluate.
+"""The jobs of one warehouse folder: load, refresh, index, stream, compact, analytics, search, evaluate, report.
 
 Tables live under ``<warehouse>/raw``, ``/curated`` and ``/semantic``.  Each job reads tables of one
 snapshot and writes tables; between jobs nothing is kept in memory.
@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep import schemas as S
-from lorekeep.operators import analytics, embedding, evaluation, hybrid, inverted, seed_gate
+from lorekeep.operators import analytics, embedding, evaluation, hybrid, inverted, reports, seed_gate
 from lorekeep.operators.embedding import HASHED_MODEL, Embedder, hashed_words
 from lorekeep.plans.refresh import Refresh
 from lorekeep.session import staged
 from lorekeep.sources import files
-from lorekeep.streaming import events
+from lorekeep.streaming import compaction, events
 
 RAW = {"topics": S.RAW_TOPICS, "sources": S.RAW_SOURCES, "knowledge": S.RAW_KNOWLEDGE, "reviews": S.RAW_REVIEWS}
 
@@ -85,17 +85,24 @@ def stream(messages: DataFrame, warehouse: str, available_now: bool = False):
     """Starts the event stream into the curated tables."""
     return events.start(
         messages, f"{warehouse}/curated/fact_event", f"{warehouse}/curated/quarantined_events",
-        f"{warehouse}/checkpoints/events", available_now,
+        f"{warehouse}/checkpoints/events", available_now, f"{warehouse}/{compaction.METRICS}",
     )
 
 
-def refresh_analytics(spark: SparkSession, warehouse: str) -> None:
-    """Recomputes all metrics from the event fact; before the first event all counts are zero."""
-    fact = files.snapshot(spark, warehouse).read("curated/fact_event", S.FACT_EVENT, or_empty=True)
-    metrics = analytics.question_analytics(fact, F.lit(_now(spark)).cast("timestamp"))
+def refresh_analytics(spark: SparkSession, warehouse: str, recompute: bool = False) -> None:
+    """All metrics from the partial ones that every batch of events has left; before the first event all
+    counts are zero.  ``recompute`` reads the events themselves, for facts older than partial metrics."""
+    log = compaction.EventLog(files.snapshot(spark, warehouse))
+    parts = analytics.partial_metrics(log.events()) if recompute else analytics.add_up(log.metrics())
+    metrics = analytics.merged_analytics(parts, F.lit(_now(spark)).cast("timestamp"))
     files.overwrite_table(metrics, warehouse, "semantic/question_analytics")
 
 
+def compact(spark: SparkSession, warehouse: str) -> dict[str, int]:
+    """Folds closed batches of events into days while the stream runs."""
+    return compaction.compact(files.snapshot(spark, warehouse))
+
+
 def _now(spark: SparkSession) -> str:
     """One stamp per run."""
     return spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
@@ -139,3 +146,32 @@ def evaluate(
         "summary": evaluation.eval_summary(results),
         "rejections": evaluation.rejection_summary(results),
     }
+
+
+REPORTS = ("quality", "topics", "knowledge", "analytics", "freshness", "sources")
+
+
+def report(spark: SparkSession, warehouse: str, name: str, topic: str | None = None, ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The frames of one report over the published tables, by name: ``quality`` (totals, by topic,
+    ineligible records), ``topics``, ``knowledge`` of a topic, ``analytics`` (overall and by topic),
+    ``freshness`` (age of the newest stamp of each table) or ``sources`` (records by id)."""
+    now = files.snapshot(spark, warehouse)
+    if name == "quality":
+        return reports.quality(now.read("semantic/knowledge_catalog", S.CATALOG), now.read("semantic/topic_knowledge_summary", S.TOPIC_SUMMARY))
+    if name == "topics":
+        return {"topics": reports.topics(now.read("curated/dim_topic", S.DIM_TOPIC))}
+    if name == "knowledge":
+        return {"knowledge": reports.knowledge_by_topic(now.read("semantic/knowledge_catalog", S.CATALOG), topic)}
+    if name == "analytics":
+        overall, by_topic = analytics.metrics_wide(now.read("semantic/question_analytics", S.QUESTION_ANALYTICS))
+        return {"overall": overall, "by_topic": by_topic}
+    if name == "freshness":
+        stamped = {
+            "question_analytics": (now.read("semantic/question_analytics", S.QUESTION_ANALYTICS, or_empty=True), "computed_at"),
+            "knowledge_embeddings": (now.read("semantic/knowledge_embeddings", S.EMBEDDINGS, or_empty=True), "embedded_at"),
+            "fact_event": (compaction.EventLog(now).events(), "occurred_at"),
+        }
+        return {"freshness": reports.freshness(stamped, F.lit(_now(spark)).cast("timestamp"))}
+    if name == "sources":
+        return {"sources": reports.lookup_many(now.read("curated/dim_source", S.DIM_SOURCE), ids, "source_id")}
+    raise ValueError(f"no report {name!r}; there are {', '.join(REPORTS)}")

@@ -84,6 +84,13 @@ EVENT_COLUMNS = FACT_EVENT.names
 EVENT_WIRE = _struct(*[(c, _S) for c in EVENT_COLUMNS])
 QUARANTINED_EVENT = _struct(("reason", _S), ("raw_payload", _S), ("quarantined_at", _TS))
 
+# Counts of some events per topic, which add up; the order of analytics.partial_metrics.
+EVENT_METRICS = _struct(
+    ("topic_id", _S), ("total_questions_asked", _L), ("total_responses_generated", _L), ("total_source_opens", _L),
+    ("total_related_topic_opens", _L), ("feedback_up_count", _L), ("feedback_down_count", _L), ("latency", _F), ("responses", _L),
+)
+COVERED_BATCHES = _struct(("feed", _S), ("upto", _L))
+
 BENCHMARK_CASE = _struct(
     ("id", _S), ("question", _S), ("style", _S), ("type", _S),
     ("expected_knowledge_ids", T.ArrayType(_S)), ("excluded_knowledge_id", _S),

@@ -1,7 +1,8 @@
 """Interaction events: message bytes -> event fact or quarantine table.
 
 ``annotate_events`` is stateless, so the same function serves a batch and a stream.  Events are not
-deduplicated and nothing is windowed: metrics are recomputed from the fact (``operators.analytics``).
+deduplicated and nothing is windowed.  Each batch also writes its partial metrics, which add up to those of
+the whole fact (``operators.analytics``); ``streaming.compaction`` folds closed batches into days.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lorekeep import schemas as S
 from lorekeep.functions.iso import integer, iso_timestamp, number
 from lorekeep.functions.payload import parse_objects
+from lorekeep.operators.analytics import partial_metrics
 from lorekeep.operators.quality import event_rules, first_reason
 from lorekeep.sources.files import batch_path, write_events
 
@@ -50,9 +52,10 @@ def quarantined_events(annotated: DataFrame, stamp: Column | None = None) -> Dat
 
 
 def start(
-    messages: DataFrame, fact_dir: str, quarantine_dir: str, checkpoint: str, available_now: bool = False
+    messages: DataFrame, fact_dir: str, quarantine_dir: str, checkpoint: str, available_now: bool = False,
+    metrics_dir: str | None = None,
 ) -> StreamingQuery:
-    """Append valid events and rejects.  Each micro-batch is annotated once and written under its
+    """Append valid events and rejects, and with ``metrics_dir`` partial metrics.  Each micro-batch is annotated once and written under its
     own ``batch_id``, so a replay after a failure replaces its files instead of doubling them.
     Batch numbers belong to a query, whose id is kept in its checkpoint: a fresh checkpoint, at the
     same path or another, is a feed of its own and replaces nothing."""
@@ -60,7 +63,10 @@ def start(
         feed = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch = batch.persist()
         try:
-            write_events(normalize_events(batch), fact_dir, feed, batch_id)
+            valid = normalize_events(batch)
+            write_events(valid, fact_dir, feed, batch_id)
+            if metrics_dir:
+                partial_metrics(valid).write.mode("overwrite").parquet(batch_path(metrics_dir, feed, batch_id))
             quarantined_events(batch).write.mode("overwrite").parquet(
                 batch_path(quarantine_dir, feed, batch_id))
         finally:
