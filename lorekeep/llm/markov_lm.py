@@ -9,9 +9,12 @@ documents.
 
 Baum-Welch starts from noise around the word counts of all documents and makes ``ROUNDS`` rounds over every
 training document: tasks run the scaled forward and backward recursions over whole texts and hand
-back expected counts, which Spark adds up by symbol.  Scoring is the scaled forward recursion alone.
-Words outside the frequent ones meet their counts in one shuffled join by hash; the frequent ones,
+back expected counts, which Spark adds up by symbol.  Scoring is the scaled forward recursion alone.  Words outside the frequent ones meet their counts in one shuffled join by hash; the frequent ones,
 which any number of documents may share, travel with the task.
+
+Recursions go through a text ``CHUNK`` tokens at a time: the state at the start of each stretch is kept, and the
+messages of a stretch are made again when the backward recursion gets there.  So a text of any length
+takes the memory of one stretch, and its counts and score are exact.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import ROW, numbered, query, table, text_of
+from lorekeep.llm.common import query, table, text_of
 from lorekeep.llm.labelled import fold
 from lorekeep.session import staged
 
@@ -36,7 +40,7 @@ WORDS = 50_000
 CLASSES = 256
 ROUNDS = 15
 SMOOTHING = 200.0  # tokens of the unigram model that every state has seen beforehand
-BLOCK = 600_000  # tokens whose recursions run together: about 40 MB an array
+BLOCK = CHUNK = 1_200_000  # tokens whose recursions run together: about 40 MB an array in training
 KNOWN_AT_ONCE = 300_000  # distinct words a task counts before it hands them on
 
 END = b""  # no word is empty
@@ -48,7 +52,9 @@ def split(text: str) -> list[bytes]:
 
 
 def word_key(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
+    """Spark's ``xxhash64`` of the word."""
+    key = xxhash.xxh64_intdigest(word, 42)
+    return key - (1 << 64) if key >> 63 else key
 
 
 def class_of(word: bytes) -> int:
@@ -63,10 +69,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
         counts: Counter = Counter()
 
         def hand_on():
-            words = list(counts)
+            found = list(counts)
             batch = pa.RecordBatch.from_arrays([
-                pa.array([word_key(w) for w in words], pa.int64()), pa.array(words, pa.binary()),
-                pa.array([class_of(w) for w in words], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["key", "word", "class", "n"])
+                pa.array([word_key(w) for w in found], pa.int64()), pa.array(found, pa.binary()),
+                pa.array([class_of(w) for w in found], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["key", "word", "class", "n"])
             counts.clear()
             return batch
 
@@ -114,16 +120,16 @@ class Vocabulary:
         c = np.r_[self.counts, np.zeros(CLASSES), self.ends].astype(float)
         return np.log10((c + 1) / (self.tokens + self.types + 1))
 
-    def encode(self, text: str) -> tuple[np.ndarray, Counter]:
+    def encode(self, text: str) -> tuple[np.ndarray, dict[bytes, int]]:
         """Symbols of a text, the end last, and the words in it that are not frequent."""
-        words = split(text)
-        found = list(map(self.symbols.get, words))
-        rare: Counter = Counter()
+        words_ = split(text)
+        found = list(map(self.symbols.get, words_))
+        rare: dict[bytes, int] = {}
         first = len(self.counts)
         for i, symbol in enumerate(found):
             if symbol is None:
-                word = words[i]
-                rare[word] += 1
+                word = words_[i]
+                rare[word] = rare.get(word, 0) + 1
                 found[i] = first + class_of(word)
         found.append(self.end)
         return np.array(found, np.uint32), rare
@@ -153,56 +159,87 @@ class Hmm:
     def forward(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log likelihood of many sequences, laid end to end; ``first`` has where each
         begins, longest first, and the end.  Scaled forward recursion, position by position."""
-        steps = Steps(symbols, first)
-        _, scales = self._forward(steps, self.emit[steps.symbols], keep=False)
-        return np.bincount(steps.owner, np.log(scales), len(first) - 1)
-
-    def _forward(self, steps: Steps, emit: np.ndarray, keep: bool):
-        scales, ones = np.empty(len(emit)), np.ones(STATES)
-        messages = np.empty_like(emit) if keep else None
-        state = None
-        for low, high in steps.ranges:
-            state = (self.start if low == 0 else state[:high - low] @ self.move) * emit[low:high]
-            scale = state @ ones
-            state /= scale[:, None]
-            scales[low:high] = scale
-            if keep:
-                messages[low:high] = state
-        return messages, scales
+        out, state = np.zeros(len(first) - 1), None
+        for steps in stretches(symbols, first):
+            _, scales, state = _forward(self.start, self.move, np.take(self.emit, steps.symbols, axis=0), steps, state, keep=False)
+            out += np.bincount(steps.owner, np.log(scales), len(out))
+        return out
 
     def expected(self, symbols: np.ndarray, first: np.ndarray):
-        """Expected start, transition and emission counts, exact over whole sequences.  The backward
-        messages carry the forward scales, so products of both are probabilities as they are."""
-        steps = Steps(symbols, first)
-        emit = self.emit[steps.symbols]
-        forward, scales = self._forward(steps, emit, keep=True)
-        emit /= scales[:, None]
-        backward = np.ones_like(emit)
-        move, back = np.zeros((STATES, STATES)), self.move.T.copy()
-        for (low, _), (ahead, end) in zip(steps.ranges[-2::-1], steps.ranges[:0:-1]):
-            n = end - ahead
-            weighted = emit[ahead:end] * backward[ahead:end]
-            move += forward[low:low + n].T @ weighted
-            backward[low:low + n] = weighted @ back
-        gamma = forward * backward
-        counts = np.stack([np.bincount(steps.symbols, gamma[:, k], len(self.emit)) for k in range(STATES)], axis=1)
-        return gamma[:len(first) - 1].sum(axis=0), move * self.move, counts
-
-
-class Steps:
-    """Sequences in order of position: all first symbols, then all second ones, and so on, so that
-    every step of a recursion is one stretch.  Sequences come longest first and none is empty."""
-
-    def __init__(self, symbols: np.ndarray, first: np.ndarray):
-        lengths = np.diff(first)
-        longest = int(lengths[0]) if len(lengths) else 0
-        alive = np.searchsorted(-lengths, -np.arange(longest), side="left")
-        starts = np.r_[0, np.cumsum(alive)].astype(np.int64)
-        self.ranges = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
-        which = np.repeat(np.arange(len(lengths)), lengths)
-        place = starts[np.arange(len(symbols)) - first[which]] + which
-        self.symbols, self.owner = np.empty(len(symbols), np.int64), np.empty(len(symbols), np.int64)
-        self.symbols[place], self.owner[place] = symbols, which
+        """Expected start, transition and emission counts, exact over whole sequences.  The backward messages carry the forward scales, so products of both are probabilities as they are.
+        Messages are single precision, sums double."""
+        start, move_, emit_ = (x.astype(np.float32) for x in (self.start, self.move, self.emit))
+        back = move_.T.copy()
+        parts, states, state = list(stretches(symbols, first)), [], None
+        for steps in parts:
+            states.append(state)
+            if steps is not parts[-1]:
+                _, _, state = _forward(start, move_, np.take(emit_, steps.symbols, axis=0), steps, state, keep=False)
+        begun, move, counts = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(self.emit.shape[::-1])
+        ahead = None  # emission times backward message at the next position, over its scale
+        for steps, state in zip(reversed(parts), reversed(states)):
+            emit = np.take(emit_, steps.symbols, axis=0)
+            forward, scales, _ = _forward(start, move_, emit, steps, state, keep=True)
+            emit /= scales[:, None]
+            backward = np.ones_like(emit)
+            for low, high in reversed(steps.ranges):
+                if ahead is not None:
+                    n = len(ahead)
+                    move += forward[low:low + n].T @ ahead
+                    backward[low:low + n] = ahead @ back
+                ahead = emit[low:high] * backward[low:high]
+            forward *= backward
+            if steps is parts[0]:
+                begun = forward[:len(first) - 1].sum(axis=0, dtype=float)
+            at = steps.symbols.astype(np.int64)
+            for k, share in enumerate(np.ascontiguousarray(forward.T)):
+                counts[k] += np.bincount(at, share, counts.shape[1])
+        return begun, move * self.move, counts.T
+
+
+def _forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, steps: Stretch, state: np.ndarray | None, keep: bool):
+    """Messages of a stretch (if kept), scales and the last state, from the state before it."""
+    scales, ones = np.empty(len(emit), emit.dtype), np.ones(STATES, emit.dtype)
+    messages = np.empty_like(emit) if keep else None
+    for low, high in steps.ranges:
+        state = (start if state is None else state[:high - low] @ move) * emit[low:high]
+        scale = state @ ones
+        state /= scale[:, None]
+        scales[low:high] = scale
+        if keep:
+            messages[low:high] = state
+    return messages, scales, state
+
+
+class Stretch(NamedTuple):
+    """Some positions of many sequences, in order of position: all symbols at the first, then all at
+    the second, and so on, so that every step of a recursion is one range."""
+
+    symbols: np.ndarray
+    owner: np.ndarray
+    ranges: list[tuple[int, int]]
+
+
+def stretches(symbols: np.ndarray, first: np.ndarray) -> Iterator[Stretch]:
+    """The sequences, longest first and none empty, about ``CHUNK`` tokens at a time."""
+    lengths, low = np.diff(first), 0
+    longest = int(lengths[0]) if len(lengths) else 0
+    while low < longest:
+        before, high, least = int(np.minimum(lengths, low).sum()), longest, low + 1
+        while least < high:  # the last position up to which the tokens from here fit
+            middle = (least + high + 1) // 2
+            if int(np.minimum(lengths, middle).sum()) - before <= CHUNK:
+                least = middle
+            else:
+                high = middle - 1
+        high = least
+        at = np.arange(low, high)
+        alive = np.searchsorted(-lengths, -at, side="left")
+        starts = np.r_[0, np.cumsum(alive)]
+        owner = np.arange(starts[-1]) - np.repeat(starts[:-1], alive)
+        place = first[owner] + np.repeat(at, alive)
+        yield Stretch(symbols[place], owner, list(zip(starts[:-1].tolist(), starts[1:].tolist())))
+        low = high
 
 
 def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -233,23 +270,23 @@ def baum_welch(encoded: DataFrame, vocabulary: Vocabulary) -> Hmm:
     """The model of ``encoded`` (``row, doc, symbols``).  Without documents it stays the start."""
     share = vocabulary.share()
     model = Hmm.first(share)
-    columns = [f"s{k}" for k in range(STATES)]
     for _ in range(ROUNDS if vocabulary.ends else 0):
-        model = _round(encoded, model, share, columns)
+        model = _round(encoded, model, share)
     return model
 
 
-def _round(encoded: DataFrame, model: Hmm, share: np.ndarray, columns: list[str]) -> Hmm:
+def _round(encoded: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
     """One Baum-Welch round; symbols are rows, then the transitions of each state, then the start."""
-    size = len(share)
+    size, columns = len(share), [f"s{k}" for k in range(STATES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((size, STATES))
+        rows = np.zeros((size + STATES + 1, STATES))
         for batch in _batched(batches):
             for _, symbols, first in blocks(_sequences(batch.column(0))):
-                a, b, c = model.expected(symbols, first)
-                start, move, emit = start + a, move + b, emit + c
-        rows = np.vstack([emit, move, start[None]])
+                start, move, emit = model.expected(symbols, first)
+                rows[:size] += emit
+                rows[size:-1] += move
+                rows[-1] += start
         seen = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *[pa.array(rows[seen, k]) for k in range(STATES)]], ["symbol", *columns])
 
@@ -267,40 +304,34 @@ def score_texts(docs: DataFrame, folds: int, held: int, doc_id: str = "doc_id",
     trained on and scored each.  An empty table gives no rows.
     """
     held_out = F.coalesce(fold(doc_id, folds) == held, F.lit(False))
-    rows = numbered(docs.select(doc_id, text)).select(
-        F.col(ROW).alias("row"), F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), text_of(text).alias("text"))
+    # Numbered in the one scan that encodes, whose result is written: nothing else reads these numbers' rows.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), text_of(text).alias("text"))
     counts = staged(word_counts(rows.where(~F.col("held_out"))), "words")
     vocabulary = Vocabulary(counts)
     base = vocabulary.base()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batched(batches):
-            out = []
+        for batch in _batched(batches, 2000):
+            out, ends, keys, classes, times = [], [0], [], [], []
             for value in batch.column(3):
-                symbols, _ = vocabulary.encode(value.as_py())
+                symbols, rare = vocabulary.encode(value.as_py())
                 plain = (symbols < len(vocabulary.counts)) | (symbols == vocabulary.end)
                 known = int(plain.sum()) - (0 if vocabulary.ends else 1)
                 out.append((len(symbols), known, float(base[symbols[plain]].sum()), symbols.astype("<u4").tobytes()))
+                keys += map(word_key, rare)
+                classes += map(class_of, rare)
+                times += rare.values()
+                ends.append(len(keys))
             columns = list(zip(*out)) or [[]] * 4
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, t)) for v, t in ((keys, pa.int64()), (classes, pa.int32()), (times, pa.int32()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.binary()))]],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "symbols"])
+                [*batch.columns[:3], *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.binary()))], *lists],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "symbols", "keys", "classes", "times"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    encoded = staged(rows.mapInArrow(encode, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, symbols binary"), "symbols")
-
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batched(batches, 1000):
-            at, keys, classes, ns = [], [], [], []
-            for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, rare = vocabulary.encode(value.as_py())
-                at += [row] * len(rare)
-                keys += map(word_key, rare)
-                classes += map(class_of, rare)
-                ns += rare.values()
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(keys, pa.int64()), pa.array(classes, pa.int32()), pa.array(ns, pa.int32())], ["row", "key", "class", "times"])
-
-    rare = rows.select("row", "text").mapInArrow(rare_words, "row long, key long, class int, times int")
+    encoded = staged(rows.mapInArrow(
+        encode, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, symbols binary, keys array<long>, classes array<int>, times array<int>"), "symbols")
+    rare = encoded.select("row", F.explode(F.arrays_zip("keys", "classes", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.classes").alias("class"), F.col("w.times").alias("times"))
     met = rare.join(counts.select("key", "n"), "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     spread = [float(t + v + 1) for t, v in zip(vocabulary.class_tokens, vocabulary.class_types)]
     in_class = F.get(F.split(F.lit(",".join(map(repr, spread))), ",").cast("array<double>"), F.col("class"))
@@ -318,7 +349,7 @@ def score_texts(docs: DataFrame, folds: int, held: int, doc_id: str = "doc_id",
                 logs[at] = model.forward(symbols, first) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(logs)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "chain"])
 
-    scored = encoded.mapInArrow(likelihood, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, chain double")
+    scored = encoded.drop("keys", "classes", "times").mapInArrow(likelihood, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, chain double")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return scored.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + zero("rare_known")).cast("long").alias("n_known"),

@@ -1,6 +1,7 @@
 """Every training round of the language model sees whole texts of all documents."""
 
 import numpy as np
+import pytest
 from llm_rows import prose
 
 from lorekeep.llm import markov_lm
@@ -17,3 +18,53 @@ def test_rounds_run_over_whole_texts(spark, documents):
         want = markov_lm.Hmm.from_counts(*[sum(p[i] for p in found) for i in range(3)], share)
     got = markov_lm.baum_welch(encoded, vocabulary)
     assert np.allclose(got.move, want.move, atol=1e-6) and np.allclose(got.emit, want.emit, atol=1e-6)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64])
+def test_stretches_change_nothing(monkeypatch, chunk):
+    """Recursions that go through texts in small stretches count and score as those over whole texts."""
+    pick = np.random.default_rng(3)
+    k = markov_lm.STATES
+    model = markov_lm.Hmm(pick.dirichlet(np.ones(k)), pick.dirichlet(np.ones(k), k), pick.dirichlet(np.ones(30), k).T)
+    lengths = [90, 41, 41, 12, 1, 1]
+    symbols, first = pick.integers(0, 30, sum(lengths)), np.r_[0, np.cumsum(lengths)]
+    whole, logs = model.expected(symbols, first), model.forward(symbols, first)
+    assert len(list(markov_lm.stretches(symbols, first))) == 1
+    monkeypatch.setattr(markov_lm, "CHUNK", chunk)
+    parts = list(markov_lm.stretches(symbols, first))
+    assert len(parts) > 2 and sorted(np.concatenate([p.symbols for p in parts])) == sorted(symbols)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(model.expected(symbols, first), whole))
+    assert np.allclose(model.forward(symbols, first), logs)
+
+
+def test_distributed_rounds_are_those_of_plain_baum_welch():
+    """Single precision messages against a plain double precision forward-backward, one sequence at a time."""
+    pick = np.random.default_rng(4)
+    k = markov_lm.STATES
+    model = markov_lm.Hmm(pick.dirichlet(np.ones(k)), pick.dirichlet(np.ones(k), k), pick.dirichlet(np.ones(50), k).T)
+    lengths = [300, 200, 50]
+    symbols, first = pick.integers(0, 50, sum(lengths)), np.r_[0, np.cumsum(lengths)]
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((50, k))
+    for a, b in zip(first, first[1:]):
+        own = symbols[a:b]
+        alpha, beta, scale = np.empty((b - a, k)), np.ones((b - a, k)), np.empty(b - a)
+        for t, x in enumerate(own):
+            alpha[t] = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[x]
+            scale[t] = alpha[t].sum()
+            alpha[t] /= scale[t]
+        for t in range(b - a - 2, -1, -1):
+            beta[t] = model.move @ (model.emit[own[t + 1]] * beta[t + 1]) / scale[t + 1]
+        gamma = alpha * beta
+        start += gamma[0]
+        np.add.at(emit, own, gamma)
+        for t in range(b - a - 1):
+            move += np.outer(alpha[t], model.emit[own[t + 1]] * beta[t + 1] / scale[t + 1]) * model.move
+        assert np.isclose(np.log(scale).sum(), model.forward(own, np.array([0, b - a]))[0])
+    got = model.expected(symbols, first)
+    assert np.allclose(got[0], start, atol=1e-4) and np.allclose(got[1], move, atol=1e-3) and np.allclose(got[2], emit, atol=1e-3)
+
+
+def test_a_text_of_megabytes(documents):
+    long = prose(5, 300_000)
+    got = {r["doc_id"]: r for r in markov_lm.score_texts(documents([(1, long), (3, "a b"), (4, prose(5, 100)), (7, None)], "score", "row", "keys"), 7, 2).collect()}
+    assert got[1]["n_tokens"] == 300_001 and got[1]["score"] > got[1]["base_score"] * 1.2 and got[7]["n_tokens"] == 1
