@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators import inverted
+from lorekeep.operators import inverted, vector_index
 from lorekeep.operators.joins import attach, keep_matching
 from lorekeep.operators.lexical import bm25_top
 from lorekeep.operators.semantic import cosine_top
@@ -65,14 +65,15 @@ def one_per_id(questions: DataFrame) -> DataFrame:
 
 def candidate_lists(
     questions: DataFrame, embeddings: DataFrame, corpus: DataFrame, fetch_n: int = 10,
-    words: inverted.InvertedIndex | None = None,
+    words: inverted.InvertedIndex | None = None, vectors: vector_index.VectorIndex | None = None,
 ) -> list[DataFrame]:
     """The semantic and the lexical list, ids and scores only, staged.  ``words`` is a stored index of
-    ``corpus``; without it the corpus is scanned."""
+    ``corpus``, ``vectors`` one of ``embeddings``; without them the tables are scanned."""
     questions = staged(one_per_id(questions), "questions")
     lexical = (lambda: bm25_top(questions, corpus, fetch_n)) if words is None else (lambda: inverted.bm25_top(questions, words, fetch_n))
+    nearest = (lambda: cosine_top(questions, embeddings, fetch_n)) if vectors is None else (lambda: vector_index.cosine_top(questions, vectors, fetch_n))
     return side_by_side(
-        lambda: staged(cosine_top(questions, embeddings, fetch_n), "semantic"),
+        lambda: staged(nearest(), "semantic"),
         lambda: staged(lexical(), "lexical"),
     )
 
@@ -95,7 +96,7 @@ def rerank(found: DataFrame, n: int) -> DataFrame:
 def search(
     questions: DataFrame, embeddings: DataFrame, corpus: DataFrame, eligible: DataFrame,
     top_n: int = 5, fetch_n: int = 10, semantic_weight: float = 0.6, lexical_weight: float = 0.4,
-    words: inverted.InvertedIndex | None = None,
+    words: inverted.InvertedIndex | None = None, vectors: vector_index.VectorIndex | None = None,
 ) -> DataFrame:
     """Hybrid search for a table of questions ``(query_id, question, embedding)``.
 
@@ -103,11 +104,11 @@ def search(
     ineligible since indexing do not starve the answer.  ``fetch_n`` from each side must be able to
     fill ``top_n``.  A repeated ``query_id`` is one question, the same for both sides.  Ids and scores go
     through the merge; topic, title and summary of the answers are fetched at the end, from ``embeddings`` for
-    what they hold, else from ``corpus``.  ``words`` is as in ``candidate_lists``.
+    what they hold, else from ``corpus``.  ``words`` and ``vectors`` are as in ``candidate_lists``.
     """
     if fetch_n < top_n:
         raise ValueError(f"fetch_n={fetch_n} candidates a side cannot be sure to fill top_n={top_n}")
-    sem, lex = candidate_lists(questions, embeddings, corpus, fetch_n, words)
+    sem, lex = candidate_lists(questions, embeddings, corpus, fetch_n, words, vectors)
     sem = sem.withColumn("embedded", F.lit(True))
     lex = lex.withColumn("embedded", F.lit(False))
     merged = staged(merge(sem, lex, semantic_weight, lexical_weight, 2 * top_n), "merged")

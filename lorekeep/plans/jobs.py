@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep import schemas as S
-from lorekeep.operators import analytics, embedding, evaluation, hybrid, inverted, reports, seed_gate
+from lorekeep.operators import analytics, embedding, evaluation, hybrid, inverted, reports, seed_gate, vector_index
 from lorekeep.operators.embedding import HASHED_MODEL, Embedder, hashed_words
 from lorekeep.plans.refresh import Refresh
 from lorekeep.session import staged
@@ -57,19 +57,27 @@ def eligible(now: files.Snapshot) -> DataFrame:
 
 
 def index(spark: SparkSession, warehouse: str, embedder: Embedder = hashed_words, model: str = HASHED_MODEL) -> None:
-    """Re-embeds everything eligible and inverts its words, published together."""
+    """Re-embeds everything eligible, clusters the vectors and inverts the words, published together."""
     now = files.snapshot(spark, warehouse)
     current = eligible(now)
-    built = embedding.build_index(current, F.current_timestamp(), embedder, model)
+    built = staged(embedding.build_index(current, F.lit(_now(spark)).cast("timestamp"), embedder, model), "embedded")
     words = inverted.build(current)
     words = inverted.InvertedIndex(words.stats.withColumn("built_from", F.lit(now.version(ELIGIBLE))), words.terms, words.postings, words.documents)
     files.publish(
         # Sorted inside each file, so a search within one topic skips most row groups.
-        {"semantic/knowledge_embeddings": built.sortWithinPartitions("topic_id"), **words.tables()}, warehouse,
-        {f"semantic/{name}": columns for name, columns in inverted.PARTITIONED.items()},
+        {"semantic/knowledge_embeddings": built.sortWithinPartitions("topic_id"), **words.tables(), **vector_index.build(built).tables()}, warehouse,
+        {f"semantic/{name}": columns for name, columns in (inverted.PARTITIONED | vector_index.PARTITIONED).items()},
     )
 
 
+def stored_vectors(now: files.Snapshot) -> vector_index.VectorIndex | None:
+    """The vector index, if it was published with the embeddings of this snapshot."""
+    names = [f"semantic/{name}" for name in vector_index.TABLES]
+    if any(now.version(name) is None or now.version(name) != now.version("semantic/knowledge_embeddings") for name in names):
+        return None
+    return vector_index.VectorIndex(*[now.read(name) for name in names])
+
+
 def stored_words(now: files.Snapshot) -> inverted.InvertedIndex | None:
     """The inverted index, if it was built from the knowledge that is eligible now and can be searched."""
     names = [f"semantic/{name}" for name in inverted.TABLES]
@@ -119,7 +127,7 @@ def search(
     """``questions``: (query_id, question).  With a topic both corpora are cut to it first.
     ``fetch_n`` candidates come from each side; by default as many as ``top_n`` may need.
 
-    Without a topic words are looked up in the stored index, unless knowledge was refreshed since it was built;
+    Without a topic words and vectors are looked up in the stored indexes, words unless knowledge was refreshed since;
     statistics of a topic are its own, so its rows are scanned."""
     now = files.snapshot(spark, warehouse)
     current = eligible(now)
@@ -127,7 +135,7 @@ def search(
     return hybrid.search(
         asked, files.embedding_corpus(_embeddings(now), topic), files.lexical_corpus(current, topic),
         current, top_n, fetch_n or max(10, 2 * top_n), semantic_weight=semantic_weight, lexical_weight=lexical_weight,
-        words=None if topic else stored_words(now),
+        words=None if topic else stored_words(now), vectors=None if topic else stored_vectors(now),
     )
 
 
@@ -139,7 +147,7 @@ def evaluate(
     current = eligible(now)
     asked = cases.select(F.col("id").alias("query_id"), "question")
     asked = staged(embedding.embed_queries(asked, embedder), "asked")
-    lists = evaluation.candidates(*hybrid.candidate_lists(asked, _embeddings(now), current, words=stored_words(now)), current)
+    lists = evaluation.candidates(*hybrid.candidate_lists(asked, _embeddings(now), current, words=stored_words(now), vectors=stored_vectors(now)), current)
     results = staged(evaluation.eval_cases(cases, lists), "results")
     return {
         "cases": results,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.plans.refresh import Refresh
 from lorekeep.session import scratch_path, staged
 from lorekeep.streaming.events import normalize_events
-from lorekeep.operators import inverted
+from lorekeep.operators import inverted, vector_index
 from lorekeep.operators.quality import annotate, event_rules
 from lorekeep.sources import files
 from lorekeep.testbed import bindings
@@ -67,6 +67,13 @@ class Context:
         now = files.snapshot(self.spark, base)
         return inverted.InvertedIndex(*[now.read(f"semantic/{name}") for name in inverted.TABLES])
 
+    @cached_property
+    def vector_index(self) -> vector_index.VectorIndex:
+        base = self.scratch("vectors")
+        files.publish(vector_index.build(self.embeddings).tables(), base, {f"semantic/{k}": v for k, v in vector_index.PARTITIONED.items()})
+        now = files.snapshot(self.spark, base)
+        return vector_index.VectorIndex(*[now.read(f"semantic/{name}") for name in vector_index.TABLES])
+
     @cached_property
     def checked_events(self) -> DataFrame:
         return annotate(self.raw("b_events"), event_rules())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep import schemas as S
 from lorekeep.functions.governance import cosine
 from lorekeep.functions.text import tokens
-from lorekeep.operators import embedding, evaluation, hybrid, inverted, lexical, semantic
+from lorekeep.operators import embedding, evaluation, hybrid, inverted, lexical, semantic, vector_index
 from lorekeep.operators.joins import attach, sized_join
 from lorekeep.session import staged
 from lorekeep.sources import files
@@ -134,6 +134,22 @@ def topk_semantic(c: Context) -> DataFrame:
     return _out(semantic.cosine_top(c.questions, c.embeddings))
 
 
+@query("topk_semantic_index", _SEMANTIC)
+def topk_semantic_index(c: Context) -> DataFrame:
+    """The same rows from the stored clusters."""
+    return _out(vector_index.cosine_top(c.questions, c.vector_index))
+
+
+@query("vector_index_clusters", """
+    select count(*) vectors, true inside from b_embeddings where embedding is not null""")
+def vector_index_clusters(c: Context) -> DataFrame:
+    """Every vector is in one cluster and no further from its centre than the cluster's radius."""
+    members = c.vector_index.blocks.select("cluster", F.explode("embeddings").alias("v"))
+    placed = members.join(F.broadcast(c.vector_index.clusters), "cluster")
+    inside = F.acos(F.least(F.lit(1.0), cosine(F.col("v").cast("array<double>"), F.col("centre")))) <= F.col("radius") + 1e-6
+    return placed.agg(F.count(F.lit(1)).alias("vectors"), F.bool_and(inside | (F.col("cluster") < 0)).alias("inside"))
+
+
 @query("semantic_search", """
     select s.query_id, s.knowledge_id, s.rank, round(s.score, 6) score, e.topic_id, e.title, e.summary
     from s_top s join b_embeddings e on s.knowledge_id = e.knowledge_id""")
