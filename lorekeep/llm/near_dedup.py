@@ -17,14 +17,17 @@ keys of every text that can be alike to one of up to ``SHORT`` shingles, and eve
 that short is aligned whatever its sketches: such pairs are found for certain.  Above, a pair at
 exactly 0.8 is missed with a chance of at most 6 in 10,000, falling to 1 in 10,000 in long texts.
 
-Buckets may be large, so no bucket is paired off.  Each bucket first links its members to the one
-that shares most buckets with others, the likely original.  Components of the verified links leave,
-per bucket, the members outside its centre's component; only buckets that have any go on.  Of
-their members, those stay that may still have a similar text there: a text with too many shingles
-no other member has cannot.  Ever more of the rest are compared with every member of another
-component, until none is left.  So two texts of one bucket end in one component, have been compared,
-or cannot be similar.  Nothing is capped, and candidate pairs, links and labels stay in tables of
-the shared folder.
+Buckets may be large, so no bucket is paired off.  The centre of a bucket is the member that shares
+most buckets with others, the likely original.  A text meets the heaviest of its centres, then those it is
+not in one component with yet.  That leaves, per bucket, the members outside
+its centre's component; only buckets that have any go on.  Of their members, those stay that may still
+have a similar text there: a text with too many shingles no other member has cannot.  Nor can two copies
+of one original that differ from it at different places, if either has too little of it left (``reach``).
+Ever more of the rest, at first one of each component, are compared with every member of another component
+that these bounds leave, until none is left.  So two texts of one bucket end in one component, have been compared, or cannot be similar.
+After each round the similar pairs shrink to links between components, so there are never more of them than
+texts still apart.  Nothing is capped, and candidate pairs, links and labels stay in tables of the shared
+folder.
 """
 
 from __future__ import annotations
@@ -48,6 +51,7 @@ PICKED = 8
 AGREE = 2
 SHORT = 40  # shingles up to which candidates are exact
 FIRST_CENTRES = 32
+COLD = 32  # texts that may have a shingle their pivot has not for its pairs to be compared outright
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,7 +89,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
     picked = min(PICKED, len(s))
     seeds = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _STEP)
     out = np.empty(SKETCHES, np.uint64)
-    width = max(1, (1 << 20) // len(s))  # orders ranked at once: a few MB whatever the text
+    width = max(1, (1 << 17) // len(s))  # orders ranked at once: a megabyte, or one order of a longer text
     for low in range(0, SKETCHES, width):
         ranks = _mix(s[None, :] ^ seeds[low:low + width, None])
         at = np.argpartition(ranks, picked - 1, axis=1)[:, :picked] if picked < len(s) else np.broadcast_to(np.arange(len(s)), ranks.shape)
@@ -176,7 +180,7 @@ class NearDuplicates:
         self.split = numbered(docs.select(*[c for c in docs.columns if c in (ROW, doc_id, text)])).select(
             F.col(ROW).alias("row"), F.col(doc_id).alias("id"), words(F.col(text)).alias("words"))
         self.compared: DataFrame | None = None
-        self.links: DataFrame | None = None
+        self.labels = staged(docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("label")), "labels")
 
     def classes(self) -> DataFrame:
         """``row, id, class_id, class_size, kept``; one row of each class, its first, is kept."""
@@ -205,14 +209,24 @@ class NearDuplicates:
         self.texts = staged(texts.join(weight.select("row"), "row", "left_semi"), "texts")
         members = staged(members.select("bucket", "row").join(weight, "row"), "members")
 
-        centre = members.groupBy("bucket").agg(F.max(F.struct("weight", F.negative("row").alias("back"))).alias("c")).select("bucket", F.negative("c.back").alias("centre"))
-        centres = staged(centre, "centres")
-        self.verify(members.join(centres, "bucket").select(F.col("centre").alias("x"), F.col("row").alias("y")))
+        centre = members.groupBy("bucket").agg(F.max(F.struct("weight", F.negative("row").alias("back"))).alias("c"))
+        centres = staged(centre.select("bucket", F.negative("c.back").alias("centre"), F.col("c.weight").alias("centre_weight")), "centres")
+        self.approach(members.join(centres, "bucket").where("row <> centre").select("row", "centre", "centre_weight").distinct())
+        centres = centres.drop("centre_weight")
 
         rest = self.outside(members, centres)
         if rest.limit(1).count():
             opened = staged(members.join(rest.select("bucket").distinct(), "bucket").select("bucket", "row", "weight"), "opened")
-            self.settle(self.hopeful(opened), centres)
+            self.settle(self.reach(self.hopeful(opened)), centres)
+
+    def approach(self, stars: DataFrame) -> None:
+        """Compares texts with the centres of their buckets (``row, centre, centre_weight``): with the
+        heaviest first, which is the original of most copies, then with those still in other components."""
+        place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("centre_weight"), "centre"))
+        self.stars = stars = staged(stars.withColumn("place", place).select("row", "centre", "place"), "stars")
+        for near in ("place = 1", "place > 1"):
+            due = self.labelled(stars.where(near)).join(self.label_of("centre", "home"), "centre", "left")
+            self.verify(due.where("label <> coalesce(home, centre)").select(F.col("row").alias("x"), F.col("centre").alias("y")))
 
     def prefixes(self, texts: DataFrame) -> DataFrame:
         """``row, j, h``: the rarest shingles of short texts, as many as one must be shared of.
@@ -236,7 +250,7 @@ class NearDuplicates:
         both sizes together, so a partner has at most ``most`` shingles.  Counting shingles takes
         one combined pass over these texts.
         """
-        each = parts(self.texts.join(members.select("row").distinct(), "row", "left_semi"))
+        each = self.opened = staged(parts(self.texts.join(members.select("row").distinct(), "row", "left_semi")), "shingles")
         once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("row").alias("row")).where("texts = 1")
         own = once.groupBy("row").agg(F.count(F.lit(1)).alias("own"))
         known = self.marks.select("row", "n").join(own, "row", "left").withColumn("own", F.coalesce("own", F.lit(0)))
@@ -247,6 +261,30 @@ class NearDuplicates:
         able = (F.col("least") <= F.col("most")) & (shared + 1e-6 >= SIMILARITY * F.col("n"))
         return staged(sized.withColumn("most", most).join(least, "bucket").where(able).select("bucket", "row", "weight", "n", "most"), "hopeful")
 
+    def reach(self, members: DataFrame) -> DataFrame:
+        """Members with what they can share with others of their ``pivot``, the heaviest centre they met.
+
+        Two texts share shingles of the pivot, at most as many as either has (``near``), and shingles
+        that are not the pivot's.  Pairs with one of the latter are few where copies differ at places of their
+        own: they are compared here.  Any other pair of one pivot needs enough in ``near`` on both
+        sides, which bounds a partner's size by ``reach``.  A text with a shingle that is not the
+        pivot's and yet in more than ``COLD`` others is ``plain``: two such are not bounded by that."""
+        pivots = self.stars.where("place = 1").select("row", F.col("centre").alias("pivot"))
+        rows = staged(members.select("row", "n").distinct().join(pivots, "row", "left").withColumn("pivot", F.coalesce("pivot", "row")), "pivots")
+        of_pivot = parts(self.texts.join(rows.select(F.col("pivot").alias("row")).distinct(), "row", "left_semi"))
+        of_pivot = of_pivot.select(F.col("row").alias("pivot"), "shingle", F.lit(True).alias("inside"))
+        marked = self.opened.join(rows, "row").join(of_pivot, ["pivot", "shingle"], "left")
+        marked = staged(marked.select("row", "n", "pivot", "shingle", F.col("inside").isNotNull().alias("inside")), "marked")
+        extras = marked.where("not inside").select("pivot", "shingle", "row")
+        shared = staged(extras.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "extras")
+        plain = extras.join(shared.where(F.col("texts") > COLD), ["pivot", "shingle"], "left_semi").select("row").distinct().withColumn("plain", F.lit(True))
+        cold = staged(extras.join(shared.where(F.col("texts") <= COLD), ["pivot", "shingle"], "left_semi"), "cold")
+        self.verify(cold.select("pivot", "shingle", F.col("row").alias("x")).join(cold.select("pivot", "shingle", F.col("row").alias("y")), ["pivot", "shingle"]).where("x < y").select("x", "y"))
+        near = marked.groupBy("row", "n", "pivot").agg(F.count_if("inside").alias("near")).join(plain, "row", "left")
+        reach = F.col("near") * ((1 + SIMILARITY) / SIMILARITY) - F.col("n") + 1e-6
+        near = staged(near.select("row", "pivot", reach.alias("reach"), F.col("plain").isNotNull().alias("plain")), "reach")
+        return staged(members.join(near, "row"), "reaching")
+
     def outside(self, members: DataFrame, centres: DataFrame) -> DataFrame:
         """Members that are not in the component of their bucket's centre."""
         labelled = self.labelled(members)
@@ -265,32 +303,47 @@ class NearDuplicates:
         tried, turn = centres.select("bucket", F.col("centre").alias("row")), FIRST_CENTRES
         while True:
             rest = self.outside(members, centres).join(tried, ["bucket", "row"], "left_anti")
-            place = W.partitionBy("bucket").orderBy(F.desc("weight"), "row")
-            now = staged(rest.withColumn("place", F.row_number().over(place)).where(F.col("place") <= turn).select("bucket", "row", "label", "n", "most"), "turn")
+            # Of a component few members at first: where one finds a partner, the others need not look.
+            first = F.row_number().over(W.partitionBy("bucket", "label").orderBy(F.desc("weight"), "row"))
+            place = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("weight"), "row"))
+            now = rest.withColumn("first", first).where(F.col("first") <= max(1, turn // FIRST_CENTRES)).withColumn("place", place).where(F.col("place") <= turn)
+            now = staged(now.select("bucket", "row", "label", "n", "most", "pivot", "reach", "plain"), "turn")
             if not now.limit(1).count():
                 return
-            others = self.labelled(members).select("bucket", F.col("row").alias("y"), F.col("label").alias("there"), F.col("n").alias("ny"), F.col("most").alias("most_y"))
-            pairs = now.join(others, "bucket").where("label <> there and ny <= most and n <= most_y").select(F.col("row").alias("x"), "y")
+            others = self.labelled(members).select("bucket", F.col("row").alias("y"), F.col("label").alias("there"), *[F.col(c).alias(f"{c}_y") for c in ("n", "most", "pivot", "reach", "plain")])
+            able = "label <> there and n_y <= most and n <= most_y and (pivot <> pivot_y or (plain and plain_y) or (n_y <= reach and n <= reach_y))"
+            pairs = now.join(others, "bucket").where(able).select(F.col("row").alias("x"), "y")
             self.verify(pairs)
-            tried = staged(tried.union(now.select("bucket", "row")), "tried")
+            tried = tried.union(now.select("bucket", "row"))
             turn *= 2
 
     def verify(self, pairs: DataFrame) -> None:
-        """Adds the similar ones of ``pairs`` (``x, y``) to the links and renews the labels."""
+        """Joins the components of the similar ones of ``pairs`` (``x, y``).
+
+        A similar pair is a link between the components its texts are in by now, and equal links are
+        one, so what there is to join never outgrows the texts that were still apart."""
         pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["x", "y"], "left_anti")
         pairs = staged(pairs, "pairs")
-        self.compared = pairs if self.compared is None else staged(self.compared.union(pairs), "compared")
+        if not pairs.limit(1).count():
+            return
+        self.compared = pairs if self.compared is None else self.compared.union(pairs)
         side = lambda c, n, m: self.marks.select(F.col("row").alias(c), F.col("n").alias(n), F.col("sketches").alias(m))
         agree = F.size(F.filter(F.zip_with("mx", "my", lambda a, b: a == b), lambda same: same))
         likely = staged(
             pairs.join(side("x", "nx", "mx"), "x").join(side("y", "ny", "my"), "y")
             .where((F.least("nx", "ny") >= SIMILARITY * F.greatest("nx", "ny")) & ((F.least("nx", "ny") <= SHORT) | (agree >= AGREE))).select("x", "y"), "likely")
         words_of = lambda c, h: self.texts.select(F.col("row").alias(c), F.col("hashes").alias(h))
-        found = staged(aligned(likely.join(words_of("x", "left"), "x").join(words_of("y", "right"), "y")), "links")
-        self.links = found if self.links is None else staged(self.links.union(found), "links")
-        self.labels = components(self.links)
+        found = staged(aligned(likely.join(words_of("x", "left"), "x").join(words_of("y", "right"), "y")), "similar")
+        home = lambda c, there: F.coalesce(there, c)
+        links = found.join(self.label_of("x", "lx"), "x", "left").join(self.label_of("y", "ly"), "y", "left").select(home("x", "lx").alias("x"), home("y", "ly").alias("y"))
+        links = staged(links.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "links")
+        if links.limit(1).count():
+            joined = components(links).select(F.col("node").alias("was"), F.col("label").alias("now"))
+            moved = self.labels.join(joined, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
+            alone = joined.join(self.labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+            self.labels = staged(moved.union(alone), "labels")
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,0 +1,44 @@
+"""Large groups of near copies: one class, few links, and the classes of brute force."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from lorekeep.llm import components as graph
+from lorekeep.llm import near_dedup as nd
+
+
+def near_copies(n, changed, length=120, seed=4):
+    pick = random.Random(seed)
+    words = ["w" + str(pick.randrange(10 ** 6)) for _ in range(length)]
+    out = [" ".join(words)]
+    for i in range(n):
+        copy = list(words)
+        for at in pick.sample(range(length), changed):
+            copy[at] = f"x{i}y{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+def classes_by_hand(texts):
+    shingles = [nd.shingles(np.array([xxhash.xxh64_intdigest(w) for w in t.split()], np.uint64)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and nd.similarity(shingles[i], shingles[j]) >= nd.SIMILARITY:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("changed", [1, 2, 3])
+def test_groups_of_near_copies(spark, documents, monkeypatch, changed):
+    links = []
+    known = graph.components
+    monkeypatch.setattr(nd, "components", lambda edges: links.append(edges.count()) or known(edges))
+    texts = near_copies(150, changed)
+    got = {r["id"]: r["class_id"] for r in nd.near_classes(documents(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_hand(texts)
+    assert sum(links) <= 2 * len(texts)
