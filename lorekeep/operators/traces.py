@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators.joins import sized_join
+from lorekeep.operators.joins import keep_matching, sized_join
 from lorekeep.operators.reports import related_lists
 from lorekeep.session import staged
 
@@ -43,12 +43,21 @@ def _shown(ids: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
     return sized_join(first, catalog, "knowledge_id", "inner", ["trace_id"])
 
 
-def source_cards(ids: DataFrame, catalog: DataFrame, sources: DataFrame, limit: int = MAX_SOURCES) -> DataFrame:
+def shown_records(ids: DataFrame, catalog: DataFrame, limit: int = MAX_SOURCES) -> DataFrame:
+    """The records behind the cards of each trace, staged: cards and related topics both start from them, so
+    the catalog is joined once for a whole answer."""
+    records = catalog.select("knowledge_id", "topic_id", "source_id", "title", "source_name", "last_reviewed_date")
+    return staged(_shown(ids, records, limit), "shown")
+
+
+def source_cards(
+    ids: DataFrame, catalog: DataFrame, sources: DataFrame, limit: int = MAX_SOURCES, shown: DataFrame | None = None,
+) -> DataFrame:
     """One row per card: ``(trace_id, pos, knowledge_id, title, source_name, source_url,
-    last_reviewed_date)``; a source that is gone gives an empty url."""
+    last_reviewed_date)``; a source that is gone gives an empty url.  ``shown`` may give ``shown_records``."""
     records = catalog.select("knowledge_id", "source_id", "title", "source_name", "last_reviewed_date")
     urls = sources.select("source_id", "url")
-    cards = sized_join(_shown(ids, records, limit), urls, "source_id", "left", ["trace_id", "pos"])
+    cards = sized_join(_shown(ids, records, limit) if shown is None else shown, urls, "source_id", "left", ["trace_id", "pos"])
     return cards.select(
         "trace_id", F.col("pos").cast("long").alias("pos"), "knowledge_id", "title",
         F.coalesce("source_name", F.lit("")).alias("source_name"),
@@ -79,11 +88,12 @@ def _fold(steps: Column) -> Column:
 
 def related_for_answers(
     ids: DataFrame, catalog: DataFrame, dim: DataFrame,
-    per_topic: int = RELATED_PER_SOURCE, limit: int = MAX_SOURCES,
+    per_topic: int = RELATED_PER_SOURCE, limit: int = MAX_SOURCES, shown: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per suggestion: ``(trace_id, pos, topic_id, topic_name)``."""
-    known = catalog.select("knowledge_id", "topic_id")
-    shown = staged(_shown(ids, known, limit).select("trace_id", "pos", "topic_id"), "shown")
+    """One row per suggestion: ``(trace_id, pos, topic_id, topic_name)``.  ``shown`` may give ``shown_records``."""
+    if shown is None:
+        shown = staged(_shown(ids, catalog.select("knowledge_id", "topic_id"), limit), "shown")
+    shown = shown.select("trace_id", "pos", "topic_id")
     # Only the topics shown need a list, and staging the lists tells whether they can be broadcast.
     lists = staged(related_lists(dim, shown, per_topic).select(
         F.col("for_topic_id").alias("topic_id"),
@@ -127,6 +137,11 @@ def trace_by_id(traces: DataFrame, trace_id: str) -> DataFrame:
     return latest_traces(traces.where(F.col("trace_id") == trace_id))
 
 
+def traces_by_id(traces: DataFrame, ids: DataFrame) -> DataFrame:
+    """The latest record of every wanted ``trace_id`` that exists; the table is cut down to them first."""
+    return latest_traces(keep_matching(traces, ids, "trace_id"))
+
+
 def summarize_result(result: Column) -> Column:
     """A tool's JSON result as counts, ids and flags - never its content.
 

@@ -57,6 +57,41 @@ def _norm(view: str) -> str:
         from (select *, min(score) over (partition by query_id) lo, max(score) over (partition by query_id) hi from {view})"""
 
 
+def _hashed_views() -> dict[str, str]:
+    """The stand-in embedding: signed word counts at the CRC-32 of a word, without their length."""
+    def sums(key: str, text: str, view: str) -> str:
+        return f"""
+            select {key}, slot, sum(sign) v from (select {key}, unnest({_tokens(text)}) w from {view}) t
+            join x_slots using (w) group by {key}, slot"""
+
+    return {
+        "x_table": """
+            select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+              lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) tbl""",
+        "x_words": f"""
+            select distinct unnest({_tokens('summary')}) w from v_eligible
+            union select distinct unnest({_tokens('question')}) from b_questions""",
+        "x_crc": """
+            select w, xor(list_reduce(list_concat([4294967295], list_transform(range(len(x) // 2),
+                lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 17)::bigint)),
+              lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) h
+            from (select w, hex(encode(w)) x from x_words), x_table""",
+        "x_slots": "select w, h % 64 slot, case when h & 65536 = 0 then -1 else 1 end sign from x_crc",
+        "x_docs": sums("knowledge_id", "summary", "v_eligible"),
+        "x_asked": sums("query_id", "question", "b_questions"),
+        "x_doc_lengths": "select knowledge_id, sqrt(sum(v * v)) n from x_docs group by knowledge_id",
+        "x_asked_lengths": "select query_id, sqrt(sum(v * v)) n from x_asked group by query_id",
+        "x_dots": """
+            select query_id, knowledge_id, sum(a.v * d.v) dot from x_asked a join x_docs d on a.slot = d.slot group by all""",
+        "x_scores": """
+            select q.query_id, k.knowledge_id, round(coalesce(dot / (a.n * l.n), 0.0), 9) score
+            from b_questions q cross join v_eligible k
+            left join x_dots d on d.query_id = q.query_id and d.knowledge_id = k.knowledge_id
+            left join x_asked_lengths a on a.query_id = q.query_id left join x_doc_lengths l on l.knowledge_id = k.knowledge_id""",
+    }
+
+
+SQL_VIEWS.update(_hashed_views())
 SQL_VIEWS.update(_bm25_views("l", "v_eligible"))
 SQL_VIEWS.update(_bm25_views("w", "w_topic"))
 SQL_VIEWS.update({
@@ -403,12 +438,15 @@ _STAMP = "2025-07-01 00:00:00"
 
 @query("embed_corpus", """
     select knowledge_id, topic_id, title, summary, 'hashed-words' embedding_model,
-      timestamp '2025-07-01' embedded_at, 64 width, length(regexp_replace(summary, '\\s', '', 'g')) > 0 unit
-    from v_eligible""")
+      timestamp '2025-07-01' embedded_at, 64 width, length(regexp_replace(summary, '\\s', '', 'g')) > 0 unit,
+      round(coalesce((select sum((slot + 1) * v) / nullif(sqrt(sum(v * v)), 0) from x_docs d where d.knowledge_id = e.knowledge_id), 0.0), 6) weighted
+    from v_eligible e""")
 def embed_corpus(c: Context) -> DataFrame:
     index = embedding.build_index(c.refresh.eligible, F.lit(_STAMP).cast("timestamp_ntz"))
     length = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return index.withColumns({"width": F.size("embedding"), "unit": F.abs(length - 1) < 1e-9}).drop("embedding")
+    # Every component counts with its place, so two different vectors hardly agree.
+    weighted = F.round(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)
+    return index.withColumns({"width": F.size("embedding"), "unit": F.abs(length - 1) < 1e-9, "weighted": weighted}).drop("embedding")
 
 
 @query("chunk_text", "select knowledge_id chunk_id, knowledge_id, summary from v_eligible")
@@ -417,7 +455,9 @@ def chunk_text(c: Context) -> DataFrame:
     return c.refresh.eligible.select(F.col("knowledge_id").alias("chunk_id"), "knowledge_id", "summary")
 
 
-@query("embed_query")
+@query("embed_query", """
+    select query_id, knowledge_id, rank, round(score, 6) score from (
+      select *, row_number() over (partition by query_id order by score desc, knowledge_id) rank from x_scores) where rank <= 10""")
 def embed_query(c: Context) -> DataFrame:
     """Questions embedded on the fly against a freshly built index: semantic search end to end."""
     index = staged(embedding.build_index(c.refresh.eligible, F.lit(_STAMP).cast("timestamp")), "index")

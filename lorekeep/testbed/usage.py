@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lorekeep import schemas as S
 from lorekeep.operators import analytics, traces
 from lorekeep.operators.quality import annotate, client_event_rules
+from lorekeep.session import staged
 from lorekeep.sources import files, streams
-from lorekeep.streaming import events
+from lorekeep.streaming import compaction, events
 from lorekeep.testbed import bindings
 from lorekeep.testbed.registry import SQL_VIEWS, Context, query, six
 
@@ -157,12 +158,24 @@ def project_event_allowlist(c: Context) -> DataFrame:
     return out.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
 
 
-@query("event_envelope")
+@query("event_envelope", """
+    select event_type, session_id, trace_id, topic_id, knowledge_id, rating, true well_formed, true alone, true recent,
+      true nothing_else
+    from b_events where event_type in ('SOURCE_OPENED','RELATED_TOPIC_OPENED','FEEDBACK_SUBMITTED')
+      and coalesce(rating, 'up') in ('up','down') and session_id <> ''""")
 def event_envelope(c: Context) -> DataFrame:
-    """Accepted client submissions, enveloped, sent and read back as valid events."""
+    """Accepted client submissions, enveloped, sent and read back as valid events.  Ids and times are made
+    afresh, so what is told of them is their form, that each id occurs once, and that the times are today's."""
     accepted = annotate(c.raw("b_events"), client_event_rules()).where("reason is null and session_id <> ''")
-    sent = events.envelope(accepted.select("event_type", "session_id", "trace_id", "topic_id", "knowledge_id", "rating"))
-    return events.normalize_events(events.annotate_events(events.to_messages(sent)))
+    sent = staged(events.envelope(accepted.select("event_type", "session_id", "trace_id", "topic_id", "knowledge_id", "rating")), "sent")
+    read = staged(events.normalize_events(events.annotate_events(events.to_messages(sent))), "read")
+    repeated = read.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    now, at = F.current_timestamp(), F.col("occurred_at").cast("timestamp")
+    return read.join(repeated, "event_id").select(
+        "event_type", "session_id", "trace_id", "topic_id", "knowledge_id", "rating",
+        F.col("event_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("well_formed"), (F.col("n") == 1).alias("alone"),
+        at.between(now - F.expr("interval 1 day"), now + F.expr("interval 1 day")).alias("recent"),
+        (F.col("latency_ms").isNull() & F.col("source_count").isNull()).alias("nothing_else"))
 
 
 # ---- events as a stream ------------------------------------------------------------------------
@@ -183,6 +196,24 @@ def _drain(c: Context) -> tuple[str, str]:
     return f"{base}/fact", f"{base}/quarantine"
 
 
+def _folded(c: Context) -> compaction.EventLog:
+    """The event stream in several batches, all but the last folded into days."""
+    base = c.scratch("events_lake")
+    messages = _payloads(bindings.run_sql(c.spark, bindings.VIEWS["b_events"], {"events": c.table("events")}))
+    messages.repartition(6).write.parquet(f"{base}/in")
+    arriving = c.spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    events.start(arriving, f"{base}/{compaction.FACT}", f"{base}/{compaction.QUARANTINE}", f"{base}/checkpoint", True,
+                 f"{base}/{compaction.METRICS}").awaitTermination()
+    compaction.compact(files.snapshot(c.spark, base))
+    return compaction.EventLog(files.snapshot(c.spark, base))
+
+
+@query("stream_compacted_events", "select * from m_fact")
+def stream_compacted_events(c: Context) -> DataFrame:
+    rows = _folded(c).events().select(*S.EVENT_COLUMNS)
+    return rows.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+
+
 def _fact(c: Context, path: str) -> DataFrame:
     rows = c.spark.read.parquet(path).select(*S.EVENT_COLUMNS)
     return rows.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
@@ -305,8 +336,9 @@ def reshape_metrics_long(c: Context) -> DataFrame:
 
 @query("stream_analytics_refresh", _LONG.replace("v_global", "s_global").replace("v_by_topic", "s_by_topic"))
 def stream_analytics_refresh(c: Context) -> DataFrame:
-    """Metrics recomputed from what the stream has landed."""
-    return _long(c, c.spark.read.parquet(_drain(c)[0])).withColumn("metric_value", six("metric_value"))
+    """Metrics added up from the partial ones that batches of the stream have left."""
+    parts = analytics.add_up(_folded(c).metrics())
+    return analytics.merged_analytics(parts, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).withColumn("metric_value", six("metric_value"))
 
 
 SQL_VIEWS["s_global"] = SQL_VIEWS["v_global"].replace("v_fact", "m_fact")
@@ -396,8 +428,9 @@ def seen_set_fold(c: Context) -> DataFrame:
     union all select trace_id, 'related', pos, topic_id, topic_name, null from v_related""")
 def report_answer_sources(c: Context) -> DataFrame:
     ids = _latest_ids(c)
-    cards = traces.source_cards(ids, c.refresh.catalog, c.refresh.sources)
-    related = traces.related_for_answers(ids, c.refresh.catalog, c.refresh.topics)
+    shown = traces.shown_records(ids, c.refresh.catalog)
+    cards = traces.source_cards(ids, c.refresh.catalog, c.refresh.sources, shown=shown)
+    related = traces.related_for_answers(ids, c.refresh.catalog, c.refresh.topics, shown=shown)
     return cards.select(
         "trace_id", F.lit("source").alias("kind"), "pos", F.col("knowledge_id").alias("id"), "title",
         F.col("source_url").alias("detail"),
@@ -416,6 +449,15 @@ def topk_recent_traces(c: Context) -> DataFrame:
     return traces.recent_traces(_traces(c)).select("trace_id", "recorded_at", "total_latency_ms")
 
 
+@query("trace_by_id", """
+    select trace_id, recorded_at, total_latency_ms from v_traces
+    where trace_id in (select 'trace_'||cast(item_id as varchar) from benchmark)""")
+def trace_by_id(c: Context) -> DataFrame:
+    """A batch of wanted ids, each with its latest record."""
+    ids = c.table("benchmark").select(F.concat(F.lit("trace_"), F.col("item_id").cast("string")).alias("trace_id"))
+    return traces.traces_by_id(_traces(c), ids).select("trace_id", "recorded_at", "total_latency_ms")
+
+
 @query("trace_summary", """
     select event_id,
       case when event_type='view' then 3 end candidate_count,
