@@ -257,3 +257,18 @@ def test_rules_file(spark, tmp_path):
     assert seed_gate.rules_file_errors(spark, str(good)).count() == 0
     assert seed_gate.rules_file_errors(spark, str(bad)).count() == 1
     assert seed_gate.rules_file_errors(spark, str(tmp_path / "none.json")).count() == 1
+
+
+def test_ledger_counts_every_key_once(spark, either_join):
+    topics = spark.createDataFrame([("t1",), ("t1",), ("t2",), (None,)], "topic_id string")
+    sources = spark.createDataFrame([("s1",)], "source_id string")
+    knowledge_ = spark.createDataFrame([("k1", "t1", "s1"), ("k2", "t9", "s1"), ("k2", None, "s2")], "knowledge_id string, topic_id string, source_id string")
+    reviews = spark.createDataFrame([("r1", "k1"), ("r2", "k9")], "review_id string, knowledge_id string")
+    got = {(r["table"], r["key"]): (r["ids"], r["refs"]) for r in seed_gate.key_ledger(topics=topics, sources=sources, knowledge=knowledge_, reviews=reviews).collect()}
+    assert got == {
+        ("topics", "t1"): (2, 1), ("topics", "t2"): (1, 0), ("topics", None): (1, 1), ("topics", "t9"): (0, 1),
+        ("sources", "s1"): (1, 2), ("sources", "s2"): (0, 1), ("knowledge", "k1"): (1, 1), ("knowledge", "k2"): (2, 0),
+        ("knowledge", "k9"): (0, 1), ("reviews", "r1"): (1, 0), ("reviews", "r2"): (1, 0)}
+    plan = seed_gate.uniqueness_errors(topics, sources, knowledge_, reviews)
+    assert sorted((r["table"], r["id"], r["error"]) for r in plan.collect()) == [
+        ("knowledge", "k2", "duplicate knowledge_id 'k2'"), ("topics", "t1", "duplicate topic_id 't1'")]
