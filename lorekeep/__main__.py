@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     command("load", ("--feeds", need), ("--rules", {}), ("--single-line", {"action": "store_true"}))
     command("refresh", ("--quarantine", need), ("--run-id", {}))
-    command("index")
+    command("index", ("--full", {"action": "store_true"}))
     command("stream", ("--input", {}), ("--kafka-servers", {}), ("--kafka-topic", {}),
             ("--run-for-seconds", {"type": float}), ("--available-now", {"action": "store_true"}))
     command("compact")
@@ -61,7 +61,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         print(jobs.refresh(spark, args.warehouse, args.quarantine, args.run_id))
     elif args.command == "index":
         try:
-            jobs.index(spark, args.warehouse)
+            jobs.index(spark, args.warehouse, full=args.full)
         except ValueError as error:
             print(f"ERROR: {error}")
             return 1

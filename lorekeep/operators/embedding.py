@@ -52,6 +52,26 @@ def build_index(
     )
 
 
+def refresh_index(
+    eligible: DataFrame, previous: DataFrame, embedded_at: Column, embedder: Embedder = hashed_words, model: str = HASHED_MODEL
+) -> DataFrame:
+    """The same table as ``build_index``, from the one before: records whose text stands there under the same
+    model keep their vector and its time, new and changed ones are embedded, and records that are not
+    eligible any more are left out.  ``previous`` holds an id once, as every index does; texts are
+    compared by their SHA-256, so only ids and digests meet the vectors."""
+    rows = eligible.select("knowledge_id", "topic_id", "title", "summary")
+    if rows.isEmpty():
+        raise ValueError("no eligible knowledge to embed")
+    digest = F.sha2(F.coalesce("summary", F.lit("")), 256).alias("_digest")
+    known = previous.where(F.col("embedding_model") == model).select("knowledge_id", digest, "embedding", "embedding_model", "embedded_at")
+    keys = ["knowledge_id", "_digest"]
+    marked = rows.select("*", digest)
+    kept = marked.join(known, keys).drop("_digest")
+    fresh = marked.join(known.select(*keys), keys, "left_anti").drop("_digest")
+    made = embed(fresh, "summary", embedder).select("*", F.lit(model).alias("embedding_model"), embedded_at.alias("embedded_at"))
+    return kept.unionByName(made)
+
+
 def embed_queries(questions: DataFrame, embedder: Embedder = hashed_words) -> DataFrame:
     """``(query_id, question)`` -> the same with ``embedding``."""
     return embed(questions.select("query_id", "question"), "question", embedder)

@@ -56,11 +56,18 @@ def eligible(now: files.Snapshot) -> DataFrame:
     return now.read(ELIGIBLE, S.AGENT_ELIGIBLE)
 
 
-def index(spark: SparkSession, warehouse: str, embedder: Embedder = hashed_words, model: str = HASHED_MODEL) -> None:
-    """Re-embeds everything eligible, clusters the vectors and inverts the words, published together."""
+def index(
+    spark: SparkSession, warehouse: str, embedder: Embedder = hashed_words, model: str = HASHED_MODEL, full: bool = False,
+) -> None:
+    """Embeds what is eligible and new or changed, clusters the vectors and inverts the words, published together.
+    ``full`` embeds everything again."""
     now = files.snapshot(spark, warehouse)
-    current = eligible(now)
-    built = staged(embedding.build_index(current, F.lit(_now(spark)).cast("timestamp"), embedder, model), "embedded")
+    current, stamp = eligible(now), F.lit(_now(spark)).cast("timestamp")
+    if full or now.version("semantic/knowledge_embeddings") is None:
+        built = embedding.build_index(current, stamp, embedder, model)
+    else:
+        built = embedding.refresh_index(current, _embeddings(now), stamp, embedder, model)
+    built = staged(built, "embedded")
     words = inverted.build(current)
     words = inverted.InvertedIndex(words.stats.withColumn("built_from", F.lit(now.version(ELIGIBLE))), words.terms, words.postings, words.documents)
     files.publish(

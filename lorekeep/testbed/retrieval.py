@@ -449,6 +449,24 @@ def embed_corpus(c: Context) -> DataFrame:
     return index.withColumns({"width": F.size("embedding"), "unit": F.abs(length - 1) < 1e-9, "weighted": weighted}).drop("embedding")
 
 
+@query("embed_corpus_refresh", """
+    select knowledge_id, topic_id, title, summary, doc % 3 = 0 as fresh,
+      round(coalesce((select sum((slot + 1) * v) / nullif(sqrt(sum(v * v)), 0) from x_docs d where d.knowledge_id = e.knowledge_id), 0.0), 6) weighted
+    from (select *, cast(replace(knowledge_id, 'know_', '') as bigint) doc from v_eligible) e""")
+def embed_corpus_refresh(c: Context) -> DataFrame:
+    """An index over older texts, refreshed: every third record is new or has another text by now, and every
+    record in it that is not eligible goes."""
+    third = F.regexp_replace("knowledge_id", "^know_", "").cast("long") % 3 == 0
+    older = c.refresh.eligible.where(~third | (F.length("title") % 2 == 0)).withColumn(
+        "summary", F.when(third, F.concat(F.lit("before: "), "summary")).otherwise(F.col("summary")))
+    gone = older.where(third).withColumn("knowledge_id", F.concat(F.lit("gone_"), "knowledge_id"))
+    before = staged(embedding.build_index(older.union(gone), F.lit("2025-06-01 00:00:00").cast("timestamp")), "before")
+    index = embedding.refresh_index(c.refresh.eligible, before, F.lit(_STAMP).cast("timestamp"))
+    weighted = F.round(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6)
+    fresh = F.col("embedded_at") == F.lit(_STAMP).cast("timestamp")
+    return index.select("knowledge_id", "topic_id", "title", "summary", fresh.alias("fresh"), weighted.alias("weighted"))
+
+
 @query("chunk_text", "select knowledge_id chunk_id, knowledge_id, summary from v_eligible")
 def chunk_text(c: Context) -> DataFrame:
     """One record is one chunk."""
