@@ -21,7 +21,7 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = queries.all_queries()
-    assert {n.split("_")[0] for n in names} == {"pipeline", *[f"op{i}" for i in range(1, 11)]}
+    assert {n.split("_")[0] for n in names} == {"pipeline", *[f"op{i}" for i in range(1, 14)]}
 
 
 @pytest.fixture(scope="module")
