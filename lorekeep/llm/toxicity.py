@@ -2,9 +2,10 @@
 
 Features are words and word beginnings, each by its presence and by its rate per hundred words.  From
 a bounded sample of labelled documents, Spark counts every feature by class; the ``FEATURES`` most
-telling ones make the model.  It is a logistic regression with one more penalty: in every labelled
-text that names a group, the identity terms of its sentences are swapped for others of the same kind,
-and the squared change of the score is charged.  So the score cannot lean on who is mentioned.
+telling ones make the model.  It is a logistic regression with one more penalty: every sentence of a labelled
+text that names a group is set beside copies of itself in which the identity terms are swapped for each of
+the others of their kind, and the mean squared change of the score is charged.  So the score cannot lean
+on who is mentioned.
 
 The sample, its features and the weights are bounded by parameters; every document is scored in one
 scan, a batch at a time.
@@ -15,9 +16,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +55,10 @@ IDENTITY_TERMS = (
     ("muslime", "christen", "juden"), ("frauen", "männer"),
     ("musulmanes", "cristianos", "judíos"), ("mujeres", "hombres"),
 )
-SWAPS = {t: group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i, t in enumerate(group)}
+KINDS = {t: (group, i) for group in IDENTITY_TERMS for i, t in enumerate(group)}
 
 _WORD = re.compile(r"\w+")
+_SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
 def tokens(text: str) -> list[str]:
@@ -72,14 +76,26 @@ def features(words: Counter) -> Counter:
     return found
 
 
-def swapped(words: Counter) -> Counter | None:
-    """The words with every identity term replaced; None if there is none."""
-    if not any(w in SWAPS for w in words):
-        return None
-    out: Counter = Counter()
-    for word, n in words.items():
-        out[SWAPS.get(word, word)] += n
-    return out
+def swapped(words: list[str]) -> list[list[str]]:
+    """The copies of a sentence in which every identity term gives way to the next, second next, ... of its
+    kind; as many as the largest kind named has other terms, none if no group is named."""
+    others = max((len(KINDS[w][0]) - 1 for w in words if w in KINDS), default=0)
+
+    def other(word: str, step: int) -> str:
+        if word not in KINDS:
+            return word
+        group, i = KINDS[word]
+        return group[(i + step) % len(group)]
+
+    return [[other(w, step) for w in words] for step in range(1, others + 1)]
+
+
+def counterfactuals(text: str) -> Iterator[tuple[Counter, Counter]]:
+    """The words of every sentence that names a group, with those of each of its swapped copies."""
+    for sentence in _SENTENCE_END.split(text):
+        words = tokens(sentence)
+        for copy in swapped(words):
+            yield Counter(words), Counter(copy)
 
 
 class Model:
@@ -141,52 +157,88 @@ def fit(sample: DataFrame) -> Model:
     model = Model(chosen_features(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text; and, without a label, one per sentence and swapped copy that differ for the model."""
+        kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64())]
         for batch in batches:
             rows = []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = Counter(tokens(text))
-                other = swapped(words)
-                rows.append((label, *model.sparse(words), *(model.sparse(other) if other else ([], [])), other is not None))
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["label", "at", "x", "at2", "x2", "swapped"])
+                rows.append((label, *model.sparse(Counter(tokens(text))), [], []))
+                for words, other in counterfactuals(text):
+                    here, there = model.sparse(words), model.sparse(other)
+                    rows.append((None, *here, *there))
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["label", "at", "x", "at2", "x2"])
 
     rows = sample.orderBy("doc_id").select("label", "text").mapInArrow(
-        run, "label int, at array<int>, x array<double>, at2 array<int>, x2 array<double>, swapped boolean").toArrow()
-    y = rows["label"].to_numpy().astype(float)
+        run, "label int, at array<int>, x array<double>, at2 array<int>, x2 array<double>").toArrow()
+    labelled = rows.filter(pc.is_valid(rows["label"]))
+    y = labelled["label"].to_numpy().astype(float)
     if not len(y):
         return model
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     model.base = float(np.log(share / (1 - share)))
     if not model.index or y.min() == y.max():
         return model
-
-    def flat(at: str, x: str):
-        lists = rows[at].combine_chunks()
-        owner = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-        return owner, lists.flatten().to_numpy(), rows[x].combine_chunks().flatten().to_numpy()
-
-    (o, a, v), (o2, a2, v2) = flat("at", "x"), flat("at2", "x2")
-    pairs = rows["swapped"].to_numpy(zero_copy_only=False).astype(float)
-    w, base, size = model.weights, model.base, len(model.weights)
-    # Toxic texts are few: both classes weigh the same.
-    importance = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    m, s, mb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    pairs = rows.filter(pc.is_null(rows["label"]))
+    objective = Objective(y, Sparse.of(labelled, "at", "x"), Sparse.of(pairs, "at", "x"), Sparse.of(pairs, "at2", "x2"), len(model.weights))
+    w, base = model.weights, model.base
+    m, s, mb, sb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
-        z = base + np.bincount(o, w[a] * v, len(y))
-        error = importance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.bincount(a, error[o] * v, size) + RIDGE * w
-        if pairs.any():
-            change = pairs * (np.bincount(o, w[a] * v, len(y)) - np.bincount(o2, w[a2] * v2, len(y))) * (2 * COUNTERFACTUAL / pairs.sum())
-            grad += np.bincount(a, change[o] * v, size) - np.bincount(a2, change[o2] * v2, size)
+        grad, slope = objective.gradient(w, base)
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
-        mb, sb = 0.9 * mb + 0.1 * error.sum(), 0.99 * sb + 0.01 * error.sum() ** 2
+        mb, sb = 0.9 * mb + 0.1 * slope, 0.99 * sb + 0.01 * slope ** 2
         w = w - 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.99 ** t)) + 1e-8)
         base -= 0.05 * (mb / (1 - 0.9 ** t)) / (np.sqrt(sb / (1 - 0.99 ** t)) + 1e-8)
     model.weights, model.base = w, float(base)
     return model
 
 
+class Sparse(NamedTuple):
+    """Rows of a sparse matrix: the row, column and value of every entry, and the number of rows."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    rows: int
+
+    @classmethod
+    def of(cls, table_: pa.Table, at: str, x: str) -> Sparse:
+        lists = table_[at].combine_chunks()
+        sizes = np.asarray(pc.list_value_length(lists))
+        return cls(np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(), table_[x].combine_chunks().flatten().to_numpy(), len(sizes))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column] * self.value, self.rows)
+
+    def back(self, by_row: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.column, by_row[self.row] * self.value, size)
+
+
+class Objective:
+    """Class-balanced logistic loss, ridge, and ``COUNTERFACTUAL`` times the mean squared change of the
+    score between sentences and their swapped copies."""
+
+    def __init__(self, y: np.ndarray, texts: Sparse, sentences: Sparse, copies: Sparse, size: int):
+        self.y, self.texts, self.sentences, self.copies, self.size = y, texts, sentences, copies, size
+        # Toxic texts are few: both classes weigh the same.
+        self.importance = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+
+    def loss(self, w: np.ndarray, base: float) -> float:
+        z = base + self.texts.times(w)
+        fit_ = float((self.importance * (np.logaddexp(0, z) - self.y * z)).sum())
+        change = self.sentences.times(w) - self.copies.times(w)
+        return fit_ + 0.5 * RIDGE * float(w @ w) + (COUNTERFACTUAL * float(change @ change) / len(change) if len(change) else 0.0)
+
+    def gradient(self, w: np.ndarray, base: float) -> tuple[np.ndarray, float]:
+        z = base + self.texts.times(w)
+        error = self.importance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.y)
+        grad = self.texts.back(error, self.size) + RIDGE * w
+        if self.sentences.rows:
+            change = (self.sentences.times(w) - self.copies.times(w)) * (2 * COUNTERFACTUAL / self.sentences.rows)
+            grad += self.sentences.back(change, self.size) - self.copies.back(change, self.size)
+        return grad, float(error.sum())
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score`` for every row; a null, empty or blank text scores the model's base rate.
     Repeated rows are scored each, a null id stays null, an empty table gives no rows."""
