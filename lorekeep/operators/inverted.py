@@ -12,8 +12,9 @@ corpus and without a question on the driver:
    score that its k-th row reaches at least.
 2. Terms too weak to lift a document over that score, all together, are left out, and so is every block of
    the other terms that could not do so even if its documents had all other terms at their best.
-3. The rest of the postings add up by (question, document).  A document whose sum, with the most that the
-   left out could add, stays below the score goes; the others are scored exactly from their own terms.
+3. The rest of the postings add up by (question, document).  The k-th of these sums may lift the score.  A
+   document whose sum, with the most that the left out could add, stays below it goes; the others are scored
+   exactly, from their own terms or, where that would read more, from all postings of the asked terms.
 
 Nothing can be lost: a document below the bounds has ``k`` better ones.  All steps are joins and
 aggregates, so questions and candidates are dealt over the cluster.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.joins import attach, heavy_keys, sized_join
 from lorekeep.operators.lexical import B, EPSILON, K1, plain_idf, question_terms, tokenized
-from lorekeep.operators.topk import DECIMALS, best_per_question
+from lorekeep.operators.topk import DECIMALS, ranked
 from lorekeep.session import staged
 
 BLOCK = 128  # documents of one posting block
@@ -43,7 +44,7 @@ PARTITIONED = {"lexical_postings": ["bucket"]}
 
 @dataclass(frozen=True)
 class InvertedIndex:
-    """``stats``: one row (documents, mean_length, mean_idf, buckets).  ``terms``: (term, key, df, top).  ``postings``:
+    """``stats``: one row (documents, mean_length, mean_idf, buckets, postings).  ``terms``: (term, key, df, top).  ``postings``:
     (bucket, key, top, docs, impacts), a block a row.  ``documents``: (doc, knowledge_id, keys, impacts)."""
 
     stats: DataFrame
@@ -68,7 +69,9 @@ def build(corpus: DataFrame, buckets: int = BUCKETS) -> InvertedIndex:
 
     Terms in very many documents are dealt over slices, each with blocks of its own, so no term is one
     task; the list of such terms is bounded (``joins.heavy_keys``)."""
-    docs = staged(tokenized(corpus).withColumn("doc", F.monotonically_increasing_id()), "tokens")
+    # Documents are numbered in the order of their ids, so ties need no id.
+    ordered = tokenized(corpus).repartitionByRange("knowledge_id").sortWithinPartitions("knowledge_id")
+    docs = staged(ordered.withColumn("doc", F.monotonically_increasing_id()), "tokens")
     documents, length = docs.agg(F.count(F.lit(1)), F.sum(F.size("tokens"))).first()
     mean = (length or 0) / (documents or 1)
     found = docs.select("doc", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
@@ -79,10 +82,10 @@ def build(corpus: DataFrame, buckets: int = BUCKETS) -> InvertedIndex:
     if terms.where("term <> other").limit(1).count():
         raise RuntimeError("two terms have one 64-bit key; change the seed of the hash")
     terms = terms.drop("other")
-    mean_idf = terms.agg(F.avg(plain_idf(documents))).first()[0] if documents else None
+    mean_idf, postings_ = terms.agg(F.avg(plain_idf(documents)), F.coalesce(F.sum("df"), F.lit(0))).first() if documents else (None, 0)
     stats = docs.sparkSession.range(1).select(
         F.lit(documents).cast("long").alias("documents"), F.lit(float(mean)).alias("mean_length"), F.lit(float(mean_idf or 0.0)).alias("mean_idf"),
-        F.lit(buckets).alias("buckets"))
+        F.lit(buckets).alias("buckets"), F.lit(postings_).cast("long").alias("postings"))
 
     heavy = F.broadcast(heavy_keys(terms.select("key", F.col("df").alias("_rows")), "key"))
     sliced = found.drop("term").join(heavy, "key", "left").withColumn("slice", F.pmod(F.xxhash64("doc"), F.coalesce("_salts", F.lit(1))))
@@ -118,17 +121,17 @@ def bm25_top(questions: DataFrame, index: InvertedIndex, fetch_n: int = 10) -> D
 
     A repeated question id is one question, the first by its words.  Raises for an index whose
     ``bounds_hold`` is false."""
-    if not bounds_hold(index):
+    stats = index.stats.first()
+    if stats["mean_idf"] <= 0:
         raise ValueError("a term of this corpus lowers scores: use lexical.bm25_top")
     asked = question_terms(questions).groupBy("query_id").agg(F.min("tokens").alias("tokens"))
     asked = staged(asked, "asked")
     words = asked.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").count()
     weights = sized_join(words, term_weights(index), "term", "inner", ["query_id"])
     # A term in exactly half of the documents has no weight, and is as good as not asked.
-    weights = weights.select("query_id", "key", "top", (F.col("count") * F.col("idf")).alias("w")).where("w > 0")
+    weights = weights.select("query_id", "key", "df", "top", (F.col("count") * F.col("idf")).alias("w")).where("w > 0")
     weights = staged(weights.withColumn("most", F.col("w") * F.col("top")), "weights")
-    number = index.stats.first()["buckets"]
-    wanted = [r[0] for r in weights.select(_bucket("key", number)).distinct().collect()]  # folders to read, not terms
+    wanted = [r[0] for r in weights.select(_bucket("key", stats["buckets"])).distinct().collect()]  # folders to read, not terms
     postings = index.postings.where(F.col("bucket").isin(wanted))
 
     by_worth = Window.partitionBy("query_id").orderBy(F.desc("most"), "key")
@@ -152,21 +155,39 @@ def bm25_top(questions: DataFrame, index: InvertedIndex, fetch_n: int = 10) -> D
     hits = plan.join(postings.select("key", F.col("top").alias("block_top"), "docs", "impacts"), "key")
     hits = hits.where(F.col("w") * F.col("block_top") + F.col("others") >= F.col("floor"))
     hits = hits.select("query_id", "w", "unseen", "spare", "floor", F.explode(F.arrays_zip("docs", "impacts")).alias("p"))
-    sums = hits.groupBy("query_id", F.col("p.docs").alias("doc")).agg(
-        F.sum(F.col("w") * F.col("p.impacts") - F.col("unseen")).alias("seen"), F.min("spare").alias("spare"), F.min("floor").alias("floor"))
-    able = sums.where(F.col("seen") + F.col("spare") >= F.col("floor")).select("query_id", "doc")
-    found = able.join(begun.select("query_id", "doc"), ["query_id", "doc"], "left_anti")
-    scored = staged(_exact(found, weights, index).union(begun).where("score > 0").select("query_id", "knowledge_id", "score"), "scored")
-    return best_per_question(_filled(scored, asked, index, fetch_n), fetch_n)
+    contribution = F.col("w") * F.col("p.impacts")
+    sums = staged(hits.groupBy("query_id", F.col("p.docs").alias("doc")).agg(
+        F.sum(contribution).alias("seen"), F.sum(contribution - F.col("unseen")).alias("bare"), F.min("spare").alias("spare"), F.min("floor").alias("floor")), "sums")
+    # What a document has shown is a score it reaches at least; the k-th of these lifts the floor.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("seen")))
+    shown = sums.select("query_id", "seen").withColumn("place", place).where(F.col("place") == fetch_n).select("query_id", F.col("seen").alias("least"))
+    able = sums.join(shown, "query_id", "left").where(
+        F.col("bare") + F.col("spare") >= F.greatest("floor", F.coalesce("least", F.lit(0.0)) - SLACK)).select("query_id", "doc")
+    found = staged(able.join(begun.select("query_id", "doc"), ["query_id", "doc"], "left_anti"), "able")
+    # Few documents are cheaper to score from their own terms, many from the postings of all asked terms.
+    postings_read = weights.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    own_terms = found.count() * stats["postings"] / max(1, stats["documents"])
+    exact = _exact(found, weights, index) if own_terms < postings_read else _from_postings(found, weights, postings)
+    scored = staged(exact.union(begun).where("score > 0"), "scored")
+    best = ranked(_filled(scored, asked, index, fetch_n), ["query_id"], [F.desc("score"), F.asc("doc")], fetch_n)
+    return best.join(index.documents.select("doc", "knowledge_id"), "doc").select("query_id", "knowledge_id", "score", "rank")
 
 
 def _exact(found: DataFrame, weights: DataFrame, index: InvertedIndex) -> DataFrame:
-    """``query_id, doc, knowledge_id, score`` of pairs ``query_id, doc``, from the documents' own terms."""
+    """``query_id, doc, score`` of pairs ``query_id, doc``, from the documents' own terms."""
     lists = weights.groupBy("query_id").agg(F.collect_list(F.struct("key", "w")).alias("asked"))
-    rows = attach(found, index.documents, "doc", ["query_id"]).join(lists, "query_id")
+    rows = attach(found, index.documents.select("doc", "keys", "impacts"), "doc", ["query_id"]).join(lists, "query_id")
     share = lambda a: a["w"] * F.coalesce(F.get(F.col("impacts"), F.array_position(F.col("keys"), a["key"]).cast("int") - 1), F.lit(0.0))
     score = F.aggregate("asked", F.lit(0.0), lambda acc, a: acc + share(a))
-    return rows.select("query_id", "doc", "knowledge_id", F.round(score, DECIMALS).alias("score"))
+    return rows.select("query_id", "doc", F.round(score, DECIMALS).alias("score"))
+
+
+def _from_postings(found: DataFrame, weights: DataFrame, postings: DataFrame) -> DataFrame:
+    """The same rows as ``_exact``, added up over all postings of the asked terms."""
+    hits = weights.select("query_id", "key", "w").join(postings.select("key", "docs", "impacts"), "key").select(
+        "query_id", "w", F.explode(F.arrays_zip("docs", "impacts")).alias("p"))
+    sums = hits.groupBy("query_id", F.col("p.docs").alias("doc")).agg(F.round(F.sum(F.col("w") * F.col("p.impacts")), DECIMALS).alias("score"))
+    return sums.join(found, ["query_id", "doc"], "left_semi").select("query_id", "doc", "score")
 
 
 def _filled(scored: DataFrame, asked: DataFrame, index: InvertedIndex, k: int) -> DataFrame:
@@ -175,7 +196,7 @@ def _filled(scored: DataFrame, asked: DataFrame, index: InvertedIndex, k: int) -
     short = staged(asked.select("query_id").join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id"), "short")
     if not short.limit(1).count():
         return scored
-    # Fewer than k are above zero, so k others are among the first 2k ids.
-    ids = [r[0] for r in index.documents.select("knowledge_id").orderBy("knowledge_id").limit(2 * k).collect()]
-    fill = short.select("query_id", F.explode(F.array(*[F.lit(i) for i in ids]).cast("array<string>")).alias("knowledge_id"), F.lit(0.0).alias("score"))
-    return scored.union(fill.join(scored, ["query_id", "knowledge_id"], "left_anti"))
+    # Fewer than k are above zero, so k others are among the first 2k documents.
+    first = [r[0] for r in index.documents.select("doc").orderBy("doc").limit(2 * k).collect()]
+    fill = short.select("query_id", F.explode(F.array(*[F.lit(i) for i in first]).cast("array<long>")).alias("doc"), F.lit(0.0).alias("score"))
+    return scored.union(fill.join(scored, ["query_id", "doc"], "left_anti"))
