@@ -216,13 +216,13 @@ def join_query_vector(c: Context) -> DataFrame:
 
 @query("topk_lexical", _LEXICAL)
 def topk_lexical(c: Context) -> DataFrame:
-    return _out(inverted.bm25_top(c.questions, c.lexical_index))
+    return _out(lexical.bm25_top(c.questions, c.refresh.eligible))
 
 
-@query("topk_lexical_scan", _LEXICAL)
-def topk_lexical_scan(c: Context) -> DataFrame:
-    """The same rows without an index."""
-    return _out(lexical.bm25_top(c.questions, c.refresh.eligible))
+@query("topk_lexical_index", _LEXICAL)
+def topk_lexical_index(c: Context) -> DataFrame:
+    """The same rows from the stored postings."""
+    return _out(inverted.bm25_top(c.questions, c.lexical_index))
 
 
 @query("lexical_search", """
@@ -247,7 +247,7 @@ def agg_bm25_stats(c: Context) -> DataFrame:
 # ---- merge, re-check, search -------------------------------------------------------------------
 
 def _lists(c: Context) -> list[DataFrame]:
-    return hybrid.candidate_lists(c.questions, c.embeddings, c.refresh.eligible, words=c.lexical_index)
+    return hybrid.candidate_lists(c.questions, c.embeddings, c.refresh.eligible)
 
 
 _MERGED = "select query_id, knowledge_id, round(semantic_score, 6) semantic_score, round(lexical_score, 6) lexical_score, round(hybrid_score, 6) hybrid_score, rank from h_ranked"
@@ -296,10 +296,20 @@ def topk_overfetch(c: Context) -> DataFrame:
 def search_knowledge(c: Context) -> DataFrame:
     eligible = c.refresh.eligible
     return _rounded(hybrid.search(
-        c.questions, files.embedding_corpus(c.embeddings), files.lexical_corpus(eligible), eligible, words=c.lexical_index
+        c.questions, files.embedding_corpus(c.embeddings), files.lexical_corpus(eligible), eligible
     ))
 
 
+@query("search_knowledge_index", """
+    select query_id, rank, knowledge_id, round(hybrid_score, 6) hybrid_score from h_search""")
+def search_knowledge_index(c: Context) -> DataFrame:
+    """The same answers from the stored indexes of words and vectors."""
+    eligible = c.refresh.eligible
+    found = hybrid.search(c.questions, files.embedding_corpus(c.embeddings), files.lexical_corpus(eligible), eligible,
+                          words=c.lexical_index, vectors=c.vector_index)
+    return found.select("query_id", "rank", "knowledge_id", F.round("hybrid_score", 6).alias("hybrid_score"))
+
+
 @query("drift_report", """
     select knowledge_id, topic_id from b_embeddings where knowledge_id not in (select knowledge_id from v_eligible)""")
 def drift_report(c: Context) -> DataFrame:
