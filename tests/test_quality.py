@@ -1,6 +1,7 @@
 """Rules, duplicates, enrichment and the whole refresh on hand-made rows."""
 
 import json
+import time
 from datetime import date
 
 import pytest
@@ -140,6 +141,26 @@ def test_dates_and_numbers(spark):
     assert [r[0] is not None for r in stamps.select(iso_timestamp(F.col("t"))).collect()] == [True, True, False, False]
 
 
+def test_plain_timestamps_are_cast_as_they_would_be_taken_apart(spark):
+    texts = [f"{day}T{clock}{zone}" for day in ("2026-01-02", "2026-02-30", "0000-01-01", "9999-12-31") for zone in ("", "Z")
+             for clock in ("03:04:05", "23:59:59.9", "03:04:05.123456", "24:00:00", "23:59:60", "03:60:00")]
+    texts += ["2026-01-02 03:04:05\n", "2026-01-02 03:04:05.1234567", "2026-01-02 03:04:05 "]
+    df = spark.createDataFrame([(t, t[:10] + "_" + t[11:]) for t in texts], "plain string, apart string")  # any separator may stand there
+    got = df.select(iso_timestamp(F.col("plain")).alias("p"), iso_timestamp(F.col("apart")).alias("a")).collect()
+    assert [r["p"] for r in got] == [r["a"] for r in got] and sum(r["p"] is not None for r in got) >= 12
+
+
+def test_plain_timestamps_are_not_taken_apart(spark):
+    def seconds(separator):
+        text = F.concat(F.lit(f"2026-01-02{separator}03:04:05."), F.lpad(F.col("id").cast("string"), 6, "0"))
+        begun = time.monotonic()
+        spark.range(0, 40_000, 1, 4).select(iso_timestamp(text).alias("t")).agg(F.count("t")).collect()
+        return time.monotonic() - begun
+
+    seconds("T")
+    assert 2 * seconds("T") < seconds("_")
+
+
 def test_native_dates_are_accepted(spark):
     row = knowledge(spark, KNOWLEDGE).withColumn("published_date", F.col("published_date").cast("date"))
     assert curate.check_knowledge(row, topics(spark, TOPIC), sources(spark, SOURCE)).first()["reason"] is None
