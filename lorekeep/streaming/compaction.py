@@ -87,6 +87,13 @@ class EventLog:
         return rows.unionByName(self.spark.read.schema(schema).parquet(*paths)) if paths else rows
 
 
+def _near(day: date) -> Column:
+    """The folders of a batch that may hold events of ``day``, so that a day does not read all others.  They are
+    named in the zone of the session that wrote them, which is less than two days off any other."""
+    first, last = max(day.toordinal() - 2, 1), min(day.toordinal() + 2, date.max.toordinal())
+    return F.col("event_date").between(F.lit(date.fromordinal(first)), F.lit(date.fromordinal(last)))
+
+
 def compact(now: files.Snapshot) -> dict[str, int]:
     """Folds all closed batches; returns how many were folded and how many folders of earlier ones went."""
     log, spark, base = EventLog(now), now.spark, now.base
@@ -105,10 +112,10 @@ def compact(now: files.Snapshot) -> dict[str, int]:
     for table, prefix, schema, day in (
         (FACT, EVENT_DAYS, S.FACT_EVENT, F.to_date("occurred_at")), (QUARANTINE, QUARANTINE_DAYS, S.QUARANTINED_EVENT, F.to_date("quarantined_at")),
     ):
-        rows = log.batch_rows(table, schema, closed).withColumn("_day", day)
-        for (d,) in rows.select("_day").distinct().collect():  # as many rows as the closed batches have days
+        days = log.batch_rows(table, schema, closed).select(day.alias("_day")).distinct()
+        for (d,) in days.collect():  # as many rows as the closed batches have days
             name = f"{prefix}/{d.isoformat()}"
-            fresh = rows.where(F.col("_day") == F.lit(d)).drop("_day")
+            fresh = log.batch_rows(table, schema, closed, _near(d) if table == FACT else None).where(day == F.lit(d))
             tables[name] = now.read(name, schema).unionByName(fresh) if now.version(name) else fresh
     metrics = now.read(FOLDED_METRICS, S.EVENT_METRICS, or_empty=True).unionByName(log.batch_rows(METRICS, S.EVENT_METRICS, closed))
     covered = log.covered | {feed: numbers[-1] for feed, numbers in closed.items()}

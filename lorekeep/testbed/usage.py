@@ -200,8 +200,9 @@ def _folded(c: Context) -> compaction.EventLog:
     """The event stream in several batches, all but the last folded into days."""
     base = c.scratch("events_lake")
     messages = _payloads(bindings.run_sql(c.spark, bindings.VIEWS["b_events"], {"events": c.table("events")}))
-    messages.repartition(6).write.parquet(f"{base}/in")
-    arriving = c.spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    cores = max(2, c.spark.sparkContext.defaultParallelism)  # three batches, each of as many files as there are parsers
+    messages.repartition(3 * cores).write.parquet(f"{base}/in")
+    arriving = c.spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", cores).parquet(f"{base}/in")
     events.start(arriving, f"{base}/{compaction.FACT}", f"{base}/{compaction.QUARANTINE}", f"{base}/checkpoint", True,
                  f"{base}/{compaction.METRICS}").awaitTermination()
     compaction.compact(files.snapshot(c.spark, base))

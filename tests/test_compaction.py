@@ -157,3 +157,15 @@ def test_analytics_job_reads_no_event(spark, lake, monkeypatch):
     assert overall["total_questions_asked"] == want["total_questions_asked", None]
     fresh = {r["table"]: r["age_seconds"] for r in jobs.report(spark, lake.base, "freshness")["freshness"].collect()}
     assert fresh["fact_event"] > 0 and fresh["knowledge_embeddings"] is None
+
+
+def test_a_day_is_folded_from_the_folders_around_it(spark, lake):
+    lake.arrive(0, 1, 2)
+    log = lake.log()
+    closed = log.open_batches(compaction.FACT)
+    rows = log.batch_rows(compaction.FACT, S.FACT_EVENT, closed, compaction._near(date(2026, 1, 1)))
+    days = {str(r[0]) for r in rows.select(F.to_date("occurred_at")).distinct().collect()}
+    assert days == {"2026-01-01", "2026-01-02"}
+    assert "PartitionFilters: [isnotnull(event_date" in rows._jdf.queryExecution().executedPlan().toString()
+    compaction.compact(log.now)
+    assert lake.ids() == expected(0, 1, 2)
