@@ -295,7 +295,12 @@ class NearDuplicates:
         return self.labels.select(F.col("node").alias(node), F.col("label").alias(label))
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        return members.join(self.label_of("row", "label"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        """``members`` with the ``label`` of their row.  A text meets its label once, with a list of all its
+        places: at most one for each sketch and each rare shingle of a short text."""
+        rest = [c for c in members.columns if c != "row"]
+        texts = members.groupBy("row").agg(F.collect_list(F.struct(*rest)).alias("places"))
+        met = texts.join(self.label_of("row", "label"), "row", "left")
+        return met.select("row", F.coalesce("label", "row").alias("label"), F.explode("places").alias("p")).select("row", "p.*", "label")
 
     def settle(self, members: DataFrame, centres: DataFrame) -> None:
         """Compares members outside the component of their centre with all of other components,

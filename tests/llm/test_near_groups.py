@@ -42,3 +42,13 @@ def test_groups_of_near_copies(spark, documents, monkeypatch, changed):
     got = {r["id"]: r["class_id"] for r in nd.near_classes(documents(list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(len(texts))] == classes_by_hand(texts)
     assert sum(links) <= 2 * len(texts)
+
+
+def test_a_text_meets_its_label_once(spark, documents):
+    near = nd.NearDuplicates(documents([(0, "a b c d e f"), (1, "a b c d e g")]))
+    near.labels = spark.createDataFrame([(1, 0)], "node long, label long")
+    members = spark.createDataFrame([(b, r, 2) for b in range(40) for r in (0, 1, 2)], "bucket long, row long, weight long")
+    got = near.labelled(members)
+    assert sorted(map(tuple, got.select("bucket", "row", "weight", "label").collect())) == sorted((b, r, 2, 0 if r == 1 else r) for b in range(40) for r in (0, 1, 2))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter") < plan.index("Aggregate [row")
