@@ -89,3 +89,17 @@ def test_exact_copies_are_spread_too(spark, parent, monkeypatch):
         assert joins.keep_matching(copies, parent, "k").count() == 6000
     finally:
         spark.conf.set(key, "true")
+
+
+def test_a_large_parent_is_cut_to_what_is_referred_to(spark, big):
+    parent = spark.range(20000).select(F.concat(F.lit("unused"), F.col("id").cast("string")).alias("k"), F.col("id").cast("int").alias("v"))
+    parent = parent.union(spark.createDataFrame([("hot", -1), *[(str(i), i) for i in range(40)]], "k string, v int"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000b")
+    try:
+        for how in ("left", "inner"):
+            joined = joins.sized_join(big, parent, "k", how, ["row"])
+            plan = joined._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # the big side stays where it is
+            assert rows(joined) == rows(big.join(parent, "k", how))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760b")
