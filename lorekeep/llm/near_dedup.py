@@ -217,7 +217,7 @@ class NearDuplicates:
         rest = self.outside(members, centres)
         if rest.limit(1).count():
             opened = staged(members.join(rest.select("bucket").distinct(), "bucket").select("bucket", "row", "weight"), "opened")
-            self.settle(self.reach(self.hopeful(opened)), centres)
+            self.settle(self.reach(self.hopeful(opened)), centres, rest)
 
     def approach(self, stars: DataFrame) -> None:
         """Compares texts with the centres of their buckets (``row, centre, centre_weight``): with the
@@ -302,24 +302,29 @@ class NearDuplicates:
         met = texts.join(self.label_of("row", "label"), "row", "left")
         return met.select("row", F.coalesce("label", "row").alias("label"), F.explode("places").alias("p")).select("row", "p.*", "label")
 
-    def settle(self, members: DataFrame, centres: DataFrame) -> None:
-        """Compares members outside the component of their centre with all of other components,
-        more of them per bucket in each round, until every one has had its turn."""
-        tried, turn = centres.select("bucket", F.col("centre").alias("row")), FIRST_CENTRES
+    def settle(self, members: DataFrame, centres: DataFrame, rest: DataFrame) -> None:
+        """Compares members outside the component of their centre (``rest``) with all of other components,
+        more of them per bucket in each round, until every one has had its turn.
+
+        One that has had its turn, or has come into the centre's component, never looks again, and a bucket
+        without a turn is not read again: neither comes back."""
+        turn = FIRST_CENTRES
+        rest = members.join(rest.select("bucket", "row"), ["bucket", "row"], "left_semi")
         while True:
-            rest = self.outside(members, centres).join(tried, ["bucket", "row"], "left_anti")
             # Of a component few members at first: where one finds a partner, the others need not look.
             first = F.row_number().over(W.partitionBy("bucket", "label").orderBy(F.desc("weight"), "row"))
             place = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("weight"), "row"))
+            rest = self.outside(rest, centres)
             now = rest.withColumn("first", first).where(F.col("first") <= max(1, turn // FIRST_CENTRES)).withColumn("place", place).where(F.col("place") <= turn)
             now = staged(now.select("bucket", "row", "label", "n", "most", "pivot", "reach", "plain"), "turn")
             if not now.limit(1).count():
                 return
-            others = self.labelled(members).select("bucket", F.col("row").alias("y"), F.col("label").alias("there"), *[F.col(c).alias(f"{c}_y") for c in ("n", "most", "pivot", "reach", "plain")])
+            there = self.labelled(members.join(now.select("bucket").distinct(), "bucket", "left_semi")).select(
+                "bucket", F.col("row").alias("y"), F.col("label").alias("there"), *[F.col(c).alias(f"{c}_y") for c in ("n", "most", "pivot", "reach", "plain")])
             able = "label <> there and n_y <= most and n <= most_y and (pivot <> pivot_y or (plain and plain_y) or (n_y <= reach and n <= reach_y))"
-            pairs = now.join(others, "bucket").where(able).select(F.col("row").alias("x"), "y")
+            pairs = now.join(there, "bucket").where(able).select(F.col("row").alias("x"), "y")
             self.verify(pairs)
-            tried = tried.union(now.select("bucket", "row"))
+            rest = rest.drop("label").join(now.select("bucket", "row"), ["bucket", "row"], "left_anti")
             turn *= 2
 
     def verify(self, pairs: DataFrame) -> None:

@@ -52,3 +52,15 @@ def test_a_text_meets_its_label_once(spark, documents):
     assert sorted(map(tuple, got.select("bucket", "row", "weight", "label").collect())) == sorted((b, r, 2, 0 if r == 1 else r) for b in range(40) for r in (0, 1, 2))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Join LeftOuter") < plan.index("Aggregate [row")
+
+
+def test_rounds_do_not_read_all_members_again(spark, documents, monkeypatch):
+    monkeypatch.setattr(nd, "FIRST_CENTRES", 2)
+    near, read = nd.NearDuplicates(documents(list(enumerate(near_copies(60, 3) + near_copies(60, 2, seed=5))))), []
+    known = near.labelled
+    monkeypatch.setattr(near, "labelled", lambda rows: read.append((rows.columns, rows.count())) or known(rows))
+    texts = near_copies(60, 3) + near_copies(60, 2, seed=5)
+    got = {r["id"]: r["class_id"] for r in near.classes().collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_hand(texts)
+    rounds = [n for columns, n in read if "reach" in columns]
+    assert len(rounds) > 2 and sum(rounds) < 100  # every round used to read all 223 memberships
