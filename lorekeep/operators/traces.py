@@ -57,7 +57,10 @@ def source_cards(
     last_reviewed_date)``; a source that is gone gives an empty url.  ``shown`` may give ``shown_records``."""
     records = catalog.select("knowledge_id", "source_id", "title", "source_name", "last_reviewed_date")
     urls = sources.select("source_id", "url")
-    cards = sized_join(_shown(ids, records, limit) if shown is None else shown, urls, "source_id", "left", ["trace_id", "pos"])
+    if shown is None:  # records meet their sources once, not once per card
+        cards = _shown(ids, sized_join(records, urls, "source_id", "left", ["knowledge_id"]), limit)
+    else:
+        cards = sized_join(shown, urls, "source_id", "left", ["trace_id", "pos"])
     return cards.select(
         "trace_id", F.col("pos").cast("long").alias("pos"), "knowledge_id", "title",
         F.coalesce("source_name", F.lit("")).alias("source_name"),
