@@ -39,3 +39,15 @@ def test_texts_without_a_vector_do_not_move(spark, tmp_path, either_join):
     assert sorted(r["knowledge_id"] for r in found.collect()) == ["know_399", "know_5", "know_6", "know_6"]
     semi = "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
     assert semi == (either_join != "-1")
+
+
+def test_both_deliveries_read_the_texts_once(spark, tmp_path, either_join):
+    folder = tables(spark, tmp_path, 2)
+    more = [(3, 0, 1), (3, 0, 1), (4, 0, 1), (5, 0, None), (6, None, 1), (7, 1, 1), (None, 0, 1)]
+    spark.createDataFrame(more, "doc_id long, quality int, toxic int").write.mode("append").parquet(f"{folder}/labels.parquet")
+    found = bindings.bind(spark, folder, "b_knowledge")
+    text = bindings.with_clause("b_knowledge") + "select * from b_knowledge"
+    stated = bindings.run_sql(spark, text, {name: bindings.table(spark, folder, name) for name in ("documents", "labels")})
+    assert found.schema.simpleString() == stated.schema.simpleString()
+    assert sorted(map(str, found.collect())) == sorted(map(str, stated.collect())) and found.where("content_version = '9'").count() == 3
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2  # documents and labels, once each
