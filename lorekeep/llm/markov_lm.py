@@ -12,6 +12,7 @@ training document: tasks run the scaled forward and backward recursions over who
 back expected counts, which Spark adds up by symbol.  Scoring is the scaled forward recursion alone.  Words outside the frequent ones meet their counts in one shuffled join by hash; the frequent ones,
 which any number of documents may share, travel with the task.
 
+Texts of like length are laid out together once, by position, and every round reads that table.
 Recursions go through a text ``CHUNK`` tokens at a time: the state at the start of each stretch is kept, and the
 messages of a stretch are made again when the backward recursion gets there.  So a text of any length
 takes the memory of one stretch, and its counts and score are exact.
@@ -23,6 +24,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -61,6 +63,11 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
+def symbol_kind(size: int) -> str:
+    """How symbols are written for the rounds: two bytes do for up to 65,536 of them."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``key, word, class, n`` of every token of ``texts`` (``text``), the end included.
 
@@ -106,6 +113,10 @@ class Vocabulary:
             self.class_tokens[r["class"]], self.class_types[r["class"]] = r["n"], r["types"]
         self.size = len(top) + CLASSES + 1
 
+    @property
+    def kind(self) -> str:
+        return symbol_kind(self.size)
+
     @property
     def end(self) -> int:
         return self.size - 1
@@ -123,16 +134,14 @@ class Vocabulary:
     def encode(self, text: str) -> tuple[np.ndarray, dict[bytes, int]]:
         """Symbols of a text, the end last, and the words in it that are not frequent."""
         words_ = split(text)
-        found = list(map(self.symbols.get, words_))
+        found = np.fromiter(map(self.symbols.get, words_, repeat(-1)), np.int32, len(words_))
         rare: dict[bytes, int] = {}
         first = len(self.counts)
-        for i, symbol in enumerate(found):
-            if symbol is None:
-                word = words_[i]
-                rare[word] = rare.get(word, 0) + 1
-                found[i] = first + class_of(word)
-        found.append(self.end)
-        return np.array(found, np.uint32), rare
+        for i in np.flatnonzero(found < 0).tolist():
+            word = words_[i]
+            rare[word] = rare.get(word, 0) + 1
+            found[i] = first + class_of(word)
+        return np.append(found, self.end).astype(np.uint32), rare
 
 
 class Hmm:
@@ -159,55 +168,60 @@ class Hmm:
     def forward(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log likelihood of many sequences, laid end to end; ``first`` has where each
         begins, longest first, and the end.  Scaled forward recursion, position by position."""
-        out, state = np.zeros(len(first) - 1), None
+        out, state, emit = np.zeros(len(first) - 1), None, np.ascontiguousarray(self.emit.T)
         for steps in stretches(symbols, first):
-            _, scales, state = _forward(self.start, self.move, np.take(self.emit, steps.symbols, axis=0), steps, state, keep=False)
+            _, scales, state = _forward(self.start, self.move, np.take(emit, steps.symbols, axis=1), steps, state, keep=False)
             out += np.bincount(steps.owner, np.log(scales), len(out))
         return out
 
     def expected(self, symbols: np.ndarray, first: np.ndarray):
-        """Expected start, transition and emission counts, exact over whole sequences.  The backward messages carry the forward scales, so products of both are probabilities as they are.
+        """Expected start, transition and emission counts, exact over whole sequences."""
+        return self.expected_laid(*laid_out(symbols, first))
+
+    def expected_laid(self, laid: np.ndarray, lengths: np.ndarray):
+        """The same of sequences that are laid out by position.  The backward messages carry the forward scales, so products of both are probabilities as they are.
         Messages are single precision, sums double."""
-        start, move_, emit_ = (x.astype(np.float32) for x in (self.start, self.move, self.emit))
-        back = move_.T.copy()
-        parts, states, state = list(stretches(symbols, first)), [], None
+        start, move_, emit_ = (np.ascontiguousarray(x, np.float32) for x in (self.start, self.move, self.emit.T))
+        parts, states, state = list(cuts(laid, lengths)), [], None
         for steps in parts:
             states.append(state)
             if steps is not parts[-1]:
-                _, _, state = _forward(start, move_, np.take(emit_, steps.symbols, axis=0), steps, state, keep=False)
+                _, _, state = _forward(start, move_, np.take(emit_, steps.symbols, axis=1), steps, state, keep=False)
         begun, move, counts = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(self.emit.shape[::-1])
         ahead = None  # emission times backward message at the next position, over its scale
         for steps, state in zip(reversed(parts), reversed(states)):
-            emit = np.take(emit_, steps.symbols, axis=0)
+            at = steps.symbols.astype(np.intp)
+            emit = np.take(emit_, at, axis=1)
             forward, scales, _ = _forward(start, move_, emit, steps, state, keep=True)
-            emit /= scales[:, None]
-            backward = np.ones_like(emit)
+            emit /= scales
             for low, high in reversed(steps.ranges):
-                if ahead is not None:
-                    n = len(ahead)
-                    move += forward[low:low + n].T @ ahead
-                    backward[low:low + n] = ahead @ back
-                ahead = emit[low:high] * backward[low:high]
-            forward *= backward
+                if ahead is not None:  # a sequence that ends here has a backward message of ones
+                    n = ahead.shape[1]
+                    here = forward[:, low:low + n]
+                    move += here @ ahead.T
+                    backward = move_ @ ahead
+                    here *= backward
+                    emit[:, low:low + n] *= backward
+                ahead = emit[:, low:high]
             if steps is parts[0]:
-                begun = forward[:len(first) - 1].sum(axis=0, dtype=float)
-            at = steps.symbols.astype(np.int64)
-            for k, share in enumerate(np.ascontiguousarray(forward.T)):
+                begun = forward[:, :len(lengths)].sum(axis=1, dtype=float)
+            for k, share in enumerate(forward):
                 counts[k] += np.bincount(at, share, counts.shape[1])
         return begun, move * self.move, counts.T
 
 
 def _forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, steps: Stretch, state: np.ndarray | None, keep: bool):
-    """Messages of a stretch (if kept), scales and the last state, from the state before it."""
-    scales, ones = np.empty(len(emit), emit.dtype), np.ones(STATES, emit.dtype)
+    """Messages of a stretch (if kept), scales and the last state, from the state before it.  States
+    are rows, so that each step is a few operations on long rows."""
+    scales, ones = np.empty(emit.shape[1], emit.dtype), np.ones(STATES, emit.dtype)
     messages = np.empty_like(emit) if keep else None
+    begin, back = start[:, None], move.T.copy()
     for low, high in steps.ranges:
-        state = (start if state is None else state[:high - low] @ move) * emit[low:high]
-        scale = state @ ones
-        state /= scale[:, None]
-        scales[low:high] = scale
+        state = (begin if state is None else back @ state[:, :high - low]) * emit[:, low:high]
+        scale = np.matmul(ones, state, out=scales[low:high])
+        state /= scale
         if keep:
-            messages[low:high] = state
+            messages[:, low:high] = state
     return messages, scales, state
 
 
@@ -216,13 +230,13 @@ class Stretch(NamedTuple):
     the second, and so on, so that every step of a recursion is one range."""
 
     symbols: np.ndarray
-    owner: np.ndarray
+    owner: np.ndarray | None
     ranges: list[tuple[int, int]]
 
 
-def stretches(symbols: np.ndarray, first: np.ndarray) -> Iterator[Stretch]:
-    """The sequences, longest first and none empty, about ``CHUNK`` tokens at a time."""
-    lengths, low = np.diff(first), 0
+def positions(lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``low, high, alive`` of stretches of about ``CHUNK`` tokens: positions, and at each the sequences it has."""
+    low = 0
     longest = int(lengths[0]) if len(lengths) else 0
     while low < longest:
         before, high, least = int(np.minimum(lengths, low).sum()), longest, low + 1
@@ -234,14 +248,38 @@ def stretches(symbols: np.ndarray, first: np.ndarray) -> Iterator[Stretch]:
                 high = middle - 1
         high = least
         at = np.arange(low, high)
-        alive = np.searchsorted(-lengths, -at, side="left")
-        starts = np.r_[0, np.cumsum(alive)]
-        owner = np.arange(starts[-1]) - np.repeat(starts[:-1], alive)
-        place = first[owner] + np.repeat(at, alive)
-        yield Stretch(symbols[place], owner, list(zip(starts[:-1].tolist(), starts[1:].tolist())))
+        yield low, high, np.searchsorted(-lengths, -at, side="left")
         low = high
 
 
+def _ranges(alive: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    starts = np.r_[0, np.cumsum(alive)]
+    return starts, list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+
+
+def stretches(symbols: np.ndarray, first: np.ndarray) -> Iterator[Stretch]:
+    """The sequences, longest first and none empty, about ``CHUNK`` tokens at a time."""
+    for low, high, alive in positions(np.diff(first)):
+        starts, ranges = _ranges(alive)
+        owner = np.arange(starts[-1]) - np.repeat(starts[:-1], alive)
+        place = first[owner] + np.repeat(np.arange(low, high), alive)
+        yield Stretch(symbols[place], owner, ranges)
+
+
+def laid_out(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols by position, and the lengths of the sequences."""
+    return np.concatenate([symbols[:0], *[steps.symbols for steps in stretches(symbols, first)]]), np.diff(first)
+
+
+def cuts(laid: np.ndarray, lengths: np.ndarray) -> Iterator[Stretch]:
+    """The ``stretches`` of symbols that are laid out by position, without their owners."""
+    done = 0
+    for _, _, alive in positions(lengths):
+        starts, ranges = _ranges(alive)
+        yield Stretch(laid[done:done + int(starts[-1])], None, ranges)
+        done += int(starts[-1])
+
+
 def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``positions, symbols, first``: sequences by falling length, about ``BLOCK`` tokens at a time."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
@@ -256,8 +294,8 @@ def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
         low = high
 
 
-def _sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u4") for x in column]
+def _sequences(column: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
 def _batched(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
@@ -266,24 +304,43 @@ def _batched(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[
             yield batch.slice(low, rows)
 
 
-def baum_welch(encoded: DataFrame, vocabulary: Vocabulary) -> Hmm:
-    """The model of ``encoded`` (``row, doc, symbols``).  Without documents it stays the start."""
+def baum_welch(encoded: DataFrame, vocabulary: Vocabulary, kind: str = "<u4") -> Hmm:
+    """The model of ``encoded`` (``row, symbols``: of that ``kind``).  Without documents it stays the start."""
     share = vocabulary.share()
     model = Hmm.first(share)
-    for _ in range(ROUNDS if vocabulary.ends else 0):
-        model = _round(encoded, model, share)
+    if vocabulary.ends:
+        training = staged(training_blocks(encoded, vocabulary, kind), "training")
+        for _ in range(ROUNDS):
+            model = _round(training, model, share)
     return model
 
 
-def _round(encoded: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
+def training_blocks(encoded: DataFrame, vocabulary: Vocabulary, kind: str = "<u4") -> DataFrame:
+    """``laid, lengths``: the sequences of ``encoded`` as every round reads them, about ``BLOCK`` tokens a row.
+
+    A step of a recursion costs the same for few sequences as for many, so sequences of like length come
+    together: as many tasks as there were have a range of lengths each, equal lengths dealt by row."""
+    laid_kind = vocabulary.kind
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batched(batches):
+            for _, symbols, first in blocks(_sequences(batch.column(0), kind)):
+                laid, lengths = laid_out(symbols, first)
+                yield pa.RecordBatch.from_arrays([pa.array([laid.astype(laid_kind).tobytes()]), pa.array([lengths.astype("<i8").tobytes()])], ["laid", "lengths"])
+
+    ranged = encoded.select("row", "symbols").repartitionByRange(max(1, encoded.rdd.getNumPartitions()), F.length("symbols"), "row")
+    return ranged.select("symbols").mapInArrow(run, "laid binary, lengths binary")
+
+
+def _round(training: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
     """One Baum-Welch round; symbols are rows, then the transitions of each state, then the start."""
-    size, columns = len(share), [f"s{k}" for k in range(STATES)]
+    size, columns, kind = len(share), [f"s{k}" for k in range(STATES)], symbol_kind(len(share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.zeros((size + STATES + 1, STATES))
-        for batch in _batched(batches):
-            for _, symbols, first in blocks(_sequences(batch.column(0))):
-                start, move, emit = model.expected(symbols, first)
+        for batch in batches:
+            for laid, lengths in zip(batch.column(0), batch.column(1)):
+                start, move, emit = model.expected_laid(np.frombuffer(laid.as_buffer(), kind), np.frombuffer(lengths.as_buffer(), "<i8"))
                 rows[:size] += emit
                 rows[size:-1] += move
                 rows[-1] += start
@@ -291,7 +348,7 @@ def _round(encoded: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *[pa.array(rows[seen, k]) for k in range(STATES)]], ["symbol", *columns])
 
     schema = "symbol int, " + ", ".join(f"{c} double" for c in columns)
-    added = encoded.select("symbols").mapInArrow(run, schema).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    added = training.select("laid", "lengths").mapInArrow(run, schema).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
     rows = np.zeros((size + STATES + 1, STATES))
     rows[added["symbol"].to_numpy()] = np.stack([added[c].to_numpy() for c in columns], axis=1)
     return Hmm.from_counts(rows[-1], rows[size:-1], rows[:size], share)
@@ -308,7 +365,7 @@ def score_texts(docs: DataFrame, folds: int, held: int, doc_id: str = "doc_id",
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), text_of(text).alias("text"))
     counts = staged(word_counts(rows.where(~F.col("held_out"))), "words")
     vocabulary = Vocabulary(counts)
-    base = vocabulary.base()
+    base, symbol = vocabulary.base(), vocabulary.kind
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batched(batches, 2000):
@@ -317,7 +374,7 @@ def score_texts(docs: DataFrame, folds: int, held: int, doc_id: str = "doc_id",
                 symbols, rare = vocabulary.encode(value.as_py())
                 plain = (symbols < len(vocabulary.counts)) | (symbols == vocabulary.end)
                 known = int(plain.sum()) - (0 if vocabulary.ends else 1)
-                out.append((len(symbols), known, float(base[symbols[plain]].sum()), symbols.astype("<u4").tobytes()))
+                out.append((len(symbols), known, float(base[symbols[plain]].sum()), symbols.astype(symbol).tobytes()))
                 keys += map(word_key, rare)
                 classes += map(class_of, rare)
                 times += rare.values()
@@ -340,12 +397,12 @@ def score_texts(docs: DataFrame, folds: int, held: int, doc_id: str = "doc_id",
         F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(vocabulary.tokens + vocabulary.types + 1)))).alias("rare_base"),
         F.sum(F.col("times") * F.log10((F.col("c") + 1) / in_class)).alias("rare_class")), "rare")
 
-    model = baum_welch(encoded.where(~F.col("held_out")), vocabulary)
+    model = baum_welch(encoded.where(~F.col("held_out")), vocabulary, symbol)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batched(batches):
             logs = np.zeros(len(batch))
-            for at, symbols, first in blocks(_sequences(batch.column(6))):
+            for at, symbols, first in blocks(_sequences(batch.column(6), symbol)):
                 logs[at] = model.forward(symbols, first) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(logs)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "chain"])
 

@@ -68,3 +68,31 @@ def test_a_text_of_megabytes(documents):
     long = prose(5, 300_000)
     got = {r["doc_id"]: r for r in markov_lm.score_texts(documents([(1, long), (3, "a b"), (4, prose(5, 100)), (7, None)], "score", "row", "keys"), 7, 2).collect()}
     assert got[1]["n_tokens"] == 300_001 and got[1]["score"] > got[1]["base_score"] * 1.2 and got[7]["n_tokens"] == 1
+
+
+def test_rounds_read_texts_that_are_laid_out_once(spark, documents, monkeypatch):
+    """Blocks are sorted and laid out by position before the first round, in two bytes a symbol."""
+    docs = documents([(i, prose(i, 40 + 7 * i)) for i in range(9)])
+    vocabulary = markov_lm.Vocabulary(markov_lm.word_counts(docs))
+    whole = [vocabulary.encode(r["text"])[0] for r in docs.collect()]
+    encoded = spark.createDataFrame([(i, bytearray(s.astype("<u4").tobytes())) for i, s in enumerate(whole)], "row long, symbols binary").coalesce(1)
+    model = markov_lm.Hmm.first(vocabulary.share())
+    want = [model.expected(s, f) for _, s, f in markov_lm.blocks(whole)]
+    rows = markov_lm.training_blocks(encoded, vocabulary).collect()
+    assert len(rows) == 1 and len(rows[0]["laid"]) == 2 * sum(map(len, whole))
+    monkeypatch.setattr(markov_lm, "CHUNK", 100)
+    laid, lengths = np.frombuffer(rows[0]["laid"], "<u2"), np.frombuffer(rows[0]["lengths"], "<i8")
+    assert len(list(markov_lm.cuts(laid, lengths))) > 2 and markov_lm.symbol_kind(1 << 17) == "<u4"
+    got = model.expected_laid(laid, lengths)
+    assert all(np.allclose(a, sum(w[i] for w in want), atol=1e-3) for i, a in enumerate(got))
+
+
+def test_texts_of_like_length_train_together(spark, documents):
+    """Every task's long texts used to take as many steps as the longest has tokens."""
+    docs = documents([(i, prose(i, 300 if i % 4 == 0 else 5)) for i in range(40)])
+    vocabulary = markov_lm.Vocabulary(markov_lm.word_counts(docs))
+    rows = [(i, bytearray(vocabulary.encode(r["text"])[0].astype("<u4").tobytes())) for i, r in enumerate(docs.collect())]
+    encoded = spark.createDataFrame(rows, "row long, symbols binary").repartition(4)
+    lengths = [np.frombuffer(r["lengths"], "<i8") for r in markov_lm.training_blocks(encoded, vocabulary).collect()]
+    assert sorted(np.concatenate(lengths)) == [6] * 30 + [301] * 10
+    assert len(lengths) == 4 and sum(int(n[0]) for n in lengths) < 3 * 301
