@@ -166,17 +166,26 @@ def first_words(text: Column, n: Column) -> Column:
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` as the mix has them: a row per whole epoch of a document, and for a document that the
     target cuts, a row with the words that still fit.  Rows are in schedule order, by the slot of their
-    first piece, over ranges of slots and within them.  Columns of ``docs`` only."""
+    first piece, over ranges of slots and within them.  Columns of ``docs`` only.
+
+    The schedule fills its slots evenly, so ranges of equal width hold about equal work, and no pass over
+    the texts has to find their bounds; a slot has ``block`` words at most.  So texts move twice: to
+    their spans, and to their places."""
     columns, docs = docs.columns, numbered(docs)
     mix = Mix(docs, doc_id, text, source)
     due = F.struct(F.min("slot").alias("slot"), F.min("line").alias("line"), F.sum("length").alias("take"))
     spans = mix.pieces().where("slot is not null").groupBy("row", "size", "epoch").agg(due.alias("due"))
     spans = spans.groupBy("row", "size").agg(F.collect_list("due").alias("due")).select(
         F.col("row").alias(ROW), F.col("size").alias(f"{DOC}_size"), F.explode("due").alias(f"{DOC}_due"))
-    joined, take = docs.join(spans, ROW), F.col(f"{DOC}_due.take")
+    spans = staged(spans, "spans")
+    slot, take = F.col(f"{DOC}_due.slot"), F.col(f"{DOC}_due.take")
+    last = spans.agg(F.coalesce(F.max(slot), F.lit(0))).first()[0]
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.floor(slot * F.lit(ranges) / F.lit(last + 1)).cast("int")
+    joined = docs.join(spans, ROW)
     joined = joined.withColumn(text, F.when(take == F.col(f"{DOC}_size"), F.col(text)).otherwise(first_words(F.col(text), take.cast("int"))))
-    order = [F.col(f"{DOC}_due.slot"), F.col(f"{DOC}_due.line"), F.col(ROW)]
-    return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
+    order = [slot, F.col(f"{DOC}_due.line"), F.col(ROW)]
+    return joined.repartitionById(ranges, at).sortWithinPartitions(*order).select(*columns)
 
 
 ORACLE = r"""

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import ROW, numbered, query, table, words
 from lorekeep.llm.components import components
-from lorekeep.session import staged
+from lorekeep.session import arrow_batches, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -52,6 +52,7 @@ AGREE = 2
 SHORT = 40  # shingles up to which candidates are exact
 FIRST_CENTRES = 32
 COLD = 32  # texts that may have a shingle their pivot has not for its pairs to be compared outright
+BATCH_ROWS = 1000  # texts or pairs that a Python worker holds at once
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,7 +191,8 @@ class NearDuplicates:
         keyed = staged(keyed.withColumn("own", own), "keys")
         order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("row"))
         groups = staged(keyed.groupBy("a", "b", "own").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")), "groups")
-        self.link(groups.where("size > 0").select(F.col("first.row").alias("row")))
+        with arrow_batches(groups.sparkSession, BATCH_ROWS):
+            self.link(groups.where("size > 0").select(F.col("first.row").alias("row")))
         named = groups.join(self.labels, F.col("first.row") == F.col("node"), "left").withColumn("label", F.coalesce("label", "first.row"))
         classes = staged(named.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size")), "classes")
         of_group = staged(named.select("a", "b", "own", "label").join(classes, "label").select(

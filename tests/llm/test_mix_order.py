@@ -56,3 +56,12 @@ def test_slots_of_one_source_unfold_in_parts(documents, monkeypatch):
     whole = sorted(map(tuple, mixing.Mix(docs).slots().collect()))
     monkeypatch.setattr(mixing, "SLOTS_PER_ROW", 7)
     assert sorted(map(tuple, mixing.Mix(docs).slots().collect())) == whole and len(whole) > 200
+
+
+def test_texts_are_not_read_to_find_ranges(documents):
+    """The join of texts with their spans used to run twice, first to sample the bounds of slot ranges."""
+    docs = documents([(i, prose(i, 40), "abc"[i % 3]) for i in range(120)])
+    mixed = mixing.mix_documents(docs)
+    assert "rangepartitioning" not in mixed._jdf.queryExecution().executedPlan().toString().lower()
+    parts = [r[0] for r in mixed.select(F.spark_partition_id()).collect()]
+    assert parts == sorted(parts) and max(parts.count(p) for p in set(parts)) < len(parts) / 2

@@ -5,9 +5,11 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from llm_rows import prose
 
 from lorekeep.llm import components as graph
 from lorekeep.llm import near_dedup as nd
+from lorekeep.session import arrow_batches
 
 
 def near_copies(n, changed, length=120, seed=4):
@@ -64,3 +66,18 @@ def test_rounds_do_not_read_all_members_again(spark, documents, monkeypatch):
     assert [got[i] for i in range(len(texts))] == classes_by_hand(texts)
     rounds = [n for columns, n in read if "reach" in columns]
     assert len(rounds) > 2 and sum(rounds) < 100  # every round used to read all 223 memberships
+
+
+def test_python_workers_get_small_batches(spark, documents, monkeypatch):
+    """The steps in Python see bounded batches, and the session's own limit is as it was."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    sketched, aligned = nd.sketched, nd.aligned
+    monkeypatch.setattr(nd, "sketched", lambda texts: seen.append(spark.conf.get(key)) or sketched(texts))
+    monkeypatch.setattr(nd, "aligned", lambda pairs: seen.append(spark.conf.get(key)) or aligned(pairs))
+    texts = [prose(i, 80) for i in range(4)]
+    nd.near_classes(documents(list(enumerate([*texts, *[t + " more" for t in texts]])))).collect()
+    assert len(seen) > 1 and set(seen) == {str(nd.BATCH_ROWS)} and spark.conf.get(key) == before
+    with arrow_batches(spark, 7), arrow_batches(spark, 9):
+        assert spark.conf.get(key) == "7"  # a smaller limit stays
+    assert spark.conf.get(key) == before
