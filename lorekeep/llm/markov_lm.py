@@ -35,14 +35,15 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import query, table, text_of
 from lorekeep.llm.labelled import fold
-from lorekeep.session import staged
+from lorekeep.session import arrow_batches, staged
 
 STATES = 8
 WORDS = 50_000
 CLASSES = 256
 ROUNDS = 15
 SMOOTHING = 200.0  # tokens of the unigram model that every state has seen beforehand
-BLOCK = CHUNK = 1_200_000  # tokens whose recursions run together: about 40 MB an array in training
+BLOCK = CHUNK = 600_000  # tokens whose recursions run together: about 20 MB an array in training
+BLOCKS_AT_ONCE = 4  # blocks that a Python worker is handed together
 KNOWN_AT_ONCE = 300_000  # distinct words a task counts before it hands them on
 
 END = b""  # no word is empty
@@ -310,8 +311,9 @@ def baum_welch(encoded: DataFrame, vocabulary: Vocabulary, kind: str = "<u4") ->
     model = Hmm.first(share)
     if vocabulary.ends:
         training = staged(training_blocks(encoded, vocabulary, kind), "training")
-        for _ in range(ROUNDS):
-            model = _round(training, model, share)
+        with arrow_batches(encoded.sparkSession, BLOCKS_AT_ONCE):
+            for _ in range(ROUNDS):
+                model = _round(training, model, share)
     return model
 
 
