@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -72,6 +72,11 @@ def refresh_index(
     return kept.unionByName(made)
 
 
+def check_model(spark: SparkSession, embedder: Embedder) -> None:
+    """Raises what the embedder raises, for a job that may find no text to embed: one empty text is embedded."""
+    embed(spark.range(1).select(F.lit("").alias("text")), "text", embedder).collect()
+
+
 def embed_queries(questions: DataFrame, embedder: Embedder = hashed_words) -> DataFrame:
     """``(query_id, question)`` -> the same with ``embedding``."""
     return embed(questions.select("query_id", "question"), "question", embedder)

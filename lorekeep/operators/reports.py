@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.operators.joins import keep_matching, sized_join
+from lorekeep.operators.joins import fits_broadcast, keep_matching, salted_join
 from lorekeep.operators.topk import ranked
 from lorekeep.session import staged
 
@@ -93,10 +93,12 @@ def related_lists(dim: DataFrame, topic_ids: DataFrame, limit: int) -> DataFrame
     )
     asked = topic_ids.select(F.col("topic_id").alias("for_topic_id")).distinct()
     own = dim.select(F.col("topic_id").alias("for_topic_id"), "parent_category")
-    listed = sized_join(
-        asked.join(own, "for_topic_id", "left"),
-        siblings, "parent_category", "left", ["for_topic_id"],
-    ).withColumn("any", anywhere.scalar())
+    rows = asked.join(own, "for_topic_id", "left")
+    if fits_broadcast(siblings):
+        listed = rows.join(F.broadcast(siblings), "parent_category", "left")
+    else:  # one short row per category: not worth being cut to what is asked for and written first
+        listed = salted_join(rows, siblings, "parent_category", "left", ["for_topic_id"])
+    listed = listed.withColumn("any", anywhere.scalar())
     same = F.coalesce(_others(F.col("first"), F.col("for_topic_id"), limit), F.array())
     return listed.select(
         "for_topic_id",

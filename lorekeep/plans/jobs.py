@@ -60,12 +60,13 @@ def index(
     spark: SparkSession, warehouse: str, embedder: Embedder = hashed_words, model: str = HASHED_MODEL, full: bool = False,
 ) -> None:
     """Embeds what is eligible and new or changed, clusters the vectors and inverts the words, published together.
-    ``full`` embeds everything again."""
+    ``full`` embeds everything again.  A model that is away fails the run, whether or not a text is new."""
     now = files.snapshot(spark, warehouse)
     current, stamp = eligible(now), F.lit(_now(spark)).cast("timestamp")
     if full or now.version("semantic/knowledge_embeddings") is None:
         built = embedding.build_index(current, stamp, embedder, model)
     else:
+        embedding.check_model(spark, embedder)
         built = embedding.refresh_index(current, _embeddings(now), stamp, embedder, model)
     built = staged(built, "embedded")
     words = inverted.build(current)
